@@ -1,0 +1 @@
+"""Sources: files, JDBC, SQLite, REST pages, document collections, workbooks."""
