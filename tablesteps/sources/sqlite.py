@@ -1,0 +1,292 @@
+"""SQLite files as a Spark data source (S24) and as a sink.
+
+Reading is a Python data source: every file (a single ``.db`` or a
+directory of shards written by ``write_sqlite``) is split into rowid
+ranges, one input partition each, so a large table is read by many
+tasks.  The schema comes from the declared column types.
+
+Files must sit on storage every executor can open (a shared mount).
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import sqlite3
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from tablesteps.session import local_path
+
+FORMAT = "tablesteps_sqlite"
+ROWS_PER_PARTITION = 500_000
+SYSTEM_PREFIX = "sqlite_"
+
+
+def sqlite_files(path: str) -> list[str]:
+    p = local_path(path)
+    if os.path.isdir(p):
+        return sorted(glob.glob(os.path.join(p, "*.db")))
+    if any(ch in p for ch in "*?["):
+        return sorted(glob.glob(p))
+    return [p]
+
+
+def list_tables(path: str) -> list[str]:
+    """User tables of the first file (``sqlite_%`` system tables skipped)."""
+    files = sqlite_files(path)
+    if not files:
+        return []
+    with sqlite3.connect(f"file:{files[0]}?mode=ro", uri=True) as con:
+        rows = con.execute(
+            "SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name"
+        ).fetchall()
+    return [r[0] for r in rows]
+
+
+def _spark_type(declared: str) -> T.DataType:
+    d = (declared or "").upper()
+    if "INT" in d:
+        return T.LongType()
+    if any(k in d for k in ("CHAR", "CLOB", "TEXT")):
+        return T.StringType()
+    if "BLOB" in d:
+        return T.BinaryType()
+    if any(k in d for k in ("REAL", "FLOA", "DOUB", "NUMERIC", "DECIMAL")):
+        return T.DoubleType()
+    if "BOOL" in d:
+        return T.BooleanType()
+    return T.StringType()
+
+
+def _quote(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+class RowidRange(InputPartition):
+    def __init__(self, file: str, lo: int | None, hi: int | None):
+        self.file, self.lo, self.hi = file, lo, hi
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options: dict, schema: T.StructType):
+        self.options = options
+        self.schema = schema
+
+    def partitions(self):
+        table = self.options.get("table")
+        step = int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        parts = []
+        for f in sqlite_files(self.options["path"]):
+            if not table:
+                parts.append(RowidRange(f, None, None))
+                continue
+            with sqlite3.connect(f"file:{f}?mode=ro", uri=True) as con:
+                try:
+                    lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(table)}").fetchone()
+                except sqlite3.OperationalError:  # WITHOUT ROWID table
+                    parts.append(RowidRange(f, None, None))
+                    continue
+            if lo is None:
+                continue
+            start = lo
+            while start <= hi:
+                parts.append(RowidRange(f, start, min(start + step - 1, hi)))
+                start += step
+        return parts
+
+    def read(self, partition: RowidRange):
+        table = self.options.get("table")
+        cols = ", ".join(_quote(f.name) for f in self.schema.fields)
+        if table:
+            sql = f"SELECT {cols} FROM {_quote(table)}"
+            args: tuple = ()
+            if partition.lo is not None:
+                sql += " WHERE rowid BETWEEN ? AND ?"
+                args = (partition.lo, partition.hi)
+        else:
+            sql, args = self.options["query"], ()
+        convert = [_converter(f.dataType) for f in self.schema.fields]
+        con = sqlite3.connect(f"file:{partition.file}?mode=ro", uri=True)
+        try:
+            for row in con.execute(sql, args):
+                yield tuple(c(v) for c, v in zip(convert, row))
+        finally:
+            con.close()
+
+
+def _converter(dtype: T.DataType):
+    def to_long(v):
+        if v is None or isinstance(v, int):
+            return v
+        try:
+            return int(v)
+        except (TypeError, ValueError):
+            return None
+
+    def to_double(v):
+        if v is None:
+            return None
+        try:
+            return float(v)
+        except (TypeError, ValueError):
+            return None
+
+    def to_text(v):
+        if v is None or isinstance(v, str):
+            return v
+        if isinstance(v, bytes):
+            return v.decode("utf-8", "replace")
+        return str(v)
+
+    def to_bytes(v):
+        if v is None or isinstance(v, bytes):
+            return v
+        return str(v).encode()
+
+    def to_bool(v):
+        return None if v is None else bool(v)
+
+    if isinstance(dtype, T.LongType):
+        return to_long
+    if isinstance(dtype, T.DoubleType):
+        return to_double
+    if isinstance(dtype, T.BinaryType):
+        return to_bytes
+    if isinstance(dtype, T.BooleanType):
+        return to_bool
+    return to_text
+
+
+class SqliteDataSource(DataSource):
+    """Options: ``path`` (file, shard directory or glob), ``table`` or ``query``."""
+
+    @classmethod
+    def name(cls):
+        return FORMAT
+
+    def schema(self):
+        files = sqlite_files(self.options["path"])
+        if not files:
+            raise FileNotFoundError(self.options["path"])
+        table = self.options.get("table")
+        with sqlite3.connect(f"file:{files[0]}?mode=ro", uri=True) as con:
+            if table:
+                info = con.execute(f"PRAGMA table_info({_quote(table)})").fetchall()
+                if not info:
+                    raise ValueError(f"table {table!r} not found")
+                return T.StructType([T.StructField(r[1], _spark_type(r[2])) for r in info])
+            cur = con.execute(self.options["query"])
+            first = cur.fetchone()
+            fields = []
+            for i, d in enumerate(cur.description):
+                v = first[i] if first else None
+                t = T.LongType() if isinstance(v, int) else T.DoubleType() if isinstance(v, float) else T.BinaryType() if isinstance(v, bytes) else T.StringType()
+                fields.append(T.StructField(d[0], t))
+            return T.StructType(fields)
+
+    def reader(self, schema):
+        return SqliteReader(self.options, schema)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(SqliteDataSource)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, **options) -> DataFrame:
+    """Import a table (default: the first user table) or a query."""
+    register(spark)
+    if table is None and query is None:
+        tables = list_tables(path)
+        if not tables:
+            raise ValueError("no tables found")
+        table = tables[0]
+    reader = spark.read.format(FORMAT).option("path", path)
+    if table is not None:
+        reader = reader.option("table", table)
+    else:
+        reader = reader.option("query", query)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
+
+
+# ------------------------------------------------------------------ sink
+SQLITE_TYPES = {
+    "int": "INTEGER", "bigint": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER",
+    "double": "REAL", "float": "REAL", "binary": "BLOB",
+}
+
+
+def _sqlite_type(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.DecimalType):
+        return "REAL"
+    return SQLITE_TYPES.get(dtype.simpleString(), "TEXT")
+
+
+def write_sqlite(df: DataFrame, path: str, table: str, single_file: bool = False) -> DataFrame:
+    """One ``.db`` shard per partition (``single_file`` -> one file).
+
+    Each task writes a temporary file and renames it to its partition's
+    name when complete, so a retried task replaces, never duplicates.
+    Returns (file, rows) per shard.
+    """
+    out_dir = local_path(path)
+    os.makedirs(out_dir, exist_ok=True)
+    fields = df.schema.fields
+    ddl = ", ".join(f"{_quote(f.name)} {_sqlite_type(f.dataType)}" for f in fields)
+    create = f"CREATE TABLE IF NOT EXISTS {_quote(table)} ({ddl})"
+    insert = f"INSERT INTO {_quote(table)} VALUES ({', '.join('?' for _ in fields)})"
+    kinds = [f.dataType.simpleString() for f in fields]
+    src = df.coalesce(1) if single_file else df
+
+    def write_part(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        pid = ctx.partitionId() if ctx else 0
+        final = os.path.join(out_dir, f"part-{pid:05d}.db")
+        tmp = f"{final}.{uuid.uuid4().hex}.tmp"
+        con = sqlite3.connect(tmp)
+        n = 0
+        try:
+            con.execute(create)
+            for pdf in batches:
+                rows = []
+                for rec in pdf.itertuples(index=False, name=None):
+                    rows.append(tuple(_to_sqlite(v, k) for v, k in zip(rec, kinds)))
+                con.executemany(insert, rows)
+                n += len(rows)
+            con.commit()
+        finally:
+            con.close()
+        os.replace(tmp, final)
+        yield pd.DataFrame({"file": [final], "rows": [n]})
+
+    return src.mapInPandas(write_part, "file string, rows long")
+
+
+def _to_sqlite(v, kind: str):
+    import math
+
+    import pandas as pd
+
+    if v is None:
+        return None
+    if isinstance(v, float) and math.isnan(v):
+        return None
+    if v is pd.NaT:
+        return None
+    if kind == "boolean":
+        return int(bool(v))
+    if hasattr(v, "isoformat"):
+        return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
+    if hasattr(v, "item"):
+        return v.item()
+    if kind.startswith("decimal"):
+        return float(v)
+    return v
