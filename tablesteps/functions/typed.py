@@ -17,15 +17,11 @@ from pyspark.sql import types as T
 # Inference rules of the reference's CSV reader.
 INT_MAX_CHARS = 10
 BOOL_TEXTS = ("true", "True", "TRUE", "false", "False", "FALSE")
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
+# Accepted date/time shapes: yyyy-MM-dd, yyyy/MM/dd or MM/dd/yyyy, with an
+# optional time HH:mm[:ss[.fraction]] after a space or 'T'.
+TIMESTAMP_SHAPE = (
+    r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4})"
+    r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 )
 # default(T) of .NET value types, by Spark type name.
 TYPE_DEFAULTS = {
@@ -55,11 +51,32 @@ def try_get_value(c: str | Column, to_type: str) -> Column:
     return _col(c).try_cast(to_type)
 
 
+def _only(v: Column, chars: str) -> Column:
+    """True when ``v`` holds nothing but ``chars`` (a char loop, no regex)."""
+    return F.length(F.translate(v, chars, "")) == 0
+
+
+def text_int(c: str | Column, to_type: str = "int") -> Column:
+    v = _col(c)
+    return F.when(_only(F.trim(v), "0123456789+-"), v.try_cast(to_type))
+
+
+def text_double(c: str | Column) -> Column:
+    v = _col(c)
+    return F.when(_only(F.trim(v), "0123456789+-.eE"), v.try_cast("double"))
+
+
 def text_timestamp(c: str | Column) -> Column:
-    """Zone-less timestamp from text in any of the fixed formats, else null."""
-    t = _col(c)
-    tries = [F.try_to_timestamp(t, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """Zone-less timestamp from text in one of the accepted shapes, else null.
+
+    Slash dates are rewritten to ISO order and the text is cast; the
+    cast parses without throwing, so a failed cell costs no exception.
+    """
+    t = F.trim(_col(c).cast("string"))
+    maybe = _only(t, "0123456789-/:. T") & (t.contains("-") | t.contains("/"))
+    us = F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    iso = F.regexp_replace(us, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    return F.when(maybe, F.when(t.rlike(TIMESTAMP_SHAPE), iso.try_cast("timestamp_ntz")))
 
 
 def text_boolean(c: str | Column) -> Column:
@@ -82,6 +99,10 @@ def convert(c: str | Column, to_type: str, from_type: T.DataType | None = None)
         return col.try_cast(t)
     if t == "boolean":
         return text_boolean(col)
+    if t in ("int", "bigint", "smallint", "tinyint"):
+        return text_int(col, t)
+    if t in ("double", "float"):
+        return text_double(col).cast(t)
     if t in ("timestamp", "timestamp_ntz"):
         return text_timestamp(col.cast("string"))
     if t == "date":
@@ -105,10 +126,10 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, st
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
         nn = v.isNotNull()
-        is_int = nn & (F.length(v) <= INT_MAX_CHARS) & v.try_cast("int").isNotNull()
-        is_dbl = nn & v.contains(".") & v.try_cast("double").isNotNull()
+        is_int = nn & (F.length(v) <= INT_MAX_CHARS) & text_int(v).isNotNull()
+        is_dbl = nn & v.contains(".") & text_double(v).isNotNull()
         is_bool = nn & v.isin(*BOOL_TEXTS)
-        is_ts = nn & (v.contains("-") | v.contains("/")) & text_timestamp(v).isNotNull()
+        is_ts = nn & text_timestamp(v).isNotNull()
         aggs += [
             F.count_if(nn).alias(f"n{i}"),
             F.count_if(is_int).alias(f"i{i}"),
@@ -146,7 +167,7 @@ def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
             out.append(F.lower(F.col(f"`{c}`")).cast("boolean").alias(c))
         elif t == "timestamp_ntz":
             out.append(text_timestamp(F.col(f"`{c}`")).alias(c))
-        else:
+        else:  # every cell is known to convert: a plain cast
             out.append(F.col(f"`{c}`").try_cast(t).alias(c))
     return df.select(*out)
 
