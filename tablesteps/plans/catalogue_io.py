@@ -85,3 +85,46 @@ def sqlite_roundtrip(spark, d):
     write_sqlite(src.repartition(3), out, "supplier").collect()  # one (file, rows) row per shard
     back = read_sqlite(spark, out, table="supplier")
     return as_types_of(back, src)
+
+
+# ---------------------------------------------------------------- REST
+def write_pages(df: DataFrame, folder: str, page_size: int, order) -> None:
+    """Lay a table out as API pages ``page=N`` (an envelope ``{"data": [...]}`` each)."""
+    from tablesteps.operators.rows import batch_ids
+
+    b = batch_ids(df, page_size, order, "page0")
+    body = F.to_json(F.struct(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("data")))
+    pages = b.groupBy((F.col("page0") + 1).alias("page")).agg(body.alias("value"))
+    pages.write.mode("overwrite").partitionBy("page").text(folder)
+
+
+@query("rest_paged_read", "SELECT * FROM supplier")
+def rest_paged_read(spark, d):
+    from tablesteps.operators.order import asc
+    from tablesteps.sources.rest import read_rest
+
+    src = table(spark, d, "supplier")
+    folder = shared_dir(spark, "rest-pages")
+    write_pages(src, folder, 10, [asc("s_suppkey")])
+    back = read_rest(spark, folder if folder.startswith("file:") else "file://" + folder, pageSize=10, stripes=4, transport="file", retryDelay=0)
+    return as_types_of(back, src).select(*src.columns)
+
+
+@query(
+    "api_payload_batches",
+    """SELECT batch_id, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+       FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch_id FROM orders)
+       GROUP BY batch_id""",
+)
+def api_payload_batches(spark, d):
+    from tablesteps.operators.order import asc
+    from tablesteps.sinks.rest import api_payloads
+
+    p = api_payloads(table(spark, d, "orders"), [asc("o_orderkey")], 100)
+    keys = F.from_json("payload", "array<struct<o_orderkey:bigint>>")
+    return p.select(
+        "batch_id",
+        "n_rows",
+        F.array_min(F.transform(keys, lambda x: x["o_orderkey"])).alias("first_key"),
+        F.array_max(F.transform(keys, lambda x: x["o_orderkey"])).alias("last_key"),
+    )

@@ -78,7 +78,7 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self):
         table = self.options.get("table")
-        step = int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        step = int(self.options.get("rowspartition", self.options.get("rowsperpartition", ROWS_PER_PARTITION)))
         parts = []
         for f in sqlite_files(self.options["path"]):
             if not table:
