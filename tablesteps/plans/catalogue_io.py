@@ -128,3 +128,16 @@ def api_payload_batches(spark, d):
         F.array_min(F.transform(keys, lambda x: x["o_orderkey"])).alias("first_key"),
         F.array_max(F.transform(keys, lambda x: x["o_orderkey"])).alias("last_key"),
     )
+
+
+# ---------------------------------------------------------------- workbooks
+@query("workbook_roundtrip", "SELECT * FROM supplier")
+def workbook_roundtrip(spark, d):
+    from tablesteps.sinks.workbook import write_workbooks
+    from tablesteps.sources.workbook import read_workbooks
+
+    src = table(spark, d, "supplier")
+    out = shared_dir(spark, "workbooks")
+    write_workbooks(src.repartition(3), out).collect()  # one (file, rows) row per workbook
+    back = read_workbooks(spark, out.rstrip("/") + "/*.xlsx")
+    return as_types_of(back, src).select(*src.columns)

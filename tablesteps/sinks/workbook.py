@@ -1,0 +1,161 @@
+"""Workbook sink (W17): one .xlsx per partition, written by its task.
+
+Each task streams its rows into ``part-NNNNN[-k].xlsx`` (a new file
+after 1,048,575 data rows, the sheet limit), via a temporary name and a
+rename, so a retried task replaces its own output.  Returns
+(file, rows) per workbook.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+import uuid
+import zipfile
+from xml.sax.saxutils import escape
+
+from pyspark.sql import DataFrame
+
+from tablesteps.session import local_path
+from tablesteps.sources.workbook import EPOCH, col_letters
+
+DEFAULT_SHEET = "Sheet1"
+MAX_DATA_ROWS = 1_048_575
+
+_CONTENT_TYPES = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Default Extension="xml" ContentType="application/xml"/>'
+    '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+    '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>'
+    "</Types>"
+)
+_ROOT_RELS = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
+    "</Relationships>"
+)
+_WB_RELS = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
+    '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>'
+    "</Relationships>"
+)
+# cell styles: 0 general, 1 date-time (format 22), 2 date (format 14)
+_STYLES = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+    '<fonts count="1"><font><sz val="11"/><name val="Calibri"/></font></fonts>'
+    '<fills count="1"><fill><patternFill patternType="none"/></fill></fills>'
+    '<borders count="1"><border/></borders>'
+    '<cellStyleXfs count="1"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/></cellStyleXfs>'
+    '<cellXfs count="3"><xf numFmtId="0" fontId="0" fillId="0" borderId="0" xfId="0"/>'
+    '<xf numFmtId="22" fontId="0" fillId="0" borderId="0" xfId="0" applyNumberFormat="1"/>'
+    '<xf numFmtId="14" fontId="0" fillId="0" borderId="0" xfId="0" applyNumberFormat="1"/></cellXfs>'
+    "</styleSheet>"
+)
+
+
+def _workbook_xml(sheet: str) -> str:
+    return (
+        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+        '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+        'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+        f'<sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>'
+    )
+
+
+def _cell(ref: str, v) -> str:
+    import math
+
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return ""
+    if isinstance(v, bool):
+        return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float)):
+        return f'<c r="{ref}"><v>{v!r}</v></c>'
+    if isinstance(v, dt.datetime):
+        serial = (v.replace(tzinfo=None) - EPOCH).total_seconds() / 86400
+        return f'<c r="{ref}" s="1"><v>{serial!r}</v></c>'
+    if isinstance(v, dt.date):
+        serial = (dt.datetime(v.year, v.month, v.day) - EPOCH).days
+        return f'<c r="{ref}" s="2"><v>{serial}</v></c>'
+    if hasattr(v, "item"):
+        return _cell(ref, v.item())
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def _write_one(path: str, sheet: str, columns: list[str], rows, header: bool) -> int:
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    n = 0
+    with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", _CONTENT_TYPES)
+        z.writestr("_rels/.rels", _ROOT_RELS)
+        z.writestr("xl/workbook.xml", _workbook_xml(sheet))
+        z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
+        z.writestr("xl/styles.xml", _STYLES)
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(
+                b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+            )
+            r = 1
+            if header:
+                cells = "".join(_cell(f"{col_letters(i + 1)}1", c) for i, c in enumerate(columns))
+                f.write(f'<row r="1">{cells}</row>'.encode())
+                r = 2
+            for rec in rows:
+                cells = "".join(_cell(f"{col_letters(i + 1)}{r}", v) for i, v in enumerate(rec))
+                f.write(f'<row r="{r}">{cells}</row>'.encode())
+                r += 1
+                n += 1
+            f.write(b"</sheetData></worksheet>")
+    os.replace(tmp, path)
+    return n
+
+
+def write_workbooks(df: DataFrame, path: str, sheet: str = DEFAULT_SHEET, header: bool = True, max_rows: int = MAX_DATA_ROWS) -> DataFrame:
+    out_dir = local_path(path)
+    os.makedirs(out_dir, exist_ok=True)
+    columns = list(df.columns)
+
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        pid = ctx.partitionId() if ctx else 0
+
+        def records():
+            for pdf in batches:
+                for rec in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+                    yield rec
+
+        it = records()
+        files, counts, k = [], [], 0
+        pending = next(it, None)
+        while pending is not None or k == 0:
+            name = os.path.join(out_dir, f"part-{pid:05d}" + (f"-{k}" if k else "") + ".xlsx")
+
+            def chunk():
+                nonlocal pending
+                m = 0
+                while pending is not None and m < max_rows:
+                    yield pending
+                    m += 1
+                    pending = next(it, None)
+
+            n = _write_one(name, sheet, columns, chunk(), header)
+            if n or k == 0:
+                files.append(name)
+                counts.append(n)
+            k += 1
+            if pending is None:
+                break
+        yield pd.DataFrame({"file": files, "rows": counts})
+
+    return df.mapInPandas(run, "file string, rows long")
