@@ -42,6 +42,18 @@ def path_text(json_col: str | Column, path: str) -> Column:
 
 
 def select_path(df: DataFrame, path: str, alias: str = "value") -> DataFrame:
+    """Rows at ``path``; a missing property gives no rows (see ``_select_path``)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        out = _select_path(df, path, alias)
+        out.schema
+        return out
+    except AnalysisException:
+        return df.sparkSession.createDataFrame([], f"`{alias}` string")
+
+
+def _select_path(df: DataFrame, path: str, alias: str = "value") -> DataFrame:
     """Rows at ``path`` of a parsed (struct/array) DataFrame.
 
     A path ending at an array of structs yields one row per element with

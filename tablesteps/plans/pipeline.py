@@ -126,6 +126,11 @@ class Pipeline:
 
     # -- planning ----------------------------------------------------------
     def plan(self) -> DataFrame:
+        """The result plan; a step that fails analysis leaves the data as it was."""
+        return self.plan_checked()[0]
+
+    def plan_strict(self) -> DataFrame:
+        """The result plan; any failing step raises."""
         df = self.source
         for s in self.steps:
             df = s.fn(df)
