@@ -17,12 +17,6 @@ from pyspark.sql import types as T
 # Inference rules of the reference's CSV reader.
 INT_MAX_CHARS = 10
 BOOL_TEXTS = ("true", "True", "TRUE", "false", "False", "FALSE")
-# Accepted date/time shapes: yyyy-MM-dd, yyyy/MM/dd or MM/dd/yyyy, with an
-# optional time HH:mm[:ss[.fraction]] after a space or 'T'.
-TIMESTAMP_SHAPE = (
-    r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4})"
-    r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
-)
 # default(T) of .NET value types, by Spark type name.
 TYPE_DEFAULTS = {
     "int": 0,
@@ -67,16 +61,19 @@ def text_double(c: str | Column) -> Column:
 
 
 def text_timestamp(c: str | Column) -> Column:
-    """Zone-less timestamp from text in one of the accepted shapes, else null.
+    """Zone-less timestamp from text, else null.
 
-    Slash dates are rewritten to ISO order and the text is cast; the
-    cast parses without throwing, so a failed cell costs no exception.
+    Only digits and ``-/:. T`` are allowed, with a ``-`` or ``/``; slash
+    dates (``yyyy/MM/dd``, ``MM/dd/yyyy``) are rewritten to ISO order and
+    the text is cast.  The cast parses without throwing, so a failed cell
+    costs no exception.
     """
     t = F.trim(_col(c).cast("string"))
     maybe = _only(t, "0123456789-/:. T") & (t.contains("-") | t.contains("/"))
     us = F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
     iso = F.regexp_replace(us, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    return F.when(maybe, F.when(t.rlike(TIMESTAMP_SHAPE), iso.try_cast("timestamp_ntz")))
+    text = F.when(t.contains("/"), iso).otherwise(t)
+    return F.when(maybe & ~t.contains(".."), text.try_cast("timestamp_ntz"))
 
 
 def text_boolean(c: str | Column) -> Column:
@@ -110,46 +107,58 @@ def convert(c: str | Column, to_type: str, from_type: T.DataType | None = None)
     return col.try_cast(t)
 
 
+def cell_kind(v: Column) -> Column:
+    """Kind code of one text cell: 1 int, 2 double, 3 boolean, 4 timestamp,
+    0 other, null for null.  Checks run cheapest first and stop at the
+    first hit."""
+    return (
+        F.when(v.isNull(), F.lit(None).cast("int"))
+        .when((F.length(v) <= INT_MAX_CHARS) & text_int(v).isNotNull(), F.lit(1))
+        .when(v.contains(".") & text_double(v).isNotNull(), F.lit(2))
+        .when(v.isin(*BOOL_TEXTS), F.lit(3))
+        .when(text_timestamp(v).isNotNull(), F.lit(4))
+        .otherwise(F.lit(0))
+    )
+
+
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
-    """§1.3 over all rows, in one aggregate pass (a few counts per column).
+    """§1.3 over all rows, in one pass: each cell is classified once, then
+    a few counts per column are aggregated (partial aggregation per task).
 
     int    : every non-null cell has at most 10 chars and parses as int
     double : every cell is int-like or contains '.' and parses as double
     boolean: every cell is one of the exact boolean casings
-    timestamp: every cell contains '-' or '/' and parses in a fixed format
+    timestamp: every cell contains '-' or '/' and parses as a date/time
     else string (also for all-null columns).
     """
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return {}
+    kinds = df.select(*[cell_kind(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(cols)])
     aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(f"`{c}`")
-        nn = v.isNotNull()
-        is_int = nn & (F.length(v) <= INT_MAX_CHARS) & text_int(v).isNotNull()
-        is_dbl = nn & v.contains(".") & text_double(v).isNotNull()
-        is_bool = nn & v.isin(*BOOL_TEXTS)
-        is_ts = nn & text_timestamp(v).isNotNull()
+    for i in range(len(cols)):
+        k = F.col(f"k{i}")
         aggs += [
-            F.count_if(nn).alias(f"n{i}"),
-            F.count_if(is_int).alias(f"i{i}"),
-            F.count_if(is_int | is_dbl).alias(f"d{i}"),
-            F.count_if(is_bool).alias(f"b{i}"),
-            F.count_if(is_ts).alias(f"t{i}"),
+            F.count(k).alias(f"n{i}"),
+            F.sum(F.when(k == 1, 1).otherwise(0)).alias(f"i{i}"),
+            F.sum(F.when((k == 1) | (k == 2), 1).otherwise(0)).alias(f"d{i}"),
+            F.sum(F.when(k == 3, 1).otherwise(0)).alias(f"b{i}"),
+            F.sum(F.when(k == 4, 1).otherwise(0)).alias(f"t{i}"),
         ]
-    row = df.agg(*aggs).first()  # one row of counts: size bounded by the column count
+    row = kinds.agg(*aggs).first()  # one row of counts: size bounded by the column count
     out = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
+        kinds_seen = {k: row[f"{k}{i}"] or 0 for k in "idbt"}
         if n == 0:
             out[c] = "string"
-        elif row[f"i{i}"] == n:
+        elif kinds_seen["i"] == n:
             out[c] = "int"
-        elif row[f"d{i}"] == n:
+        elif kinds_seen["d"] == n:
             out[c] = "double"
-        elif row[f"b{i}"] == n:
+        elif kinds_seen["b"] == n:
             out[c] = "boolean"
-        elif row[f"t{i}"] == n:
+        elif kinds_seen["t"] == n:
             out[c] = "timestamp_ntz"
         else:
             out[c] = "string"

@@ -31,7 +31,7 @@ def as_types_of(df: DataFrame, like: DataFrame) -> DataFrame:
 def csv_roundtrip(spark, d):
     src = table(spark, d, "lineitem")
     out = shared_dir(spark, "csv")
-    write_csv(src, out)
+    write_csv(src, out, min_files=spark.sparkContext.defaultParallelism)
     back = read_csv(spark, out)  # header names + inference pass
     return as_types_of(back, src)
 

@@ -21,10 +21,16 @@ def write_csv(
     encoding: str = "utf-8",
     quote_all: bool = False,
     append: bool = False,
+    min_files: int | None = None,
 ) -> None:
     """RFC quoting when needed, ``yyyy-MM-dd HH:mm:ss``, lower-case
     booleans, null as empty.  Append writes new part files without
-    touching the existing ones."""
+    touching the existing ones.  ``min_files`` spreads a DataFrame with
+    fewer partitions over that many files, so the files can later be
+    read in parallel (a quoted-newline-safe CSV read is one task per file).
+    """
+    if min_files and df.rdd.getNumPartitions() < min_files:
+        df = df.repartition(min_files)
     (
         df.write.mode("append" if append else "overwrite")
         .option("sep", delimiter)

@@ -33,7 +33,8 @@ DEFAULT_DELIMITER = ","
 DETECT_CANDIDATES = (",", ";", "\t", "|")
 DETECT_LINES = 5
 NO_HEADER_PREFIX = "Column"
-_TRIM = r"(?U)^\s+|\s+$"
+# Fixed value: the Unicode White_Space characters trimmed from cells.
+WHITESPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
@@ -105,13 +106,13 @@ def read_csv(
     )
     cells = [F.col(f"_c{i}") for i in range(width)]
     if trim:
-        cells = [F.regexp_replace(c, _TRIM, "") for c in cells]
+        cells = [F.btrim(c, F.lit(WHITESPACE)) for c in cells]
     # blank / white-space-only line: first cell blank, the rest missing
     blank = F.coalesce(cells[0], F.lit("")) == ""
     for c in cells[1:]:
         blank = blank & c.isNull()
     if not trim:
-        blank = (F.regexp_replace(F.coalesce(cells[0], F.lit("")), _TRIM, "") == "")
+        blank = F.btrim(F.coalesce(cells[0], F.lit("")), F.lit(WHITESPACE)) == ""
         for c in cells[1:]:
             blank = blank & c.isNull()
     # duplicate names (case-insensitive): last value wins at the first position
