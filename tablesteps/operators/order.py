@@ -101,6 +101,7 @@ def with_row_index(
     order: OrderSpec,
     name: str = "row_index",
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    reliable: bool = False,
 ) -> DataFrame:
     """Dense 0-based row index in ``order`` without a global window.
 
@@ -109,14 +110,25 @@ def with_row_index(
     is bounded by the partition count, not the data) -> running offsets
     -> broadcast join back.  ``order`` must be a total order for the
     index to be reproducible.
+
+    A lost cached block is recomputed from lineage; the total order makes
+    the recomputation land on the same rows.  ``reliable=True`` instead
+    writes the tagged rows to the session's checkpoint folder (shared
+    storage) and cuts the lineage there.
     """
     keys = require_order(order, "row index")
     tagged = (
         df.orderBy(*sort_columns(keys))
         .withColumn("_ri_part", F.spark_partition_id())
         .withColumn("_ri_mid", F.monotonically_increasing_id())
-        .persist(storage)
     )
+    if reliable:
+        from tablesteps.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        tagged = tagged.checkpoint(eager=True)
+    else:
+        tagged = tagged.persist(storage)
     counts = tagged.groupBy("_ri_part").agg(F.count(F.lit(1)).alias("_ri_n"))
     before = Window.orderBy("_ri_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

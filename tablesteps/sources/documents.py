@@ -88,3 +88,69 @@ def find(
     if project is not None:
         df = df.select(*[F.col(p).alias(p.split(".")[-1]) for p in project])
     return df
+
+
+# ------------------------------------------------------------- connector
+CONNECTOR_FORMAT = "mongodb"
+
+
+def read_collection(
+    spark: SparkSession,
+    connection_uri: str,
+    database: str,
+    collection: str,
+    pipeline: str | None = None,
+) -> DataFrame:
+    """S15/S16 against a live server through the document-store connector.
+
+    ``pipeline`` (aggregation stages as JSON text) is handed to the server
+    unchanged; there is no local interpreter for it.  Needs the connector
+    jar on the classpath; without it Spark reports the missing format.
+    """
+    reader = (
+        spark.read.format(CONNECTOR_FORMAT)
+        .option("connection.uri", connection_uri)
+        .option("database", database)
+        .option("collection", collection)
+    )
+    if pipeline:
+        reader = reader.option("aggregation.pipeline", pipeline)
+    return normalise(reader.load())
+
+
+def to_extended_json(df: DataFrame) -> DataFrame:
+    """One JSON document per row; timestamps as ``{"$date": ...}``,
+    decimals as ``{"$numberDecimal": ...}``, binary as base64 text."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            c = F.when(c.isNotNull(), F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("$date")))
+        elif isinstance(f.dataType, T.DecimalType):
+            c = F.when(c.isNotNull(), F.struct(c.cast("string").alias("$numberDecimal")))
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.base64(c)
+        cols.append(c.alias(f.name))
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_documents(df: DataFrame, path: str, append: bool = False) -> None:
+    """W14 insert-many into a collection export (JSON Lines, extended JSON).
+
+    Replace-with-upsert by key is ``operators.upsert.upsert_replace``
+    applied before the write; ``append=False`` is drop-collection-first.
+    """
+    to_extended_json(df).write.mode("append" if append else "overwrite").text(path)
+
+
+def write_collection(df: DataFrame, connection_uri: str, database: str, collection: str, upsert_key: str | None = None, drop_first: bool = False) -> None:
+    """W14 through the connector: insert, or replace-by-key when ``upsert_key``."""
+    w = (
+        df.write.format(CONNECTOR_FORMAT)
+        .option("connection.uri", connection_uri)
+        .option("database", database)
+        .option("collection", collection)
+    )
+    if upsert_key:
+        w = w.option("operationType", "replace").option("idFieldList", upsert_key).option("upsertDocument", "true")
+    w.mode("overwrite" if drop_first else "append").save()
