@@ -209,16 +209,20 @@ class Validator:
         return ColumnRules(self, name)
 
     # -- compilation ---------------------------------------------------
-    def errors(self, df: DataFrame) -> Column:
+    def checks(self, df: DataFrame) -> list[tuple[Rule, Column, Column, Column]]:
         types = {f.name.lower(): f.dataType for f in df.schema.fields}
-        items = []
+        out = []
         for r in self.rules:
             actual = find_column(df, r.column)
             c = F.col(f"`{actual}`") if actual else None
             res = r.check(df, c, types.get(r.column.lower()))
-            if res is None:
-                continue
-            bad, msg, value = res
+            if res is not None:
+                out.append((r, *res))
+        return out
+
+    def errors(self, df: DataFrame) -> Column:
+        items = []
+        for r, bad, msg, value in self.checks(df):
             err = F.struct(
                 F.lit(r.column).alias("column"), msg.alias("message"), value.cast("string").alias("value")
             )
@@ -227,6 +231,20 @@ class Validator:
             return F.array().cast(ERROR_TYPE)
         return F.filter(F.array(*items), lambda e: e.isNotNull())
 
+    def any_bad(self, df: DataFrame) -> Column:
+        """True when some rule fails: a plain disjunction, no error array."""
+        cond = F.lit(False)
+        for _, bad, _, _ in self.checks(df):
+            cond = cond | F.coalesce(bad, F.lit(False))
+        return cond
+
+    def bad_count(self, df: DataFrame) -> Column:
+        """Number of failing rules of a row."""
+        total = F.lit(0)
+        for _, bad, _, _ in self.checks(df):
+            total = total + F.when(bad, 1).otherwise(0)
+        return total
+
 
 def summary_of(errors: Column) -> Column:
     """``col: msg; col: msg`` or ``Valid``."""
@@ -252,20 +270,20 @@ def validate(df: DataFrame, validator: Validator, mode: str = "skip", observatio
       without one leave the value unchanged.
     """
     mode = mode.lower()
-    errs = validator.errors(df)
     if mode == "skip":
-        return df.filter(F.size(errs) == 0)
+        return df.filter(~validator.any_bad(df))
     if mode == "throw":
-        msg = F.concat(F.lit("Validation failed: "), summary_of(errs))
-        guard = F.coalesce(F.when(F.size(errs) > 0, F.raise_error(msg)).cast("boolean"), F.lit(True))
+        # the error text is only built for the row that fails
+        msg = F.concat(F.lit("Validation failed: "), summary_of(validator.errors(df)))
+        guard = F.coalesce(F.when(validator.any_bad(df), F.raise_error(msg)).cast("boolean"), F.lit(True))
         return df.filter(guard)
     if mode == "log":
         obs = observation or Observation("validation")
         return df.observe(
             obs,
             F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.size(errs) > 0).alias("invalid_rows"),
-            F.sum(F.size(errs)).alias("errors"),
+            F.count_if(validator.any_bad(df)).alias("invalid_rows"),
+            F.sum(validator.bad_count(df)).alias("errors"),
         )
     if mode == "fix":
         out = df
