@@ -69,14 +69,36 @@ def custom_aggregate(
     partial_schema: StructType | str,
     merge: Callable[[pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
+    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     salt: int = DEFAULT_SALT,
 ) -> DataFrame:
-    """G2 with an opaque aggregator, in two skew-safe phases.
+    """G2 with an opaque aggregator, in skew-safe phases.
 
-    ``partial(pdf)`` gets the rows of one (key, bucket) and returns rows
-    of ``partial_schema`` (keys included); ``merge(pdf)`` gets all partial
-    rows of one key and returns rows of ``schema``.
+    ``partial(pdf)`` reduces rows of one key to rows of ``partial_schema``
+    (keys included); ``merge(pdf)`` turns all partial rows of one key
+    into rows of ``schema``.
+
+    With ``combine`` (partial rows of one key -> partial rows) the first
+    phase is a true map-side combine: each partition is reduced per key
+    inside ``mapInPandas`` and only one partial row per key and
+    partition is shuffled.  Without it, rows are spread over ``salt``
+    hash buckets per key and reduced per (key, bucket) before the merge.
     """
+    if combine is not None:
+        key_list = list(keys)
+
+        def per_partition(batches):
+            parts = []
+            for pdf in batches:
+                if len(pdf):
+                    parts.append(pdf.groupby(key_list, sort=False, dropna=False, group_keys=False).apply(partial))
+            if not parts:
+                return
+            allp = pd.concat(parts, ignore_index=True)
+            yield allp.groupby(key_list, sort=False, dropna=False, group_keys=False).apply(combine)
+
+        partials = df.mapInPandas(per_partition, partial_schema)
+        return partials.groupBy(*keys).applyInPandas(merge, schema)
     if salt <= 0:
         raise ValueError("salt must be positive")
     cols = [F.col(c) for c in df.columns]

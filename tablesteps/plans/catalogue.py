@@ -239,8 +239,14 @@ def group_aggregate(spark, d):
 def _range_partial(pdf):
     import pandas as pd
 
-    g = pdf.groupby("l_returnflag", sort=False)["l_extendedprice"]
-    return pd.DataFrame({"l_returnflag": list(g.groups.keys()), "lo": g.min().values, "hi": g.max().values})
+    v = pdf["l_extendedprice"]
+    return pd.DataFrame({"l_returnflag": [pdf["l_returnflag"].iloc[0]], "lo": [v.min()], "hi": [v.max()]})
+
+
+def _range_combine(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"l_returnflag": [pdf["l_returnflag"].iloc[0]], "lo": [pdf["lo"].min()], "hi": [pdf["hi"].max()]})
 
 
 def _range_merge(pdf):
@@ -264,6 +270,7 @@ def group_custom_agg(spark, d):
         "l_returnflag string, lo double, hi double",
         _range_merge,
         "l_returnflag string, price_range double",
+        combine=_range_combine,
     )
 
 

@@ -141,3 +141,62 @@ def workbook_roundtrip(spark, d):
     write_workbooks(src.repartition(3), out).collect()  # one (file, rows) row per workbook
     back = read_workbooks(spark, out.rstrip("/") + "/*.xlsx")
     return as_types_of(back, src).select(*src.columns)
+
+
+@query("rest_typed_read", "SELECT * FROM supplier")
+def rest_typed_read(spark, d):
+    from tablesteps.operators.order import asc
+    from tablesteps.sources.rest import read_typed
+
+    src = table(spark, d, "supplier")
+    folder = shared_dir(spark, "rest-typed")
+    write_pages(src, folder, 25, [asc("s_suppkey")])
+    url = folder if folder.startswith("file:") else "file://" + folder
+    return read_typed(spark, url, src.schema, pageSize=25, stripes=3, transport="file", retryDelay=0)
+
+
+@query("sqlite_query", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey < 10")
+def sqlite_query(spark, d):
+    src = table(spark, d, "supplier")
+    out = shared_dir(spark, "sqlite-q")
+    write_sqlite(src.repartition(2), out, "supplier").collect()  # one (file, rows) row per shard
+    back = read_sqlite(spark, out, query="SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey < 10")
+    return back.select("s_suppkey", "s_name")
+
+
+# ---------------------------------------------------------------- documents
+@query("doc_roundtrip", "SELECT * FROM orders")
+def doc_roundtrip(spark, d):
+    from tablesteps.sources.documents import read_documents, write_documents
+
+    src = table(spark, d, "orders")
+    out = shared_dir(spark, "documents")
+    write_documents(src, out)  # extended JSON: o_orderdate -> {"$date": ...}
+    return as_types_of(read_documents(spark, out), src).select(*src.columns)
+
+
+# ---------------------------------------------------------------- streams
+@query(
+    "stream_roundtrip",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+       FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def stream_roundtrip(spark, d):
+    """Files dropped into a folder are picked up as a stream, filtered per
+    micro-batch and appended to a table in the shared folder."""
+    from tablesteps.sources.csv import read_csv_stream
+    from tablesteps.streaming.guard import run_stream
+
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    src = table(spark, d, "orders").select(*cols)
+    inbox = shared_dir(spark, "inbox")
+    write_csv(src, inbox, min_files=4)
+    sink = shared_dir(spark, "stream-out")
+    stream = read_csv_stream(spark, inbox, src.schema).filter(F.col("o_orderstatus") != "P")
+
+    def append(batch, _batch_id):
+        batch.write.mode("append").parquet(sink)
+
+    q = run_stream(stream, append, "orders-stream")
+    q.awaitTermination()
+    return spark.read.schema(src.schema).parquet(sink)
