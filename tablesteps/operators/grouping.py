@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 from tablesteps.operators import order as _order
 from tablesteps.operators.order import OrderSpec
 from tablesteps.operators.rows import find_column
+from tablesteps.session import ship_package
 
 DEFAULT_SALT = 64
 
@@ -84,18 +85,21 @@ def custom_aggregate(
     partition is shuffled.  Without it, rows are spread over ``salt``
     hash buckets per key and reduced per (key, bucket) before the merge.
     """
+    ship_package(df.sparkSession)
     if combine is not None:
         key_list = list(keys)
 
         def per_partition(batches):
             parts = []
             for pdf in batches:
-                if len(pdf):
-                    parts.append(pdf.groupby(key_list, sort=False, dropna=False, group_keys=False).apply(partial))
+                for _, g in pdf.groupby(key_list, sort=False, dropna=False):
+                    parts.append(partial(g))
             if not parts:
                 return
             allp = pd.concat(parts, ignore_index=True)
-            yield allp.groupby(key_list, sort=False, dropna=False, group_keys=False).apply(combine)
+            yield pd.concat(
+                [combine(g) for _, g in allp.groupby(key_list, sort=False, dropna=False)], ignore_index=True
+            )
 
         partials = df.mapInPandas(per_partition, partial_schema)
         return partials.groupBy(*keys).applyInPandas(merge, schema)

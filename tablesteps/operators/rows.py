@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablesteps.operators import order as _order
 from tablesteps.operators.order import OrderSpec
+from tablesteps.session import ship_package
 
 # Above this many leading rows a page is cut by row index instead of a
 # bounded top-k (TakeOrderedAndProject keeps offset+limit rows per task).
@@ -52,6 +53,7 @@ def map_rows(df: DataFrame, fn: Callable, schema) -> DataFrame:
         for pdf in batches:
             yield fn(pdf)
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Row
 
 from tablesteps.operators.order import OrderSpec, sort_columns
+from tablesteps.session import ship_package
 
 
 def stream_rows(df: DataFrame, order: OrderSpec | None = None) -> Iterator[Row]:
@@ -23,6 +24,7 @@ def for_each(df: DataFrame, fn: Callable[[Row], None]) -> None:
         for r in rows:
             fn(r)
 
+    ship_package(df.sparkSession)
     df.foreachPartition(run)
 
 

@@ -8,8 +8,10 @@ a laptop).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -58,6 +60,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tables/" + f"{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablesteps`` importable by the Python workers (once per application).
+
+    Steps that run Python on executors (pandas functions, Python data
+    sources) call this: the package is zipped and added with
+    ``addPyFile``, so it works when the driver found the package through a
+    path the workers do not share.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = shared_dir(spark, "pyfiles")
+    folder = local_path(base) if is_local_uri(base) else tempfile.mkdtemp(prefix="tablesteps-py-")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, "tablesteps.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("tablesteps", os.path.relpath(full, pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme for libraries that want a plain path."""
     if uri.startswith("file://"):
@@ -78,4 +112,5 @@ __all__ = [
     "shared_dir",
     "local_path",
     "is_local_uri",
+    "ship_package",
 ]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tablesteps.operators.order import OrderSpec
 from tablesteps.operators.rows import batch_ids
-from tablesteps.session import local_path
+from tablesteps.session import local_path, ship_package
 from tablesteps.sources.rest import request_with_retry
 
 # Fixed value: reference default batch size.
@@ -78,6 +78,7 @@ def send_payloads(payloads: DataFrame, url: str, transport: str = "http", method
                 statuses.append(status)
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "n_rows": pdf["n_rows"], "status": statuses})
 
+    ship_package(payloads.sparkSession)
     return payloads.mapInPandas(send, "batch_id long, n_rows long, status int")
 
 

@@ -16,7 +16,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
-from tablesteps.session import local_path
+from tablesteps.session import local_path, ship_package
 from tablesteps.sources.workbook import EPOCH, col_letters
 
 DEFAULT_SHEET = "Sheet1"
@@ -158,4 +158,5 @@ def write_workbooks(df: DataFrame, path: str, sheet: str = DEFAULT_SHEET, header
                 break
         yield pd.DataFrame({"file": files, "rows": counts})
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, "file string, rows long")

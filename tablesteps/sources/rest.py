@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tablesteps.session import local_path
+from tablesteps.session import local_path, ship_package
 
 FORMAT = "tablesteps_rest"
 # Reference defaults.
@@ -174,6 +174,7 @@ class RestDataSource(DataSource):
 
 def read_pages(spark: SparkSession, url: str, **options) -> DataFrame:
     """Raw items: (page, item_index, item JSON text)."""
+    ship_package(spark)
     spark.dataSource.register(RestDataSource)
     r = spark.read.format(FORMAT).option("url", url)
     for k, v in options.items():
@@ -232,6 +233,5 @@ def read_rest(spark: SparkSession, url: str, **options) -> DataFrame:
 
 def read_typed(spark: SparkSession, url: str, schema: T.StructType | str, **options) -> DataFrame:
     """S21 Api<T>: each whole body deserialised to one typed value."""
-    spark.dataSource.register(RestDataSource)
     raw = read_pages(spark, url, **options)
     return raw.select(F.from_json("item", schema).alias("value")).select("value.*")

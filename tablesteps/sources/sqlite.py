@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tablesteps.session import local_path
+from tablesteps.session import local_path, ship_package
 
 FORMAT = "tablesteps_sqlite"
 ROWS_PER_PARTITION = 500_000
@@ -193,6 +193,7 @@ class SqliteDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(SqliteDataSource)
 
 
@@ -242,6 +243,7 @@ def write_sqlite(df: DataFrame, path: str, table: str, single_file: bool = False
     insert = f"INSERT INTO {_quote(table)} VALUES ({', '.join('?' for _ in fields)})"
     kinds = [f.dataType.simpleString() for f in fields]
     src = df.coalesce(1) if single_file else df
+    ship_package(df.sparkSession)
 
     def write_part(batches):
         import pandas as pd

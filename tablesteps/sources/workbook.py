@@ -24,6 +24,7 @@ import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tablesteps.session import ship_package
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -212,6 +213,7 @@ def workbook_cells(
     header: bool = True,
     cell_range: tuple[int, int, int | None, int | None] | None = None,
 ) -> DataFrame:
+    ship_package(spark)
     r1, c1, r2, c2 = cell_range or (1, 1, None, None)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInPandas(_parse(sheet, header, r1, c1, r2, c2), CELL_SCHEMA)
@@ -291,4 +293,5 @@ def workbook_catalog(spark: SparkSession, path: str) -> DataFrame:
                     out.append((p, name, i, rows, cols))
             yield pd.DataFrame(out, columns=["file", "sheet", "sheet_index", "used_rows", "used_columns"])
 
+    ship_package(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CATALOG_SCHEMA)
