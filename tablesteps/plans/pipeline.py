@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from tablesteps.operators import grouping as G
 from tablesteps.operators import rows as R
 from tablesteps.operators.join import join_step
-from tablesteps.operators.order import OrderSpec, sort_columns
+from tablesteps.operators.order import Key, OrderSpec, chain, keys_of, sort_columns
+from tablesteps.operators.validate import Validator, validate
 
 STEP_KINDS = ("Import", "Export", "Filter", "Sort", "GroupBy", "Join", "Select", "Aggregate", "Code")
 EMPTY_DESCRIPTION = "Empty transformation"
@@ -86,9 +87,15 @@ def check_step(df: DataFrame, step: Step) -> str | None:
 
 @dataclass(frozen=True)
 class Pipeline:
+    """Steps over a source.  ``order`` is the current stable order-key
+    chain: ``order_by`` puts its key in front and keeps the earlier keys
+    as tie-breaks; take, skip, keep-first and batch follow it.  Start it
+    with the source's arrival order (e.g. ARRIVAL_COLUMNS or a key)."""
+
     source: DataFrame
     steps: tuple[Step, ...] = ()
     source_name: str = "source"
+    order: tuple[Key, ...] = ()
 
     # -- building ----------------------------------------------------------
     def add(self, step: Step) -> "Pipeline":
@@ -102,7 +109,57 @@ class Pipeline:
         return self.add(Step("Filter", title, lambda df: R.filter_rows(df, predicate), code))
 
     def sort(self, order: OrderSpec, title: str = "Sort") -> "Pipeline":
-        return self.add(Step("Sort", title, lambda df: df.orderBy(*sort_columns(order))))
+        """Sort by ``order`` (dominant first); it becomes the pipeline's order."""
+        new = tuple(chain(self.order, order))
+        return replace(self.add(Step("Sort", title, lambda df: df.orderBy(*sort_columns(new)))), order=new)
+
+    def order_by(self, column: str, title: str | None = None) -> "Pipeline":
+        """T7 OrderBy: stable ascending, nulls first."""
+        return self.sort([Key(column, True)], title or f"Order by {column}")
+
+    def order_by_desc(self, column: str, title: str | None = None) -> "Pipeline":
+        """T8 OrderByDescending: stable descending, nulls last."""
+        return self.sort([Key(column, False)], title or f"Order by {column} descending")
+
+    def _order(self) -> list[Key]:
+        if not self.order:
+            raise ValueError("this step depends on row order: start the pipeline with order=... or sort first")
+        return list(self.order)
+
+    def take(self, n: int, title: str | None = None) -> "Pipeline":
+        """T4 Take(n) in the current order."""
+        keys = self._order()
+        return self.add(Step("Filter", title or f"Take {n}", lambda df: R.take(df, n, keys)))
+
+    def skip(self, n: int, title: str | None = None) -> "Pipeline":
+        """T5 Skip(n) in the current order."""
+        keys = self._order()
+        return self.add(Step("Filter", title or f"Skip {n}", lambda df: R.skip(df, n, keys)))
+
+    def distinct(self, title: str = "Distinct") -> "Pipeline":
+        return self.add(Step("Filter", title, R.distinct_rows))
+
+    def remove_duplicates(self, key: str, title: str | None = None) -> "Pipeline":
+        """First row per key in the current order."""
+        keys = self._order()
+        return self.add(Step("Filter", title or f"Remove duplicates by {key}", lambda df: R.remove_duplicates(df, key, keys)))
+
+    def fill_missing(self, column: str, value, title: str | None = None) -> "Pipeline":
+        return self.add(Step("Select", title or f"Fill {column}", lambda df: R.fill_missing(df, column, value)))
+
+    def remove_column(self, column: str, title: str | None = None) -> "Pipeline":
+        return self.add(Step("Select", title or f"Remove {column}", lambda df: R.remove_column(df, column)))
+
+    def rename_column(self, old: str, new: str, title: str | None = None) -> "Pipeline":
+        return self.add(Step("Select", title or f"Rename {old} to {new}", lambda df: R.rename_column(df, old, new)))
+
+    def batch(self, size: int, title: str | None = None) -> "Pipeline":
+        """Rows unchanged plus their batch number in the current order."""
+        keys = self._order()
+        return self.add(Step("Select", title or f"Batch {size}", lambda df: R.batch_ids(df, size, keys)))
+
+    def validate(self, validator: Validator, mode: str = "skip", title: str = "Validate") -> "Pipeline":
+        return self.add(Step("Filter", title, lambda df: validate(df, validator, mode)))
 
     def select(self, *cols: str | Column, title: str = "Select", **named) -> "Pipeline":
         return self.add(Step("Select", title, lambda df: R.project(df, *cols, **named)))
@@ -181,7 +238,10 @@ class Pipeline:
             counts = []
             for o in obs:
                 counts.append(None if o is None else int(o.get.get("rows", 0)))
-            return RunReport(True, counts, errors, [s for s in self.steps], time.time() - start, None)
+            report = RunReport(True, counts, errors, [s for s in self.steps], time.time() - start, None)
+            report.extra["source"] = self.source_name
+            report.extra["exported"] = sink is not None
+            return report
         except Exception as e:  # noqa: BLE001 - a failed run is a report, as in the reference
             return RunReport(False, [], [], list(self.steps), time.time() - start, str(e).split("\n")[0])
 
@@ -202,15 +262,21 @@ class RunReport:
         return real[-1] if real else 0
 
     def step_log(self, spark: SparkSession) -> DataFrame:
-        """One row per step (the step list is small: built on the driver)."""
-        rows = []
-        prev = self.counts[0] if self.counts else None
+        """Import row, one row per step, export row when a sink was
+        given (the step list is small: built on the driver)."""
+        name = self.extra.get("source", "source")
+        first = self.counts[0] if self.counts else None
+        rows = [(0, f"Import: {name}", "Import", f"Loaded {first} rows from {name}" if first is not None else None, None, None, first, None, None)]
+        prev = first
         for i, s in enumerate(self.steps, start=1):
             out = self.counts[i] if i < len(self.counts) else None
             err = self.step_errors[i - 1] if i - 1 < len(self.step_errors) else None
             rows.append((i, s.title, s.kind, describe(s.code) if s.code else s.title, s.code, prev, out, None, err))
             if out is not None:
                 prev = out
+        if self.extra.get("exported"):
+            n = len(self.steps) + 1
+            rows.append((n, "Export", "Export", f"Exported {prev} rows", None, prev, None, int(self.seconds * 1000), None))
         return spark.createDataFrame(rows, STEP_LOG_SCHEMA)
 
 

@@ -172,9 +172,27 @@ def test_pipeline_step_log_and_failed_step(spark):
     report = p.run()
     assert report.success
     log = {r.step: r for r in report.step_log(spark).collect()}
+    assert log[0].kind == "Import" and log[0].rows_out == 100
     assert (log[1].rows_in, log[1].rows_out) == (100, 90)
     assert log[2].error and log[2].description == "bad column"
     assert log[3].rows_out == 90 and log[3].description.startswith("SELECT k, k * 2")
     assert p.remove(0).plan().count() == 100  # removing a step removes its effect
     assert describe("") == "Empty transformation"
     assert describe("x" * 100) == "x" * 77 + "..."
+
+
+def test_pipeline_order_chain(spark):
+    df = spark.createDataFrame(
+        [(1, "b", 2), (2, "a", 2), (3, "b", 1), (4, "a", 1), (5, "a", 1)], "id int, s string, n int"
+    )
+    p = Pipeline(df, order=(asc("id"),)).order_by("s").order_by("n")
+    assert [r.id for r in p.plan().collect()] == [4, 5, 3, 2, 1]
+    assert [r.id for r in p.take(2).plan().collect()] == [4, 5]
+    assert sorted(r.id for r in p.skip(3).plan().collect()) == [1, 2]
+    assert sorted(r.id for r in p.remove_duplicates("s").plan().collect()) == [3, 4]
+    assert [r.id for r in Pipeline(df, order=(asc("id"),)).order_by_desc("n").take(1).plan().collect()] == [1]
+    with pytest.raises(ValueError):
+        Pipeline(df).take(1)
+    report = p.batch(2).run(sink=lambda d: d.write.format("noop").mode("overwrite").save())
+    log = report.step_log(spark).collect()
+    assert log[-1].kind == "Export" and log[-1].rows_in == 5
