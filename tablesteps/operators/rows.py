@@ -187,3 +187,30 @@ def scalar(df: DataFrame, column: str | Column, to_type: str, order: OrderSpec,
     if default is not None:
         value = F.coalesce(value, F.lit(default).cast(to_type))
     return take(df, 1, order).select(value.alias("scalar"))
+
+
+# --------------------------------------------------------- table row helpers
+def append_rows(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows.Add: append rows matched by column name (missing columns null)."""
+    return df.unionByName(other, allowMissingColumns=True).select(*df.columns)
+
+
+def remove_at(df: DataFrame, index: int, order: OrderSpec) -> DataFrame:
+    """Rows.RemoveAt(i): drop the row at position ``i`` in order."""
+    if index < 0:
+        raise ValueError("index must be non-negative")
+    idx = _order.with_row_index(df, order, "_rm_ri")
+    return idx.filter(F.col("_rm_ri") != index).drop("_rm_ri")
+
+
+def find_by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """Rows.Find(key): the rows whose key equals ``value`` (pushed to the scan)."""
+    actual = find_column(df, key)
+    if actual is None:
+        raise ValueError(f"column {key!r} not found")
+    return df.filter(F.col(actual) == F.lit(value))
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """Rows.Clear / Clone: same columns, no rows."""
+    return df.limit(0)

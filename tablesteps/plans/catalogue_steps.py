@@ -145,3 +145,33 @@ def doc_find(spark, d):
 @query("parallel_rows", "SELECT * FROM orders")
 def parallel_rows(spark, d):
     return R.parallel(table(spark, d, "orders"), 7)
+
+
+# ---------------------------------------------------------------- T7 T8 T4 via the pipeline
+@query(
+    "pipeline_order_take",
+    """SELECT * FROM orders
+       ORDER BY o_totalprice DESC NULLS LAST, o_orderpriority ASC NULLS FIRST, o_orderkey LIMIT 30""",
+)
+def pipeline_order_take(spark, d):
+    p = (
+        Pipeline(table(spark, d, "orders"), source_name="orders", order=(asc("o_orderkey"),))
+        .order_by("o_orderpriority")
+        .order_by_desc("o_totalprice")
+        .take(30)
+    )
+    return p.plan()
+
+
+@query(
+    "pipeline_keep_first",
+    """SELECT * FROM customer
+       QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) = 1""",
+)
+def pipeline_keep_first(spark, d):
+    p = (
+        Pipeline(table(spark, d, "customer"), source_name="customer", order=(asc("c_custkey"),))
+        .order_by_desc("c_acctbal")
+        .remove_duplicates("c_nationkey")
+    )
+    return p.plan()

@@ -38,3 +38,16 @@ def test_extended_json(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5), Decimal("1.50"), None)], "t timestamp_ntz, d decimal(18,2), s string")
     doc = to_extended_json(df).first()[0]
     assert doc == '{"t":{"$date":"2024-01-02T03:04:05.000Z"},"d":{"$numberDecimal":"1.50"},"s":null}'
+
+
+def test_row_helpers(spark):
+    from tablesteps.operators import rows as R
+    from tablesteps.sinks.jdbc import bulk_url
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    more = spark.createDataFrame([("d", 4)], "v string, k int")
+    assert sorted(r.k for r in R.append_rows(df, more).collect()) == [1, 2, 3, 4]
+    assert sorted(r.k for r in R.remove_at(df, 1, [asc("k")]).collect()) == [1, 3]
+    assert [r.v for r in R.find_by_key(df, "K", 2).collect()] == ["b"]
+    assert R.clear(df).count() == 0 and R.clear(df).columns == df.columns
+    assert bulk_url("jdbc:postgresql://h/db") == "jdbc:postgresql://h/db?reWriteBatchedInserts=true"
