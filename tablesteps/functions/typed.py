@@ -107,20 +107,42 @@ def convert(c: str | Column, to_type: str, from_type: T.DataType | None = None)
     return col.try_cast(t)
 
 
-def cell_kind(v: Column) -> Column:
-    """Kind code of one text cell: 1 int, 2 double, 3 boolean, 4 timestamp,
-    0 other, null for null.  Checks run cheapest first and stop at the
-    first hit."""
+DIGITS = "0123456789"
+
+
+def cell_kind(v: Column, rest: Column | None = None) -> Column:
+    """Kind code of one trimmed text cell: 1 int, 2 double, 3 boolean,
+    4 timestamp, 0 other, null for null.
+
+    ``rest`` is the cell with its digits removed (computed once per cell);
+    every check reads that short residue first, so a cast only runs on
+    cells that already have the right shape and never throws.
+    """
+    r = F.translate(v, DIGITS, "") if rest is None else rest
+    has_digit = F.length(v) > F.length(r)
+    signed = F.substring(v, 1, 1).isin("-", "+")
+    int_shape = has_digit & (F.length(v) <= INT_MAX_CHARS) & ((r == "") | (r.isin("-", "+") & signed))
+    dbl_shape = has_digit & r.contains(".") & (F.length(F.translate(r, ".+-eE", "")) == 0)
+    ts_shape = has_digit & (r.contains("-") | r.contains("/")) & (F.length(F.translate(r, "-/: .T", "")) == 0)
+    # ``r`` sits in the first (always evaluated) condition, so codegen
+    # computes it once per cell and shares it with the later branches
     return (
-        F.when(v.isNull(), F.lit(None).cast("int"))
-        .when((F.length(v) <= INT_MAX_CHARS) & text_int(v).isNotNull(), F.lit(1))
-        .when(v.contains(".") & text_double(v).isNotNull(), F.lit(2))
+        F.when(r.isNull(), F.lit(None).cast("int"))
+        .when(int_shape & v.try_cast("int").isNotNull(), F.lit(1))
+        .when(dbl_shape & v.try_cast("double").isNotNull(), F.lit(2))
         .when(v.isin(*BOOL_TEXTS), F.lit(3))
-        .when(text_timestamp(v).isNotNull(), F.lit(4))
+        .when(ts_shape & _timestamp_of_shaped(v).isNotNull(), F.lit(4))
         .otherwise(F.lit(0))
     )
 
 
+def _timestamp_of_shaped(t: Column) -> Column:
+    """Cast a date-shaped cell; slash dates are rewritten to ISO order first."""
+    us = F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    iso = F.regexp_replace(us, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    return F.when(t.contains("/"), iso).otherwise(t).try_cast("timestamp_ntz")
+
+
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """§1.3 over all rows, in one pass: each cell is classified once, then
     a few counts per column are aggregated (partial aggregation per task).
@@ -134,7 +156,13 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, st
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return {}
-    kinds = df.select(*[cell_kind(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(cols)])
+    trimmed = df.select(*[F.trim(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)])
+    # residues in their own projection: computed once, read by every check
+    shaped = trimmed.select(
+        *[F.col(f"v{i}") for i in range(len(cols))],
+        *[F.translate(F.col(f"v{i}"), DIGITS, "").alias(f"r{i}") for i in range(len(cols))],
+    )
+    kinds = shaped.select(*[cell_kind(F.col(f"v{i}"), F.col(f"r{i}")).alias(f"k{i}") for i in range(len(cols))])
     aggs = []
     for i in range(len(cols)):
         k = F.col(f"k{i}")
@@ -149,16 +177,16 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, st
     out = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
-        kinds_seen = {k: row[f"{k}{i}"] or 0 for k in "idbt"}
+        seen = {k: row[f"{k}{i}"] or 0 for k in "idbt"}
         if n == 0:
             out[c] = "string"
-        elif kinds_seen["i"] == n:
+        elif seen["i"] == n:
             out[c] = "int"
-        elif kinds_seen["d"] == n:
+        elif seen["d"] == n:
             out[c] = "double"
-        elif kinds_seen["b"] == n:
+        elif seen["b"] == n:
             out[c] = "boolean"
-        elif kinds_seen["t"] == n:
+        elif seen["t"] == n:
             out[c] = "timestamp_ntz"
         else:
             out[c] = "string"
