@@ -57,9 +57,21 @@ def map_rows(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def flat_map(df: DataFrame, array_expr: str | Column, alias: str, keep: list[str] | None = None) -> DataFrame:
-    """T3 SelectMany: one row per element; rows with no elements vanish."""
+def flat_map(
+    df: DataFrame, array_expr: str | Column, alias: str, keep: list[str] | None = None, spread: bool = True
+) -> DataFrame:
+    """T3 SelectMany: one row per element; rows with no elements vanish.
+
+    A fan-out multiplies rows, so an input with fewer partitions than
+    the cluster has cores (a few large files) is spread first; inputs
+    that are already wide are left alone.  Only the columns the step
+    uses are moved (the projection is pushed below the repartition).
+    """
     keep_cols = [F.col(c) for c in (keep if keep is not None else df.columns)]
+    if spread:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
     return df.select(*keep_cols, F.explode(_as_column(array_expr)).alias(alias))
 
 
