@@ -163,36 +163,30 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, st
         *[F.translate(F.col(f"v{i}"), DIGITS, "").alias(f"r{i}") for i in range(len(cols))],
     )
     kinds = shaped.select(*[cell_kind(F.col(f"v{i}"), F.col(f"r{i}")).alias(f"k{i}") for i in range(len(cols))])
-    aggs = []
-    for i in range(len(cols)):
-        k = F.col(f"k{i}")
-        aggs += [
-            F.count(k).alias(f"n{i}"),
-            F.sum(F.when(k == 1, 1).otherwise(0)).alias(f"i{i}"),
-            F.sum(F.when((k == 1) | (k == 2), 1).otherwise(0)).alias(f"d{i}"),
-            F.sum(F.when(k == 3, 1).otherwise(0)).alias(f"b{i}"),
-            F.sum(F.when(k == 4, 1).otherwise(0)).alias(f"t{i}"),
-        ]
-    row = kinds.agg(*aggs).first()  # one row of counts: size bounded by the column count
+    # one bit per kind seen in the column; nulls add nothing
+    masks = kinds.agg(*[F.bit_or(F.expr(f"shiftleft(1, k{i})")).alias(f"m{i}") for i in range(len(cols))])
+    row = masks.first()  # one row: size bounded by the column count
     out = {}
     for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        seen = {k: row[f"{k}{i}"] or 0 for k in "idbt"}
-        if n == 0:
-            out[c] = "string"
-        elif seen["i"] == n:
-            out[c] = "int"
-        elif seen["d"] == n:
-            out[c] = "double"
-        elif seen["b"] == n:
-            out[c] = "boolean"
-        elif seen["t"] == n:
-            out[c] = "timestamp_ntz"
-        else:
-            out[c] = "string"
+        out[c] = _type_of_mask(row[f"m{i}"])
     return out
 
 
+def _type_of_mask(mask: int | None) -> str:
+    """Kinds seen (bit k set for kind k) -> narrowest column type."""
+    if not mask:
+        return "string"
+    if mask == 1 << 1:
+        return "int"
+    if mask & ~((1 << 1) | (1 << 2)) == 0:
+        return "double"
+    if mask == 1 << 3:
+        return "boolean"
+    if mask == 1 << 4:
+        return "timestamp_ntz"
+    return "string"
+
+
 def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Convert text columns to the inferred types (all cells are known to fit)."""
     out = []
