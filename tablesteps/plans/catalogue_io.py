@@ -200,3 +200,37 @@ def stream_roundtrip(spark, d):
     q = run_stream(stream, append, "orders-stream")
     q.awaitTermination()
     return spark.read.schema(src.schema).parquet(sink)
+
+
+@query("csv_detect_read", "SELECT * FROM supplier")
+def csv_detect_read(spark, d):
+    """S4 + S29: a ';'-separated export in a ``.csv`` folder, read through
+    ``read_any`` with the delimiter detected from its first lines."""
+    from tablesteps.sources.files import read_any
+
+    src = table(spark, d, "supplier")
+    out = shared_dir(spark, "detect").rstrip("/") + "/supplier.csv"
+    write_csv(src, out, delimiter=";")
+    return as_types_of(read_any(spark, out, delimiter=None), src).select(*src.columns)
+
+
+@query(
+    "workbook_catalog",
+    """SELECT 'Sheet1' AS sheet, CAST(3 AS BIGINT) AS n_workbooks, count(*) + 3 AS total_rows,
+              CAST(4 AS BIGINT) AS width
+       FROM supplier""",
+)
+def workbook_catalog_query(spark, d):
+    """S23 over the workbooks written from supplier (3 partitions -> 3 files)."""
+    from tablesteps.sinks.workbook import write_workbooks
+    from tablesteps.sources.workbook import workbook_catalog
+
+    src = table(spark, d, "supplier")
+    out = shared_dir(spark, "wb-catalog")
+    write_workbooks(src.repartition(3), out).collect()  # one (file, rows) row per workbook
+    cat = workbook_catalog(spark, out.rstrip("/") + "/*.xlsx")
+    return cat.groupBy("sheet").agg(
+        F.count(F.lit(1)).alias("n_workbooks"),
+        F.sum("used_rows").alias("total_rows"),
+        F.max("used_columns").alias("width"),
+    )
