@@ -78,3 +78,13 @@ def test_partition_independence(spark, parts):
         r.o_orderkey for r in R.page(base, 10, 5, keys).collect()
     ]
     assert rows(R.parallel(o, 3)) == rows(base)
+
+
+def test_page_past_top_k_limit_uses_row_index(spark, monkeypatch):
+    o = orders(spark)
+    keys = [asc("o_orderkey")]
+    expect = [r.o_orderkey for r in o.orderBy("o_orderkey").collect()][40:60]
+    monkeypatch.setattr(R, "TOP_K_PAGE_LIMIT", 10)
+    paged = R.page(o, 40, 20, keys)
+    assert "TakeOrderedAndProject" not in plan_text(paged)
+    assert sorted(r.o_orderkey for r in paged.collect()) == expect
