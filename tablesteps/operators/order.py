@@ -128,7 +128,9 @@ def with_row_index(
         ensure_checkpoint_dir(df.sparkSession)
         tagged = tagged.checkpoint(eager=True)
     else:
-        tagged = tagged.persist(storage)
+        from tablesteps.session import track_cached
+
+        tagged = track_cached(tagged.persist(storage))
     counts = tagged.groupBy("_ri_part").agg(F.count(F.lit(1)).alias("_ri_n"))
     before = Window.orderBy("_ri_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -226,9 +226,21 @@ class Pipeline:
             obs.append(o)
         return df, obs, errors
 
-    def run(self, sink: Callable[[DataFrame], object] | None = None) -> "RunReport":
-        """A2: run the pipeline into ``sink`` (default: the no-op sink)."""
+    def run(self, sink: Callable[[DataFrame], object] | None = None, release: bool = True) -> "RunReport":
+        """A2: run the pipeline into ``sink`` (default: the no-op sink).
+
+        Data that steps cached for the run is released afterwards.
+        """
         start = time.time()
+        try:
+            return self._run(sink, start)
+        finally:
+            if release:
+                from tablesteps.session import release_cached
+
+                release_cached(self.source.sparkSession)
+
+    def _run(self, sink, start) -> "RunReport":
         try:
             df, obs, errors = self.observed()
             if sink is None:

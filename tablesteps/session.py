@@ -61,6 +61,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+_CACHED: dict[str, list] = {}
+
+
+def track_cached(df):
+    """Remember a DataFrame a step persisted, so the run can release it."""
+    _CACHED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
+    return df
+
+
+def release_cached(spark: SparkSession) -> int:
+    """Unpersist what steps cached in this application; returns how many."""
+    items = _CACHED.pop(spark.sparkContext.applicationId, [])
+    for df in items:
+        df.unpersist()
+    return len(items)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -113,4 +128,6 @@ __all__ = [
     "local_path",
     "is_local_uri",
     "ship_package",
+    "track_cached",
+    "release_cached",
 ]

@@ -24,7 +24,7 @@ import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tablesteps.session import ship_package
+from tablesteps.session import ship_package, track_cached
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -228,7 +228,7 @@ def read_workbooks(
     keep_source: bool = False,
 ) -> DataFrame:
     """One table from every workbook under ``path``."""
-    cells = workbook_cells(spark, path, sheet, header, cell_range).persist()
+    cells = track_cached(workbook_cells(spark, path, sheet, header, cell_range).persist())
     keys = sorted(
         r[0] for r in cells.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()
     )  # one row per distinct column: bounded by the width

@@ -51,3 +51,14 @@ def test_row_helpers(spark):
     assert [r.v for r in R.find_by_key(df, "K", 2).collect()] == ["b"]
     assert R.clear(df).count() == 0 and R.clear(df).columns == df.columns
     assert bulk_url("jdbc:postgresql://h/db") == "jdbc:postgresql://h/db?reWriteBatchedInserts=true"
+
+
+def test_release_cached(spark):
+    from tablesteps.operators import rows as R
+    from tablesteps.session import release_cached
+
+    release_cached(spark)
+    df = spark.range(0, 100)
+    R.batch_ids(df, 10, [asc("id")]).count()
+    assert release_cached(spark) == 1
+    assert release_cached(spark) == 0
