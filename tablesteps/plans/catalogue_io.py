@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesteps.functions.typed import conform
 from tablesteps.plans.catalogue import query, table
 from tablesteps.session import local_path, shared_dir
 from tablesteps.sinks.files import write_csv, write_json_lines

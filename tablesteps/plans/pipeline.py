@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tablesteps.operators import grouping as G
 from tablesteps.operators import rows as R
 from tablesteps.operators.join import join_step
-from tablesteps.operators.order import Key, OrderSpec, chain, keys_of, sort_columns
+from tablesteps.operators.order import Key, OrderSpec, chain, sort_columns
 from tablesteps.operators.validate import Validator, validate
 
 STEP_KINDS = ("Import", "Export", "Filter", "Sort", "GroupBy", "Join", "Select", "Aggregate", "Code")

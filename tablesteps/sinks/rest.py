@@ -9,7 +9,6 @@ idempotency key derived from the batch id.
 
 from __future__ import annotations
 
-import json
 import os
 import urllib.parse
 
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from tablesteps.operators.order import OrderSpec
 from tablesteps.operators.rows import batch_ids
 from tablesteps.session import local_path, ship_package
-from tablesteps.sources.rest import request_with_retry
 
 # Fixed value: reference default batch size.
 DEFAULT_BATCH_SIZE = 100
@@ -82,4 +80,4 @@ def send_payloads(payloads: DataFrame, url: str, transport: str = "http", method
     return payloads.mapInPandas(send, "batch_id long, n_rows long, status int")
 
 
-__all__ = ["api_payloads", "send_payloads", "request_with_retry", "json"]
+__all__ = ["api_payloads", "send_payloads"]
