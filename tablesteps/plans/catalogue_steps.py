@@ -103,9 +103,9 @@ def conform_types(spark, d):
 
 @query(
     "conform_report",
-    """SELECT count_if(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NULL) AS value,
-              count_if(TRY_CAST(CAST(user_id AS VARCHAR) AS INTEGER) IS NULL) AS user_id,
-              count_if(lower(trim(event_type)) NOT IN ('true', '1', 'false', '0')) AS event_type
+    """SELECT CAST(count_if(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NULL) AS BIGINT) AS value,
+              CAST(count_if(TRY_CAST(CAST(user_id AS VARCHAR) AS INTEGER) IS NULL) AS BIGINT) AS user_id,
+              CAST(count_if(lower(trim(event_type)) NOT IN ('true', '1', 'false', '0')) AS BIGINT) AS event_type
        FROM events""",
 )
 def conform_report(spark, d):

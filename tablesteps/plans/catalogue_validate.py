@@ -72,7 +72,7 @@ def _counts_sql(parts: list[tuple[str, str, str]]) -> str:
         f"SELECT '{col}' AS err_column, {msg} AS err_message, count(*) AS n_errors FROM v WHERE {bad} GROUP BY 2"
         for col, msg, bad in parts
     ]
-    return f"WITH {_V} SELECT err_column, err_message, sum(n_errors) AS n_errors FROM (" + " UNION ALL ".join(
+    return f"WITH {_V} SELECT err_column, err_message, CAST(sum(n_errors) AS BIGINT) AS n_errors FROM (" + " UNION ALL ".join(
         selects
     ) + ") GROUP BY err_column, err_message"
 
