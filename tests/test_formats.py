@@ -157,3 +157,24 @@ def test_sqlite_roundtrip_and_tables(spark, tmpdir_shared):
     back = read_sqlite(spark, out, rowsPerPartition=100)
     assert back.rdd.getNumPartitions() >= 4
     assert back.count() == 1000 and back.selectExpr("sum(id)").first()[0] == sum(range(1000))
+
+
+def test_retry_policy(monkeypatch):
+    from tablesteps.sources import rest
+
+    sleeps, calls = [], []
+    monkeypatch.setattr(rest.time, "sleep", lambda s: sleeps.append(s))
+
+    def flaky(url, headers):
+        calls.append(url)
+        return (503, "") if len(calls) < 3 else (200, "[]")
+
+    assert rest.request_with_retry(flaky, "u", {}, 3, 1.0) == "[]"
+    assert sleeps == [1.0, 2.0]  # delay x attempt
+    calls.clear()
+    sleeps.clear()
+    with pytest.raises(rest.HttpError):
+        rest.request_with_retry(lambda u, h: (500, ""), "u", {}, 3, 0.5)
+    assert sleeps == [0.5, 1.0]
+    assert rest.page_url("http://h/x", 2, 10, "page", "pageSize") == "http://h/x?page=2&pageSize=10"
+    assert rest.page_url("http://h/x?a=1", 1, 5, "p", "s") == "http://h/x?a=1&p=1&s=5"
