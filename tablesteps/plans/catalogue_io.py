@@ -175,6 +175,7 @@ def doc_roundtrip(spark, d):
 
 
 # ---------------------------------------------------------------- streams
+STREAM_TIMEOUT_SECONDS = 900
 @query(
     "stream_roundtrip",
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
@@ -197,7 +198,9 @@ def stream_roundtrip(spark, d):
         batch.write.mode("append").parquet(sink)
 
     q = run_stream(stream, append, "orders-stream")
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_SECONDS):
+        q.stop()
+        raise TimeoutError("stream did not finish the available files in time")
     return spark.read.schema(src.schema).parquet(sink)
 
 
