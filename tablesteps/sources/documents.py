@@ -23,6 +23,11 @@ EXTENDED_JSON = {"$oid": "string", "$numberDecimal": "string", "$date": "timesta
 ID_FIELD = "_id"
 
 
+def _utc_wall_clock(instant):
+    """An instant as its zone-less UTC wall-clock time, whatever the session zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def _unwrap(col, dtype: T.DataType):
     if isinstance(dtype, T.StructType):
         names = [f.name for f in dtype.fields]
@@ -30,10 +35,9 @@ def _unwrap(col, dtype: T.DataType):
             inner = col.getField(names[0])
             target = EXTENDED_JSON[names[0]]
             if target == "timestamp":
-                return F.coalesce(
-                    F.try_to_timestamp(inner.cast("string")),
-                    F.timestamp_millis(inner.try_cast("long")),
-                ).cast("timestamp_ntz")
+                return _utc_wall_clock(
+                    F.coalesce(F.try_to_timestamp(inner.cast("string")), F.timestamp_millis(inner.try_cast("long")))
+                )
             return inner.cast(target)
         return F.struct(*[_unwrap(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):
@@ -125,7 +129,13 @@ def to_extended_json(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            c = F.when(c.isNotNull(), F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("$date")))
+            # zone-less UTC wall clock, formatted from its own text (no session-zone round trip)
+            if isinstance(f.dataType, T.TimestampType):
+                wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+            else:
+                wall = c.cast("timestamp_ntz")
+            iso = F.concat(F.regexp_replace(wall.cast("string"), " ", "T"), F.lit("Z"))
+            c = F.when(c.isNotNull(), F.struct(iso.alias("$date")))
         elif isinstance(f.dataType, T.DecimalType):
             c = F.when(c.isNotNull(), F.struct(c.cast("string").alias("$numberDecimal")))
         elif isinstance(f.dataType, T.BinaryType):

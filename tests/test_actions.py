@@ -37,7 +37,7 @@ def test_extended_json(spark):
 
     df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5), Decimal("1.50"), None)], "t timestamp_ntz, d decimal(18,2), s string")
     doc = to_extended_json(df).first()[0]
-    assert doc == '{"t":{"$date":"2024-01-02T03:04:05.000Z"},"d":{"$numberDecimal":"1.50"},"s":null}'
+    assert doc == '{"t":{"$date":"2024-01-02T03:04:05Z"},"d":{"$numberDecimal":"1.50"},"s":null}'
 
 
 def test_row_helpers(spark):

@@ -178,3 +178,16 @@ def test_retry_policy(monkeypatch):
     assert sleeps == [0.5, 1.0]
     assert rest.page_url("http://h/x", 2, 10, "page", "pageSize") == "http://h/x?page=2&pageSize=10"
     assert rest.page_url("http://h/x?a=1", 1, 5, "p", "s") == "http://h/x?a=1&p=1&s=5"
+
+
+def test_document_dates_ignore_session_zone(spark, tmpdir_shared):
+    import datetime as dt
+
+    p = put(tmpdir_shared, "tz.jsonl", '{"t":{"$date":"2024-01-02T03:04:05Z"}}\n{"t":{"$date":1704164645000}}\n')
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        got = [r.t for r in read_documents(spark, p).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2024, 1, 2, 3, 4, 5)] * 2
