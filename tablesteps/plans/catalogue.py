@@ -487,3 +487,82 @@ def load_all() -> None:
         except ModuleNotFoundError as e:
             if e.name != m:
                 raise
+
+
+# ---------------------------------------------------------------- more coverage
+@query(
+    "tables_equivalent_ordered",
+    """WITH a AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders),
+            b AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+                         CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 1 ELSE o_totalprice END
+                           AS o_totalprice,
+                         o_orderdate, o_orderpriority,
+                         row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)
+       SELECT count(*) AS rows_compared,
+              CAST(count_if(a.o_orderkey IS DISTINCT FROM b.o_orderkey OR a.o_custkey IS DISTINCT FROM b.o_custkey
+                            OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+                            OR a.o_totalprice IS DISTINCT FROM b.o_totalprice
+                            OR a.o_orderdate IS DISTINCT FROM b.o_orderdate
+                            OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority) AS BIGINT) AS rows_differing
+       FROM a FULL OUTER JOIN b ON a.rn = b.rn""",
+)
+def tables_equivalent_ordered(spark, d):
+    from tablesteps.operators.compare import ordered_difference
+
+    a = table(spark, d, "orders")
+    b = a.withColumn(
+        "o_totalprice",
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+    )
+    return ordered_difference(a, b, [asc("o_orderkey")], [asc("o_orderkey")])
+
+
+def _price_band(pdf):
+    out = pdf[["o_orderkey"]].copy()
+    out["price_band"] = (pdf["o_totalprice"] // 100000).astype("int32")
+    return out
+
+
+@query(
+    "map_opaque",
+    "SELECT o_orderkey, CAST(floor(o_totalprice / 100000) AS INTEGER) AS price_band FROM orders",
+)
+def map_opaque(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return R.map_rows(o, _price_band, "o_orderkey long, price_band int")
+
+
+@query(
+    "join_semi",
+    """SELECT c.* FROM customer c WHERE EXISTS
+       (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""",
+)
+def join_semi(spark, d):
+    c = table(spark, d, "customer")
+    o = table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select("o_custkey")
+    return join_step(c, o, [("c_custkey", "o_custkey")], "semi")
+
+
+@query(
+    "upsert_null_keys",
+    """WITH t AS (SELECT * FROM customer WHERE c_nationkey < 15),
+    s AS (SELECT CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE c_custkey END AS c_custkey,
+                 c_acctbal + 1 AS c_acctbal, 1 AS src_seq
+          FROM customer WHERE c_nationkey >= 10),
+    last AS (SELECT * FROM s WHERE c_custkey IS NOT NULL
+             QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY src_seq DESC) = 1)
+    SELECT coalesce(t.c_custkey, l.c_custkey) AS c_custkey, t.c_name, t.c_nationkey,
+           CASE WHEN l.c_custkey IS NOT NULL THEN l.c_acctbal ELSE t.c_acctbal END AS c_acctbal,
+           t.c_mktsegment
+    FROM t FULL OUTER JOIN last l ON t.c_custkey = l.c_custkey
+    UNION ALL
+    SELECT NULL, NULL, NULL, c_acctbal, NULL FROM s WHERE c_custkey IS NULL""",
+)
+def upsert_null_keys(spark, d):
+    cust = table(spark, d, "customer")
+    target = cust.filter(F.col("c_nationkey") < 15)
+    key = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(None).cast("long")).otherwise(F.col("c_custkey"))
+    source = cust.filter(F.col("c_nationkey") >= 10).select(
+        key.alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(1).alias("src_seq")
+    )
+    return U.upsert_update(target, source, ["c_custkey"], [asc("src_seq")])

@@ -244,3 +244,26 @@ def validate_fix(spark, d):
         .validator
     )
     return validate(derived(spark, d), rules, "fix").select("c_custkey", "email", "age", "segment")
+
+
+def _err_rows(col: str, msg_sql: str, bad: str, value_sql: str) -> str:
+    return f"SELECT c_custkey, '{col}' AS column, {msg_sql} AS message, {value_sql} AS value FROM v WHERE {bad}"
+
+
+@query(
+    "validate_error_table",
+    f"""WITH {_V} """
+    + " UNION ALL ".join(
+        [
+            _err_rows("email", "'Field is required'", _REQ.format(c="email"), "CAST(NULL AS VARCHAR)"),
+            _err_rows("email", "'Invalid email format'", _BAD_EMAIL, "email"),
+            _err_rows("age", _RANGE_MSG, _RANGE_BAD, "age"),
+            _err_rows("segment", "'Value must be one of: BUILDING, MACHINERY, FURNITURE'", _SEG_IN, "segment"),
+            _err_rows("segment", "'Maximum length is 9 characters'", "length(segment) > 9", "segment"),
+        ]
+    ),
+)
+def validate_error_table(spark, d):
+    from tablesteps.operators.validate import error_table
+
+    return error_table(derived(spark, d), _full_rules(), ["c_custkey"])
