@@ -129,7 +129,7 @@ def group_rows(df: DataFrame, key: str | Column, order: OrderSpec, name: str = "
     order_cols = [
         (F.col(k.expr) if isinstance(k.expr, str) else k.expr).alias(f"_g_o{i}") for i, k in enumerate(keys)
     ]
-    local_keys = [_order.Key(f"_g_o{i}", k.ascending) for i, k in enumerate(keys)]
+    local_keys = [_order.Key(f"_g_o{i}", k.ascending, k.collation) for i, k in enumerate(keys)]
     firsts = _order.first_per_key(tagged.select(name, *order_cols), [name], local_keys)
     indexed = _order.with_row_index(firsts, local_keys, "group_index").select(
         F.col(name).alias("_g_key"), "group_index"

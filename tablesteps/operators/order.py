@@ -25,22 +25,27 @@ ARRIVAL_COLUMNS = ("_src_file", "_src_block", "_src_pos")
 
 @dataclass(frozen=True)
 class Key:
-    """One sort key: a column name or expression and a direction."""
+    """One sort key: a column name or expression, a direction and an
+    optional collation for text (``"UNICODE"`` orders like a culture-aware
+    comparer: ``a, b, B``; the default compares bytes)."""
 
     expr: str | Column
     ascending: bool = True
+    collation: str | None = None
 
     def column(self) -> Column:
         c = F.col(self.expr) if isinstance(self.expr, str) else self.expr
+        if self.collation:
+            c = F.collate(c, self.collation)
         return c.asc_nulls_first() if self.ascending else c.desc_nulls_last()
 
 
-def asc(expr: str | Column) -> Key:
-    return Key(expr, True)
+def asc(expr: str | Column, collation: str | None = None) -> Key:
+    return Key(expr, True, collation)
 
 
-def desc(expr: str | Column) -> Key:
-    return Key(expr, False)
+def desc(expr: str | Column, collation: str | None = None) -> Key:
+    return Key(expr, False, collation)
 
 
 OrderSpec = Sequence["Key | str | Column"]
@@ -161,7 +166,7 @@ def first_per_key(
     """
     ks = keys_of(order)
     if last:
-        ks = [Key(k.expr, not k.ascending) for k in ks]
+        ks = [Key(k.expr, not k.ascending, k.collation) for k in ks]
     key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     w = Window.partitionBy(*key_cols).orderBy(*[k.column() for k in ks])
     return df.withColumn("_fpk_rn", F.row_number().over(w)).filter("_fpk_rn = 1").drop("_fpk_rn")

@@ -137,10 +137,10 @@ def upsert_predicate(
         cond = cond & condition(lambda c: F.col(f"_t_{c}"), lambda c: F.col(f"_s_{c}"))
     pairs = s.join(t.select("_t_id", *[f"_t_{tc}" for tc, _ in on] + _extra_cols(t, condition)), cond, "inner")
     # first matching target row per source row (target order)
-    t_first = [type(k)(f"_t_id.{_name(k, i)}", k.ascending) for i, k in enumerate(t_keys)]
+    t_first = [type(k)(f"_t_id.{_name(k, i)}", k.ascending, k.collation) for i, k in enumerate(t_keys)]
     firsts = first_per_key(pairs, ["_s_id"], t_first)
     # last source row per target row wins
-    s_last = [type(k)(f"_s_id.{_name(k, i)}", k.ascending) for i, k in enumerate(s_keys)]
+    s_last = [type(k)(f"_s_id.{_name(k, i)}", k.ascending, k.collation) for i, k in enumerate(s_keys)]
     winners = first_per_key(firsts, ["_t_id"], s_last, last=True)
     src_low = {c.lower(): c for c in source.columns}
     upd = winners.select("_t_id", *[F.col(f"_s_{c}").alias(f"_u_{c}") for c in source.columns], F.lit(True).alias("_u_hit"))

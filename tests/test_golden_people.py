@@ -76,3 +76,11 @@ def test_chain_sort_is_stable(spark):
     keys = chain(chain([asc("id")], [asc("s")]), [asc("n")])
     out = [r.id for r in df.orderBy(*[k.column() for k in keys]).collect()]
     assert out == [4, 3, 2, 1]
+
+
+def test_unicode_collation_order(spark):
+    from tablesteps.operators.order import asc
+
+    df = spark.createDataFrame([("B",), ("a",), ("b",)], "s string")
+    assert [r.s for r in df.orderBy(asc("s").column()).collect()] == ["B", "a", "b"]
+    assert [r.s for r in df.orderBy(asc("s", "UNICODE").column()).collect()] == ["a", "b", "B"]
