@@ -198,37 +198,51 @@ def _kind(schema_text: str) -> str:
 
 
 def items_to_table(items: DataFrame) -> DataFrame:
-    """Typed table from item JSON text (see module docstring)."""
-    keyed = items.select("page", "item_index", F.posexplode(F.json_object_keys("item")).alias("kpos", "key"))
-    order = (
+    """Typed table from item JSON text (see module docstring).
+
+    One aggregation finds every column with its first-seen position and
+    the merged type of its values; its result has one row per column
+    (bounded by the width).
+    """
+    fields = F.try_variant_get(F.parse_json("item"), "$", "map<string,variant>")
+    keyed = items.select(
+        "page", "item_index", F.posexplode(F.json_object_keys("item")).alias("kpos", "key"), fields.alias("fields")
+    )
+    meta = (
         keyed.groupBy("key")
-        .agg(F.min(F.struct("page", "item_index", "kpos")).alias("first"))
+        .agg(
+            F.min(F.struct("page", "item_index", "kpos")).alias("first"),
+            F.schema_of_variant_agg(F.element_at("fields", F.col("key"))).alias("kind"),
+        )
         .orderBy("first")
-        .select("key")
-        .collect()  # one row per column name: bounded by the width
+        .select("key", "kind")
+        .collect()
     )
-    names = [r[0] for r in order]
-    if not names:
+    if not meta:
         return items.select().limit(0)
     v = F.parse_json("item")
-    paths = {n: "$['" + n.replace("'", "\\'") + "']" for n in names}
-    kinds_row = items.select(
-        *[F.schema_of_variant_agg(F.variant_get(v, paths[n], "variant")).alias(f"k{i}") for i, n in enumerate(names)]
-    ).first()
     cols = []
-    for i, n in enumerate(names):
-        k = _kind(kinds_row[f"k{i}"])
+    for name, kind_text in meta:
+        path = "$['" + name.replace("'", "\\'") + "']"
+        k = _kind(kind_text)
         if k == "json":
-            raw = F.variant_get(v, paths[n], "variant")
-            cols.append(F.when(F.is_variant_null(raw) | raw.isNull(), None).otherwise(F.to_json(raw)).alias(n))
+            raw = F.variant_get(v, path, "variant")
+            cols.append(F.when(F.is_variant_null(raw) | raw.isNull(), None).otherwise(F.to_json(raw)).alias(name))
         else:
-            cols.append(F.try_variant_get(v, paths[n], k).alias(n))
+            cols.append(F.try_variant_get(v, path, k).alias(name))
     return items.select(*cols)
 
 
 def read_rest(spark: SparkSession, url: str, **options) -> DataFrame:
-    """GET (paged when ``pageSize`` is given) -> typed table."""
-    return items_to_table(read_pages(spark, url, **options))
+    """GET (paged when ``pageSize`` is given) -> typed table.
+
+    The fetched items are cached for the run (released by
+    ``session.release_cached``), so the API is called once even though
+    the column discovery and the result are two jobs.
+    """
+    from tablesteps.session import track_cached
+
+    return items_to_table(track_cached(read_pages(spark, url, **options).persist()))
 
 
 def read_typed(spark: SparkSession, url: str, schema: T.StructType | str, **options) -> DataFrame:
