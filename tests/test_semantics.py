@@ -196,3 +196,10 @@ def test_pipeline_order_chain(spark):
     report = p.batch(2).run(sink=lambda d: d.write.format("noop").mode("overwrite").save())
     log = report.step_log(spark).collect()
     assert log[-1].kind == "Export" and log[-1].rows_in == 5
+
+
+def test_run_without_counts(spark):
+    df = spark.range(0, 50).withColumnRenamed("id", "k")
+    report = Pipeline(df).filter("k < 10").run(counts=False)
+    assert report.success and report.counts == [None, None]
+    assert len(report.step_log(spark).collect()) == 2
