@@ -20,7 +20,14 @@ def read_json(
     path: str,
     path_expr: str | None = None,
     schema: T.StructType | str | None = None,
+    mixed: bool = False,
 ) -> DataFrame:
+    """``mixed=True`` accepts arrays that mix objects and scalars
+    (scalars become empty rows): the document is parsed as a variant,
+    its elements are exploded and typed JVM-side; columns then come in
+    name order."""
+    if mixed:
+        return _read_mixed(spark, path)
     reader = spark.read.option("multiLine", "true").option("allowComments", "true").option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
@@ -36,3 +43,18 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str |
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
+
+
+def _read_mixed(spark: SparkSession, path: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tablesteps.sources.rest import items_to_table
+
+    doc = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
+    elems = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    items = doc.select(F.posexplode(elems).alias("item_index", "e")).select(
+        F.lit(1).cast("long").alias("page"),
+        "item_index",
+        F.when(F.schema_of_variant("e").startswith("OBJECT"), F.to_json("e")).otherwise(F.lit("{}")).alias("item"),
+    )
+    return items_to_table(items)

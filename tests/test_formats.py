@@ -191,3 +191,10 @@ def test_document_dates_ignore_session_zone(spark, tmpdir_shared):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [dt.datetime(2024, 1, 2, 3, 4, 5)] * 2
+
+
+def test_json_mixed_array(spark, tmpdir_shared):
+    p = put(tmpdir_shared, "mixed.json", '[{"a":1}, 5, {"a":2,"b":"x"}]')
+    rows = read_json(spark, p, mixed=True).collect()
+    assert sorted((r.a, r.b) for r in rows if r.a is not None) == [(1, None), (2, "x")]
+    assert sum(1 for r in rows if r.a is None and r.b is None) == 1  # the scalar: an empty row
