@@ -164,3 +164,40 @@ def write_collection(df: DataFrame, connection_uri: str, database: str, collecti
     if upsert_key:
         w = w.option("operationType", "replace").option("idFieldList", upsert_key).option("upsertDocument", "true")
     w.mode("overwrite" if drop_first else "append").save()
+
+
+class DocumentQuery:
+    """S15 find options as a fluent, immutable builder.
+
+    As on the server: a later ``where`` replaces the earlier one, there is
+    one sort key, and the options apply as filter -> sort -> skip ->
+    limit -> project whatever order they were given in.
+    """
+
+    def __init__(self, where=None, sort=None, skip=0, limit=None, project=None, id_fields=(ID_FIELD,)):
+        self._o = dict(where=where, sort=sort, skip=skip, limit=limit, project=project, id_fields=id_fields)
+
+    def _with(self, **kw) -> "DocumentQuery":
+        return DocumentQuery(**{**self._o, **kw})
+
+    def where(self, field: str, value) -> "DocumentQuery":
+        return self._with(where={field: value})
+
+    def sort(self, field: str, direction: int = 1) -> "DocumentQuery":
+        return self._with(sort=(field, direction))
+
+    def skip(self, n: int) -> "DocumentQuery":
+        if n < 0:
+            raise ValueError("skip must be non-negative")
+        return self._with(skip=n)
+
+    def limit(self, n: int) -> "DocumentQuery":
+        if n < 0:
+            raise ValueError("limit must be non-negative")
+        return self._with(limit=n)
+
+    def project(self, *fields: str) -> "DocumentQuery":
+        return self._with(project=list(fields))
+
+    def run(self, coll: DataFrame) -> DataFrame:
+        return find(coll, **self._o)

@@ -198,3 +198,12 @@ def test_json_mixed_array(spark, tmpdir_shared):
     rows = read_json(spark, p, mixed=True).collect()
     assert sorted((r.a, r.b) for r in rows if r.a is not None) == [(1, None), (2, "x")]
     assert sum(1 for r in rows if r.a is None and r.b is None) == 1  # the scalar: an empty row
+
+
+def test_document_query_builder(spark):
+    from tablesteps.sources.documents import DocumentQuery
+
+    coll = spark.createDataFrame([(i, i % 3, f"n{i}") for i in range(10)], "_id long, g long, name string")
+    q = DocumentQuery().where("g", 0).where("g", 1).sort("_id", -1).skip(1).limit(2).project("name")
+    assert [r.name for r in q.run(coll).collect()] == ["n4", "n1"]
+    assert q.run(coll).columns == ["name"]
