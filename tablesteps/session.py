@@ -8,6 +8,7 @@ a laptop).
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -82,27 +83,38 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``tablesteps`` importable by the Python workers (once per application).
 
     Steps that run Python on executors (pandas functions, Python data
-    sources) call this: the package is zipped and added with
-    ``addPyFile``, so it works when the driver found the package through a
-    path the workers do not share.
+    sources) call this: the package is zipped in memory, written to the
+    shared checkpoint folder and added with ``addPyFile``, so it works
+    when the driver found the package through a path the workers do not
+    share.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = shared_dir(spark, "pyfiles")
-    folder = local_path(base) if is_local_uri(base) else tempfile.mkdtemp(prefix="tablesteps-py-")
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, "tablesteps.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             if "__pycache__" in root:
                 continue
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("tablesteps", os.path.relpath(full, pkg)))
+    target = shared_dir(spark, "pyfiles").rstrip("/") + "/tablesteps.zip"
+    if is_local_uri(target):
+        os.makedirs(os.path.dirname(local_path(target)), exist_ok=True)
+        with open(local_path(target), "wb") as fh:
+            fh.write(buf.getvalue())
+    else:
+        jvm = sc._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(target)
+        out = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath, True)
+        try:
+            out.write(bytearray(buf.getvalue()))
+        finally:
+            out.close()
     sc.addPyFile(target)
     _SHIPPED.add(app)
 
