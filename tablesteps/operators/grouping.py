@@ -135,3 +135,35 @@ def group_rows(df: DataFrame, key: str | Column, order: OrderSpec, name: str = "
         F.col(name).alias("_g_key"), "group_index"
     )
     return tagged.join(indexed, tagged[name].eqNullSafe(indexed["_g_key"]), "inner").drop("_g_key")
+
+
+def group_summary(
+    df: DataFrame, key: str | Column, order: OrderSpec, name: str = "group_key", **aggs: Column
+) -> DataFrame:
+    """G1 + G2 without touching rows twice: one row per group with its
+    aggregates and its first-seen index (groups numbered in first-seen
+    order).
+
+    The first order values of each group come from the same aggregation
+    (``min`` of the order struct) when every key is ascending; otherwise
+    from a keep-first step.  Only the per-group table is indexed.
+    """
+    keys = _order.require_order(order, "group_summary")
+    key_col = F.col(key) if isinstance(key, str) else key
+    order_cols = [
+        (F.col(k.expr) if isinstance(k.expr, str) else k.expr).alias(f"_g_o{i}") for i, k in enumerate(keys)
+    ]
+    local_keys = [_order.Key(f"_g_o{i}", k.ascending, k.collation) for i, k in enumerate(keys)]
+    tagged = df.select("*", key_col.alias(name), *order_cols)
+    agg_cols = [e.alias(n) for n, e in aggs.items()]
+    if all(k.ascending and not k.collation for k in keys):
+        first = F.min(F.struct(*[F.col(f"_g_o{i}") for i in range(len(keys))])).alias("_g_first")
+        per_group = tagged.groupBy(name).agg(*agg_cols, first).select(
+            name, *aggs.keys(), *[F.col(f"_g_first._g_o{i}").alias(f"_g_o{i}") for i in range(len(keys))]
+        )
+    else:
+        firsts = _order.first_per_key(tagged.select(name, *[f"_g_o{i}" for i in range(len(keys))]), [name], local_keys)
+        sums = tagged.groupBy(name).agg(*agg_cols).withColumnRenamed(name, "_g_key")
+        per_group = firsts.join(sums, firsts[name].eqNullSafe(sums["_g_key"])).drop("_g_key")
+    indexed = _order.with_row_index(per_group, local_keys, "group_index")
+    return indexed.select(name, "group_index", *aggs.keys())

@@ -204,15 +204,31 @@ def batch_ids(spark, d):
 )
 def group_members(spark, d):
     cust = table(spark, d, "customer")
-    g = G.group_rows(cust, "c_mktsegment", [asc("c_custkey")])
-    return G.aggregate(
-        g,
-        ["group_key", "group_index"],
+    return G.group_summary(
+        cust,
+        "c_mktsegment",
+        [asc("c_custkey")],
         n_members=F.count(F.lit(1)),
         first_custkey=F.min("c_custkey"),
     )
 
 
+@query(
+    "group_rows_tagged",
+    """SELECT o_orderkey, o_orderpriority AS group_key,
+              dense_rank() OVER (ORDER BY first_date, first_key) - 1 AS group_index
+       FROM (SELECT o_orderkey, o_orderpriority,
+                    min(o_orderdate) OVER (PARTITION BY o_orderpriority) AS first_date,
+                    arg_min(o_orderkey, struct_pack(o_orderdate, o_orderkey)) OVER (PARTITION BY o_orderpriority) AS first_key
+             FROM orders)""",
+)
+def group_rows_tagged(spark, d):
+    """G1 at row level: every order with its group's first-seen index."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    g = G.group_rows(o, "o_orderpriority", [asc("o_orderdate"), asc("o_orderkey")])
+    return g.select("o_orderkey", "group_key", "group_index")
+
+
 # ---------------------------------------------------------------- G2
 @query(
     "group_aggregate",

@@ -16,6 +16,7 @@ SINGLE_PARTITION_OK = {
     "order_by_desc": "row index",
     "skip_rows": "row index",
     "group_members": "row index over one row per group",
+    "group_rows_tagged": "row index over one row per group",
     "tables_equivalent_ordered": "row index (both sides) + global count",
     # final step of a global aggregate: one partial row per task
     "row_count": "global count",
