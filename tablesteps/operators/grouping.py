@@ -72,6 +72,7 @@ def custom_aggregate(
     schema: StructType | str,
     combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     salt: int = DEFAULT_SALT,
+    vectorized: bool = False,
 ) -> DataFrame:
     """G2 with an opaque aggregator, in skew-safe phases.
 
@@ -84,8 +85,18 @@ def custom_aggregate(
     inside ``mapInPandas`` and only one partial row per key and
     partition is shuffled.  Without it, rows are spread over ``salt``
     hash buckets per key and reduced per (key, bucket) before the merge.
+
+    ``vectorized=True`` calls each function once per batch instead of
+    once per group: ``partial``, ``combine`` and ``merge`` receive rows of
+    many keys and group them themselves (pandas ``groupby``).  Partials
+    are combined per partition, hash-partitioned by key, and merged per
+    partition, so there is no Python call per key at all.
     """
     ship_package(df.sparkSession)
+    if vectorized:
+        if combine is None:
+            raise ValueError("vectorized aggregation needs a combine function")
+        return _vectorized_aggregate(df, list(keys), partial, partial_schema, combine, merge, schema)
     if combine is not None:
         key_list = list(keys)
 
@@ -116,6 +127,22 @@ def custom_aggregate(
     return parts.groupBy(*keys).applyInPandas(merge, schema)
 
 
+def _vectorized_aggregate(df, keys, partial, partial_schema, combine, merge, schema) -> DataFrame:
+    def per_partition(batches):
+        parts = [partial(pdf) for pdf in batches if len(pdf)]
+        if parts:
+            yield combine(pd.concat(parts, ignore_index=True))
+
+    def merge_partition(batches):
+        parts = [pdf for pdf in batches if len(pdf)]
+        if parts:
+            yield merge(pd.concat(parts, ignore_index=True))
+
+    partials = df.mapInPandas(per_partition, partial_schema)
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return partials.repartition(n, *keys).mapInPandas(merge_partition, schema)
+
+
 def group_rows(df: DataFrame, key: str | Column, order: OrderSpec, name: str = "group_key") -> DataFrame:
     """G1 GroupBy(keySelector): every row with its group key and the
     group's first-seen index (groups come out in first-seen order).

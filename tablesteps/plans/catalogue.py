@@ -578,3 +578,81 @@ def upsert_null_keys(spark, d):
         key.alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(1).alias("src_seq")
     )
     return U.upsert_update(target, source, ["c_custkey"], [asc("src_seq")])
+
+
+# ---------------------------------------------------------------- hot keys
+# About a third of orders are finished ('F'); mapping all of them to one
+# customer key makes that key hold a third of the rows.
+_HOT_KEY_SQL = "CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_custkey END"
+
+
+def _hot_orders(spark, d):
+    o = table(spark, d, "orders")
+    hot = F.when(F.col("o_orderstatus") == "F", F.lit(0).cast("long")).otherwise(F.col("o_custkey"))
+    return o.withColumn("o_custkey", hot)
+
+
+@query(
+    "skew_remove_duplicates",
+    f"""SELECT o_orderkey, {_HOT_KEY_SQL} AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+        FROM orders
+        QUALIFY row_number() OVER (PARTITION BY {_HOT_KEY_SQL} ORDER BY o_orderdate DESC, o_orderkey) = 1""",
+)
+def skew_remove_duplicates(spark, d):
+    return R.remove_duplicates(_hot_orders(spark, d), "o_custkey", [desc("o_orderdate"), asc("o_orderkey")])
+
+
+def _spread_partial(pdf):
+    g = pdf.groupby("o_custkey", sort=False)["o_totalprice"]
+    return g.agg(lo="min", hi="max", n="count").reset_index()
+
+
+def _spread_combine(pdf):
+    return pdf.groupby("o_custkey", sort=False).agg(lo=("lo", "min"), hi=("hi", "max"), n=("n", "sum")).reset_index()
+
+
+def _spread_merge(pdf):
+    c = _spread_combine(pdf)
+    return c.assign(price_spread=c["hi"] - c["lo"], n_orders=c["n"].astype("int64"))[
+        ["o_custkey", "price_spread", "n_orders"]
+    ]
+
+
+@query(
+    "skew_custom_agg",
+    f"""SELECT {_HOT_KEY_SQL} AS o_custkey, max(o_totalprice) - min(o_totalprice) AS price_spread,
+               count(*) AS n_orders
+        FROM orders GROUP BY 1""",
+)
+def skew_custom_agg(spark, d):
+    o = _hot_orders(spark, d).select("o_custkey", "o_totalprice")
+    return G.custom_aggregate(
+        o,
+        ["o_custkey"],
+        _spread_partial,
+        "o_custkey long, lo double, hi double, n long",
+        _spread_merge,
+        "o_custkey long, price_spread double, n_orders long",
+        combine=_spread_combine,
+        vectorized=True,
+    )
+
+
+@query(
+    "skew_upsert_update",
+    f"""WITH t AS (SELECT c_custkey, c_name, c_acctbal FROM customer),
+    s AS (SELECT {_HOT_KEY_SQL} AS c_custkey, o_totalprice AS c_acctbal, o_orderdate, o_orderkey FROM orders),
+    last AS (SELECT * FROM s
+             QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+    SELECT coalesce(t.c_custkey, l.c_custkey) AS c_custkey, t.c_name,
+           CASE WHEN l.c_custkey IS NOT NULL THEN l.c_acctbal ELSE t.c_acctbal END AS c_acctbal
+    FROM t FULL OUTER JOIN last l ON t.c_custkey = l.c_custkey""",
+)
+def skew_upsert_update(spark, d):
+    """Latest order total per customer written onto the customer table;
+    the hot key's third of the source collapses map-side first."""
+    target = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    source = _hot_orders(spark, d).select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey"
+    )
+    return U.upsert_update(target, source, ["c_custkey"], [asc("o_orderdate"), asc("o_orderkey")])
