@@ -656,3 +656,19 @@ def skew_upsert_update(spark, d):
         F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey"
     )
     return U.upsert_update(target, source, ["c_custkey"], [asc("o_orderdate"), asc("o_orderkey")])
+
+
+@query(
+    "skew_join_step",
+    f"""SELECT o.o_orderkey, c.c_custkey, c.c_name, o.o_totalprice
+        FROM (SELECT o_orderkey, {_HOT_KEY_SQL} AS o_custkey, o_totalprice FROM orders) o
+        JOIN customer c ON o.o_custkey = c.c_custkey""",
+)
+def skew_join_step(spark, d):
+    """A third of the orders meet one customer: a broadcast when the
+    customer side is measured small, else a sort-merge join whose hot
+    partition AQE splits."""
+    o = _hot_orders(spark, d).select("o_orderkey", "o_custkey", "o_totalprice")
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    j = join_step(o, c, [("o_custkey", "c_custkey")], "inner")
+    return j.select("o_orderkey", "c_custkey", "c_name", "o_totalprice")
