@@ -27,6 +27,25 @@ from pyspark.sql import functions as F
 from tablesteps.operators.order import OrderSpec, first_per_key, require_order
 
 
+# A deduplicated source with at most this many rows is broadcast, so the
+# target is joined where it lies instead of being shuffled.
+BROADCAST_SOURCE_ROWS = 100_000
+
+
+def _is_small(df: DataFrame, limit: int) -> bool:
+    """Row-count bound check (reads at most ``limit + 1`` rows)."""
+    return limit > 0 and df.limit(limit + 1).count() <= limit
+
+
+def _key_cond(left_prefix: str, right_prefix: str, keys, right_names=None) -> Column:
+    cond = None
+    for i, k in enumerate(keys):
+        r = right_names[i] if right_names else k
+        e = F.col(f"{left_prefix}{k}") == F.col(f"{right_prefix}{r}")
+        cond = e if cond is None else cond & e
+    return cond
+
+
 def _no_null_key(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -45,18 +64,27 @@ def _split(source: DataFrame, keys: Sequence[str]):
     return keyed, null_keyed
 
 
-def upsert_do_nothing(target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec) -> DataFrame:
+def upsert_do_nothing(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec, broadcast_rows: int = BROADCAST_SOURCE_ROWS
+) -> DataFrame:
     """W11 ON CONFLICT DO NOTHING: first row per key wins, existing keys ignored."""
     ord_keys = require_order(order, "upsert_do_nothing")
     keyed, null_keyed = _split(source, keys)
     first = first_per_key(keyed, keys, ord_keys)
-    new = first.join(target.select(*keys), list(keys), "left_anti")
+    if _is_small(first, broadcast_rows):
+        # keys of the target that the source touches: at most |first| rows
+        hit = target.select(*keys).join(F.broadcast(first.select(*keys)), list(keys), "left_semi")
+        new = first.join(F.broadcast(hit), list(keys), "left_anti")
+    else:
+        new = first.join(target.select(*keys), list(keys), "left_anti")
     cols = target.columns
     inserted = _align(new.unionByName(null_keyed), cols)
     return target.unionByName(inserted)
 
 
-def upsert_update(target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec) -> DataFrame:
+def upsert_update(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec, broadcast_rows: int = BROADCAST_SOURCE_ROWS
+) -> DataFrame:
     """W12 ON CONFLICT DO UPDATE: last row per key wins on the source's columns.
 
     With only key columns in the source this acts as do-nothing for
@@ -69,11 +97,10 @@ def upsert_update(target: DataFrame, source: DataFrame, keys: Sequence[str], ord
     src_cols = {c.lower(): c for c in source.columns}
     s = last.select(*[F.col(c).alias(f"_s_{c}") for c in source.columns], F.lit(True).alias("_s_hit"))
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in target.columns])
-    cond = None
-    for k in keys:
-        e = F.col(f"_t_{k}") == F.col(f"_s_{src_cols[k.lower()]}")
-        cond = e if cond is None else cond & e
-    joined = t.join(s, cond, "full_outer")
+    cond = _key_cond("_t_", "_s_", keys, [src_cols[k.lower()] for k in keys])
+    small = _is_small(last, broadcast_rows)
+    # small source: the target is joined in place; else one full outer join
+    joined = t.join(F.broadcast(s), cond, "left") if small else t.join(s, cond, "full_outer")
     hit = F.col("_s_hit").isNotNull()
     in_target = F.lit(False)
     for k in keys:
@@ -88,10 +115,25 @@ def upsert_update(target: DataFrame, source: DataFrame, keys: Sequence[str], ord
         else:
             out.append(F.col(f"_t_{c}").alias(c))
     merged = joined.select(*out)
+    if small:
+        src_keys = [src_cols[k.lower()] for k in keys]
+        hit = (
+            target.select(*keys)
+            .join(F.broadcast(last.select(*[F.col(sk).alias(k) for sk, k in zip(src_keys, keys)])), list(keys), "left_semi")
+        )
+        new = last.select(*[F.col(sk).alias(k) for sk, k in zip(src_keys, keys)], *[c for c in last.columns if c not in src_keys])
+        inserted = new.join(F.broadcast(hit), list(keys), "left_anti")
+        merged = merged.unionByName(_align(inserted, target.columns))
     return merged.unionByName(_align(null_keyed, target.columns))
 
 
-def upsert_replace(target: DataFrame, source: DataFrame, key: str | Sequence[str], order: OrderSpec) -> DataFrame:
+def upsert_replace(
+    target: DataFrame,
+    source: DataFrame,
+    key: str | Sequence[str],
+    order: OrderSpec,
+    broadcast_rows: int = BROADCAST_SOURCE_ROWS,
+) -> DataFrame:
     """W14 replace-with-upsert: the source row replaces the whole row.
 
     Columns are the union of both sides; a replaced row loses
@@ -101,7 +143,10 @@ def upsert_replace(target: DataFrame, source: DataFrame, key: str | Sequence[str
     ord_keys = require_order(order, "upsert_replace")
     keyed, null_keyed = _split(source, keys)
     last = first_per_key(keyed, keys, ord_keys, last=True)
-    kept = target.join(last.select(*keys), list(keys), "left_anti")
+    replaced = last.select(*keys)
+    if _is_small(last, broadcast_rows):
+        replaced = F.broadcast(replaced)  # the target is filtered in place
+    kept = target.join(replaced, list(keys), "left_anti")
     return kept.unionByName(last, allowMissingColumns=True).unionByName(null_keyed, allowMissingColumns=True)
 
 

@@ -203,3 +203,25 @@ def test_run_without_counts(spark):
     report = Pipeline(df).filter("k < 10").run(counts=False)
     assert report.success and report.counts == [None, None]
     assert len(report.step_log(spark).collect()) == 2
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_upsert_strategies_agree(pair, rows):
+    t, s = pair
+    up = U.upsert_update(t, s, ["k"], [asc("seq")], broadcast_rows=rows).select("k", "a", "b")
+    assert kab(up) == sorted([(1, "x", "p"), (2, "m", "q"), (3, "o", None), (None, "z", None)], key=repr)
+    dn = U.upsert_do_nothing(t, s, ["k"], [asc("seq")], broadcast_rows=rows).select("k", "a", "b")
+    assert kab(dn) == sorted([(1, "x", "p"), (2, "y", "q"), (3, "n", None), (None, "z", None)], key=repr)
+    rp = U.upsert_replace(t, s, "k", [asc("seq")], broadcast_rows=rows).select("k", "a", "b")
+    assert kab(rp) == sorted([(1, "x", "p"), (2, "m", None), (3, "o", None), (None, "z", None)], key=repr)
+
+
+def test_small_source_keeps_target_in_place(spark):
+    target = spark.range(0, 5000).selectExpr("id as k", "cast(id as string) as a")
+    source = spark.createDataFrame([(3, "z", 1), (9999, "n", 1)], "k long, a string, seq int")
+    out = U.upsert_update(target, source, ["k"], [asc("seq")])
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = {r.k: r.a for r in out.collect()}
+    assert len(got) == 5001 and got[3] == "z" and got[9999] == "n"
