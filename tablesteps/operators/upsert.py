@@ -157,6 +157,7 @@ def upsert_predicate(
     target_order: OrderSpec,
     source_order: OrderSpec,
     condition=None,
+    broadcast_rows: int = BROADCAST_SOURCE_ROWS,
 ) -> DataFrame:
     """W20 insert-or-update by a match condition.
 
@@ -180,7 +181,10 @@ def upsert_predicate(
         cond = e if cond is None else cond & e
     if condition is not None:
         cond = cond & condition(lambda c: F.col(f"_t_{c}"), lambda c: F.col(f"_s_{c}"))
-    pairs = s.join(t.select("_t_id", *[f"_t_{tc}" for tc, _ in on] + _extra_cols(t, condition)), cond, "inner")
+    small = _is_small(source, broadcast_rows)
+    t_side = t.select("_t_id", *[f"_t_{tc}" for tc, _ in on] + _extra_cols(t, condition))
+    # small source: broadcast it and match against the target where it lies
+    pairs = F.broadcast(s).join(t_side, cond, "inner") if small else s.join(t_side, cond, "inner")
     # first matching target row per source row (target order)
     t_first = [type(k)(f"_t_id.{_name(k, i)}", k.ascending, k.collation) for i, k in enumerate(t_keys)]
     firsts = first_per_key(pairs, ["_s_id"], t_first)
@@ -189,7 +193,7 @@ def upsert_predicate(
     winners = first_per_key(firsts, ["_t_id"], s_last, last=True)
     src_low = {c.lower(): c for c in source.columns}
     upd = winners.select("_t_id", *[F.col(f"_s_{c}").alias(f"_u_{c}") for c in source.columns], F.lit(True).alias("_u_hit"))
-    merged = t.join(upd, "_t_id", "left")
+    merged = t.join(F.broadcast(upd) if small else upd, "_t_id", "left")
     out = []
     for c in target.columns:
         sc = src_low.get(c.lower())
