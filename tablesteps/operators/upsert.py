@@ -33,7 +33,9 @@ BROADCAST_SOURCE_ROWS = 100_000
 
 
 def _is_small(df: DataFrame, limit: int) -> bool:
-    """Row-count bound check (reads at most ``limit + 1`` rows)."""
+    """Row-count bound check on the raw source: every task stops after
+    ``limit + 1`` rows, so a large source is not read in full.  A raw
+    source under the bound stays under it after deduplication."""
     return limit > 0 and df.limit(limit + 1).count() <= limit
 
 
@@ -71,7 +73,7 @@ def upsert_do_nothing(
     ord_keys = require_order(order, "upsert_do_nothing")
     keyed, null_keyed = _split(source, keys)
     first = first_per_key(keyed, keys, ord_keys)
-    if _is_small(first, broadcast_rows):
+    if _is_small(source, broadcast_rows):
         # keys of the target that the source touches: at most |first| rows
         hit = target.select(*keys).join(F.broadcast(first.select(*keys)), list(keys), "left_semi")
         new = first.join(F.broadcast(hit), list(keys), "left_anti")
@@ -98,7 +100,7 @@ def upsert_update(
     s = last.select(*[F.col(c).alias(f"_s_{c}") for c in source.columns], F.lit(True).alias("_s_hit"))
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in target.columns])
     cond = _key_cond("_t_", "_s_", keys, [src_cols[k.lower()] for k in keys])
-    small = _is_small(last, broadcast_rows)
+    small = _is_small(source, broadcast_rows)
     # small source: the target is joined in place; else one full outer join
     joined = t.join(F.broadcast(s), cond, "left") if small else t.join(s, cond, "full_outer")
     hit = F.col("_s_hit").isNotNull()
@@ -144,7 +146,7 @@ def upsert_replace(
     keyed, null_keyed = _split(source, keys)
     last = first_per_key(keyed, keys, ord_keys, last=True)
     replaced = last.select(*keys)
-    if _is_small(last, broadcast_rows):
+    if _is_small(source, broadcast_rows):
         replaced = F.broadcast(replaced)  # the target is filtered in place
     kept = target.join(replaced, list(keys), "left_anti")
     return kept.unionByName(last, allowMissingColumns=True).unionByName(null_keyed, allowMissingColumns=True)
