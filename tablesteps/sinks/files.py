@@ -30,7 +30,9 @@ def write_csv(
     read in parallel (a quoted-newline-safe CSV read is one task per file).
     """
     if min_files and df.rdd.getNumPartitions() < min_files:
-        df = df.repartition(min_files)
+        # hash of the whole row: deterministic on task retry without the
+        # sort a round-robin repartition needs; only identical rows share a file
+        df = df.repartition(min_files, *[F.col(f"`{c}`") for c in df.columns])
     (
         df.write.mode("append" if append else "overwrite")
         .option("sep", delimiter)
