@@ -264,8 +264,9 @@ def validate(df: DataFrame, validator: Validator, mode: str = "skip", observatio
 
     * ``skip``  drop invalid rows (default);
     * ``throw`` fail the job on the first invalid row evaluated;
-    * ``log``   keep rows; counts go to ``observation`` (and
-      ``error_table`` gives the side table);
+    * ``log``   keep rows; counts (rows, invalid rows, errors, and one
+      ``rule_<i>_<column>_<kind>`` count per rule) go to ``observation``
+      in the same job (``error_table`` gives the side table);
     * ``fix``   apply each failing rule's ``fix`` expression; rules
       without one leave the value unchanged.
     """
@@ -279,11 +280,16 @@ def validate(df: DataFrame, validator: Validator, mode: str = "skip", observatio
         return df.filter(guard)
     if mode == "log":
         obs = observation or Observation("validation")
+        per_rule = [
+            F.sum(F.when(bad, 1).otherwise(0)).alias(f"rule_{i}_{r.column}_{r.kind}")
+            for i, (r, bad, _, _) in enumerate(validator.checks(df))
+        ]
         return df.observe(
             obs,
             F.count(F.lit(1)).alias("rows"),
             F.count_if(validator.any_bad(df)).alias("invalid_rows"),
             F.sum(validator.bad_count(df)).alias("errors"),
+            *per_rule,
         )
     if mode == "fix":
         out = df

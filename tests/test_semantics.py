@@ -55,6 +55,8 @@ def test_modes(vt):
     kept = validate(vt, rules(), "log", obs)
     assert kept.count() == 6
     assert obs.get["invalid_rows"] == 5 and obs.get["errors"] == 8
+    assert obs.get["rule_0_email_required"] == 2 and obs.get["rule_1_email_email"] == 2
+    assert obs.get["rule_2_age_range"] == 2 and obs.get["rule_5_code_max_length"] == 1
     with pytest.raises(PySparkException, match="Validation failed"):
         validate(vt, rules(), "throw").collect()
     fixed = validate(vt, Validator().column("age").range(0, 120, fix=F.lit("0")).validator, "fix")
