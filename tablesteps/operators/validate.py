@@ -279,7 +279,8 @@ def validate(df: DataFrame, validator: Validator, mode: str = "skip", observatio
         guard = F.coalesce(F.when(validator.any_bad(df), F.raise_error(msg)).cast("boolean"), F.lit(True))
         return df.filter(guard)
     if mode == "log":
-        obs = observation or Observation("validation")
+        # a stream reports named metrics per micro-batch (query progress)
+        obs = "validation" if df.isStreaming else (observation or Observation("validation"))
         per_rule = [
             F.sum(F.when(bad, 1).otherwise(0)).alias(f"rule_{i}_{r.column}_{r.kind}")
             for i, (r, bad, _, _) in enumerate(validator.checks(df))

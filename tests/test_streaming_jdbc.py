@@ -60,3 +60,18 @@ def test_sql_args(spark):
     df = spark.range(0, 10)
     out = sql_query(spark, "SELECT id FROM {t} WHERE id > :lo", {"lo": 6}, t=df)
     assert sorted(r.id for r in out.collect()) == [7, 8, 9]
+
+
+def test_stream_validation_log_metrics(spark, tmpdir_shared):
+    inbox = os.path.join(tmpdir_shared, "inbox-log")
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "1.csv"), "w") as fh:
+        fh.write("id,email\n1,a@b.co\n2,bad\n")
+    stream = read_csv_stream(spark, inbox, "id int, email string")
+    logged = validate(stream, Validator().column("email").email().validator, "log")
+    rows = []
+    q = run_stream(logged, lambda b, i: rows.extend(b.collect()), "logstream")
+    q.awaitTermination(120)
+    assert len(rows) == 2
+    metrics = [p["observedMetrics"].get("validation") for p in q.recentProgress if p["observedMetrics"]]
+    assert metrics and metrics[0]["invalid_rows"] == 1
