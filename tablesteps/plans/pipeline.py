@@ -64,6 +64,7 @@ class Step:
     title: str
     fn: Callable[[DataFrame], DataFrame]
     code: str | None = None
+    order_dependent: bool = False
 
     def __post_init__(self):
         if self.kind not in STEP_KINDS:
@@ -129,12 +130,12 @@ class Pipeline:
     def take(self, n: int, title: str | None = None) -> "Pipeline":
         """T4 Take(n) in the current order."""
         keys = self._order()
-        return self.add(Step("Filter", title or f"Take {n}", lambda df: R.take(df, n, keys)))
+        return self.add(Step("Filter", title or f"Take {n}", lambda df: R.take(df, n, keys), order_dependent=True))
 
     def skip(self, n: int, title: str | None = None) -> "Pipeline":
         """T5 Skip(n) in the current order."""
         keys = self._order()
-        return self.add(Step("Filter", title or f"Skip {n}", lambda df: R.skip(df, n, keys)))
+        return self.add(Step("Filter", title or f"Skip {n}", lambda df: R.skip(df, n, keys), order_dependent=True))
 
     def distinct(self, title: str = "Distinct") -> "Pipeline":
         return self.add(Step("Filter", title, R.distinct_rows))
@@ -142,7 +143,7 @@ class Pipeline:
     def remove_duplicates(self, key: str, title: str | None = None) -> "Pipeline":
         """First row per key in the current order."""
         keys = self._order()
-        return self.add(Step("Filter", title or f"Remove duplicates by {key}", lambda df: R.remove_duplicates(df, key, keys)))
+        return self.add(Step("Filter", title or f"Remove duplicates by {key}", lambda df: R.remove_duplicates(df, key, keys), order_dependent=True))
 
     def fill_missing(self, column: str, value, title: str | None = None) -> "Pipeline":
         return self.add(Step("Select", title or f"Fill {column}", lambda df: R.fill_missing(df, column, value)))
@@ -156,7 +157,7 @@ class Pipeline:
     def batch(self, size: int, title: str | None = None) -> "Pipeline":
         """Rows unchanged plus their batch number in the current order."""
         keys = self._order()
-        return self.add(Step("Select", title or f"Batch {size}", lambda df: R.batch_ids(df, size, keys)))
+        return self.add(Step("Select", title or f"Batch {size}", lambda df: R.batch_ids(df, size, keys), order_dependent=True))
 
     def validate(self, validator: Validator, mode: str = "skip", title: str = "Validate") -> "Pipeline":
         return self.add(Step("Filter", title, lambda df: validate(df, validator, mode)))

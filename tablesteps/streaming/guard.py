@@ -29,7 +29,7 @@ class NotStreamable(ValueError):
 def check_streamable(pipeline) -> None:
     """Raise when a pipeline step cannot run on an unbounded input."""
     for i, s in enumerate(pipeline.steps, start=1):
-        if s.kind in REFUSED_KINDS:
+        if s.kind in REFUSED_KINDS or getattr(s, "order_dependent", False):
             raise NotStreamable(f"step {i} ({s.kind}: {s.title}) needs the whole input; run it per batch instead")
 
 

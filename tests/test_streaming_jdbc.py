@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tablesteps.operators.order import asc
 from tablesteps.operators.validate import Validator, validate
 from tablesteps.plans.pipeline import Pipeline
 from tablesteps.sinks.jdbc import column_types, truncate, write_jdbc
@@ -30,6 +31,9 @@ def test_stream_csv_with_row_steps(spark, tmpdir_shared):
     assert sorted(seen) == [1, 3]
     with pytest.raises(NotStreamable):
         check_streamable(Pipeline(stream).sort(["id"]))
+    with pytest.raises(NotStreamable):
+        check_streamable(Pipeline(stream, order=()).filter("id > 0").add(
+            Pipeline(stream, order=(asc("id"),)).take(3).steps[0]))
 
 
 def derby(spark, name):
