@@ -30,6 +30,7 @@ from tablesteps.sources.files import list_files
 
 # Reference defaults and delimiter detection.
 DEFAULT_DELIMITER = ","
+DEFAULT_BUFFER_SIZE = 65_536
 DETECT_CANDIDATES = (",", ";", "\t", "|")
 DETECT_LINES = 5
 NO_HEADER_PREFIX = "Column"
@@ -82,7 +83,12 @@ def read_csv(
     quote: str = '"',
     schema: Mapping[str, str] | None = None,
     multi_line: bool = True,
+    buffer_size: int = DEFAULT_BUFFER_SIZE,
 ) -> DataFrame:
+    """S1/S2 (see the module docstring).  ``buffer_size`` is accepted for
+    compatibility and checked, but Hadoop's readers do their own buffering."""
+    if buffer_size <= 0:
+        raise ValueError("buffer size must be greater than zero")
     if delimiter is None:
         delimiter = detect_delimiter(spark, path, encoding)
     if not delimiter:

@@ -100,3 +100,12 @@ def test_writer_formats(spark, tmpdir_shared):
         open(os.path.join(out, f), encoding="utf-8").read() for f in sorted(os.listdir(out)) if f.startswith("part-")
     )
     assert "2020-01-02 03:04:05,true,,\"a\"\"b\"" in text
+
+
+def test_buffer_size_checked(spark, tmpdir_shared):
+    import pytest
+
+    p = put(tmpdir_shared, "b.csv", "a\n1\n")
+    assert read_csv(spark, p, buffer_size=1).count() == 1
+    with pytest.raises(ValueError):
+        read_csv(spark, p, buffer_size=0)
