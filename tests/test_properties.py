@@ -90,3 +90,35 @@ def test_upsert_keeps_keys_unique(spark, target, source):
     got = {r.k: r.a for r in U.upsert_update(t, s, ["k"], [asc("seq")]).collect()}
     for k, a in last.items():
         assert got[k] == a
+
+
+@SETTINGS
+@given(
+    st.lists(st.tuples(st.integers(0, 5), st.integers(-1000, 1000)), min_size=1, max_size=60, unique=True),
+    st.integers(1, 7),
+)
+def test_row_index_is_dense_and_ordered(spark, data, parts):
+    from tablesteps.operators.order import desc, with_row_index
+
+    df = spark.createDataFrame(data, "g int, v int").repartition(parts)
+    idx = with_row_index(df, [asc("g"), desc("v")]).collect()
+    expect = sorted(data, key=lambda t: (t[0], -t[1]))
+    got = sorted(idx, key=lambda r: r.row_index)
+    assert [r.row_index for r in got] == list(range(len(data)))
+    assert [(r.g, r.v) for r in got] == expect
+
+
+@SETTINGS
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(0, 10**6)), min_size=1, max_size=60, unique_by=lambda t: t[1]),
+    st.integers(1, 5),
+)
+def test_keep_first_matches_brute_force(spark, data, parts):
+    # key 0 is drawn often: a hot key
+    rows = [(0 if i % 3 == 0 else k, v) for i, (k, v) in enumerate(data)]
+    df = spark.createDataFrame(rows, "k int, v long").repartition(parts)
+    got = sorted((r.k, r.v) for r in R.remove_duplicates(df, "k", [asc("v")]).collect())
+    best = {}
+    for k, v in rows:
+        best[k] = min(v, best.get(k, v))
+    assert got == sorted(best.items())
