@@ -62,6 +62,10 @@ def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = True, camel_ca
     )
 
 
-def write_json_object(df: DataFrame, path: str) -> None:
-    """W5 WriteObject: the first row as one JSON object file."""
-    df.limit(1).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_json_object(df: DataFrame, path: str, order=None) -> None:
+    """W5 WriteObject: one row (the first in ``order`` when given) as one
+    JSON object file; a bounded top-1, never the whole table."""
+    from tablesteps.operators.order import sort_columns
+
+    one = df.orderBy(*sort_columns(order)).limit(1) if order else df.limit(1)
+    one.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
