@@ -195,7 +195,7 @@ def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
         if t is None or t == "string":
             out.append(F.col(f"`{c}`"))
         elif t == "boolean":
-            out.append(F.lower(F.col(f"`{c}`")).cast("boolean").alias(c))
+            out.append(F.lower(F.col(f"`{c}`")).try_cast("boolean").alias(c))
         elif t == "timestamp_ntz":
             out.append(text_timestamp(F.col(f"`{c}`")).alias(c))
         else:  # every cell is known to convert: a plain cast

@@ -109,3 +109,9 @@ def test_buffer_size_checked(spark, tmpdir_shared):
     assert read_csv(spark, p, buffer_size=1).count() == 1
     with pytest.raises(ValueError):
         read_csv(spark, p, buffer_size=0)
+
+
+def test_user_schema_bad_cells_become_null(spark, tmpdir_shared):
+    p = put(tmpdir_shared, "us.csv", "n,b\n1,true\nx,maybe\n")
+    rows = sorted(read_csv(spark, p, schema={"n": "int", "b": "boolean"}).collect(), key=lambda r: str(r.n))
+    assert [(r.n, r.b) for r in rows] == [(1, True), (None, None)]
