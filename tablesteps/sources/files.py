@@ -88,7 +88,7 @@ def list_objects(spark: SparkSession, prefix: str) -> DataFrame:
 
 def read_text_object(spark: SparkSession, uri: str) -> DataFrame:
     """S26 ReadText: one row per object with its whole text."""
-    return spark.read.option("wholetext", "true").text(uri).select(
+    return spark.read.text(uri, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
 

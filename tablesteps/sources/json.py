@@ -50,7 +50,7 @@ def _read_mixed(spark: SparkSession, path: str) -> DataFrame:
 
     from tablesteps.sources.rest import items_to_table
 
-    doc = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
+    doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     elems = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     items = doc.select(F.posexplode(elems).alias("item_index", "e")).select(
         F.lit(1).cast("long").alias("page"),

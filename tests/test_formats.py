@@ -207,3 +207,36 @@ def test_document_query_builder(spark):
     q = DocumentQuery().where("g", 0).where("g", 1).sort("_id", -1).skip(1).limit(2).project("name")
     assert [r.name for r in q.run(coll).collect()] == ["n4", "n1"]
     assert q.run(coll).columns == ["name"]
+
+
+def test_files_helpers(spark, tmpdir_shared):
+    from tablesteps.sources import files as FS
+
+    assert FS.s3_uri("b", "/k/x.csv") == "s3a://b/k/x.csv"
+    assert FS.azure_uri("acct", "cont", "p/x.csv") == "abfss://cont@acct.dfs.core.windows.net/p/x.csv"
+    assert FS.gcs_uri("b", "x.csv") == "gs://b/x.csv"
+    assert FS.object_store_settings("s3", access_key="a", region="r") == {
+        "fs.s3a.access.key": "a",
+        "fs.s3a.endpoint.region": "r",
+    }
+    put(tmpdir_shared, "objs/a.txt", "hello\nworld")
+    put(tmpdir_shared, "objs/sub/b.txt", "x")
+    listing = FS.list_objects(spark, os.path.join(tmpdir_shared, "objs")).collect()
+    assert sorted(os.path.basename(r.path) for r in listing) == ["a.txt", "b.txt"]
+    text = FS.read_text_object(spark, os.path.join(tmpdir_shared, "objs", "a.txt")).first()
+    assert text.text == "hello\nworld"
+    with pytest.raises(ValueError):
+        FS.kind_of("x.parquet")
+
+
+def test_read_any_dispatch(spark, tmpdir_shared):
+    from tablesteps.sources.files import read_any
+
+    p = put(tmpdir_shared, "any/t.jsonl", '{"a":1}\n{"a":2}\n')
+    assert read_any(spark, p).count() == 2
+    df = spark.range(0, 30)
+    out = os.path.join(tmpdir_shared, "any", "db.sqlite")
+    write_sqlite(df.coalesce(1), out, "nums", single_file=True).collect()
+    shard = [f for f in os.listdir(out) if f.endswith(".db")][0]
+    back = read_any(spark, os.path.join(out, shard))
+    assert back.count() == 30
