@@ -62,3 +62,39 @@ def test_release_cached(spark):
     R.batch_ids(df, 10, [asc("id")]).count()
     assert release_cached(spark) == 1
     assert release_cached(spark) == 0
+
+
+def test_arrival_order_keep_first(spark, tmpdir_shared):
+    import os
+
+    from tablesteps.operators import rows as R
+    from tablesteps.operators.order import ARRIVAL_COLUMNS, with_arrival_order
+
+    folder = os.path.join(tmpdir_shared, "arrival")
+    os.makedirs(folder)
+    # two files; within each, later lines repeat earlier keys
+    with open(os.path.join(folder, "a.csv"), "w") as fh:
+        fh.write("k,v\n" + "".join(f"{i % 5},{i}\n" for i in range(50)))
+    with open(os.path.join(folder, "b.csv"), "w") as fh:
+        fh.write("k,v\n" + "".join(f"{i % 7},{100 + i}\n" for i in range(20)))
+    raw = spark.read.option("header", True).schema("k int, v int").csv(folder)
+    tagged = with_arrival_order(raw)
+    first = R.remove_duplicates(tagged, "k", list(ARRIVAL_COLUMNS)).select("k", "v")
+    got = dict((r.k, r.v) for r in first.collect())
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 105, 6: 106}
+
+
+def test_pipeline_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from tablesteps.functions.json_path import parse_path
+    from tablesteps.plans.pipeline import Step, check_step, sequence_ops, sort_spec
+
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a")], "id int, name string")
+    assert check_step(df, Step("Code", "ok", lambda d: d.select("id"))) is None
+    assert "nope" in check_step(df, Step("Code", "bad", lambda d: d.select("nope")))
+    ops = sequence_ops(df)
+    assert ops["any"]() and ops["count"]() == 3 and ops["columns"]() == ["id", "name"] and ops["clone"]().count() == 0
+    ordered = df.orderBy(*sort_spec([("name", "ASC"), ("id", "DESC")]))
+    assert [r.id for r in ordered.collect()] == [3, 2, 1]
+    assert parse_path("$.data.items[0][*].x") == ["data", "items", 0, "*", "x"]

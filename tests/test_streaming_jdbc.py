@@ -79,3 +79,12 @@ def test_stream_validation_log_metrics(spark, tmpdir_shared):
     assert len(rows) == 2
     metrics = [p["observedMetrics"].get("validation") for p in q.recentProgress if p["observedMetrics"]]
     assert metrics and metrics[0]["invalid_rows"] == 1
+
+
+def test_jdbc_bulk(spark):
+    from tablesteps.sinks.jdbc import write_jdbc_bulk
+
+    url = derby(spark, "derby-bulk")
+    df = spark.range(0, 3000).selectExpr("id", "cast(id as string) as s")
+    write_jdbc_bulk(df, url, "B1", mode="overwrite", dialect="derby")
+    assert read_jdbc(spark, url, table="B1").count() == 3000
