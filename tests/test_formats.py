@@ -240,3 +240,64 @@ def test_read_any_dispatch(spark, tmpdir_shared):
     shard = [f for f in os.listdir(out) if f.endswith(".db")][0]
     back = read_any(spark, os.path.join(out, shard))
     assert back.count() == 30
+
+
+def test_workbook_sheet_and_range(spark, tmpdir_shared):
+    import zipfile
+
+    from tablesteps.sinks import workbook as W
+
+    def sheet(rows):
+        body = "".join(
+            f'<row r="{r}">' + "".join(f'<c r="{c}{r}"><v>{v}</v></c>' for c, v in cells) + "</row>"
+            for r, cells in rows
+        )
+        return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+
+    wb_xml = (
+        '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+        'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
+        '<sheet name="First" sheetId="1" r:id="rId1"/><sheet name="Second" sheetId="2" r:id="rId3"/></sheets></workbook>'
+    )
+    rels = W._WB_RELS.replace(
+        "</Relationships>",
+        '<Relationship Id="rId3" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
+    )
+    out = os.path.join(tmpdir_shared, "two")
+    os.makedirs(out)
+    with zipfile.ZipFile(os.path.join(out, "t.xlsx"), "w") as z:
+        z.writestr("[Content_Types].xml", W._CONTENT_TYPES)
+        z.writestr("_rels/.rels", W._ROOT_RELS)
+        z.writestr("xl/workbook.xml", wb_xml)
+        z.writestr("xl/_rels/workbook.xml.rels", rels)
+        z.writestr("xl/styles.xml", W._STYLES)
+        z.writestr("xl/worksheets/sheet1.xml", sheet([(1, [("A", 1)])]))
+        z.writestr("xl/worksheets/sheet2.xml", sheet([(1, [("A", 9), ("B", 8), ("C", 7)]), (2, [("A", 6), ("B", 5), ("C", 4)]), (3, [("A", 3), ("B", 2), ("C", 1)])]))
+    first = read_workbooks(spark, out + "/*.xlsx", header=False)
+    assert [tuple(r) for r in first.collect()] == [(1,)]
+    by_name = read_workbooks(spark, out + "/*.xlsx", sheet="Second", header=False)
+    assert by_name.count() == 3 and by_name.columns == ["Column1", "Column2", "Column3"]
+    by_index = read_workbooks(spark, out + "/*.xlsx", sheet=1, header=False, cell_range=(2, 2, 3, 3))
+    assert by_index.columns == ["Column1", "Column2"]
+    assert sorted(tuple(r) for r in by_index.collect()) == [(2, 1), (5, 4)]
+
+
+def test_json_comments_and_object_file(spark, tmpdir_shared):
+    import glob
+
+    from tablesteps.operators.order import desc
+    from tablesteps.sinks.files import write_json_object
+
+    p = put(tmpdir_shared, "c.json", '/* header */\n[{"a": 1}, // one\n {"a": 2}]')
+    assert sorted(r.a for r in read_json(spark, p).collect()) == [1, 2]
+    out = os.path.join(tmpdir_shared, "obj")
+    write_json_object(spark.range(0, 10), out, [desc("id")])
+    text = open(glob.glob(out + "/part-*")[0]).read().strip()
+    assert json.loads(text) == {"id": 9}
+
+
+def test_indexed_sorted(spark):
+    from tablesteps.operators.order import indexed_sorted
+
+    df = spark.createDataFrame([(3,), (1,), (2,)], "x int").repartition(2)
+    assert [(r.x, r.row_index) for r in indexed_sorted(df, [asc("x")]).collect()] == [(1, 0), (2, 1), (3, 2)]
