@@ -301,3 +301,10 @@ def test_indexed_sorted(spark):
 
     df = spark.createDataFrame([(3,), (1,), (2,)], "x int").repartition(2)
     assert [(r.x, r.row_index) for r in indexed_sorted(df, [asc("x")]).collect()] == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_workbook_writer_splits_at_max_rows(spark, tmpdir_shared):
+    out = os.path.join(tmpdir_shared, "split")
+    res = write_workbooks(spark.range(0, 5).coalesce(1), out, max_rows=2).collect()
+    assert sorted(r.rows for r in res) == [1, 2, 2]
+    assert read_workbooks(spark, out + "/*.xlsx").count() == 5

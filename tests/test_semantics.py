@@ -227,3 +227,23 @@ def test_small_source_keeps_target_in_place(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     got = {r.k: r.a for r in out.collect()}
     assert len(got) == 5001 and got[3] == "z" and got[9999] == "n"
+
+
+def test_custom_aggregate_salted_path(spark):
+    import pandas as pd
+
+    from tablesteps.operators.grouping import custom_aggregate
+
+    rows = [("hot" if i % 3 else "cold", float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+
+    def partial(pdf):
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [pdf["v"].sum()], "n": [len(pdf)]})
+
+    def merge(pdf):
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "mean": [pdf["s"].sum() / pdf["n"].sum()]})
+
+    out = {r.k: r.mean for r in custom_aggregate(df, ["k"], partial, "k string, s double, n long", merge, "k string, mean double", salt=8).collect()}
+    hot = [v for k, v in rows if k == "hot"]
+    cold = [v for k, v in rows if k == "cold"]
+    assert out == {"hot": sum(hot) / len(hot), "cold": sum(cold) / len(cold)}
