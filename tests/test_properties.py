@@ -122,3 +122,28 @@ def test_keep_first_matches_brute_force(spark, data, parts):
     for k, v in rows:
         best[k] = min(v, best.get(k, v))
     assert got == sorted(best.items())
+
+
+def _rename_model(cols, values, old, new):
+    """Case-insensitive dictionary: a name keeps its first spelling and
+    position; a later write to the same name replaces the value."""
+    out = {}
+    spelled = {}
+    for c, v in zip(cols, values):
+        target = new if c.lower() == old.lower() else c
+        key = target.lower()
+        if key not in out:
+            spelled[key] = target
+        out[key] = v
+    return [spelled[k] for k in out], list(out.values())
+
+
+@SETTINGS
+@given(names, st.sampled_from(["a", "B", "c", "zz"]), st.sampled_from(["A", "b", "d", "C"]))
+def test_rename_matches_dictionary_model(spark, cols, old, new):
+    values = list(range(len(cols)))
+    df = spark.createDataFrame([tuple(values)], ",".join(f"{c} int" for c in cols))
+    out = R.rename_column(df, old, new)
+    exp_cols, exp_vals = _rename_model(cols, values, old, new)
+    assert out.columns == exp_cols
+    assert list(out.first()) == exp_vals
