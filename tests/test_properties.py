@@ -147,3 +147,47 @@ def test_rename_matches_dictionary_model(spark, cols, old, new):
     exp_cols, exp_vals = _rename_model(cols, values, old, new)
     assert out.columns == exp_cols
     assert list(out.first()) == exp_vals
+
+
+import re as _re
+
+_EMAIL = _re.compile(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")
+
+
+def _summary_model(email, age, code):
+    errs = []
+    if email is None or email.strip() == "":
+        errs.append("email: Field is required")
+    if email is not None and not _EMAIL.search(email):
+        errs.append("email: Invalid email format")
+    if age is not None:
+        try:
+            x = float(age)
+            if x < 0 or x > 120:
+                errs.append("age: Value must be between 0 and 120")
+        except ValueError:
+            errs.append("age: Value must be numeric")
+    if code is not None and code not in ("A", "B"):
+        errs.append("code: Value must be one of: A, B")
+    if code is not None and len(code) > 3:
+        errs.append("code: Maximum length is 3 characters")
+    return "; ".join(errs) or "Valid"
+
+
+text = st.text(alphabet="abc@.AB0123 -", max_size=10)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), text), st.one_of(st.none(), text), st.one_of(st.none(), text)), min_size=1, max_size=30))
+def test_validation_matches_rule_model(spark, data):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id int, email string, age string, code string")
+    rules = (
+        Validator()
+        .column("email").required().email()
+        .column("age").range(0, 120)
+        .column("code").is_in(["A", "B"]).max_length(3)
+        .validator
+    )
+    got = {r.id: r.summary for r in validate_with_results(df, rules).collect()}
+    for i, (e, a, c) in enumerate(data):
+        assert got[i] == _summary_model(e, a, c), (e, a, c)
