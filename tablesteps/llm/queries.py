@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,30 @@ def sha256_of(text) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+@query(
+    "op1_line_dedup",
+    r"""
+WITH lines AS (
+  SELECT doc_id, line, pos,
+         trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+        FROM documents)),
+repeated AS (SELECT k, min(doc_id) AS owner FROM lines WHERE length(k) >= 10
+             GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT l.doc_id, l.line, l.pos, coalesce(r.owner <> l.doc_id, false) AS lost
+           FROM lines l LEFT JOIN repeated r ON l.k = r.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+)
+def op1(spark, d):
+    out = line_dedup.drop_repeated_lines(table(spark, d, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark, d):
     return simhash.near_groups(table(spark, d, "documents"))
