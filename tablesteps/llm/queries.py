@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, simhash
+from . import decontaminate, language_id, line_dedup, simhash
+from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +62,13 @@ def op5(spark, d):
     return simhash.near_groups(table(spark, d, "documents"))
 
 
+@query("op8_language_id")
+def op8(spark, d):
+    docs = table(spark, d, "documents")
+    out = language_id.predict(docs, language_id.train(docs), ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_benchmark_decontamination")
 def op9(spark, d):
     found = decontaminate.find_matches(table(spark, d, "documents"), table(spark, d, "benchmark"), ["doc_id"])
