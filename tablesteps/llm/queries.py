@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, simhash
+from . import decontaminate, language_id, line_dedup, sentencepiece, simhash
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Vocabulary file of a public tokenizer that comes with the installation (a parameter of the operator).
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -57,6 +61,18 @@ def op1(spark, d):
     return out.select("doc_id", "n_lines", "n_dropped", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
+@query("op2_sentencepiece")
+def op2(spark, d):
+    coded = sentencepiece.encode(table(spark, d, "documents"), PIECE_MODEL, ["doc_id"])
+    out = sentencepiece.decode(coded, PIECE_MODEL, ["doc_id", "piece_ids"])
+    return out.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        sha256_of(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark, d):
     return simhash.near_groups(table(spark, d, "documents"))
