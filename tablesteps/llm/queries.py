@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, sentencepiece, simhash
+from . import decontaminate, exact_dedup, language_id, line_dedup, quality, sentencepiece, simhash
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,20 @@ def op5(spark, d):
     return simhash.near_groups(table(spark, d, "documents"))
 
 
+@query(
+    "op6_exact_dedup",
+    r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+g AS (SELECT doc_id, bare, first_value(doc_id) OVER (PARTITION BY bare ORDER BY chars DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY bare) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM g
+""",
+)
+def op6(spark, d):
+    return exact_dedup.exact_groups(table(spark, d, "documents"))
+
+
 @query("op8_language_id")
 def op8(spark, d):
     docs = table(spark, d, "documents")
@@ -99,3 +113,11 @@ def op9(spark, d):
         F.col("longest").alias("longest_match"),
         F.col("longest_at"),
     )
+
+
+@query("op10_quality_classifier")
+def op10(spark, d):
+    docs = table(spark, d, "documents")
+    out = quality.score(docs, quality.train(docs, table(spark, d, "labels")), ["doc_id"])
+    good = (F.col("score") >= quality.GOOD).cast("int")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", good.alias("predicted"))
