@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
 from .common import blocks_of, map_text, quoted, saved, texts_of
+from .suffixes import suffix_array
 
 WINDOW = 10
 #: Bytes of test text in one block: bounds what a task holds of the test set.
@@ -120,33 +121,6 @@ def candidates(test: TestSet, tokens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def suffix_array(tokens: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The positions ordered by the ``depth`` words that follow; ranks are refined
-    three words at a time, and only suffixes that still tie are sorted again."""
-    order = at
-    rank = np.zeros(len(at), dtype=np.int64)
-    ties = np.arange(len(at))
-    for step in range(0, depth, 3):
-        part = order[ties]
-        key = [tokens[part + step + j] for j in (2, 1, 0)]
-        turn = np.lexsort((*key, rank[ties]))
-        order[ties] = part[turn]
-        part = order[ties]
-        same = rank[ties][1:] == rank[ties][:-1]
-        live = tokens[part[1:] + step] != 0
-        for j in range(3):
-            same &= tokens[part[1:] + step + j] == tokens[part[:-1] + step + j]
-        heads = np.concatenate([[True], ~same])
-        rank[ties] = ties[np.maximum.accumulate(np.where(heads, np.arange(len(ties)), 0))]
-        more = np.zeros(len(ties), dtype=bool)
-        more[1:] |= same & live
-        more[:-1] |= same & live
-        ties = ties[more]
-        if not len(ties):
-            break
-    return order
-
-
 def search(test: TestSet, tokens: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each test suffix the range of training suffixes that share its whole window (vectorised binary search)."""
     width = test.widths[queries]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, quality, sentencepiece, simhash
+from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, line_dedup, quality, sentencepiece, simhash
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,22 @@ def op2(spark, d):
     )
 
 
+@query("op3_license_scan")
+def op3(spark, d):
+    out = license_scan.scan(table(spark, d, "documents"), ["doc_id"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+        F.array_join("detected", ",").alias("detected"),
+    )
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark, d):
     return simhash.near_groups(table(spark, d, "documents"))
@@ -92,6 +108,12 @@ def op6(spark, d):
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
 
+@query("op7_html_extraction")
+def op7(spark, d):
+    out = html_extract.extract(table(spark, d, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
+
+
 @query("op8_language_id")
 def op8(spark, d):
     docs = table(spark, d, "documents")
