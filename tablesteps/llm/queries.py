@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, line_dedup, quality, sentencepiece, simhash
+from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,8 +63,7 @@ def op1(spark, d):
 
 @query("op2_sentencepiece")
 def op2(spark, d):
-    coded = sentencepiece.encode(table(spark, d, "documents"), PIECE_MODEL, ["doc_id"])
-    out = sentencepiece.decode(coded, PIECE_MODEL, ["doc_id", "piece_ids"])
+    out = sentencepiece.encode_and_decode(table(spark, d, "documents"), PIECE_MODEL, ["doc_id"])
     return out.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
@@ -89,6 +88,23 @@ def op3(spark, d):
     )
 
 
+@query("op4_pii")
+def op4(spark, d):
+    docs = table(spark, d, "documents")
+    out = pii.sanitise(docs, pii.find_spans(docs), ["doc_id"])
+    return out.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        "n_term",
+        sha256_of(F.col("base_spans")).alias("base_sha256"),
+        "spans",
+        sha256_of(F.col("clean")).alias("clean_sha256"),
+    )
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark, d):
     return simhash.near_groups(table(spark, d, "documents"))
@@ -121,7 +137,40 @@ def op8(spark, d):
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-@query("op9_benchmark_decontamination")
+@query(
+    "op9_benchmark_decontamination",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS ipos
+       FROM b WHERE len(ws) > 0),
+bw AS (SELECT item_id, k, ipos, array_to_string(ws[ipos:ipos + k - 1], ' ') AS win FROM bi),
+di AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM bw) AS ks),
+dw AS (SELECT doc_id, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') AS win FROM di),
+m AS (SELECT DISTINCT dw.doc_id, dw.pos, dw.k, bw.item_id, bw.ipos FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM m) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, k, pos - ipos ORDER BY pos) AS run FROM m),
+runs AS (SELECT doc_id, min(pos) - 1 AS first_at, count(*) + min(k) - 1 AS n
+         FROM g GROUP BY doc_id, item_id, k, pos - ipos, run),
+top AS (SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id),
+best AS (SELECT r.doc_id, min(r.n) AS longest, min(r.first_at) AS longest_at
+         FROM runs r JOIN top t ON r.doc_id = t.doc_id AND r.n = t.longest GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+       sha256(coalesce(its.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(best.longest, 0) AS BIGINT) AS longest_match, CAST(coalesce(best.longest_at, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+LEFT JOIN best ON d.doc_id = best.doc_id
+""",
+)
 def op9(spark, d):
     found = decontaminate.find_matches(table(spark, d, "documents"), table(spark, d, "benchmark"), ["doc_id"])
     hit = decontaminate.n_hit()
