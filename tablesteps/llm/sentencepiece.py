@@ -17,7 +17,7 @@ and the best arc is stored as a backpointer.
 Words are cut before every space, at characters the model lacks (they
 become byte pieces), and between two characters that no piece holds side
 by side: no piece crosses such a place, so the parts are independent.
-A task remembers the encoded words (``KNOWN_WORDS`` at most), since few
+A worker process remembers encoded words (see ``KNOWN_WORDS``), since few
 different words make up most of a text.
 
 Models: unigram or BPE with byte fallback, identity normalisation and a
@@ -31,7 +31,9 @@ for U+2581, which the format uses for a space and decodes as one.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,8 +47,10 @@ from tablesteps.session import ship_package
 from .common import SLICE_ROWS, map_text, quoted, texts_of
 
 SPACE = "▁"
-#: Words a task remembers before it starts anew (bounds its memory).
-KNOWN_WORDS = 250_000
+_SPACE = SPACE.encode()
+#: Words a process remembers in each of two generations: when the younger is full it becomes
+#: the elder, and the elder's words that are not met again are forgotten (bounds its memory).
+KNOWN_WORDS = 150_000
 #: Characters of new words advanced in one batch.
 BATCH_CHARS = 1 << 18
 #: Longer parts, and fewer parts of one length, are walked one by one: a batch gains nothing there.
@@ -99,8 +103,12 @@ class Pieces:
         if any(self.score[i] > lowest for i in self.runs.values()):
             raise ValueError("a run of spaces ranks above a word's pieces")
         self.letters = sorted({c for p in self.ids for c in p})
+        self.lines = "\n" not in self.letters  # a line break is a place to cut
+        self.kind = np.uint16 if len(self.raw) <= 1 << 16 else np.int32  # of remembered ids
+        self.name = f"{os.path.abspath(path)}:{hashlib.sha256(model.SerializeToString()).hexdigest()}"
         if any(c not in self.ids for c in self.letters):
             raise ValueError("a character of a piece is no piece itself")
+        self.single = np.array([-1, *[self.ids[c] for c in self.letters]], dtype=np.int64)
         self._keys()
         if self.merges:
             self._merge_tables()
@@ -221,15 +229,21 @@ def merged(symbols: list[int], model: Pieces, runs: bool = False) -> tuple[list[
     return [model.ids[t] for t in text if t], last
 
 
-def parts_of(text: bytes) -> list[bytes]:
-    """What stands between spaces; every part follows one (the first the dummy prefix)."""
-    return text.replace(SPACE.encode(), b" ").split(b" ") if text else []
+def parts_of(text: bytes, lines: bool) -> list[bytes]:
+    """What stands between spaces; every part follows one (the first the dummy prefix).
 
+    With ``lines`` a part also begins at a line break; it then follows no space.
+    """
+    if not text:
+        return []
+    text = text.replace(_SPACE, b" ")
+    return (text.replace(b"\n", b" \n") if lines else text).split(b" ")
 
-def parts_with_runs(text: bytes) -> list[bytes]:
+
+def parts_with_runs(text: bytes, lines: bool) -> list[bytes]:
     """The same, with the further spaces of a run kept before the part that they precede."""
     out, held = [], 0
-    for part in parts_of(text):
+    for part in parts_of(text, lines):
         if part:
             out.append(b" " * held + part)
         held = 0 if part else held + 1
@@ -237,53 +251,54 @@ def parts_with_runs(text: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """The state of one task: remembered words and pairs."""
+    """What a process keeps between texts: remembered words and pairs."""
 
     def __init__(self, model: Pieces):
         self.model = model
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.run_ids: dict[int, bytes] = {}
-        self.space = model.ids[SPACE]
+        self.space = model.kind(model.ids[SPACE]).tobytes()
         self.pair_key = np.full(PAIR_SLOTS, -1, dtype=np.int64)
         self.pair_ok = np.zeros(PAIR_SLOTS, dtype=bool)
         self.pairs: dict[int, bool] = {}  # the same for parts walked alone
 
     # ---- texts
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = parts_of if self.model.merges else parts_with_runs
-        words = [split(t) for t in texts]
-        known = self.known
-        new = {w for row in words for w in row if w not in known}
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = {w for row in words for w in row}
-        if new:
-            self._learn(sorted(new))
+        m = self.model
+        split = parts_of if m.merges else parts_with_runs
+        words = [split(t, m.lines) for t in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*words).difference(known)
+        met = new.intersection(older)
+        known.update((w, older[w]) for w in met)
+        self._learn(list(new - met))
         out = []
         for row in words:
-            flat = self._with_runs(row) if self.model.merges and b"" in row else b"".join(map(known.__getitem__, row))
-            out.append(np.frombuffer(flat, dtype=np.int32))
+            flat = self._with_runs(row) if m.merges and b"" in row else b"".join(map(known.__getitem__, row))
+            out.append(np.frombuffer(flat, dtype=m.kind))
         return out
 
     def _with_runs(self, row: list[bytes]) -> bytes:
         """Each part stands for a space and a word; empty parts are spaces of a run, which merge last."""
         parts, held = [], 0
-        single = np.int32(self.space).tobytes()
         for w in row:
             if not w:
                 held += 1
                 continue
             ids = self.known[w]
-            if held and ids.startswith(single):  # the word left its own space alone: it joins the run
-                held, ids = held + 1, ids[4:]
+            if held and ids.startswith(self.space):  # the word left its own space alone: it joins the run
+                held, ids = held + 1, ids[len(self.space) :]
             parts += [self._run(held), ids]
             held = 0
         return b"".join([*parts, self._run(held)])
 
     def _run(self, n: int) -> bytes:
         if n not in self.run_ids:
-            ids = merged([self.space] * n, self.model, runs=True)[0]
-            self.run_ids[n] = np.array(ids, dtype=np.int32).tobytes()
+            ids = merged([self.model.ids[SPACE]] * n, self.model, runs=True)[0]
+            self.run_ids[n] = np.array(ids, dtype=self.model.kind).tobytes()
         return self.run_ids[n]
 
     # ---- words
@@ -297,12 +312,12 @@ class Encoder:
 
     def _learn_batch(self, words: list[bytes]) -> None:
         m = self.model
-        text = [SPACE + w.decode("utf-8", "surrogateescape").replace(" ", SPACE) for w in words]
-        lengths = np.array([len(t) for t in text], dtype=np.int64)
+        text = [self._whole(w) for w in words]
+        ends = np.cumsum([len(t) for t in text])
         code = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         char = m.char[code]
         first = np.zeros(len(code) + 1, dtype=bool)  # where a part begins
-        first[np.cumsum(lengths)] = True
+        first[ends] = True
         first[0] = True
         if len(code):
             pair = char[:-1].astype(np.int64) << 32 | char[1:]
@@ -310,37 +325,43 @@ class Encoder:
             first[1:-1] |= m.beside[at] != pair
         begins = np.flatnonzero(first[:-1])
         sizes = np.diff(np.append(begins, len(code)))
-        counts = np.zeros(len(begins), dtype=np.int64)
-        out = np.zeros(len(code), dtype=np.int32)  # ids of a part from the place where it begins
+        out = np.full(len(code), -1, dtype=np.int64)  # ids of a part from the place where it begins
         for size in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == size)
+            rows = begins[sizes == size]
             if size == 1:
-                got = m.char[code[begins[rows]]]
-                rows = rows[got > 0]
-                out[begins[rows]] = m_ids(m)[got[got > 0]]
-                counts[rows] = 1
+                out[rows] = m.single[char[rows]]
             elif size > LONG_PART or len(rows) < FEW_PARTS:
-                for r in rows.tolist():
-                    ids = self._walk_one("".join(map(chr, code[begins[r] : begins[r] + size].tolist())))
-                    out[begins[r] : begins[r] + len(ids)] = ids
-                    counts[r] = len(ids)
+                for b in rows.tolist():
+                    ids = self._walk_one("".join(map(chr, code[b : b + size].tolist())))
+                    out[b : b + len(ids)] = ids
             else:
                 step = max(1, BATCH_CHARS // size)
                 for cut in range(0, len(rows), step):
-                    part = rows[cut : cut + step]
-                    ids, n = self._walk(char[begins[part][:, None] + np.arange(size)])
-                    out[begins[part][:, None] + np.arange(size)] = ids
-                    counts[part] = n
-        word_of = np.searchsorted(np.cumsum(lengths), begins, side="right")
-        pieces: list[list[bytes]] = [[] for _ in words]
-        for w, b, n in zip(word_of.tolist(), begins.tolist(), counts.tolist()):
-            if n:
-                pieces[w].append(out[b : b + n].tobytes())
-            else:  # a character the model lacks
-                raw = chr(code[b]).encode("utf-8", "surrogateescape")
-                pieces[w].append(m.bytes[np.frombuffer(raw, dtype=np.uint8)].tobytes())
-        for w, p in zip(words, pieces):
-            self.known[w] = b"".join(p)
+                    places = rows[cut : cut + step][:, None] + np.arange(size)
+                    out[places] = self._walk(char[places])
+        lost = np.flatnonzero(char == 0)  # characters the model lacks
+        used = out >= 0
+        upto = np.concatenate([[0], np.cumsum(used)])
+        stops = upto[ends] * np.dtype(m.kind).itemsize
+        starts = np.concatenate([[0], stops[:-1]])
+        flat = out[used].astype(m.kind).tobytes()
+        self.known.update(zip(words, (flat[a:b] for a, b in zip(starts.tolist(), stops.tolist()))))
+        begin = np.concatenate([[0], ends])
+        for k in np.unique(np.searchsorted(ends, lost, side="right")).tolist():
+            parts = []
+            for p in range(int(begin[k]), int(begin[k + 1])):
+                if char[p] == 0:
+                    raw = chr(code[p]).encode("utf-8", "surrogateescape")
+                    parts.append(m.bytes[np.frombuffer(raw, dtype=np.uint8)])
+                elif out[p] >= 0:
+                    parts.append(out[p : p + 1])
+            self.known[words[k]] = np.concatenate(parts).astype(m.kind).tobytes()
+
+    def _whole(self, part: bytes) -> str:
+        """A part with the space it follows, if any."""
+        word = part.lstrip(b" ")
+        spaces = len(part) - len(word) + (not (self.model.lines and word.startswith(b"\n")))
+        return SPACE * spaces + word.decode("utf-8", "surrogateescape")
 
     def _arcs(self, hashes: np.ndarray, chars: np.ndarray, end: int, size: int) -> np.ndarray:
         """Id of the piece that is each row's substring of ``size`` characters before ``end``; -1 if none."""
@@ -374,13 +395,13 @@ class Encoder:
     def _open_one(self, before: int, i: int) -> bool:
         key = before * len(self.model.raw) + i
         if key not in self.pairs:
-            if len(self.pairs) >= PAIR_SLOTS:
+            if len(self.pairs) >= PAIR_SLOTS >> 4:
                 self.pairs.clear()
             self.pairs[key] = bool(self.model.stay_apart(np.array([before]), np.array([i]))[0])
         return self.pairs[key]
 
-    def _walk(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (from the left of each row) and their number, for words of equal length."""
+    def _walk(self, chars: np.ndarray) -> np.ndarray:
+        """Ids (from the left of each row, then -1) for words of equal length."""
         m = self.model
         n, length = chars.shape
         hashes = np.zeros((n, length + 1), dtype=np.uint64)
@@ -405,7 +426,7 @@ class Encoder:
                     rows = rows[value > best[rows, end]]
                     best[rows, end] = best[rows, end - size] + m.score[ids[rows]]
                 last[rows, end], back[rows, end] = ids[rows], size
-        out = np.zeros((n, length), dtype=np.int32)
+        out = np.full((n, length), -1, dtype=np.int64)
         count = np.zeros(n, dtype=np.int64)
         at = np.full(n, length)
         live = np.arange(n)
@@ -414,8 +435,8 @@ class Encoder:
             count[live] += 1
             at[live] -= back[live, at[live]]
             live = live[at[live] > 0]
-        turn = np.maximum(count[:, None] - 1 - np.arange(length), 0)
-        return np.take_along_axis(out, turn, axis=1), count
+        turn = count[:, None] - 1 - np.arange(length)
+        return np.where(turn >= 0, np.take_along_axis(out, np.maximum(turn, 0), axis=1), -1)
 
     def _walk_one(self, text: str) -> list[int]:
         """The same walk over one long part."""
@@ -445,11 +466,15 @@ class Encoder:
         return ids[::-1]
 
 
-def m_ids(model: Pieces) -> np.ndarray:
-    """Id of each single character, by its number."""
-    if not hasattr(model, "char_ids"):
-        model.char_ids = np.array([0, *[model.ids[c] for c in model.letters]], dtype=np.int32)
-    return model.char_ids
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder_of(model: Pieces) -> Encoder:
+    """The process's encoder for a model; tasks that follow in it go on with what it remembers."""
+    if model.name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.name] = Encoder(model)
+    return _KEPT[model.name]
 
 
 def encode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text", out: str = "piece_ids") -> DataFrame:
@@ -457,22 +482,40 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(sent.value)
+        return lambda texts: [listed(encoder.encode(texts_of(texts)))]
+
+    return map_text(docs, text_col, keep, [StructField(out, ArrayType(IntegerType()))], make)
+
+
+def listed(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(offsets, np.concatenate(ids).astype(np.int32))
+
+
+def encode_and_decode(
+    docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text", ids_col: str = "piece_ids", out: str = "decoded"
+) -> DataFrame:
+    """``keep`` columns, the piece ids and the text they decode to, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
+
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        encoder = encoder_of(sent.value)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             ids = encoder.encode(texts_of(texts))
-            offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            return [pa.ListArray.from_arrays(offsets, np.concatenate(ids))]
+            return [listed(ids), pa.array([decode_ids(x, encoder.model.raw) for x in ids], pa.string())]
 
         return run
 
-    return map_text(docs, text_col, keep, [StructField(out, ArrayType(IntegerType()))], make)
+    fields = [StructField(ids_col, ArrayType(IntegerType())), StructField(out, StringType())]
+    return map_text(docs, text_col, keep, fields, make)
 
 
 def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
     """The text of piece ids; the dummy prefix goes. Ids outside the model are an error."""
-    text = b"".join(map(raw.__getitem__, ids.tolist())).replace(SPACE.encode(), b" ")
+    text = b"".join(map(raw.__getitem__, ids.tolist())).replace(_SPACE, b" ")
     return text[text.startswith(b" ") :].decode("utf-8", "replace")
 
 
