@@ -196,21 +196,15 @@ def drop_repeated_lines(
     )
     lines = saved(spark, line_hashes(keyed.select("t", "did", "th"), min_chars), "line-hashes")
     lost = repeated_lines(lines)
-    split = F.split("t", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("drop"))
-    kept = F.when(F.col("drop").isNull(), F.col("t")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
-    )
-    breaks = F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit("")))
-    out = (
-        keyed.join(lost, ["did", "th"], "left")
-        .withColumn("lines", F.when(F.col("drop").isNotNull(), split))
-        .select(
-            *[f"k{i}" for i in range(len(keep))],
-            (breaks + 1).cast("long"),
-            F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
-            kept,
-        )
+    # Texts travel as their lines, so that a text is split once, before the shuffle.
+    split = keyed.select(F.split("t", "\n", -1).alias("lines"), "did", "th", *[f"k{i}" for i in range(len(keep))])
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.col("lines")[i]))
+    out = split.join(lost, ["did", "th"], "left").select(
+        *[f"k{i}" for i in range(len(keep))],
+        F.size("lines").cast("long"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
+        F.array_join(kept, "\n"),
     )
     return out.toDF(*keep, "n_lines", "n_dropped", "kept")
 
