@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesteps.functions.names import named
 from tablesteps.operators.order import OrderSpec, with_row_index
 
 
@@ -25,11 +26,12 @@ def difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     if not _same_shape(a, b):
         raise ValueError("tables differ in width or column names")
     cols = a.columns
+    quoted_cols = [named(c) for c in cols]
     b2 = b.toDF(*cols)
-    tagged = a.select(*cols, F.lit(1).alias("_in_a"), F.lit(0).alias("_in_b")).unionByName(
-        b2.select(*cols, F.lit(0).alias("_in_a"), F.lit(1).alias("_in_b"))
+    tagged = a.select(*quoted_cols, F.lit(1).alias("_in_a"), F.lit(0).alias("_in_b")).unionByName(
+        b2.select(*quoted_cols, F.lit(0).alias("_in_a"), F.lit(1).alias("_in_b"))
     )
-    per_row = tagged.groupBy(*cols).agg(F.sum("_in_a").alias("_na"), F.sum("_in_b").alias("_nb"))
+    per_row = tagged.groupBy(*quoted_cols).agg(F.sum("_in_a").alias("_na"), F.sum("_in_b").alias("_nb"))
     out = per_row.agg(
         F.coalesce(F.sum("_na"), F.lit(0)).cast("long").alias("rows_left"),
         F.coalesce(F.sum("_nb"), F.lit(0)).cast("long").alias("rows_right"),
@@ -49,8 +51,8 @@ def ordered_difference(a: DataFrame, b: DataFrame, order_a: OrderSpec, order_b:
     """
     if not _same_shape(a, b):
         raise ValueError("tables differ in width or column names")
-    ia = with_row_index(a, order_a, "_ri").select("_ri", F.struct(*a.columns).alias("_ra"))
-    ib = with_row_index(b.toDF(*a.columns), order_b, "_ri").select("_ri", F.struct(*a.columns).alias("_rb"))
+    ia = with_row_index(a, order_a, "_ri").select("_ri", F.struct(*[named(c) for c in a.columns]).alias("_ra"))
+    ib = with_row_index(b.toDF(*a.columns), order_b, "_ri").select("_ri", F.struct(*[named(c) for c in a.columns]).alias("_rb"))
     j = ia.join(ib, "_ri", "full_outer")
     return j.agg(
         F.count(F.lit(1)).alias("rows_compared"),

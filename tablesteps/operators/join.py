@@ -4,7 +4,8 @@ Strategy is left to the optimizer and AQE: a side is broadcast only when
 its measured size is under ``spark.sql.autoBroadcastJoinThreshold``
 (statistics at plan time, actual shuffle sizes at run time); otherwise a
 sort-merge join, with AQE splitting skewed partitions.  ``broadcast_side``
-forces a broadcast only after the side's row count is checked.
+passes the caller's hint for a side whose size the caller knows; without
+it Spark's own byte limit decides.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesteps.functions.names import quoted
+
 JOIN_KINDS = ("inner", "left", "right", "full", "semi", "anti")
 _SPARK_KIND = {"inner": "inner", "left": "left", "right": "right", "full": "full_outer", "semi": "left_semi", "anti": "left_anti"}
 
-# A side is only broadcast on request when it has at most this many rows.
-BROADCAST_ROW_LIMIT = 1_000_000
-
 
 def join_step(
     left: DataFrame,
@@ -35,13 +35,11 @@ def join_step(
     if not pairs:
         raise ValueError("a join step needs at least one key pair")
     if broadcast_side:
-        n = right.limit(BROADCAST_ROW_LIMIT + 1).count()
-        if n <= BROADCAST_ROW_LIMIT:
-            right = F.broadcast(right)
-    if all(a == b for a, b in pairs):
+        right = F.broadcast(right)
+    if all(a == b and "." not in a for a, b in pairs):
         return left.join(right, [a for a, _ in pairs], _SPARK_KIND[how])
     cond = None
     for a, b in pairs:
-        e = left[a] == right[b]
+        e = left[quoted(a)] == right[quoted(b)]
         cond = e if cond is None else cond & e
     return left.join(right, cond, _SPARK_KIND[how])

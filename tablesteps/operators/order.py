@@ -15,10 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesteps.functions.names import named
+from tablesteps.session import written_copy
+
 # Columns added by with_arrival_order, in their sort order.
 ARRIVAL_COLUMNS = ("_src_file", "_src_block", "_src_pos")
 
@@ -101,53 +103,32 @@ def order_by(df: DataFrame, order: OrderSpec) -> DataFrame:
     return df.orderBy(*sort_columns(order))
 
 
-def with_row_index(
-    df: DataFrame,
-    order: OrderSpec,
-    name: str = "row_index",
-    storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-    reliable: bool = False,
-) -> DataFrame:
+def with_row_index(df: DataFrame, order: OrderSpec, name: str = "row_index") -> DataFrame:
     """Dense 0-based row index in ``order`` without a global window.
 
-    Plan: range-partitioned sort -> tag (partition id, position) ->
-    persist -> per-partition counts (one row per partition, so its size
-    is bounded by the partition count, not the data) -> running offsets
-    -> broadcast join back.  ``order`` must be a total order for the
-    index to be reproducible.
+    The rows are sorted by range once and written to the shared folder
+    with their partition and position; counts per partition (one row
+    each, so their number is bounded by the partitions, not the data) give
+    running offsets, which are broadcast back.  Counts and rows come
+    from the same written copy, so the index does not depend on a cache, on
+    sampled range bounds or on how partitions are merged later.
 
-    A lost cached block is recomputed from lineage; the total order makes
-    the recomputation land on the same rows.  ``reliable=True`` instead
-    writes the tagged rows to the session's checkpoint folder (shared
-    storage) and cuts the lineage there.
+    ``order`` must be a total order for the index to be reproducible.
     """
     keys = require_order(order, "row index")
-    tagged = (
+    part, mid, off = (f"_ri_{x}" for x in ("part", "mid", "off"))
+    tagged = written_copy(
         df.orderBy(*sort_columns(keys))
-        .withColumn("_ri_part", F.spark_partition_id())
-        .withColumn("_ri_mid", F.monotonically_increasing_id())
-    )
-    if reliable:
-        from tablesteps.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(df.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
-    else:
-        from tablesteps.session import track_cached
-
-        tagged = track_cached(tagged.persist(storage))
-    counts = tagged.groupBy("_ri_part").agg(F.count(F.lit(1)).alias("_ri_n"))
-    before = Window.orderBy("_ri_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_ri_part", F.coalesce(F.sum("_ri_n").over(before), F.lit(0)).alias("_ri_off")
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(mid, F.monotonically_increasing_id()),
+        "row-index",
     )
+    counts = tagged.groupBy(part).agg(F.count(F.lit(1)).alias("_ri_n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum("_ri_n").over(before), F.lit(0)).alias(off))
     # monotonically_increasing_id = (partition id << 33) + position in partition
-    position = F.col("_ri_mid") - F.shiftleft(F.col("_ri_part").cast("long"), 33)
-    return (
-        tagged.join(F.broadcast(offsets), "_ri_part")
-        .withColumn(name, F.col("_ri_off") + position)
-        .drop("_ri_part", "_ri_mid", "_ri_off")
-    )
+    position = F.col(mid) - F.shiftleft(F.col(part).cast("long"), 33)
+    return tagged.join(F.broadcast(offsets), part).withColumn(name, F.col(off) + position).drop(part, mid, off)
 
 
 def indexed_sorted(df: DataFrame, order: OrderSpec, name: str = "row_index") -> DataFrame:
@@ -167,6 +148,6 @@ def first_per_key(
     ks = keys_of(order)
     if last:
         ks = [Key(k.expr, not k.ascending, k.collation) for k in ks]
-    key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    key_cols = [named(k) if isinstance(k, str) else k for k in keys]
     w = Window.partitionBy(*key_cols).orderBy(*[k.column() for k in ks])
     return df.withColumn("_fpk_rn", F.row_number().over(w)).filter("_fpk_rn = 1").drop("_fpk_rn")

@@ -12,14 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesteps.functions.names import named as column_named
 from tablesteps.operators import order as _order
 from tablesteps.operators.order import OrderSpec
 from tablesteps.session import ship_package
 
-# Above this many leading rows a page is cut by row index instead of a
-# bounded top-k (TakeOrderedAndProject keeps offset+limit rows per task).
-TOP_K_PAGE_LIMIT = 100_000
-
 
 def _as_column(expr: str | Column) -> Column:
     return F.expr(expr) if isinstance(expr, str) else expr
@@ -41,7 +38,7 @@ def filter_rows(df: DataFrame, predicate: str | Column) -> DataFrame:
 
 def project(df: DataFrame, *columns: str | Column, **named: str | Column) -> DataFrame:
     """T2 Map/Select: 1->1 projection."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    cols = [(column_named(c) if c in df.columns else F.col(c)) if isinstance(c, str) else c for c in columns]
     cols += [_as_column(v).alias(k) for k, v in named.items()]
     return df.select(*cols)
 
@@ -58,25 +55,24 @@ def map_rows(df: DataFrame, fn: Callable, schema) -> DataFrame:
 
 
 def flat_map(
-    df: DataFrame, array_expr: str | Column, alias: str, keep: list[str] | None = None, spread: bool = True
+    df: DataFrame, array_expr: str | Column, alias: str, keep: list[str] | None = None, partitions: int | None = None
 ) -> DataFrame:
     """T3 SelectMany: one row per element; rows with no elements vanish.
 
-    A fan-out multiplies rows, so an input with fewer partitions than
-    the cluster has cores (a few large files) is spread first; inputs
-    that are already wide are left alone.  Only the columns the step
-    uses are moved (the projection is pushed below the repartition).
+    A fan-out multiplies rows: ``partitions`` spreads a narrow input (a
+    few large files) over that many tasks first.  Only the columns the
+    step uses are moved (the projection is pushed below the repartition).
     """
-    keep_cols = [F.col(c) for c in (keep if keep is not None else df.columns)]
-    if spread:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+    if partitions:
+        df = df.repartition(partitions)
+    keep_cols = [column_named(c) for c in (keep if keep is not None else df.columns)]
     return df.select(*keep_cols, F.explode(_as_column(array_expr)).alias(alias))
 
 
 def take(df: DataFrame, n: int, order: OrderSpec) -> DataFrame:
-    """T4 Take(n): first n rows in order (planned as a bounded top-k)."""
+    """T4 Take(n): first n rows in order, planned as a top-k that ends in one
+    task; for an n beyond what a task holds use ``page(df, 0, n, order)``,
+    which stays distributed."""
     if n < 0:
         raise ValueError("count must be non-negative")
     return df.orderBy(*_order.sort_columns(_order.require_order(order, "take"))).limit(n)
@@ -95,14 +91,11 @@ def skip(df: DataFrame, n: int, order: OrderSpec) -> DataFrame:
 
 
 def page(df: DataFrame, offset: int, size: int, order: OrderSpec) -> DataFrame:
-    """Skip(offset).Take(size) as one step."""
+    """Skip(offset).Take(size) as one step: the rows of one range of the row index, sorted by it."""
     if offset < 0 or size < 0:
         raise ValueError("offset and size must be non-negative")
-    keys = _order.require_order(order, "page")
-    if offset + size <= TOP_K_PAGE_LIMIT:
-        return df.orderBy(*_order.sort_columns(keys)).offset(offset).limit(size)
-    idx = _order.with_row_index(df, keys, "_page_ri")
-    return idx.filter((F.col("_page_ri") >= offset) & (F.col("_page_ri") < offset + size)).drop("_page_ri")
+    idx = _order.with_row_index(df, _order.require_order(order, "page"), "_page_ri")
+    return idx.filter((F.col("_page_ri") >= offset) & (F.col("_page_ri") < offset + size)).orderBy("_page_ri").drop("_page_ri")
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -131,7 +124,7 @@ def fill_missing(df: DataFrame, column: str, value) -> DataFrame:
     lit = value if isinstance(value, Column) else F.lit(value)
     if actual is None:
         return df.withColumn(column, lit)
-    return df.withColumn(actual, F.coalesce(F.col(actual), lit))
+    return df.withColumn(actual, F.coalesce(column_named(actual), lit))
 
 
 def add_column(df: DataFrame, name: str, expr: str | Column) -> DataFrame:
@@ -143,7 +136,7 @@ def add_column(df: DataFrame, name: str, expr: str | Column) -> DataFrame:
 def remove_column(df: DataFrame, name: str) -> DataFrame:
     """T12 RemoveColumn: case-insensitive; absent is a no-op."""
     low = name.lower()
-    return df.select(*[F.col(c) for c in df.columns if c.lower() != low])
+    return df.select(*[column_named(c) for c in df.columns if c.lower() != low])
 
 
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -161,9 +154,9 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
         pos = next((i for i, n in enumerate(out_names) if n.lower() == target.lower()), None)
         if pos is None:
             out_names.append(target)
-            out_exprs.append(F.col(f"`{c}`"))
+            out_exprs.append(column_named(c))
         else:
-            out_exprs[pos] = F.col(f"`{c}`")
+            out_exprs[pos] = column_named(c)
     return df.select(*[e.alias(n) for e, n in zip(out_exprs, out_names)])
 
 
@@ -194,7 +187,7 @@ def first_row(df: DataFrame, order: OrderSpec) -> DataFrame:
 
 def scalar(df: DataFrame, column: str | Column, to_type: str, order: OrderSpec, default=None) -> DataFrame:
     """S13 ReadScalar<T>: first cell converted; null -> the type's default."""
-    c = _as_column(column) if not isinstance(column, str) else F.col(column)
+    c = column if isinstance(column, Column) else column_named(column)
     value = c.try_cast(to_type)
     if default is not None:
         value = F.coalesce(value, F.lit(default).cast(to_type))
@@ -204,7 +197,7 @@ def scalar(df: DataFrame, column: str | Column, to_type: str, order: OrderSpec,
 # --------------------------------------------------------- table row helpers
 def append_rows(df: DataFrame, other: DataFrame) -> DataFrame:
     """Rows.Add: append rows matched by column name (missing columns null)."""
-    return df.unionByName(other, allowMissingColumns=True).select(*df.columns)
+    return df.unionByName(other, allowMissingColumns=True).select(*[column_named(c) for c in df.columns])
 
 
 def remove_at(df: DataFrame, index: int, order: OrderSpec) -> DataFrame:
@@ -220,7 +213,7 @@ def find_by_key(df: DataFrame, key: str, value) -> DataFrame:
     actual = find_column(df, key)
     if actual is None:
         raise ValueError(f"column {key!r} not found")
-    return df.filter(F.col(actual) == F.lit(value))
+    return df.filter(column_named(actual) == F.lit(value))
 
 
 def clear(df: DataFrame) -> DataFrame:

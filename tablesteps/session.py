@@ -14,7 +14,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 # Fixed defaults for local runs; a cluster passes its own configuration.
 LOCAL_CONF = {
@@ -49,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        # Only reached outside a cluster (tests, local runs).
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         configured = tempfile.mkdtemp(prefix="tablesteps-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -61,22 +64,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tables/" + f"{name}-{uuid.uuid4().hex[:12]}"
 
 
-_SHIPPED: set[str] = set()
-_CACHED: dict[str, list] = {}
-
+def written_copy(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder now and read it back.
 
-def track_cached(df):
-    """Remember a DataFrame a step persisted, so the run can release it."""
-    _CACHED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
-    return df
+    Whatever reads the copy sees the same rows, however often and after
+    the loss of any executor.  Columns are stored by position, so any
+    names (dots, duplicates) come back as they were.
+    """
+    names, kinds = df.columns, [f.dataType for f in df.schema.fields]
+    stored = df.toDF(*[f"c{i}" for i in range(len(names))])
+    void = [f"c{i}" for i, k in enumerate(kinds) if isinstance(k, NullType)]
+    stored = stored.withColumns({c: F.lit(None).cast("string") for c in void}) if void else stored
+    path = shared_dir(df.sparkSession, name)
+    stored.write.parquet(path)
+    back = df.sparkSession.read.schema(stored.schema).parquet(path)
+    back = back.withColumns({c: F.lit(None) for c in void}) if void else back
+    return back.toDF(*names)
 
 
-def release_cached(spark: SparkSession) -> int:
-    """Unpersist what steps cached in this application; returns how many."""
-    items = _CACHED.pop(spark.sparkContext.applicationId, [])
-    for df in items:
-        df.unpersist()
-    return len(items)
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -140,6 +146,5 @@ __all__ = [
     "local_path",
     "is_local_uri",
     "ship_package",
-    "track_cached",
-    "release_cached",
+    "written_copy",
 ]

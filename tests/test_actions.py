@@ -27,7 +27,7 @@ def test_memory_and_actions(spark):
 
 def test_reliable_row_index(spark):
     df = spark.range(0, 1000).repartition(5)
-    idx = with_row_index(df, [asc("id")], reliable=True)
+    idx = with_row_index(df, [asc("id")])
     assert [r.row_index for r in idx.orderBy("id").collect()] == list(range(1000))
 
 
@@ -53,17 +53,6 @@ def test_row_helpers(spark):
     assert bulk_url("jdbc:postgresql://h/db") == "jdbc:postgresql://h/db?reWriteBatchedInserts=true"
 
 
-def test_release_cached(spark):
-    from tablesteps.operators import rows as R
-    from tablesteps.session import release_cached
-
-    release_cached(spark)
-    df = spark.range(0, 100)
-    R.batch_ids(df, 10, [asc("id")]).count()
-    assert release_cached(spark) == 1
-    assert release_cached(spark) == 0
-
-
 def test_arrival_order_keep_first(spark, tmpdir_shared):
     import os
 
