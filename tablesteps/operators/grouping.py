@@ -3,10 +3,9 @@
 * ``aggregate``: one row per key, named aggregates (hash aggregate with
   map-side partial aggregation, so a hot key costs one row per map task).
 * ``custom_aggregate``: an opaque Python aggregator split into a partial
-  step and a merge step.  Rows of one key are spread over ``salt``
-  buckets, each bucket is reduced in its own task with pandas, and only
-  the small partial results meet in the merge; no group is ever held
-  whole by one task.
+  step and a merge step.  Rows of one key are cut into buckets of bounded
+  size, each bucket is reduced with pandas, and only the small partial
+  results meet in the merge; no group is ever held whole by one task.
 * ``group_rows``: the groupings themselves (G1) without materialising
   member lists: each row gets its group key and the group's first-seen
   position.
@@ -19,14 +18,18 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
+from tablesteps.functions.names import named
 from tablesteps.operators import order as _order
 from tablesteps.operators.order import OrderSpec
 from tablesteps.operators.rows import find_column
 from tablesteps.session import ship_package
 
-DEFAULT_SALT = 64
+# Rows of a key that an opaque aggregator gets at a time, and partial rows a
+# task holds before it combines them.
+ROWS_PER_BUCKET = 100_000
+COMBINE_ROWS = 100_000
 
 
 def aggregate(df: DataFrame, key: str | list[str], **aggs: Column) -> DataFrame:
@@ -43,13 +46,13 @@ def aggregate(df: DataFrame, key: str | list[str], **aggs: Column) -> DataFrame:
     agg_cols = [e.alias(n) for n, e in others.items()]
     agg_cols += [e.alias(f"_ovr_{n}") for n, e in overriding.items()]
     if not agg_cols:
-        return df.select(*resolved).distinct()
-    grouped = df.groupBy(*resolved).agg(*agg_cols)
+        return df.select(*[named(k) for k in resolved]).distinct()
+    grouped = df.groupBy(*[named(k) for k in resolved]).agg(*agg_cols)
     out = []
     for k in resolved:
         hit = next((n for n in overriding if n.lower() == k.lower()), None)
-        out.append(F.col(f"_ovr_{hit}").alias(k) if hit else F.col(k))
-    out += [F.col(n) for n in others]
+        out.append(named(f"_ovr_{hit}").alias(k) if hit else named(k))
+    out += [named(n) for n in others]
     return grouped.select(*out)
 
 
@@ -71,7 +74,7 @@ def custom_aggregate(
     merge: Callable[[pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
     combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-    salt: int = DEFAULT_SALT,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
     vectorized: bool = False,
 ) -> DataFrame:
     """G2 with an opaque aggregator, in skew-safe phases.
@@ -82,15 +85,17 @@ def custom_aggregate(
 
     With ``combine`` (partial rows of one key -> partial rows) the first
     phase is a true map-side combine: each partition is reduced per key
-    inside ``mapInPandas`` and only one partial row per key and
-    partition is shuffled.  Without it, rows are spread over ``salt``
-    hash buckets per key and reduced per (key, bucket) before the merge.
+    inside ``mapInPandas``, again and again every ``COMBINE_ROWS`` partial
+    rows, and one partial row per key and partition is shuffled.  Without
+    it, each task cuts its rows of a key into buckets of at most
+    ``rows_per_bucket`` by their place, so a hot key is many buckets however
+    equal its rows are.
 
     ``vectorized=True`` calls each function once per batch instead of
     once per group: ``partial``, ``combine`` and ``merge`` receive rows of
-    many keys and group them themselves (pandas ``groupby``).  Partials
-    are combined per partition, hash-partitioned by key, and merged per
-    partition, so there is no Python call per key at all.
+    many keys and group them themselves (pandas ``groupby`` with
+    ``dropna=False``: null is a key).  Integer columns with nulls arrive as
+    nullable integers, so large keys stay exact.
     """
     ship_package(df.sparkSession)
     if vectorized:
@@ -100,47 +105,69 @@ def custom_aggregate(
     if combine is not None:
         key_list = list(keys)
 
+        def reduce_by_key(fn, pdf):
+            groups = [fn(g) for _, g in pdf.groupby(key_list, sort=False, dropna=False)]
+            return pd.concat(groups, ignore_index=True)
+
         def per_partition(batches):
-            parts = []
-            for pdf in batches:
-                for _, g in pdf.groupby(key_list, sort=False, dropna=False):
-                    parts.append(partial(g))
-            if not parts:
-                return
-            allp = pd.concat(parts, ignore_index=True)
-            yield pd.concat(
-                [combine(g) for _, g in allp.groupby(key_list, sort=False, dropna=False)], ignore_index=True
+            yield from _combined(
+                batches, lambda pdf: reduce_by_key(partial, pdf), lambda parts: reduce_by_key(combine, parts)
             )
 
         partials = df.mapInPandas(per_partition, partial_schema)
-        return partials.groupBy(*keys).applyInPandas(merge, schema)
-    if salt <= 0:
-        raise ValueError("salt must be positive")
-    cols = [F.col(c) for c in df.columns]
-    bucket = F.pmod(F.xxhash64(*cols), F.lit(salt)).alias("_ca_bucket")
-    salted = df.select(*cols, bucket)
+        return partials.groupBy(*[named(k) for k in keys]).applyInPandas(merge, schema)
+    if rows_per_bucket <= 0:
+        raise ValueError("rows_per_bucket must be positive")
+    # Place in the task over rows_per_bucket, and the task: no bucket gets more rows than that.
+    at = F.monotonically_increasing_id()
+    place = F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows_per_bucket)).cast("long")
+    bucketed = df.withColumn("_ca_bucket", F.struct(F.spark_partition_id().alias("p"), place.alias("b")))
 
     def run_partial(pdf: pd.DataFrame) -> pd.DataFrame:
         return partial(pdf.drop(columns=["_ca_bucket"]))
 
-    parts = salted.groupBy(*keys, "_ca_bucket").applyInPandas(run_partial, partial_schema)
-    return parts.groupBy(*keys).applyInPandas(merge, schema)
+    parts = bucketed.groupBy(*[named(k) for k in keys], "_ca_bucket").applyInPandas(run_partial, partial_schema)
+    return parts.groupBy(*[named(k) for k in keys]).applyInPandas(merge, schema)
+
+
+def _combined(batches, first: Callable, again: Callable):
+    """Partial results of a partition, combined whenever ``COMBINE_ROWS`` have piled up."""
+    held, rows = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(first(pdf))
+        rows += len(held[-1])
+        if rows >= COMBINE_ROWS:
+            held = [again(pd.concat(held, ignore_index=True))]
+            rows = len(held[0])
+            if rows >= COMBINE_ROWS:  # so many keys: send them on
+                yield held.pop()
+                rows = 0
+    if held:
+        yield again(pd.concat(held, ignore_index=True))
 
 
 def _vectorized_aggregate(df, keys, partial, partial_schema, combine, merge, schema) -> DataFrame:
+    def with_integers(pdf: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        return pdf.assign(**{n: pdf[n].astype("string").astype("Int64") for n in names if n in pdf})
+
+    def as_text(frame: DataFrame, names: list[str]) -> DataFrame:
+        # a long with nulls would reach pandas as a float and lose digits
+        return frame.withColumns({n: named(n).cast("string") for n in names}) if names else frame
+
+    key_ints = [f.name for f in df.schema.fields if f.name in keys and isinstance(f.dataType, (LongType, IntegerType))]
+
     def per_partition(batches):
-        parts = [partial(pdf) for pdf in batches if len(pdf)]
-        if parts:
-            yield combine(pd.concat(parts, ignore_index=True))
+        yield from _combined((with_integers(b, key_ints) for b in batches), partial, combine)
 
     def merge_partition(batches):
-        parts = [pdf for pdf in batches if len(pdf)]
+        parts = [with_integers(pdf, key_ints) for pdf in batches if len(pdf)]
         if parts:
             yield merge(pd.concat(parts, ignore_index=True))
 
-    partials = df.mapInPandas(per_partition, partial_schema)
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return partials.repartition(n, *keys).mapInPandas(merge_partition, schema)
+    partials = as_text(df, key_ints).mapInPandas(per_partition, partial_schema)
+    return as_text(partials.repartition(*[named(k) for k in keys]), key_ints).mapInPandas(merge_partition, schema)
 
 
 def group_rows(df: DataFrame, key: str | Column, order: OrderSpec, name: str = "group_key") -> DataFrame:
@@ -151,7 +178,7 @@ def group_rows(df: DataFrame, key: str | Column, order: OrderSpec, name: str = "
     members stay where they are.  Null is a group of its own.
     """
     keys = _order.require_order(order, "group_rows")
-    key_col = F.col(key) if isinstance(key, str) else key
+    key_col = named(find_column(df, key) or key) if isinstance(key, str) else key
     tagged = df.withColumn(name, key_col)
     order_cols = [
         (F.col(k.expr) if isinstance(k.expr, str) else k.expr).alias(f"_g_o{i}") for i, k in enumerate(keys)
@@ -176,7 +203,7 @@ def group_summary(
     from a keep-first step.  Only the per-group table is indexed.
     """
     keys = _order.require_order(order, "group_summary")
-    key_col = F.col(key) if isinstance(key, str) else key
+    key_col = named(find_column(df, key) or key) if isinstance(key, str) else key
     order_cols = [
         (F.col(k.expr) if isinstance(k.expr, str) else k.expr).alias(f"_g_o{i}") for i, k in enumerate(keys)
     ]

@@ -10,11 +10,12 @@ A load into a keyed table is expressed as the table it produces:
                           source's keys) + last source row per key
 * ``upsert_predicate``   insert-or-update by a match condition
 
-Null keys never match (SQL unique semantics): such source rows always
-insert.  Per-key first/last selection uses ``first_per_key`` (partial
-window-group limit before the shuffle), so duplicated hot keys in the
-source are cut down map-side; after that every key is unique on both
-sides and the joins are skew-free.
+Each is one join of the target with the source reduced per key
+(``first_per_key`` cuts a hot key down in every map task).  Null keys never
+match (SQL unique semantics): such source rows always insert.  They travel
+through the same join, spread by a number of their own, so that many null
+keys do not meet in one task.  Catalyst and AQE choose the join by measured
+sizes; building a plan runs no job.
 """
 
 from __future__ import annotations
@@ -24,132 +25,96 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesteps.operators.order import OrderSpec, first_per_key, require_order
+from tablesteps.functions.names import named
+from tablesteps.operators.order import Key, OrderSpec, first_per_key, require_order
 
 
-# A deduplicated source with at most this many rows is broadcast, so the
-# target is joined where it lies instead of being shuffled.
-BROADCAST_SOURCE_ROWS = 100_000
+def _spelled(df: DataFrame, name: str) -> str:
+    """The column's own spelling of a name."""
+    return next((c for c in df.columns if c.lower() == name.lower()), name)
 
 
-def _is_small(df: DataFrame, limit: int) -> bool:
-    """Row-count bound check on the raw source: every task stops after
-    ``limit + 1`` rows, so a large source is not read in full.  A raw
-    source under the bound stays under it after deduplication."""
-    return limit > 0 and df.limit(limit + 1).count() <= limit
+def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
+    """0 for a row with a key, a number of its own for one with a null in it."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | named(k).isNull()
+    return F.when(null, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
 
 
-def _key_cond(left_prefix: str, right_prefix: str, keys, right_names=None) -> Column:
-    cond = None
-    for i, k in enumerate(keys):
-        r = right_names[i] if right_names else k
-        e = F.col(f"{left_prefix}{k}") == F.col(f"{right_prefix}{r}")
-        cond = e if cond is None else cond & e
-    return cond
+def _per_key(source: DataFrame, keys: Sequence[str], order, last: bool) -> DataFrame:
+    """The first or last source row per key and every row with a null key; ``_s_z`` spreads the latter."""
+    spread = source.withColumn("_s_z", _spread(source, keys))
+    return first_per_key(spread, [*keys, "_s_z"], order, last=last)
 
 
-def _no_null_key(keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    return cond
+def reduced_per_key(source: DataFrame, keys: Sequence[str], order: OrderSpec, last: bool) -> DataFrame:
+    """The first or last source row per key, and every row with a null key."""
+    return _per_key(source, list(keys), require_order(order, "upsert"), last).drop("_s_z")
 
 
-def _align(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    have = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(have[c.lower()]) if c.lower() in have else F.lit(None)).alias(c) for c in columns])
+def _sides(target: DataFrame, reduced: DataFrame, columns: Sequence[str], keys: Sequence[str], source_keys: Sequence[str]):
+    """Both sides with prefixed names and a presence flag, and the match condition."""
+    t = target.withColumn("z", _spread(target, keys)).select(
+        *[named(c).alias(f"_t_{i}") for i, c in enumerate(target.columns)], F.col("z").alias("_t_z"), F.lit(True).alias("_t_hit")
+    )
+    s = reduced.select(*[named(c).alias(f"_s_{i}") for i, c in enumerate(columns)], "_s_z", F.lit(True).alias("_s_hit"))
+    at_t = {c: f"_t_{i}" for i, c in enumerate(target.columns)}
+    at_s = {c: f"_s_{i}" for i, c in enumerate(columns)}
+    cond = F.col("_t_z") == F.col("_s_z")
+    for k, sk in zip(keys, source_keys):
+        cond = cond & (F.col(at_t[k]) == F.col(at_s[sk]))
+    return t, s, at_t, at_s, cond
 
 
-def _split(source: DataFrame, keys: Sequence[str]):
-    keyed = source.filter(_no_null_key(keys))
-    null_keyed = source.filter(~_no_null_key(keys))
-    return keyed, null_keyed
+def _merged(target: DataFrame, source: DataFrame, keys: Sequence[str], order, last: bool, overwrite: bool) -> DataFrame:
+    t_keys = [_spelled(target, k) for k in keys]
+    s_keys = [_spelled(source, k) for k in keys]
+    reduced = _per_key(source, s_keys, order, last)
+    t, s, at_t, at_s, cond = _sides(target, reduced, source.columns, t_keys, s_keys)
+    own = {c.lower(): at_s[c] for c in source.columns}
+    key_low = {k.lower() for k in keys}
+    out = []
+    for c in target.columns:
+        old, new = F.col(at_t[c]), own.get(c.lower())
+        if new is None:
+            out.append(old.alias(c))
+        elif c.lower() in key_low or not overwrite:
+            out.append(F.when(F.col("_t_hit"), old).otherwise(F.col(new)).alias(c))
+        else:
+            out.append(F.when(F.col("_s_hit"), F.col(new)).otherwise(old).alias(c))
+    return t.join(s, cond, "full_outer").select(*out)
 
 
-def upsert_do_nothing(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec, broadcast_rows: int = BROADCAST_SOURCE_ROWS
-) -> DataFrame:
+def upsert_do_nothing(target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec) -> DataFrame:
     """W11 ON CONFLICT DO NOTHING: first row per key wins, existing keys ignored."""
-    ord_keys = require_order(order, "upsert_do_nothing")
-    keyed, null_keyed = _split(source, keys)
-    first = first_per_key(keyed, keys, ord_keys)
-    if _is_small(source, broadcast_rows):
-        # keys of the target that the source touches: at most |first| rows
-        hit = target.select(*keys).join(F.broadcast(first.select(*keys)), list(keys), "left_semi")
-        new = first.join(F.broadcast(hit), list(keys), "left_anti")
-    else:
-        new = first.join(target.select(*keys), list(keys), "left_anti")
-    cols = target.columns
-    inserted = _align(new.unionByName(null_keyed), cols)
-    return target.unionByName(inserted)
+    return _merged(target, source, keys, require_order(order, "upsert_do_nothing"), last=False, overwrite=False)
 
 
-def upsert_update(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec, broadcast_rows: int = BROADCAST_SOURCE_ROWS
-) -> DataFrame:
+def upsert_update(target: DataFrame, source: DataFrame, keys: Sequence[str], order: OrderSpec) -> DataFrame:
     """W12 ON CONFLICT DO UPDATE: last row per key wins on the source's columns.
 
     With only key columns in the source this acts as do-nothing for
     existing keys (defect D17 not copied).
     """
-    ord_keys = require_order(order, "upsert_update")
-    keyed, null_keyed = _split(source, keys)
-    last = first_per_key(keyed, keys, ord_keys, last=True)
-    key_low = {k.lower() for k in keys}
-    src_cols = {c.lower(): c for c in source.columns}
-    s = last.select(*[F.col(c).alias(f"_s_{c}") for c in source.columns], F.lit(True).alias("_s_hit"))
-    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in target.columns])
-    cond = _key_cond("_t_", "_s_", keys, [src_cols[k.lower()] for k in keys])
-    small = _is_small(source, broadcast_rows)
-    # small source: the target is joined in place; else one full outer join
-    joined = t.join(F.broadcast(s), cond, "left") if small else t.join(s, cond, "full_outer")
-    hit = F.col("_s_hit").isNotNull()
-    in_target = F.lit(False)
-    for k in keys:
-        in_target = in_target | F.col(f"_t_{k}").isNotNull()
-    out = []
-    for c in target.columns:
-        sc = src_cols.get(c.lower())
-        if c.lower() in key_low:
-            out.append(F.coalesce(F.col(f"_t_{c}"), F.col(f"_s_{sc}")).alias(c))
-        elif sc is not None:
-            out.append(F.when(hit, F.col(f"_s_{sc}")).otherwise(F.col(f"_t_{c}")).alias(c))
-        else:
-            out.append(F.col(f"_t_{c}").alias(c))
-    merged = joined.select(*out)
-    if small:
-        src_keys = [src_cols[k.lower()] for k in keys]
-        hit = (
-            target.select(*keys)
-            .join(F.broadcast(last.select(*[F.col(sk).alias(k) for sk, k in zip(src_keys, keys)])), list(keys), "left_semi")
-        )
-        new = last.select(*[F.col(sk).alias(k) for sk, k in zip(src_keys, keys)], *[c for c in last.columns if c not in src_keys])
-        inserted = new.join(F.broadcast(hit), list(keys), "left_anti")
-        merged = merged.unionByName(_align(inserted, target.columns))
-    return merged.unionByName(_align(null_keyed, target.columns))
-
-
-def upsert_replace(
-    target: DataFrame,
-    source: DataFrame,
-    key: str | Sequence[str],
-    order: OrderSpec,
-    broadcast_rows: int = BROADCAST_SOURCE_ROWS,
-) -> DataFrame:
+    return _merged(target, source, keys, require_order(order, "upsert_update"), last=True, overwrite=True)
+
+
+def upsert_replace(target: DataFrame, source: DataFrame, key: str | Sequence[str], order: OrderSpec) -> DataFrame:
     """W14 replace-with-upsert: the source row replaces the whole row.
 
     Columns are the union of both sides; a replaced row loses
     target-only values.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    ord_keys = require_order(order, "upsert_replace")
-    keyed, null_keyed = _split(source, keys)
-    last = first_per_key(keyed, keys, ord_keys, last=True)
-    replaced = last.select(*keys)
-    if _is_small(source, broadcast_rows):
-        replaced = F.broadcast(replaced)  # the target is filtered in place
-    kept = target.join(replaced, list(keys), "left_anti")
-    return kept.unionByName(last, allowMissingColumns=True).unionByName(null_keyed, allowMissingColumns=True)
+    s_keys = [_spelled(source, k) for k in keys]
+    last = _per_key(source, s_keys, require_order(order, "upsert_replace"), last=True).drop("_s_z")
+    replaced = last.select(*[named(k).alias(f"_s_{i}") for i, k in enumerate(s_keys)])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & (named(_spelled(target, k)) == F.col(f"_s_{i}"))
+    kept = target.join(replaced, cond, "left_anti")
+    return kept.unionByName(last, allowMissingColumns=True)
 
 
 def upsert_predicate(
@@ -159,67 +124,66 @@ def upsert_predicate(
     target_order: OrderSpec,
     source_order: OrderSpec,
     condition=None,
-    broadcast_rows: int = BROADCAST_SOURCE_ROWS,
 ) -> DataFrame:
     """W20 insert-or-update by a match condition.
 
     Each source row updates the first matching target row (all of the
     source's columns are copied); later source rows overwrite earlier
-    ones; source rows that match nothing are inserted.  ``on`` holds the
-    equality pairs (target column, source column) so the match is a hash
-    join; ``condition(t, s)`` may add a residual predicate.
+    ones; of source rows that match nothing, the last of each key is
+    inserted (a later row finds the one inserted before it).  ``on`` holds
+    the equality pairs (target column, source column).
+
+    With equality only, the first target row and the last source row of each
+    key are taken before the join, so a key with many rows on both sides
+    costs no pairs.  ``condition(t, s)`` may add a residual predicate; it has
+    to see the pairs of a key, and rows that match nothing are then all
+    inserted.
     """
     t_keys = require_order(target_order, "upsert_predicate")
     s_keys = require_order(source_order, "upsert_predicate")
     if not on:
         raise ValueError("upsert_predicate needs at least one equality pair")
-    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in target.columns])
-    s = source.select(*[F.col(c).alias(f"_s_{c}") for c in source.columns])
+    t = target.select(*[named(c).alias(f"_t_{c}") for c in target.columns])
     t = t.withColumn("_t_id", F.struct(*[_prefixed(k, "_t_") for k in t_keys]))
-    s = s.withColumn("_s_id", F.struct(*[_prefixed(k, "_s_") for k in s_keys]))
-    cond = None
-    for tc, sc in on:
-        e = F.col(f"_t_{tc}") == F.col(f"_s_{sc}")
-        cond = e if cond is None else cond & e
-    if condition is not None:
-        cond = cond & condition(lambda c: F.col(f"_t_{c}"), lambda c: F.col(f"_s_{c}"))
-    small = _is_small(source, broadcast_rows)
-    t_side = t.select("_t_id", *[f"_t_{tc}" for tc, _ in on] + _extra_cols(t, condition))
-    # small source: broadcast it and match against the target where it lies
-    pairs = F.broadcast(s).join(t_side, cond, "inner") if small else s.join(t_side, cond, "inner")
-    # first matching target row per source row (target order)
-    t_first = [type(k)(f"_t_id.{_name(k, i)}", k.ascending, k.collation) for i, k in enumerate(t_keys)]
-    firsts = first_per_key(pairs, ["_s_id"], t_first)
-    # last source row per target row wins
-    s_last = [type(k)(f"_s_id.{_name(k, i)}", k.ascending, k.collation) for i, k in enumerate(s_keys)]
-    winners = first_per_key(firsts, ["_t_id"], s_last, last=True)
+    on_t, on_s = [f"_t_{_spelled(target, a)}" for a, _ in on], [_spelled(source, b) for _, b in on]
+    t_first = [Key(F.col("_t_id").getField(k.expr), k.ascending, k.collation) for k in t_keys]
+    cond = F.lit(True)
+    for tc, sc in zip(on_t, on_s):
+        cond = cond & (named(tc) == named(f"_s_{sc}"))
+    if condition is None:
+        reduced = _per_key(source, on_s, s_keys, last=True)
+        s = reduced.select(*[named(c).alias(f"_s_{c}") for c in source.columns])
+        held = F.lit(True)
+        for c in on_t:
+            held = held & named(c).isNotNull()
+        firsts = first_per_key(t.filter(held).select("_t_id", *[named(c) for c in on_t]), on_t, t_first)
+        winners = s.join(firsts, cond, "left")
+    else:
+        cond = cond & condition(lambda c: named(f"_t_{c}"), lambda c: named(f"_s_{c}"))
+        s = source.select(*[named(c).alias(f"_s_{c}") for c in source.columns])
+        s = s.withColumn("_s_id", F.struct(*[_prefixed(k, "_s_") for k in s_keys]))
+        pairs = s.join(t, cond, "left").select("_t_id", *s.columns)
+        firsts = first_per_key(pairs, ["_s_id"], t_first)
+        spread = firsts.withColumn("_s_z", _spread(firsts, ["_t_id"]))
+        s_last = [Key(F.col("_s_id").getField(k.expr), k.ascending, k.collation) for k in s_keys]
+        winners = first_per_key(spread, ["_t_id", "_s_z"], s_last, last=True).drop("_s_z", "_s_id")
+    w = winners.select(
+        F.col("_t_id").alias("_w_id"), *[named(f"_s_{c}") for c in source.columns], F.lit(True).alias("_w_hit")
+    )
+    w = w.withColumn("_w_z", _spread(w, ["_w_id"]))
+    joined = t.withColumn("_t_z", F.lit(0).cast("long")).join(
+        w, (F.col("_t_id") == F.col("_w_id")) & (F.col("_t_z") == F.col("_w_z")), "full_outer"
+    )
     src_low = {c.lower(): c for c in source.columns}
-    upd = winners.select("_t_id", *[F.col(f"_s_{c}").alias(f"_u_{c}") for c in source.columns], F.lit(True).alias("_u_hit"))
-    merged = t.join(F.broadcast(upd) if small else upd, "_t_id", "left")
     out = []
     for c in target.columns:
         sc = src_low.get(c.lower())
-        if sc is None:
-            out.append(F.col(f"_t_{c}").alias(c))
-        else:
-            out.append(F.when(F.col("_u_hit").isNotNull(), F.col(f"_u_{sc}")).otherwise(F.col(f"_t_{c}")).alias(c))
-    updated = merged.select(*out)
-    unmatched = s.join(pairs.select("_s_id").distinct(), "_s_id", "left_anti")
-    inserted = unmatched.select(*[F.col(f"_s_{c}").alias(c) for c in source.columns])
-    return updated.unionByName(_align(inserted, target.columns))
-
+        old = named(f"_t_{c}")
+        out.append(old.alias(c) if sc is None else F.when(F.col("_w_hit"), named(f"_s_{sc}")).otherwise(old).alias(c))
+    return joined.select(*out)
 
-def _name(k, i) -> str:
-    return k.expr if isinstance(k.expr, str) else f"k{i}"
 
-
-def _prefixed(k, prefix: str) -> Column:
+def _prefixed(k: Key, prefix: str) -> Column:
     if not isinstance(k.expr, str):
         raise ValueError("upsert_predicate order keys must be column names")
-    return F.col(f"{prefix}{k.expr}").alias(k.expr)
-
-
-def _extra_cols(t: DataFrame, condition) -> list[str]:
-    if condition is None:
-        return []
-    return [c for c in t.columns if c != "_t_id"]
+    return named(f"{prefix}{k.expr}").alias(k.expr)

@@ -90,9 +90,11 @@ def skip_rows(spark, d):
 
 
 # ---------------------------------------------------------------- T6
-@query("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+@query("distinct_rows", "SELECT DISTINCT * FROM orders")
 def distinct_rows(spark, d):
-    return R.distinct_rows(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority"))
+    """Whole rows; every order of high value stands twice."""
+    orders = table(spark, d, "orders")
+    return R.distinct_rows(orders.unionByName(orders.filter(F.col("o_totalprice") > 100_000)))
 
 
 # ---------------------------------------------------------------- T7 Q2
@@ -477,7 +479,8 @@ def upsert_replace(spark, d):
     FROM t LEFT JOIN w ON t.c_custkey = w.c_custkey
     UNION ALL
     SELECT c_custkey, NULL, NULL, c_acctbal, NULL FROM s
-    WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.c_custkey = s.c_custkey)""",
+    WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.c_custkey = s.c_custkey)
+    QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY src_seq DESC) = 1""",
 )
 def upsert_predicate(spark, d):
     target, source = _upsert_inputs(spark, d)
@@ -603,12 +606,12 @@ def skew_remove_duplicates(spark, d):
 
 
 def _spread_partial(pdf):
-    g = pdf.groupby("o_custkey", sort=False)["o_totalprice"]
+    g = pdf.groupby("o_custkey", sort=False, dropna=False)["o_totalprice"]
     return g.agg(lo="min", hi="max", n="count").reset_index()
 
 
 def _spread_combine(pdf):
-    return pdf.groupby("o_custkey", sort=False).agg(lo=("lo", "min"), hi=("hi", "max"), n=("n", "sum")).reset_index()
+    return pdf.groupby("o_custkey", sort=False, dropna=False).agg(lo=("lo", "min"), hi=("hi", "max"), n=("n", "sum")).reset_index()
 
 
 def _spread_merge(pdf):
@@ -672,3 +675,23 @@ def skew_join_step(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name")
     j = join_step(o, c, [("o_custkey", "c_custkey")], "inner")
     return j.select("o_orderkey", "c_custkey", "c_name", "o_totalprice")
+
+
+@query(
+    "skew_upsert_predicate",
+    f"""WITH t AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice FROM orders WHERE o_orderkey % 2 = 0),
+    s AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice FROM orders),
+    one AS (SELECT min(o_orderkey) AS o_orderkey, k FROM t GROUP BY k),
+    last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1)
+    SELECT t.o_orderkey, t.k, CASE WHEN l.k IS NOT NULL THEN l.o_totalprice ELSE t.o_totalprice END AS o_totalprice
+    FROM t LEFT JOIN one ON t.o_orderkey = one.o_orderkey LEFT JOIN last l ON one.k = l.k
+    UNION ALL
+    SELECT NULL, k, o_totalprice FROM last WHERE k NOT IN (SELECT k FROM t)""",
+)
+def skew_upsert_predicate(spark, d):
+    """A third of the rows of both sides share one key: one target row is updated, no pairs are made."""
+    o = _hot_orders(spark, d).withColumnRenamed("o_custkey", "k").select("o_orderkey", "k", "o_totalprice")
+    source = o.withColumnRenamed("o_orderkey", "src_key")
+    return U.upsert_predicate(
+        o.filter(F.col("o_orderkey") % 2 == 0), source, [("k", "k")], [asc("o_orderkey")], [asc("src_key")]
+    )

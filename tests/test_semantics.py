@@ -207,26 +207,65 @@ def test_run_without_counts(spark):
     assert len(report.step_log(spark).collect()) == 2
 
 
-@pytest.mark.parametrize("rows", [0, 100_000])
-def test_upsert_strategies_agree(pair, rows):
+def test_upsert_null_keys_insert(pair):
     t, s = pair
-    up = U.upsert_update(t, s, ["k"], [asc("seq")], broadcast_rows=rows).select("k", "a", "b")
+    up = U.upsert_update(t, s, ["k"], [asc("seq")]).select("k", "a", "b")
     assert kab(up) == sorted([(1, "x", "p"), (2, "m", "q"), (3, "o", None), (None, "z", None)], key=repr)
-    dn = U.upsert_do_nothing(t, s, ["k"], [asc("seq")], broadcast_rows=rows).select("k", "a", "b")
+    dn = U.upsert_do_nothing(t, s, ["k"], [asc("seq")]).select("k", "a", "b")
     assert kab(dn) == sorted([(1, "x", "p"), (2, "y", "q"), (3, "n", None), (None, "z", None)], key=repr)
-    rp = U.upsert_replace(t, s, "k", [asc("seq")], broadcast_rows=rows).select("k", "a", "b")
+    rp = U.upsert_replace(t, s, "k", [asc("seq")]).select("k", "a", "b")
     assert kab(rp) == sorted([(1, "x", "p"), (2, "m", None), (3, "o", None), (None, "z", None)], key=repr)
 
 
-def test_small_source_keeps_target_in_place(spark):
-    target = spark.range(0, 5000).selectExpr("id as k", "cast(id as string) as a")
-    source = spark.createDataFrame([(3, "z", 1), (9999, "n", 1)], "k long, a string, seq int")
-    out = U.upsert_update(target, source, ["k"], [asc("seq")])
-    out.write.format("noop").mode("overwrite").save()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
-    got = {r.k: r.a for r in out.collect()}
-    assert len(got) == 5001 and got[3] == "z" and got[9999] == "n"
+def job_count(spark, build):
+    """Spark jobs that building a plan starts."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "plan")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_building_runs_no_job(spark):
+    from tablesteps.operators import rows as R
+    from tablesteps.operators.join import join_step
+
+    t = spark.range(0, 5000, 1, 3).selectExpr("id as k", "cast(id as string) as a")
+    s = spark.createDataFrame([(3, "z", 1), (9999, "n", 1)], "k long, a string, seq int")
+    order = [asc("seq")]
+    assert job_count(spark, lambda: U.upsert_update(t, s, ["k"], order)) == 0
+    assert job_count(spark, lambda: U.upsert_do_nothing(t, s, ["k"], order)) == 0
+    assert job_count(spark, lambda: U.upsert_replace(t, s, "k", order)) == 0
+    assert job_count(spark, lambda: U.upsert_predicate(t, s, [("k", "k")], [asc("k")], order)) == 0
+    assert job_count(spark, lambda: R.flat_map(t, "split(a, '1')", "x")) == 0
+    assert job_count(spark, lambda: join_step(t, s, ["k"], "left", broadcast_side=True)) == 0
+
+
+def test_upserts_scan_each_side_at_most_twice(spark, tmp_path):
+    spark.range(0, 50).selectExpr("id as k", "cast(id as string) as a").write.parquet(str(tmp_path / "t"))
+    spark.range(40, 90).selectExpr("id as k", "'z' as a", "1 as seq").write.parquet(str(tmp_path / "s"))
+    t, s = spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "s"))
+    for out, most in (
+        (U.upsert_update(t, s, ["k"], [asc("seq")]), 1),
+        (U.upsert_do_nothing(t, s, ["k"], [asc("seq")]), 1),
+        (U.upsert_replace(t, s, "k", [asc("seq")]), 2),
+        (U.upsert_predicate(t, s, [("k", "k")], [asc("k")], [asc("seq")]), 2),
+    ):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("seq#") and plan.count("Relation [") <= 2 * most
+        assert out.count() == 90
+
+
+def test_many_null_keys_all_insert(spark):
+    t = spark.createDataFrame([(None, "t"), (1, "t")], "k long, a string")
+    s = spark.createDataFrame([(None, f"s{i}", i) for i in range(50)] + [(1, "x", 1)], "k long, a string, seq int")
+    assert U.upsert_update(t, s, ["k"], [asc("seq")]).count() == 52
+    assert U.upsert_do_nothing(t, s, ["k"], [asc("seq")]).count() == 52
+    assert U.upsert_predicate(t, s, [("k", "k")], [asc("a")], [asc("seq")]).count() == 52
 
 
 def test_custom_aggregate_salted_path(spark):
@@ -243,7 +282,78 @@ def test_custom_aggregate_salted_path(spark):
     def merge(pdf):
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "mean": [pdf["s"].sum() / pdf["n"].sum()]})
 
-    out = {r.k: r.mean for r in custom_aggregate(df, ["k"], partial, "k string, s double, n long", merge, "k string, mean double", salt=8).collect()}
+    out = {r.k: r.mean for r in custom_aggregate(df, ["k"], partial, "k string, s double, n long", merge, "k string, mean double", rows_per_bucket=8).collect()}
     hot = [v for k, v in rows if k == "hot"]
     cold = [v for k, v in rows if k == "cold"]
     assert out == {"hot": sum(hot) / len(hot), "cold": sum(cold) / len(cold)}
+
+
+def test_vectorized_aggregate_null_and_large_keys(spark):
+    import pandas as pd
+
+    from tablesteps.operators.grouping import custom_aggregate
+
+    big = 2**60
+    rows = [(None, 2.0), (None, 3.0), (big, 1.0), (big + 1, 5.0)] * 50
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+
+    def partial(pdf):
+        return pdf.groupby("k", dropna=False).agg(s=("v", "sum")).reset_index()
+
+    def combine(pdf):
+        return pdf.groupby("k", dropna=False).agg(s=("s", "sum")).reset_index()
+
+    out = custom_aggregate(df, ["k"], partial, "k long, s double", combine, "k long, s double", combine=combine, vectorized=True)
+    assert {r.k: r.s for r in out.collect()} == {None: 250.0, big: 50.0, big + 1: 250.0}
+
+
+def test_any_step_error_is_logged(spark):
+    from tablesteps.plans.pipeline import Pipeline
+
+    def broken(df):
+        raise KeyError("oops")
+
+    p = Pipeline(spark.range(5), order=(asc("id"),)).remove_duplicates("nothing").code(broken).filter("id > 1")
+    report = p.run()
+    assert report.success and report.counts[0] == 5 and report.counts[-1] == 3 and report.failed == 2
+    assert "nothing" in report.step_errors[0] and "oops" in report.step_errors[1]
+    log = report.step_log(spark).collect()
+    assert all(r.millis is not None for r in log[1:4])
+
+
+def test_names_with_dots_and_duplicates(spark):
+    from tablesteps.functions.typed import conform
+    from tablesteps.operators import grouping as G
+    from tablesteps.operators import rows as R
+
+    df = spark.createDataFrame([(1, None, "x y"), (2, 5, "z")], "`a.b` int, `c.d` int, `t.x` string")
+    order = [asc("`a.b`")]
+    assert R.remove_column(df, "c.d").columns == ["a.b", "t.x"]
+    assert [r[1] for r in R.fill_missing(df, "c.d", 7).orderBy("`a.b`").collect()] == [7, 5]
+    assert R.project(df, "a.b", n="`c.d`").columns == ["a.b", "n"]
+    assert R.flat_map(df, "split(`t.x`, ' ')", "w", keep=["a.b"]).count() == 3
+    assert R.rename_column(df, "a.b", "e.f").columns == ["e.f", "c.d", "t.x"]
+    assert R.remove_duplicates(df, "a.b", order).count() == 2
+    assert R.skip(df, 1, order).columns == df.columns
+    assert R.find_by_key(df, "a.b", 2).count() == 1
+    assert G.aggregate(df, "a.b", n=F.count("*")).columns == ["a.b", "n"]
+    assert G.group_rows(df, "a.b", order).count() == 2
+    assert difference_counts(df, df).first()["equivalent"]
+    src = df.withColumn("seq", F.lit(1))
+    assert U.upsert_update(df, src, ["a.b"], [asc("seq")]).columns == df.columns
+    assert U.upsert_do_nothing(df, src, ["a.b"], [asc("seq")]).count() == 2
+    assert U.upsert_replace(df, src, "a.b", [asc("seq")]).count() == 2
+    assert U.upsert_predicate(df, src, [("a.b", "a.b")], [asc("a.b")], [asc("seq")]).count() == 2
+    twice = df.select("`a.b`", F.col("`a.b`").cast("string"), F.col("`c.d`").alias("A.B"))
+    assert conform(twice, {"a.b": "int"}).dtypes[0] == ("a.b", "int") and len(conform(twice, {}).columns) == 3
+
+
+def test_stream_guard_refuses_hidden_state(spark, tmp_path):
+    from tablesteps.streaming.guard import NotStreamable, check_stateless
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    check_stateless(stream.filter("id > 1"))
+    for bad in (stream.distinct(), stream.groupBy("id").count()):
+        with pytest.raises(NotStreamable):
+            check_stateless(bad)
