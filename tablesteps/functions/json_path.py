@@ -13,6 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Spark's names for a property that is not there.
+MISSING = {"FIELD_NOT_FOUND", "UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"}
+
 _TOKEN = re.compile(r"\.([^.\[\]]+)|\[(\*|\d+)\]")
 
 
@@ -42,14 +45,16 @@ def path_text(json_col: str | Column, path: str) -> Column:
 
 
 def select_path(df: DataFrame, path: str, alias: str = "value") -> DataFrame:
-    """Rows at ``path``; a missing property gives no rows (see ``_select_path``)."""
+    """Rows at ``path``; a missing property or index gives no rows (see ``_select_path``)."""
     from pyspark.errors import AnalysisException
 
     try:
         out = _select_path(df, path, alias)
         out.schema
         return out
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in MISSING:
+            raise
         return df.sparkSession.createDataFrame([], f"`{alias}` string")
 
 
@@ -70,9 +75,9 @@ def _select_path(df: DataFrame, path: str, alias: str = "value") -> DataFrame:
             cur = F.col("_jp")
             continue
         if isinstance(s, int):
-            cur = cur[s] if cur is not None else None
             if cur is None:
                 raise ValueError("a path cannot start with an index on a table")
+            cur = F.get(cur, F.lit(s))
             continue
         cur = F.col(f"`{s}`") if cur is None else cur.getField(s)
     frame = frame.select(cur.alias(alias)).filter(F.col(alias).isNotNull())

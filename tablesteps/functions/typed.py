@@ -226,11 +226,12 @@ def conform(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     names = unique_names(df.columns)
     types = [f.dataType for f in df.schema.fields]
     out = []
-    for src, name, dt in zip(df.columns, names, types):
+    by_place = df.toDF(*[f"c{i}" for i in range(len(names))])  # duplicate names cannot be told apart by name
+    for i, (src, name, dt) in enumerate(zip(df.columns, names, types)):
         t = schema.get(name) or schema.get(src)
-        c = F.col(f"`{src}`")
+        c = F.col(f"c{i}")
         out.append((convert(c, t, dt) if t else c).alias(name))
-    return df.select(*out)
+    return by_place.select(*out)
 
 
 def failed_cells(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:

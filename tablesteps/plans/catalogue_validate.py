@@ -8,6 +8,7 @@ customer is validated.
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tablesteps.operators.validate import (
@@ -220,10 +221,17 @@ def validate_summary(spark, d):
 
 @query(
     "validate_log_counts",
-    f"""WITH {_V} SELECT c_custkey, c_name, c_acctbal, c_nationkey, segment, email, note, age FROM v""",
+    f"""WITH {_V}, r AS (SELECT {_SUMMARY} AS s FROM v)
+        SELECT count(*) AS n_rows, count(*) FILTER (s <> '') AS invalid_rows,
+               CAST(sum(CASE WHEN s = '' THEN 0 ELSE len(string_split(s, '; ')) END) AS BIGINT) AS errors FROM r""",
 )
 def validate_log_counts(spark, d):
-    return validate(derived(spark, d), _full_rules(), "log")
+    """The rows pass unchanged into a sink; the counts observed on the way are the result."""
+    seen = Observation("validation")
+    validate(derived(spark, d), _full_rules(), "log", seen).write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    row = tuple(int(counts[k]) for k in ("rows", "invalid_rows", "errors"))
+    return spark.createDataFrame([row], "n_rows long, invalid_rows long, errors long")
 
 
 @query(

@@ -16,7 +16,6 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,8 +81,12 @@ def check_step(df: DataFrame, step: Step) -> str | None:
     try:
         step.fn(df).schema
         return None
-    except PySparkException as e:
-        return str(e).split("\n")[0]
+    except Exception as e:  # noqa: BLE001 - whatever the step's code raises is its error
+        return _first_line(e)
+
+
+def _first_line(e: Exception) -> str:
+    return f"{e}".split("\n")[0] or type(e).__name__
 
 
 @dataclass(frozen=True)
@@ -195,90 +198,68 @@ class Pipeline:
         return df
 
     def plan_checked(self) -> tuple[DataFrame, list[str | None]]:
-        """Fold the steps; a step that fails analysis is skipped and its
-        error kept (the data stays as it was before that step)."""
-        df = self.source
-        errors: list[str | None] = []
-        for s in self.steps:
-            try:
-                nxt = s.fn(df)
-                nxt.schema
-                df = nxt
-                errors.append(None)
-            except PySparkException as e:
-                errors.append(str(e).split("\n")[0])
+        """Fold the steps; a step that fails is skipped and its error kept
+        (the data stays as it was before that step)."""
+        df, _, errors, _ = self._fold(None)
         return df, errors
 
     def observed(self) -> tuple[DataFrame, list[Observation], list[str | None]]:
         """Plan with one row-count observation per step (and the source)."""
-        obs = [Observation(f"{self.source_name}-0")]
-        df = self.source.observe(obs[0], F.count(F.lit(1)).alias("rows"))
-        errors: list[str | None] = []
+        df, obs, errors, _ = self._fold(self.source_name)
+        return df, obs, errors
+
+    def _fold(self, observe: str | None):
+        """(plan, observations, step errors, milliseconds each step took to build, with the jobs it ran)."""
+
+        def counted(df: DataFrame, i: int):
+            if observe is None:
+                return df, None
+            o = Observation(f"{observe}-{i}")
+            return df.observe(o, F.count(F.lit(1)).alias("rows")), o
+
+        df, first = counted(self.source, 0)
+        obs, errors, millis = [first], [], []
         for i, s in enumerate(self.steps, start=1):
-            o = Observation(f"{self.source_name}-{i}")
+            began = time.time()
             try:
                 nxt = s.fn(df)
                 nxt.schema
-                df = nxt.observe(o, F.count(F.lit(1)).alias("rows"))
+                df, o = counted(nxt, i)
                 errors.append(None)
-            except PySparkException as e:
-                errors.append(str(e).split("\n")[0])
+            except Exception as e:  # noqa: BLE001 - whatever a step's code raises is logged, the data stays
+                errors.append(_first_line(e))
                 o = None
             obs.append(o)
-        return df, obs, errors
+            millis.append(int((time.time() - began) * 1000))
+        return df, obs, errors, millis
 
-    def run(
-        self, sink: Callable[[DataFrame], object] | None = None, release: bool = True, counts: bool = True
-    ) -> "RunReport":
+    def run(self, sink: Callable[[DataFrame], object] | None = None, counts: bool = True) -> "RunReport":
         """A2: run the pipeline into ``sink`` (default: the no-op sink).
 
         ``counts`` observes the row count of the source and of every step
         in the same job.  Counting the source means reading all of its
         rows, so the first filter is then not pushed into the scan;
         ``counts=False`` runs the plain plan (full pushdown) and the step
-        log has no row counts.  Data that steps cached for the run is
-        released afterwards.
+        log has no row counts.  A failed run is a report with the counts,
+        step errors and times known until then.
         """
         start = time.time()
+        report = RunReport(False, [], [], list(self.steps), 0.0)
+        report.extra["source"] = self.source_name
+        obs: list = []
         try:
-            if not counts:
-                return self._run_plain(sink, start)
-            return self._run(sink, start)
-        finally:
-            if release:
-                from tablesteps.session import release_cached
-
-                release_cached(self.source.sparkSession)
-
-    def _run_plain(self, sink, start) -> "RunReport":
-        try:
-            df, errors = self.plan_checked()
-            if sink is None:
-                df.write.format("noop").mode("overwrite").save()
-            else:
-                sink(df)
-            report = RunReport(True, [None] * (len(self.steps) + 1), errors, list(self.steps), time.time() - start)
-            report.extra.update(source=self.source_name, exported=sink is not None)
-            return report
-        except Exception as e:  # noqa: BLE001 - a failed run is a report, as in the reference
-            return RunReport(False, [], [], list(self.steps), time.time() - start, str(e).split("\n")[0])
-
-    def _run(self, sink, start) -> "RunReport":
-        try:
-            df, obs, errors = self.observed()
+            df, obs, report.step_errors, report.millis = self._fold(self.source_name if counts else None)
             if sink is None:
                 df.write.format("noop").mode("overwrite").save()
             else:
                 sink(df)
-            counts = []
-            for o in obs:
-                counts.append(None if o is None else int(o.get.get("rows", 0)))
-            report = RunReport(True, counts, errors, [s for s in self.steps], time.time() - start, None)
-            report.extra["source"] = self.source_name
+            report.success = True
             report.extra["exported"] = sink is not None
-            return report
         except Exception as e:  # noqa: BLE001 - a failed run is a report, as in the reference
-            return RunReport(False, [], [], list(self.steps), time.time() - start, str(e).split("\n")[0])
+            report.error = _first_line(e)
+        report.counts = [None if o is None or not report.success else int(o.get.get("rows", 0)) for o in obs]
+        report.seconds = time.time() - start
+        return report
 
 
 @dataclass
@@ -290,6 +271,12 @@ class RunReport:
     seconds: float
     error: str | None = None
     extra: dict = field(default_factory=dict)
+    millis: list[int] = field(default_factory=list)
+
+    @property
+    def failed(self) -> int:
+        """Steps whose error was logged, and the run itself if it failed."""
+        return sum(e is not None for e in self.step_errors) + (not self.success)
 
     @property
     def processed(self) -> int:
@@ -306,7 +293,7 @@ class RunReport:
         for i, s in enumerate(self.steps, start=1):
             out = self.counts[i] if i < len(self.counts) else None
             err = self.step_errors[i - 1] if i - 1 < len(self.step_errors) else None
-            rows.append((i, s.title, s.kind, describe(s.code) if s.code else s.title, s.code, prev, out, None, err))
+            rows.append((i, s.title, s.kind, describe(s.code) if s.code else s.title, s.code, prev, out, self.millis[i - 1] if i - 1 < len(self.millis) else None, err))
             if out is not None:
                 prev = out
         if self.extra.get("exported"):

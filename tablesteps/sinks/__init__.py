@@ -1 +0,0 @@
-"""Sinks: files, JDBC, SQLite shards, REST batches, workbooks, object stores."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesteps.functions.names import named
+
 # The reference's text forms.
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -21,22 +23,22 @@ def write_csv(
     encoding: str = "utf-8",
     quote_all: bool = False,
     append: bool = False,
-    min_files: int | None = None,
+    files: int | None = None,
 ) -> None:
     """RFC quoting when needed, ``yyyy-MM-dd HH:mm:ss``, lower-case
-    booleans, null as empty.  Append writes new part files without
-    touching the existing ones.  ``min_files`` spreads a DataFrame with
-    fewer partitions over that many files, so the files can later be
-    read in parallel (a quoted-newline-safe CSV read is one task per file).
+    booleans, null as empty.  Append writes new part files, each with its
+    own header, without touching the existing ones.  ``files`` deals the rows
+    over that many files, so that they can later be read in parallel (a read
+    with quoted newlines is one task per file).
     """
-    if min_files and df.rdd.getNumPartitions() < min_files:
+    if files:
         # hash of the whole row: deterministic on task retry without the
         # sort a round-robin repartition needs; only identical rows share a file
-        df = df.repartition(min_files, *[F.col(f"`{c}`") for c in df.columns])
+        df = df.repartition(files, *[named(c) for c in df.columns])
     (
         df.write.mode("append" if append else "overwrite")
         .option("sep", delimiter)
-        .option("header", "true" if header and not append else "false")
+        .option("header", "true" if header else "false")
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
@@ -53,7 +55,7 @@ def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = True, camel_ca
     """W4 as JSON Lines; nulls kept by default; optional camel-case keys."""
     out = df
     if camel_case:
-        out = df.select(*[F.col(f"`{c}`").alias(c[:1].lower() + c[1:]) for c in df.columns])
+        out = df.select(*[named(c).alias(c[:1].lower() + c[1:]) for c in df.columns])
     (
         out.write.mode("append" if append else "overwrite")
         .option("ignoreNullFields", "false" if keep_nulls else "true")

@@ -4,20 +4,21 @@ Batches are numbered from a dense row index in the given order; each
 batch becomes one payload row (its size is bounded by the batch size),
 and ``send_payloads`` posts them from the executors.  Delivery is
 at-least-once (a retried task re-sends), so every request carries an
-idempotency key derived from the batch id.
+idempotency key derived from the load and the batch id.
 """
 
 from __future__ import annotations
 
 import os
 import urllib.parse
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesteps.operators.order import OrderSpec
-from tablesteps.operators.rows import batch_ids
-from tablesteps.session import local_path, ship_package
+from tablesteps.functions.names import named
+from tablesteps.operators.order import OrderSpec, with_row_index
+from tablesteps.session import local_path, ship_package, written_copy
 
 # Fixed value: reference default batch size.
 DEFAULT_BATCH_SIZE = 100
@@ -25,10 +26,15 @@ DEFAULT_BATCH_SIZE = 100
 
 def api_payloads(df: DataFrame, order: OrderSpec, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
     """(batch_id, n_rows, payload): batch 1 sends single objects, else arrays."""
-    b = batch_ids(df, batch_size, order)
-    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    payload = F.to_json(F.collect_list(rows)) if batch_size > 1 else F.to_json(F.first(rows))
-    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), payload.alias("payload"))
+    if batch_size <= 0:
+        raise ValueError("Batch size must be greater than zero")
+    at, batch = "_api_at", "_api_batch"
+    b = with_row_index(df, order, at).withColumn(batch, F.floor(F.col(at) / F.lit(batch_size)).cast("long"))
+    rows = F.struct(F.col(at), F.struct(*[named(c) for c in df.columns]).alias("row"))
+    in_order = F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["row"])
+    payload = F.to_json(in_order) if batch_size > 1 else F.to_json(F.element_at(in_order, 1))
+    out = b.groupBy(batch).agg(F.count(F.lit(1)).alias("n_rows"), payload.alias("payload"))
+    return out.withColumnRenamed(batch, "batch_id")
 
 
 def _post_file(url: str, body: str, key: str) -> int:
@@ -54,11 +60,25 @@ def _post_http(url: str, body: str, key: str, method: str, headers: dict) -> int
         return e.code
 
 
-def send_payloads(payloads: DataFrame, url: str, transport: str = "http", method: str = "POST", headers: dict | None = None, token: str | None = None) -> DataFrame:
-    """Send each payload; returns (batch_id, n_rows, status).  Non-2xx raises."""
+def send_payloads(
+    payloads: DataFrame,
+    url: str,
+    transport: str = "http",
+    method: str = "POST",
+    headers: dict | None = None,
+    token: str | None = None,
+    run_id: str | None = None,
+) -> DataFrame:
+    """Send each payload now; returns the report (batch_id, n_rows, status).  Non-2xx raises.
+
+    The sends run once per call (the report is written to the shared
+    folder, reading it sends nothing).  ``run_id`` names the load: retries of
+    a task repeat its keys, another load has others.
+    """
     hdrs = dict(headers or {})
     if token:
         hdrs["Authorization"] = f"Bearer {token}"
+    load = run_id or uuid.uuid4().hex
 
     def send(batches):
         import pandas as pd
@@ -66,7 +86,7 @@ def send_payloads(payloads: DataFrame, url: str, transport: str = "http", method
         for pdf in batches:
             statuses = []
             for bid, body in zip(pdf["batch_id"], pdf["payload"]):
-                key = f"batch-{int(bid):09d}"
+                key = f"{load}-batch-{int(bid):09d}"
                 if transport == "file":
                     status = _post_file(url, body, key)
                 else:
@@ -77,7 +97,7 @@ def send_payloads(payloads: DataFrame, url: str, transport: str = "http", method
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "n_rows": pdf["n_rows"], "status": statuses})
 
     ship_package(payloads.sparkSession)
-    return payloads.mapInPandas(send, "batch_id long, n_rows long, status int")
+    return written_copy(payloads.mapInPandas(send, "batch_id long, n_rows long, status int"), "rest-report")
 
 
 __all__ = ["api_payloads", "send_payloads"]

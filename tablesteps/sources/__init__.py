@@ -1 +0,0 @@
-"""Sources: files, JDBC, SQLite, REST pages, document collections, workbooks."""

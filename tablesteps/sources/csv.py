@@ -7,14 +7,17 @@ automatic type conversion.  The parse itself is Spark's CSV reader:
   header names cannot be renamed by the reader; names come from the
   first file's header line, untrimmed; for a duplicated name the last
   column's value wins at the first position;
-* quoted delimiters, doubled quotes and newlines inside quotes are
-  handled (``multiLine``); short rows get nulls, extra cells are dropped;
+* every file's header must match the first non-empty file's (the read
+  fails otherwise instead of mixing columns up);
+* quoted delimiters and doubled quotes are handled; short rows get nulls,
+  extra cells are dropped;
 * blank and white-space-only lines are dropped;
 * conversion runs the inference pass of ``functions.typed`` over all
   rows (one aggregate job), unless a schema is given.
 
-``multi_line=False`` lets Spark split large files across tasks when no
-quoted newlines occur.
+By default Spark splits large files across tasks, which needs records
+without newlines inside quotes; ``multi_line=True`` reads those as well, one
+task per file.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesteps.functions.typed import apply_types, infer_types
-from tablesteps.sources.files import list_files
+from tablesteps.sources.files import first_file
 
 # Reference defaults and delimiter detection.
 DEFAULT_DELIMITER = ","
@@ -41,11 +44,11 @@ WHITESPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
     """The candidate seen most often in the first 5 lines; ties keep
     the order ``, ; \\t |``; nothing readable -> ``,``."""
-    files = list_files(spark, path)
-    if not files:
+    first = first_file(spark, path)
+    if first is None:
         return DEFAULT_DELIMITER
     try:
-        lines = [r[0] for r in spark.read.option("encoding", encoding).text(files[0][0]).limit(DETECT_LINES).collect()]
+        lines = [r[0] for r in spark.read.option("encoding", encoding).text(first).limit(DETECT_LINES).collect()]
     except Exception:  # noqa: BLE001 - unreadable file: fall back as the reference does
         return DEFAULT_DELIMITER
     if not lines:
@@ -55,15 +58,15 @@ def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") ->
 
 
 def _header(spark: SparkSession, path: str, delimiter: str, quote: str, encoding: str) -> list[str]:
-    files = list_files(spark, path)
-    if not files:
-        raise FileNotFoundError(path)
+    file = first_file(spark, path)
+    if file is None:
+        return []
     first = (
         spark.read.options(sep=delimiter, quote=quote, escape=quote, encoding=encoding, header="false")
         .option("multiLine", "true")
         .option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false")
-        .csv(files[0][0])
+        .csv(file)
         .limit(1)
         .collect()
     )
@@ -82,7 +85,7 @@ def read_csv(
     auto_convert: bool = True,
     quote: str = '"',
     schema: Mapping[str, str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
     buffer_size: int = DEFAULT_BUFFER_SIZE,
 ) -> DataFrame:
     """S1/S2 (see the module docstring).  ``buffer_size`` is accepted for
@@ -100,15 +103,21 @@ def read_csv(
         probe = spark.read.options(sep=delimiter, quote=quote, escape=quote, encoding=encoding).csv(path)
         width = len(probe.columns)
         names = [f"{NO_HEADER_PREFIX}{i}" for i in range(width)]
-    positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    if not width:
+        return spark.createDataFrame([], T.StructType([]))
+    # Plain distinct names are checked against every file's header by Spark's reader.
+    plain = header and len({n.lower() for n in names}) == width and all(n.strip() for n in names)
+    fields = names if plain else [f"_c{i}" for i in range(width)]
+    positional = T.StructType([T.StructField(n, T.StringType()) for n in fields])
     raw = (
         spark.read.schema(positional)
         .options(sep=delimiter, quote=quote, escape=quote, encoding=encoding)
         .option("header", "true" if header else "false")
-        .option("enforceSchema", "true")
+        .option("enforceSchema", "false" if plain else "true")
         .option("multiLine", "true" if multi_line else "false")
         .option("mode", "PERMISSIVE")
         .csv(path)
+        .toDF(*[f"_c{i}" for i in range(width)])
     )
     cells = [F.col(f"_c{i}") for i in range(width)]
     if trim:
@@ -140,12 +149,17 @@ def read_csv(
     return apply_types(df, types)
 
 
-def read_csv_stream(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = DEFAULT_DELIMITER):
+def read_csv_stream(
+    spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = DEFAULT_DELIMITER, multi_line: bool = True
+):
     """S3 async read as a file-drop stream: new files in ``path`` become
-    micro-batches.  A stream needs its schema up front."""
+    micro-batches.  A stream needs its schema up front.  Dropped files are
+    read whole, so newlines inside quotes are part of a cell;
+    ``multi_line=False`` splits large files instead."""
     return (
         spark.readStream.schema(schema)
         .options(sep=delimiter, header="true", quote='"', escape='"')
+        .option("multiLine", "true" if multi_line else "false")
         .option("ignoreLeadingWhiteSpace", "true")
         .option("ignoreTrailingWhiteSpace", "true")
         .csv(path)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesteps.functions.names import named
+
 from tablesteps.operators import rows as R
 from tablesteps.operators.order import Key
 
@@ -39,7 +41,8 @@ def _unwrap(col, dtype: T.DataType):
                     F.coalesce(F.try_to_timestamp(inner.cast("string")), F.timestamp_millis(inner.try_cast("long")))
                 )
             return inner.cast(target)
-        return F.struct(*[_unwrap(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        whole = F.struct(*[_unwrap(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        return F.when(col.isNotNull(), whole)  # a null sub-document stays null
     if isinstance(dtype, T.ArrayType):
         et = dtype.elementType
         if isinstance(et, (T.StructType, T.ArrayType)):
@@ -49,7 +52,7 @@ def _unwrap(col, dtype: T.DataType):
 
 def normalise(df: DataFrame) -> DataFrame:
     """Replace extended-JSON wrappers by plain values, at any depth."""
-    return df.select(*[_unwrap(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.select(*[_unwrap(named(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -122,25 +125,33 @@ def read_collection(
     return normalise(reader.load())
 
 
+def _wrap(col, dtype: T.DataType):
+    """A value in extended JSON, at any depth."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        # zone-less UTC wall clock, formatted from its own text (no session-zone round trip)
+        if isinstance(dtype, T.TimestampType):
+            wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
+        else:
+            wall = col.cast("timestamp_ntz")
+        iso = F.concat(F.regexp_replace(wall.cast("string"), " ", "T"), F.lit("Z"))
+        return F.when(col.isNotNull(), F.struct(iso.alias("$date")))
+    if isinstance(dtype, T.DecimalType):
+        return F.when(col.isNotNull(), F.struct(col.cast("string").alias("$numberDecimal")))
+    if isinstance(dtype, T.BinaryType):
+        return F.base64(col)
+    if isinstance(dtype, T.StructType):
+        whole = F.struct(*[_wrap(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        return F.when(col.isNotNull(), whole)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: _wrap(x, dtype.elementType))
+    return col
+
+
 def to_extended_json(df: DataFrame) -> DataFrame:
     """One JSON document per row; timestamps as ``{"$date": ...}``,
-    decimals as ``{"$numberDecimal": ...}``, binary as base64 text."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            # zone-less UTC wall clock, formatted from its own text (no session-zone round trip)
-            if isinstance(f.dataType, T.TimestampType):
-                wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
-            else:
-                wall = c.cast("timestamp_ntz")
-            iso = F.concat(F.regexp_replace(wall.cast("string"), " ", "T"), F.lit("Z"))
-            c = F.when(c.isNotNull(), F.struct(iso.alias("$date")))
-        elif isinstance(f.dataType, T.DecimalType):
-            c = F.when(c.isNotNull(), F.struct(c.cast("string").alias("$numberDecimal")))
-        elif isinstance(f.dataType, T.BinaryType):
-            c = F.base64(c)
-        cols.append(c.alias(f.name))
+    decimals as ``{"$numberDecimal": ...}``, binary as base64 text, inside
+    sub-documents and arrays too."""
+    cols = [_wrap(named(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
 
 

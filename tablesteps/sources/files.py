@@ -52,28 +52,11 @@ def apply_settings(spark: SparkSession, settings: Mapping[str, str]) -> None:
         conf.set(k, v)
 
 
-def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Data files under ``path`` (a file, a directory or a glob), sorted.
-
-    Metadata only (the file system's listing), as Spark does itself when
-    it plans a scan; hidden files (``_``/``.``) are skipped.
-    """
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(hpath) or []
-    out = []
-    stack = list(statuses)
-    while stack:
-        st = stack.pop()
-        name = st.getPath().getName()
-        if name.startswith("_") or name.startswith("."):
-            continue
-        if st.isDirectory():
-            stack.extend(fs.listStatus(st.getPath()))
-        else:
-            out.append((st.getPath().toString(), int(st.getLen())))
-    return sorted(out)
+def first_file(spark: SparkSession, path: str) -> str | None:
+    """The first non-empty data file under ``path`` (a file, a directory or a
+    glob) by name; one row reaches the driver, however many files there are."""
+    found = list_objects(spark, path).filter("length > 0").agg(F.min("path")).first()
+    return found[0] if found else None
 
 
 def list_objects(spark: SparkSession, prefix: str) -> DataFrame:
@@ -95,16 +78,10 @@ def read_text_object(spark: SparkSession, uri: str) -> DataFrame:
 
 # File extensions and the reader they select.
 EXTENSIONS = {
-    ".xlsx": "workbook",
-    ".xls": "workbook",
-    ".xlsm": "workbook",
     ".csv": "csv",
     ".txt": "csv",
     ".json": "json",
     ".jsonl": "jsonl",
-    ".db": "sqlite",
-    ".sqlite": "sqlite",
-    ".sqlite3": "sqlite",
 }
 
 
@@ -126,14 +103,6 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
         from tablesteps.sources.json import read_json
 
         return read_json(spark, path, **options)
-    if kind == "jsonl":
-        from tablesteps.sources.json import read_json_lines
+    from tablesteps.sources.json import read_json_lines
 
-        return read_json_lines(spark, path, **options)
-    if kind == "sqlite":
-        from tablesteps.sources.sqlite import read_sqlite
-
-        return read_sqlite(spark, path, **options)
-    from tablesteps.sources.workbook import read_workbooks
-
-    return read_workbooks(spark, path, **options)
+    return read_json_lines(spark, path, **options)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tablesteps.session import written_copy
 from tablesteps.session import local_path, ship_package
 
 FORMAT = "tablesteps_rest"
@@ -135,7 +136,7 @@ class RestReader(DataSourceReader):
     def partitions(self):
         if "pagesize" not in self.o:
             return [Stripe(0, 1)]
-        k = int(self.o.get("stripes", "1"))
+        k = int(self.o["stripes"])
         return [Stripe(i, k) for i in range(k)]
 
     def read(self, part: Stripe):
@@ -236,13 +237,10 @@ def items_to_table(items: DataFrame) -> DataFrame:
 def read_rest(spark: SparkSession, url: str, **options) -> DataFrame:
     """GET (paged when ``pageSize`` is given) -> typed table.
 
-    The fetched items are cached for the run (released by
-    ``session.release_cached``), so the API is called once even though
-    the column discovery and the result are two jobs.
+    The fetched items are written to the shared folder once, so the API is
+    called once even though the column discovery and the result are two jobs.
     """
-    from tablesteps.session import track_cached
-
-    return items_to_table(track_cached(read_pages(spark, url, **options).persist()))
+    return items_to_table(written_copy(read_pages(spark, url, **options), "rest-items"))
 
 
 def read_typed(spark: SparkSession, url: str, schema: T.StructType | str, **options) -> DataFrame:

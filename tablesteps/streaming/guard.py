@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 
 from tablesteps.session import shared_dir
 
-STREAMABLE_KINDS = ("Filter", "Select", "Code")
 REFUSED_KINDS = ("Sort", "GroupBy", "Join", "Aggregate")
 
 
+# Names of Spark's logical operators that keep state on a stream.
+STATEFUL_NODES = {"Aggregate", "Distinct", "Deduplicate", "Join", "Window", "Sort", "GlobalLimit", "FlatMapGroupsInPandas"}
+
+
 class NotStreamable(ValueError):
     pass
 
@@ -31,6 +34,21 @@ def check_streamable(pipeline) -> None:
     for i, s in enumerate(pipeline.steps, start=1):
         if s.kind in REFUSED_KINDS or getattr(s, "order_dependent", False):
             raise NotStreamable(f"step {i} ({s.kind}: {s.title}) needs the whole input; run it per batch instead")
+    if pipeline.source.isStreaming:
+        check_stateless(pipeline.plan_strict())
+
+
+def check_stateless(df: DataFrame) -> None:
+    """Raise when a streaming plan keeps state without a watermark (distinct, GROUP BY, joins in SQL text):
+    its state would grow with the stream."""
+    plan = df._jdf.queryExecution().analyzed()
+    found = plan.toString()
+    if "EventTimeWatermark" in found:
+        return
+    for line in found.splitlines():
+        word = line.lstrip(" :+-~").split(" ")[0].split("(")[0]
+        if word in STATEFUL_NODES:
+            raise NotStreamable(f"{word} needs state for the whole stream; add a watermark or run it per batch")
 
 
 def run_stream(
@@ -43,6 +61,7 @@ def run_stream(
     """Start ``df`` into ``sink(batch_df, batch_id)``; returns the query."""
     if not df.isStreaming:
         raise ValueError("run_stream needs a streaming DataFrame")
+    check_stateless(df)
     location = checkpoint or shared_dir(df.sparkSession, f"{name}-checkpoint")
     writer = df.writeStream.foreachBatch(sink).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer

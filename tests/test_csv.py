@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from pyspark.sql import types as T
 
 from tablesteps.sinks.files import write_csv
@@ -11,6 +13,7 @@ from tablesteps.sources.csv import detect_delimiter, read_csv
 
 def put(folder, name, text):
     p = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(p), exist_ok=True)
     with open(p, "w", encoding="utf-8", newline="") as fh:
         fh.write(text)
     return p
@@ -22,7 +25,7 @@ def test_quotes_newlines_blank_lines_short_long_rows(spark, tmpdir_shared):
         "a.csv",
         'a,b,c\n"x, ""y""",2,3\n\n   \n"l1\nl2",5,6\n1\n7,8,9,10\n',
     )
-    df = read_csv(spark, p, auto_convert=False)
+    df = read_csv(spark, p, auto_convert=False, multi_line=True)
     got = [tuple(r) for r in df.collect()]
     assert ('x, "y"', "2", "3") in got
     assert ("l1\nl2", "5", "6") in got
@@ -115,3 +118,24 @@ def test_user_schema_bad_cells_become_null(spark, tmpdir_shared):
     p = put(tmpdir_shared, "us.csv", "n,b\n1,true\nx,maybe\n")
     rows = sorted(read_csv(spark, p, schema={"n": "int", "b": "boolean"}).collect(), key=lambda r: str(r.n))
     assert [(r.n, r.b) for r in rows] == [(1, True), (None, None)]
+
+
+def test_empty_first_file_and_appended_parts(spark, tmpdir_shared):
+    from tablesteps.sinks.files import write_csv
+
+    put(tmpdir_shared, "many/a.csv", "")
+    put(tmpdir_shared, "many/b.csv", "x,y\n1,2\n")
+    put(tmpdir_shared, "many/c.csv", "x,y\n3,4\n")
+    folder = os.path.join(tmpdir_shared, "many")
+    assert sorted(tuple(r) for r in read_csv(spark, folder).collect()) == [(1, 2), (3, 4)]
+    out = os.path.join(tmpdir_shared, "appended")
+    for part in (spark.range(0, 10), spark.range(10, 20)):
+        write_csv(part.repartition(3), out, append=True)
+    assert sorted(r.id for r in read_csv(spark, out).collect()) == list(range(20))
+
+
+def test_other_header_order_is_refused(spark, tmpdir_shared):
+    put(tmpdir_shared, "order/a.csv", "x,y\n1,2\n")
+    put(tmpdir_shared, "order/b.csv", "y,x\n1,2\n")
+    with pytest.raises(Exception):
+        read_csv(spark, os.path.join(tmpdir_shared, "order")).collect()

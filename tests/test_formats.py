@@ -1,4 +1,4 @@
-"""JSON shapes and paths, REST envelopes and pages, documents, workbooks, SQLite."""
+"""JSON shapes and paths, REST envelopes and pages and documents."""
 
 import json
 import os
@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 from tablesteps.sources.documents import find, read_documents
 from tablesteps.sources.json import read_json, read_json_lines
 from tablesteps.sources.rest import HttpError, envelope_items, read_rest
-from tablesteps.sources.sqlite import list_tables, read_sqlite, write_sqlite
-from tablesteps.sources.workbook import read_workbooks, workbook_catalog
-from tablesteps.sinks.workbook import write_workbooks
 from tablesteps.sinks.rest import api_payloads, send_payloads
 from tablesteps.operators.order import asc
 
@@ -77,11 +74,11 @@ def test_rest_pages_and_failing_page(spark, tmpdir_shared):
 def test_rest_sink_batches(spark, tmpdir_shared):
     df = spark.range(0, 250).withColumnRenamed("id", "k")
     payloads = api_payloads(df, [asc("k")], 100)
-    out = send_payloads(payloads, "file://" + os.path.join(tmpdir_shared, "sent"), transport="file")
+    out = send_payloads(payloads, "file://" + os.path.join(tmpdir_shared, "sent"), transport="file", run_id="load")
     res = sorted((r.batch_id, r.n_rows, r.status) for r in out.collect())
     assert res == [(0, 100, 200), (1, 100, 200), (2, 50, 200)]
     sent = sorted(os.listdir(os.path.join(tmpdir_shared, "sent")))
-    assert sent == ["batch-000000000.json", "batch-000000001.json", "batch-000000002.json"]
+    assert sent == ["load-batch-000000000.json", "load-batch-000000001.json", "load-batch-000000002.json"]
 
 
 def test_documents(spark, tmpdir_shared):
@@ -101,64 +98,6 @@ def test_documents(spark, tmpdir_shared):
     assert [r._id for r in paged] == ["65a"]
 
 
-def test_workbook_fixture(spark, tmpdir_shared):
-    import datetime as dt
-
-    src = spark.createDataFrame(
-        [(1, 1.0, 1.5, True, dt.datetime(2024, 1, 2, 3, 4, 5), "x"), (2, 2.0, None, False, None, None)],
-        "a long, whole double, frac double, ok boolean, ts timestamp_ntz, s string",
-    )
-    out = os.path.join(tmpdir_shared, "wb")
-    files = write_workbooks(src.coalesce(1), out).collect()
-    assert sum(r.rows for r in files) == 2
-    back = read_workbooks(spark, out + "/*.xlsx")
-    types = {f.name: f.dataType for f in back.schema.fields}
-    assert back.columns == ["a", "whole", "frac", "ok", "ts", "s"]
-    assert isinstance(types["whole"], T.LongType) and isinstance(types["frac"], T.DoubleType)
-    assert isinstance(types["ok"], T.BooleanType) and isinstance(types["ts"], T.TimestampNTZType)
-    r1 = [r for r in back.collect() if r.a == 1][0]
-    assert r1.ts == dt.datetime(2024, 1, 2, 3, 4, 5) and r1.s == "x"
-    cat = workbook_catalog(spark, out + "/*.xlsx").collect()
-    assert [(r.sheet, r.used_rows, r.used_columns) for r in cat] == [("Sheet1", 3, 6)]
-
-
-def test_workbook_blank_rows_and_headers(spark, tmpdir_shared):
-    sheet = (
-        '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-        '<row r="1"><c r="A1" t="inlineStr"><is><t>h</t></is></c></row>'
-        '<row r="2"><c r="A2"><v>1</v></c><c r="B2"><v>2</v></c></row>'
-        '<row r="3"></row>'
-        '<row r="4"><c r="A4"><v>3</v></c></row>'
-        "</sheetData></worksheet>"
-    )
-    out = os.path.join(tmpdir_shared, "hand")
-    os.makedirs(out, exist_ok=True)
-    from tablesteps.sinks import workbook as W
-
-    with zipfile.ZipFile(os.path.join(out, "h.xlsx"), "w") as z:
-        z.writestr("[Content_Types].xml", W._CONTENT_TYPES)
-        z.writestr("_rels/.rels", W._ROOT_RELS)
-        z.writestr("xl/workbook.xml", W._workbook_xml("S1"))
-        z.writestr("xl/_rels/workbook.xml.rels", W._WB_RELS)
-        z.writestr("xl/styles.xml", W._STYLES)
-        z.writestr("xl/worksheets/sheet1.xml", sheet)
-    df = read_workbooks(spark, out + "/*.xlsx")
-    assert df.columns == ["h", "Column2"]
-    assert sorted((r.h, r.Column2) for r in df.collect()) == [(1, 2), (3, None)]
-    nohdr = read_workbooks(spark, out + "/*.xlsx", header=False)
-    assert nohdr.columns == ["Column1", "Column2"] and nohdr.count() == 3
-
-
-def test_sqlite_roundtrip_and_tables(spark, tmpdir_shared):
-    df = spark.range(0, 1000).selectExpr("id", "cast(id * 1.5 as double) as x", "cast(id as string) as s")
-    out = os.path.join(tmpdir_shared, "sq")
-    assert sum(r.rows for r in write_sqlite(df.repartition(4), out, "t").collect()) == 1000
-    assert list_tables(out) == ["t"]
-    back = read_sqlite(spark, out, rowsPerPartition=100)
-    assert back.rdd.getNumPartitions() >= 4
-    assert back.count() == 1000 and back.selectExpr("sum(id)").first()[0] == sum(range(1000))
-
-
 def test_retry_policy(monkeypatch):
     from tablesteps.sources import rest
 
@@ -234,52 +173,6 @@ def test_read_any_dispatch(spark, tmpdir_shared):
 
     p = put(tmpdir_shared, "any/t.jsonl", '{"a":1}\n{"a":2}\n')
     assert read_any(spark, p).count() == 2
-    df = spark.range(0, 30)
-    out = os.path.join(tmpdir_shared, "any", "db.sqlite")
-    write_sqlite(df.coalesce(1), out, "nums", single_file=True).collect()
-    shard = [f for f in os.listdir(out) if f.endswith(".db")][0]
-    back = read_any(spark, os.path.join(out, shard))
-    assert back.count() == 30
-
-
-def test_workbook_sheet_and_range(spark, tmpdir_shared):
-    import zipfile
-
-    from tablesteps.sinks import workbook as W
-
-    def sheet(rows):
-        body = "".join(
-            f'<row r="{r}">' + "".join(f'<c r="{c}{r}"><v>{v}</v></c>' for c, v in cells) + "</row>"
-            for r, cells in rows
-        )
-        return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
-
-    wb_xml = (
-        '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-        'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
-        '<sheet name="First" sheetId="1" r:id="rId1"/><sheet name="Second" sheetId="2" r:id="rId3"/></sheets></workbook>'
-    )
-    rels = W._WB_RELS.replace(
-        "</Relationships>",
-        '<Relationship Id="rId3" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
-    )
-    out = os.path.join(tmpdir_shared, "two")
-    os.makedirs(out)
-    with zipfile.ZipFile(os.path.join(out, "t.xlsx"), "w") as z:
-        z.writestr("[Content_Types].xml", W._CONTENT_TYPES)
-        z.writestr("_rels/.rels", W._ROOT_RELS)
-        z.writestr("xl/workbook.xml", wb_xml)
-        z.writestr("xl/_rels/workbook.xml.rels", rels)
-        z.writestr("xl/styles.xml", W._STYLES)
-        z.writestr("xl/worksheets/sheet1.xml", sheet([(1, [("A", 1)])]))
-        z.writestr("xl/worksheets/sheet2.xml", sheet([(1, [("A", 9), ("B", 8), ("C", 7)]), (2, [("A", 6), ("B", 5), ("C", 4)]), (3, [("A", 3), ("B", 2), ("C", 1)])]))
-    first = read_workbooks(spark, out + "/*.xlsx", header=False)
-    assert [tuple(r) for r in first.collect()] == [(1,)]
-    by_name = read_workbooks(spark, out + "/*.xlsx", sheet="Second", header=False)
-    assert by_name.count() == 3 and by_name.columns == ["Column1", "Column2", "Column3"]
-    by_index = read_workbooks(spark, out + "/*.xlsx", sheet=1, header=False, cell_range=(2, 2, 3, 3))
-    assert by_index.columns == ["Column1", "Column2"]
-    assert sorted(tuple(r) for r in by_index.collect()) == [(2, 1), (5, 4)]
 
 
 def test_json_comments_and_object_file(spark, tmpdir_shared):
@@ -303,8 +196,45 @@ def test_indexed_sorted(spark):
     assert [(r.x, r.row_index) for r in indexed_sorted(df, [asc("x")]).collect()] == [(1, 0), (2, 1), (3, 2)]
 
 
-def test_workbook_writer_splits_at_max_rows(spark, tmpdir_shared):
-    out = os.path.join(tmpdir_shared, "split")
-    res = write_workbooks(spark.range(0, 5).coalesce(1), out, max_rows=2).collect()
-    assert sorted(r.rows for r in res) == [1, 2, 2]
-    assert read_workbooks(spark, out + "/*.xlsx").count() == 5
+
+
+def test_select_path_past_the_end_and_other_errors(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from tablesteps.functions.json_path import select_path
+
+    df = spark.sql("SELECT array(named_struct('x', 1)) AS items UNION ALL SELECT array()")
+    assert [r.x for r in select_path(df, "$.items[0]").collect()] == [1]
+    assert select_path(df, "$.items[3]").collect() == []
+    assert select_path(df, "$.nothing.here").collect() == []
+    with pytest.raises(AnalysisException):
+        select_path(spark.sql("SELECT 1 AS n"), "$.n[*]")
+
+
+def test_two_loads_keep_both_and_reading_the_report_sends_nothing(spark, tmpdir_shared):
+    from tablesteps.operators.order import asc
+    from tablesteps.sinks.rest import api_payloads, send_payloads
+
+    url = "file://" + os.path.join(tmpdir_shared, "api")
+    df = spark.range(0, 25).repartition(3)
+    one = send_payloads(api_payloads(df, [asc("id")], 10), url, transport="file")
+    send_payloads(api_payloads(df, [asc("id")], 10), url, transport="file")
+    folder = os.path.join(tmpdir_shared, "api")
+    assert len(os.listdir(folder)) == 6
+    for f in os.listdir(folder):
+        os.remove(os.path.join(folder, f))
+    assert one.count() == 3 and one.count() == 3 and os.listdir(folder) == []
+    send_payloads(api_payloads(df, [asc("id")], 10), url, transport="file", run_id="again")
+    send_payloads(api_payloads(df, [asc("id")], 10), url, transport="file", run_id="again")
+    bodies = [json.load(open(os.path.join(folder, f))) for f in sorted(os.listdir(folder))]
+    assert [[r["id"] for r in b] for b in bodies] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+
+
+def test_null_sub_documents_stay_null(spark, tmpdir_shared):
+    from tablesteps.sources.documents import read_documents
+
+    p = put(tmpdir_shared, "n.jsonl", '{"i":1,"a":null,"l":[{"x":1},null]}\n{"i":2,"a":{"b":{"$date":"2024-01-02T03:04:05Z"}},"l":null}\n')
+    got = {r.i: r for r in read_documents(spark, p).collect()}
+    assert got[1].a is None and got[1].l[1] is None and got[1].l[0].x == 1
+    assert got[2].a.b is not None and got[2].l is None

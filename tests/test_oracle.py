@@ -12,8 +12,11 @@ from oracle_check import compare, duck  # noqa: E402
 
 from conftest import SF_ORACLE, SF_SMALL  # noqa: E402
 
-ORACLE = E.oracle_sql()
-NAMES = sorted(E.queries())
+from tablesteps.plans import catalogue as C  # noqa: E402
+
+C.load_all()
+ORACLE = C.ORACLE
+NAMES = sorted(C.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +30,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    ok, n, _, detail = compare(spark, con, name, E.queries()[name], ORACLE[name], SF_ORACLE)
+    ok, n, _, detail = compare(spark, con, name, C.QUERIES[name], ORACLE[name], SF_ORACLE)
     assert ok, detail
 
 

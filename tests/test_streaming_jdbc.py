@@ -88,3 +88,40 @@ def test_jdbc_bulk(spark):
     df = spark.range(0, 3000).selectExpr("id", "cast(id as string) as s")
     write_jdbc_bulk(df, url, "B1", mode="overwrite", dialect="derby")
     assert read_jdbc(spark, url, table="B1").count() == 3000
+
+
+def test_failed_overwrite_leaves_the_target(spark):
+    import pytest
+
+    url = derby(spark, "derby-atomic")
+    write_jdbc(spark.range(0, 5).selectExpr("cast(id as int) as id"), url, "A1", mode="overwrite", dialect="derby", atomic=True)
+    too_large = spark.createDataFrame([(2**40,)], "id long")
+    with pytest.raises(Exception):
+        write_jdbc(too_large, url, "A1", mode="overwrite", dialect="derby", atomic=True)
+    left = spark.read.format("jdbc").options(url=url, dbtable="A1", driver="org.apache.derby.jdbc.EmbeddedDriver").load()
+    assert sorted(r[0] for r in left.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_upsert_into_a_table(spark):
+    from tablesteps.operators.order import asc
+    from tablesteps.sinks.jdbc import upsert_jdbc, upsert_statement
+
+    url = derby(spark, "derby-upsert")
+    write_jdbc(spark.createDataFrame([(1, 10), (2, 20)], "k int, v int"), url, "U1", mode="overwrite", dialect="derby")
+    more = spark.createDataFrame([(2, 21, 1), (2, 22, 2), (3, 30, 1)], "k int, v int, seq int")
+    last = more.selectExpr("k", "v")
+    upsert_jdbc(last, url, "U1", ["k"], [asc("v")], dialect="derby")
+    read = spark.read.format("jdbc").options(url=url, dbtable="U1", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert sorted(tuple(r) for r in read.load().collect()) == [(1, 10), (2, 22), (3, 30)]
+    upsert_jdbc(spark.createDataFrame([(1, 99), (4, 40)], "k int, v int"), url, "U1", ["k"], [asc("v")], update=False, dialect="derby")
+    assert sorted(tuple(r) for r in read.load().collect()) == [(1, 10), (2, 22), (3, 30), (4, 40)]
+    assert upsert_statement("postgresql", "t", "s", ["k", "v"], ["k"], True) == (
+        'INSERT INTO t ("k", "v") SELECT "k", "v" FROM s ON CONFLICT ("k") DO UPDATE SET "v" = EXCLUDED."v"'
+    )
+
+
+def test_long_texts_fit(spark):
+    url = derby(spark, "derby-text")
+    write_jdbc(spark.createDataFrame([("x" * 50_000,)], "s string"), url, "L1", mode="overwrite", dialect="derby")
+    read = spark.read.format("jdbc").options(url=url, dbtable="L1", driver="org.apache.derby.jdbc.EmbeddedDriver").load()
+    assert len(read.first()[0]) == 50_000
