@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesteps.llm import decontaminate, language_id, line_dedup, sentencepiece, simhash
-from tablesteps.llm.common import quoted, saved
+from tablesteps.llm.common import saved
 from tablesteps.llm.queries import PIECE_MODEL, table
 
 
@@ -43,14 +43,14 @@ def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``piece_ids``, their number, and whether decoding gives the text back."""
-    coded = sentencepiece.encode(docs, PIECE_MODEL, docs.columns, out="piece_ids")
-    back = sentencepiece.decode(coded, PIECE_MODEL, coded.columns, out="decoded")
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return back.select(
-        *[F.col(quoted(c)) for c in docs.columns],
+    back = sentencepiece.encode_and_decode(docs, PIECE_MODEL, docs.columns)
+    inner = back.toDF(*[f"k{i}" for i in range(len(docs.columns))], "piece_ids", "decoded")
+    text = F.coalesce(F.col(f"k{docs.columns.index('text')}"), F.lit(""))
+    return inner.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)],
         "piece_ids",
         F.size("piece_ids").cast("long").alias("n_pieces"),
-        same.alias("decodes"),
+        (F.col("decoded") == text).alias("decodes"),
     )
 
 
