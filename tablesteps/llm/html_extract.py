@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import map_text, quoted
+from .common import map_text, quoted, saved
 from .suffixes import suffix_array
 
 #: HTML in a shard: bounds what one task gathers of a host.
@@ -269,14 +269,15 @@ def extract(
 
     fields = [StructField("parts", ArrayType(IntegerType())), StructField("blocks", ArrayType(StringType()))]
     cut = map_text(source, "html", ["host", "deal", *names], fields, make)
-    # Hosts of more than one shard: few rows (all HTML over SHARD_BYTES at most).
+    # Hosts of more than one shard: few rows (all HTML over SHARD_BYTES at most).  Written first, so that
+    # Spark knows their size and need not shuffle the pages to look them up.
     shards = F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard_bytes).cast("int")
-    large = source.groupBy("host").agg(shards.alias("shards")).filter("shards > 1")
+    large = saved(pages.sparkSession, source.groupBy("host").agg(shards.alias("shards")).filter("shards > 1"), "html-hosts")
     dealt = cut.join(large, "host", "left").withColumn(
         "shard", F.pmod("deal", F.coalesce("shards", F.lit(1))).cast("int")
     )
     kept = [f for f in cut.schema.fields if f.name in names]
     schema = StructType([*kept, StructField("text", StringType()), StructField("n_repeated", LongType())])
     columns = ["host", "shard", *names, "parts", "blocks"]
-    out = dealt.select(*columns).groupBy("host", "shard").applyInArrow(clean_group(names, long, min_pages), schema)
+    out = dealt.select(*columns).repartition("host", "shard").groupBy("host", "shard").applyInArrow(clean_group(names, long, min_pages), schema)
     return out.toDF(*keep, "text", "n_repeated")
