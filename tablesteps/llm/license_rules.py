@@ -30,7 +30,7 @@ GPL | 50 | general | gnu general public licen[sc]e
 GPL | 30 | gpl | (?:gnu )?gpl
 GPL-2.0-or-later | 90 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2
 GPL-3.0-or-later | 90 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3
-GPL | 60 | copying | you should have received a copy of the gnu general public license
+GPL | 60 | received | you should have received a copy of the gnu general public license
 GPL | 60 | gnu | www gnu org licenses gpl(?: [0-9] [0-9])?(?: html| txt)?
 GPL-2.0-with-classpath-exception | 88 | classpath | gpl (?:v|version )?2(?: 0)? with (?:the )?classpath exception
 GPL-2.0-with-classpath-exception | 85 | classpath | classpath exception 2 0
@@ -148,10 +148,13 @@ CC-BY-SA | 55 | sharealike | creative commons attribution sharealike
 CC-BY-SA | 55 | alike | creative commons attribution share alike
 CC-BY-NC-4.0 | 80 | noncommercial | creative commons attribution noncommercial 4 0(?: international)?(?: (?:public )?license)?
 CC-BY-NC-3.0 | 80 | noncommercial | creative commons attribution noncommercial 3 0(?: unported)?(?: license)?
-CC-BY-NC | 55 | noncommercial | creative commons attribution non ?commercial
+CC-BY-NC | 55 | noncommercial | creative commons attribution noncommercial
+CC-BY-NC | 55 | commercial | creative commons attribution non commercial
 CC-BY-ND-4.0 | 80 | noderivatives | creative commons attribution noderivatives 4 0(?: international)?
-CC-BY-ND | 55 | noderivatives | creative commons attribution no ?derivatives
-CC-BY-ND | 55 | noderivs | creative commons attribution no ?derivs
+CC-BY-ND | 55 | noderivatives | creative commons attribution noderivatives
+CC-BY-ND | 55 | derivatives | creative commons attribution no derivatives
+CC-BY-ND | 55 | noderivs | creative commons attribution noderivs
+CC-BY-ND | 55 | derivs | creative commons attribution no derivs
 CC-BY-NC-SA-4.0 | 84 | sharealike | creative commons attribution noncommercial sharealike 4 0(?: international)?
 CC-BY-NC-SA | 58 | sharealike | creative commons attribution noncommercial sharealike
 CC-BY-NC-ND-4.0 | 84 | noderivatives | creative commons attribution noncommercial noderivatives 4 0(?: international)?
@@ -273,10 +276,10 @@ Beerware | 55 | beerware | beerware(?: license)?
 Beerware | 85 | beer | you can buy me a beer in return
 Jython | 50 | jython | jython licen[sc]e
 TCL | 50 | tcl | tcl (?:tk )?licen[sc]e
-Xnet | 50 | xnet | x net licen[sc]e
+Xnet | 50 | net | x net licen[sc]e
 Zope-2.1 | 75 | zope | zope public license(?: zpl)?(?: v| version)?(?: 2 1)?
 Zend-2.0 | 60 | zend | zend (?:engine )?license(?: version)?(?: 2 0)?
-Sun-SISSL | 60 | sissl | sun industry standards source licen[sc]e
+Sun-SISSL | 60 | industry | sun industry standards source licen[sc]e
 Proprietary | 25 | reserved | all rights reserved
 Proprietary | 35 | confidential | (?:proprietary and confidential|confidential and proprietary)
 Commercial | 30 | commercial | commercial licen[sc]e
