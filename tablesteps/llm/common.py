@@ -24,6 +24,9 @@ from tablesteps.session import shared_dir, ship_package
 #: (one longer text forms a slice of its own).
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch between Spark and its Python workers, unless the session sets its own bound.
+ARROW_BYTES = 8 << 20
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def quoted(name: str) -> str:
@@ -44,6 +47,14 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepare_workers(spark: SparkSession) -> None:
+    """Before Python runs in tasks: the package reaches the workers, and batches of texts stay small
+    (Spark's default of 64 MB is held several times, outside the heap and in the worker)."""
+    ship_package(spark)
+    if spark.conf.get(_ARROW_KEY) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: int, max_bytes: int, max_rows: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch within both bounds."""
     if not batch.num_rows:
@@ -85,7 +96,7 @@ def map_text(
     ``make`` is called once in each task and returns the function from a
     slice of texts to one Arrow array per field.
     """
-    ship_package(df.sparkSession)
+    prepare_workers(df.sparkSession)
     source = df.select(
         F.col(quoted(text_col)).cast("string").alias("t"),
         *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)],

@@ -35,7 +35,7 @@ from .common import map_text, quoted, saved
 from .suffixes import suffix_array
 
 #: HTML in a shard: bounds what one task gathers of a host.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Shortest boilerplate in words, and the distinct pages it stands on.
 LONG = 6
 MIN_PAGES = 3
@@ -198,6 +198,18 @@ def repeated(streams: list[np.ndarray], long: int = LONG, min_pages: int = MIN_P
     return [mask[starts[o] : starts[o + 1] - 1] for o in owner]
 
 
+def lost_in(own: np.ndarray, long: int) -> np.ndarray:
+    """What a block loses: all of it, or covered runs of ``long`` words or more.  (The words with which
+    several pages happen to go on after the same notice stay.)"""
+    if own.all():
+        return own
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+    out = own.copy()
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        out[a:b] = b - a >= long
+    return out
+
+
 def clean_group(names: list[str], long: int, min_pages: int) -> Callable[[pa.Table], pa.Table]:
     """The function over one shard of a host."""
 
@@ -222,7 +234,7 @@ def clean_group(names: list[str], long: int, min_pages: int) -> Callable[[pa.Tab
                 words = block.split()
                 own, at = mask[at : at + len(words)], at + len(words)
                 if part == OPEN and not has_main:
-                    left = [w for w, lost in zip(words, own.tolist()) if not lost]
+                    left = [w for w, lost in zip(words, lost_in(own, long).tolist()) if not lost]
                     if left:
                         kept.append(" ".join(left))
             texts.append(" ".join(kept))

@@ -7,7 +7,7 @@ related languages and vote.
 
 Training takes at most ``per_label`` documents of each label (those with
 the smallest hash of the id, so the choice does not depend on order or
-partitioning).  Their features are made in tasks; the driver fits the
+partitioning; a few less if their hashes lie thin).  Their features are made in tasks; the driver fits the
 machines on that bounded matrix.  Every document is then predicted from
 its whole text.
 
@@ -180,11 +180,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     named = docs.select(
         F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t"), F.col(quoted(label_col)).cast("string").alias("label")
     ).filter(F.col("label").isNotNull() & ~held_out("id"))
-    # Ids first (no text is read for that), then the texts of those few.
-    turn = F.expr("row_number() OVER (PARTITION BY label ORDER BY xxhash64(id), id)")
-    chosen = saved(
-        spark, named.select("id", "label").distinct().withColumn("turn", turn).filter(F.col("turn") <= per_label), "language-sample"
+    # Ids first (no text is read for that), then the texts of those few.  A share of the hash range cuts each
+    # label to about the sample before it is ranked, so a label of very many documents does not meet in one task.
+    ids = named.select("id", "label").distinct()
+    share = ids.groupBy("label").agg((F.lit(1.3 * per_label) / F.count(F.lit(1))).alias("share"))
+    near = ids.join(F.broadcast(share), "label").filter(  # one row of two values for each label
+        F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.col("share") * float(1 << 63)
     )
+    turn = F.expr("row_number() OVER (PARTITION BY label ORDER BY shiftrightunsigned(xxhash64(id), 1), id)")
+    chosen = saved(spark, near.withColumn("turn", turn).filter(F.col("turn") <= per_label), "language-sample")
     picked = named.join(F.broadcast(chosen.select("id", "label")), ["id", "label"], "left_semi").dropDuplicates(["id", "label"])
 
     def run(texts: pa.Array) -> list[pa.Array]:

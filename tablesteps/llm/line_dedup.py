@@ -28,9 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesteps.session import ship_package
-
-from .common import SLICE_BYTES, quoted, saved, slices, texts_of
+from .common import SLICE_BYTES, prepare_workers, quoted, saved, slices, texts_of
 from .minimal_hash import MinimalHash
 
 #: Shortest key, in code points, and least number of documents.
@@ -55,7 +53,7 @@ def keys_of(text: bytes, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, byte
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """``did``, ``th``, ``pos``, ``high``, ``low`` of each long enough line of (``t``, ``did``, ``th``)."""
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

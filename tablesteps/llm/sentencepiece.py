@@ -42,9 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tablesteps.session import ship_package
-
-from .common import SLICE_ROWS, map_text, quoted, texts_of
+from .common import SLICE_ROWS, map_text, prepare_workers, quoted, texts_of
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
@@ -521,7 +519,7 @@ def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
 
 def decode(coded: DataFrame, model_path: str, keep: list[str], ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """``keep`` columns and ``out``, the text of the piece ids (empty for null)."""
-    ship_package(coded.sparkSession)
+    prepare_workers(coded.sparkSession)
     sent = coded.sparkSession.sparkContext.broadcast(Pieces(model_path).raw)
     source = coded.select(
         F.col(quoted(ids_col)).cast("array<int>").alias("ids"), *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)]
