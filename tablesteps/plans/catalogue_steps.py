@@ -175,3 +175,28 @@ def pipeline_keep_first(spark, d):
         .remove_duplicates("c_nationkey")
     )
     return p.plan()
+
+
+# ---------------------------------------------------------------- X4
+@query(
+    "row_helpers",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS VARCHAR) AS note FROM orders
+       WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)
+       UNION ALL SELECT c_custkey, NULL, NULL, NULL FROM customer""",
+)
+def row_helpers(spark, d):
+    """Rows.Add from another table (by name), then RemoveAt(0)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    left = R.remove_at(o.withColumn("note", F.lit(None).cast("string")), 0, [asc("o_orderkey")])
+    more = table(spark, d, "customer").select(F.col("c_custkey").alias("o_orderkey"))
+    return R.append_rows(left, more)
+
+
+# ---------------------------------------------------------------- V13
+@query("validate_throw", "SELECT * FROM orders WHERE o_totalprice >= 1000")
+def validate_throw(spark, d):
+    """Rows that keep the rules pass; one that does not would fail the job."""
+    from tablesteps.operators.validate import Validator, validate
+
+    rules = Validator().column("o_orderkey").required().column("o_totalprice").range(1000, 1e9).validator
+    return validate(table(spark, d, "orders").filter("o_totalprice >= 1000"), rules, "throw")

@@ -125,3 +125,25 @@ def test_long_texts_fit(spark):
     write_jdbc(spark.createDataFrame([("x" * 50_000,)], "s string"), url, "L1", mode="overwrite", dialect="derby")
     read = spark.read.format("jdbc").options(url=url, dbtable="L1", driver="org.apache.derby.jdbc.EmbeddedDriver").load()
     assert len(read.first()[0]) == 50_000
+
+
+def test_bound_parameters(spark):
+    import datetime as dt
+
+    import pytest
+
+    from tablesteps.sources.jdbc import bind, read_jdbc
+
+    url = derby(spark, "derby-bound")
+    rows = spark.createDataFrame([(1, "O'Neil", "x"), (2, "a' OR '1'='1", "y")], "id int, name string, note string")
+    rows = rows.selectExpr("id", "cast(name as varchar(30)) as name")
+    write_jdbc(rows, url, "P1", mode="overwrite", dialect="derby")
+    text = 'SELECT "id" FROM P1 WHERE CAST("name" AS VARCHAR(40)) = :name AND "id" < :most'
+    got = read_jdbc(spark, url, query=text, params={"name": "O'Neil", "most": 10}).collect()
+    assert [r[0] for r in got] == [1]
+    assert read_jdbc(spark, url, query=text, params={"name": "x' OR '1'='1", "most": 10}).collect() == []
+    assert bind("a = ':x' AND b = :x AND c::int = :y -- :z", {"x": None, "y": dt.date(2024, 1, 2)}) == (
+        "a = ':x' AND b = NULL AND c::int = DATE '2024-01-02' -- :z"
+    )
+    with pytest.raises(ValueError):
+        bind("SELECT :nothing", {})
