@@ -173,9 +173,15 @@ class RestDataSource(DataSource):
         return RestReader(dict(self.options))
 
 
+#: Columns of a table at most: bounds the names that reach the driver.
+MAX_COLUMNS = 10_000
+
+
 def read_pages(spark: SparkSession, url: str, **options) -> DataFrame:
-    """Raw items: (page, item_index, item JSON text)."""
+    """Raw items: (page, item_index, item JSON text); pages are dealt over the session's
+    parallelism unless ``stripes`` says otherwise."""
     ship_package(spark)
+    options.setdefault("stripes", spark.sparkContext.defaultParallelism)
     spark.dataSource.register(RestDataSource)
     r = spark.read.format(FORMAT).option("url", url)
     for k, v in options.items():
@@ -202,8 +208,8 @@ def items_to_table(items: DataFrame) -> DataFrame:
     """Typed table from item JSON text (see module docstring).
 
     One aggregation finds every column with its first-seen position and
-    the merged type of its values; its result has one row per column
-    (bounded by the width).
+    the merged type of its values; its result has one row per column,
+    ``MAX_COLUMNS`` at most.
     """
     fields = F.try_variant_get(F.parse_json("item"), "$", "map<string,variant>")
     keyed = items.select(
@@ -217,8 +223,11 @@ def items_to_table(items: DataFrame) -> DataFrame:
         )
         .orderBy("first")
         .select("key", "kind")
+        .limit(MAX_COLUMNS + 1)
         .collect()
     )
+    if len(meta) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} columns: are ids used as keys?")
     if not meta:
         return items.select().limit(0)
     v = F.parse_json("item")

@@ -10,6 +10,7 @@ from tablesteps.operators import rows as R
 from tablesteps.operators.order import asc, chain
 from tablesteps.plans import templates as TPL
 
+# The sample table of the templates.
 PEOPLE = [
     (1, "João Silva", 28, "São Paulo", Decimal("5500.00")),
     (2, "Maria Santos", 32, "Rio de Janeiro", Decimal("6200.00")),
