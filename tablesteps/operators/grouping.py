@@ -3,9 +3,9 @@
 * ``aggregate``: one row per key, named aggregates (hash aggregate with
   map-side partial aggregation, so a hot key costs one row per map task).
 * ``custom_aggregate``: an opaque Python aggregator split into a partial
-  step and a merge step.  Rows of one key are cut into buckets of bounded
-  size, each bucket is reduced with pandas, and only the small partial
-  results meet in the merge; no group is ever held whole by one task.
+  step and a merge step.  Rows are reduced with pandas a batch at a time
+  where they lie, and only the small partial results meet in the merge; no
+  group is ever held whole by one task.
 * ``group_rows``: the groupings themselves (G1) without materialising
   member lists: each row gets its group key and the group's first-seen
   position.
@@ -26,9 +26,7 @@ from tablesteps.operators.order import OrderSpec
 from tablesteps.operators.rows import find_column
 from tablesteps.session import ship_package
 
-# Rows of a key that an opaque aggregator gets at a time, and partial rows a
-# task holds before it combines them.
-ROWS_PER_BUCKET = 100_000
+# Partial rows a task holds before it combines them.
 COMBINE_ROWS = 100_000
 
 
@@ -74,7 +72,6 @@ def custom_aggregate(
     merge: Callable[[pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
     combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
     vectorized: bool = False,
 ) -> DataFrame:
     """G2 with an opaque aggregator, in skew-safe phases.
@@ -87,9 +84,8 @@ def custom_aggregate(
     phase is a true map-side combine: each partition is reduced per key
     inside ``mapInPandas``, again and again every ``COMBINE_ROWS`` partial
     rows, and one partial row per key and partition is shuffled.  Without
-    it, each task cuts its rows of a key into buckets of at most
-    ``rows_per_bucket`` by their place, so a hot key is many buckets however
-    equal its rows are.
+    it, one partial row per key and Arrow batch is: rows are reduced where
+    they lie, a batch at a time, however many share a key.
 
     ``vectorized=True`` calls each function once per batch instead of
     once per group: ``partial``, ``combine`` and ``merge`` receive rows of
@@ -116,18 +112,14 @@ def custom_aggregate(
 
         partials = df.mapInPandas(per_partition, partial_schema)
         return partials.groupBy(*[named(k) for k in keys]).applyInPandas(merge, schema)
-    if rows_per_bucket <= 0:
-        raise ValueError("rows_per_bucket must be positive")
-    # Place in the task over rows_per_bucket, and the task: no bucket gets more rows than that.
-    at = F.monotonically_increasing_id()
-    place = F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows_per_bucket)).cast("long")
-    bucketed = df.withColumn("_ca_bucket", F.struct(F.spark_partition_id().alias("p"), place.alias("b")))
-
-    def run_partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        return partial(pdf.drop(columns=["_ca_bucket"]))
-
-    parts = bucketed.groupBy(*[named(k) for k in keys], "_ca_bucket").applyInPandas(run_partial, partial_schema)
-    return parts.groupBy(*[named(k) for k in keys]).applyInPandas(merge, schema)
+
+    def per_batch(batches):
+        for pdf in batches:
+            for _, g in pdf.groupby(list(keys), sort=False, dropna=False):
+                yield partial(g)
+
+    partials = df.mapInPandas(per_batch, partial_schema)
+    return partials.groupBy(*[named(k) for k in keys]).applyInPandas(merge, schema)
 
 
 def _combined(batches, first: Callable, again: Callable):

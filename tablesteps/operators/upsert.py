@@ -13,8 +13,8 @@ A load into a keyed table is expressed as the table it produces:
 Each is one join of the target with the source reduced per key
 (``first_per_key`` cuts a hot key down in every map task).  Null keys never
 match (SQL unique semantics): such source rows always insert.  They travel
-through the same join, spread by a number of their own, so that many null
-keys do not meet in one task.  Catalyst and AQE choose the join by measured
+through the same join, spread by a hash of the row, so that many null keys
+do not meet in one task.  Catalyst and AQE choose the join by measured
 sizes; building a plan runs no job.
 """
 
@@ -34,31 +34,42 @@ def _spelled(df: DataFrame, name: str) -> str:
     return next((c for c in df.columns if c.lower() == name.lower()), name)
 
 
-def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
-    """0 for a row with a key, a number of its own for one with a null in it."""
+def _null_in(keys: Sequence[str]) -> Column:
     null = F.lit(False)
     for k in keys:
         null = null | named(k).isNull()
-    return F.when(null, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
+    return null
+
+
+def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
+    """0 for a row with a key, a hash of the row for one with a null in it: never compared (null matches
+    nothing), it only keeps such rows from meeting in one task."""
+    return F.when(_null_in(keys), F.xxhash64(*[named(c) for c in df.columns])).otherwise(F.lit(0).cast("long"))
 
 
 def _per_key(source: DataFrame, keys: Sequence[str], order, last: bool) -> DataFrame:
-    """The first or last source row per key and every row with a null key; ``_s_z`` spreads the latter."""
-    spread = source.withColumn("_s_z", _spread(source, keys))
-    return first_per_key(spread, [*keys, "_s_z"], order, last=last)
+    """The first or last source row per key, and every row with a null key."""
+    keyed = first_per_key(source.filter(~_null_in(keys)), keys, order, last=last)
+    return keyed.unionAll(source.filter(_null_in(keys)))
 
 
 def reduced_per_key(source: DataFrame, keys: Sequence[str], order: OrderSpec, last: bool) -> DataFrame:
     """The first or last source row per key, and every row with a null key."""
-    return _per_key(source, list(keys), require_order(order, "upsert"), last).drop("_s_z")
+    return _per_key(source, list(keys), require_order(order, "upsert"), last)
 
 
 def _sides(target: DataFrame, reduced: DataFrame, columns: Sequence[str], keys: Sequence[str], source_keys: Sequence[str]):
     """Both sides with prefixed names and a presence flag, and the match condition."""
-    t = target.withColumn("z", _spread(target, keys)).select(
-        *[named(c).alias(f"_t_{i}") for i, c in enumerate(target.columns)], F.col("z").alias("_t_z"), F.lit(True).alias("_t_hit")
+    t = target.select(
+        *[named(c).alias(f"_t_{i}") for i, c in enumerate(target.columns)],
+        _spread(target, keys).alias("_t_z"),
+        F.lit(True).alias("_t_hit"),
+    )
+    s = reduced.select(
+        *[named(c).alias(f"_s_{i}") for i, c in enumerate(columns)],
+        _spread(reduced, source_keys).alias("_s_z"),
+        F.lit(True).alias("_s_hit"),
     )
-    s = reduced.select(*[named(c).alias(f"_s_{i}") for i, c in enumerate(columns)], "_s_z", F.lit(True).alias("_s_hit"))
     at_t = {c: f"_t_{i}" for i, c in enumerate(target.columns)}
     at_s = {c: f"_s_{i}" for i, c in enumerate(columns)}
     cond = F.col("_t_z") == F.col("_s_z")
@@ -108,7 +119,7 @@ def upsert_replace(target: DataFrame, source: DataFrame, key: str | Sequence[str
     """
     keys = [key] if isinstance(key, str) else list(key)
     s_keys = [_spelled(source, k) for k in keys]
-    last = _per_key(source, s_keys, require_order(order, "upsert_replace"), last=True).drop("_s_z")
+    last = _per_key(source, s_keys, require_order(order, "upsert_replace"), last=True)
     replaced = last.select(*[named(k).alias(f"_s_{i}") for i, k in enumerate(s_keys)])
     cond = F.lit(True)
     for i, k in enumerate(keys):
@@ -164,9 +175,10 @@ def upsert_predicate(
         s = s.withColumn("_s_id", F.struct(*[_prefixed(k, "_s_") for k in s_keys]))
         pairs = s.join(t, cond, "left").select("_t_id", *s.columns)
         firsts = first_per_key(pairs, ["_s_id"], t_first)
-        spread = firsts.withColumn("_s_z", _spread(firsts, ["_t_id"]))
+        # Rows that match nothing are groups of their own.
+        spread = firsts.withColumn("_s_own", F.when(F.col("_t_id").isNull(), F.col("_s_id")))
         s_last = [Key(F.col("_s_id").getField(k.expr), k.ascending, k.collation) for k in s_keys]
-        winners = first_per_key(spread, ["_t_id", "_s_z"], s_last, last=True).drop("_s_z", "_s_id")
+        winners = first_per_key(spread, ["_t_id", "_s_own"], s_last, last=True)
     w = winners.select(
         F.col("_t_id").alias("_w_id"), *[named(f"_s_{c}") for c in source.columns], F.lit(True).alias("_w_hit")
     )

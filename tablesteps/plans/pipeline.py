@@ -27,6 +27,7 @@ from tablesteps.operators.order import Key, OrderSpec, chain, sort_columns
 from tablesteps.operators.validate import Validator, validate
 
 STEP_KINDS = ("Import", "Export", "Filter", "Sort", "GroupBy", "Join", "Select", "Aggregate", "Code")
+# Texts and limit of the step log.
 EMPTY_DESCRIPTION = "Empty transformation"
 DESCRIPTION_LIMIT = 80
 
