@@ -68,7 +68,8 @@ def map_project(spark, d):
 )
 def flat_map_tokens(spark, d):
     docs = table(spark, d, "documents")
-    tokens = R.flat_map(docs, F.split("text", " "), "token", keep=[])
+    cores = spark.sparkContext.defaultParallelism  # a few files of documents hold many tokens
+    tokens = R.flat_map(docs, F.split("text", " "), "token", keep=[], partitions=cores)
     return G.aggregate(tokens.filter(F.col("token") != ""), "token", n=F.count(F.lit(1)))
 
 

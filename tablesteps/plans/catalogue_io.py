@@ -30,7 +30,7 @@ def as_types_of(df: DataFrame, like: DataFrame) -> DataFrame:
 def csv_roundtrip(spark, d):
     src = table(spark, d, "lineitem")
     out = shared_dir(spark, "csv")
-    write_csv(src, out)
+    write_csv(src, out, files=spark.sparkContext.defaultParallelism)
     back = read_csv(spark, out)  # header names + inference pass
     # Text has no narrower numbers and no zone: what must come back is a number, a time or text as it was.
     for f in src.schema.fields:
