@@ -167,7 +167,8 @@ def disclosures(texts: DataFrame, spans: DataFrame, near_words: int, min_context
     total = texts.count()
     wanted = pairs.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
-    spread = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Counted before the join: a task sends one row for each of its words, however many are wanted.
+    spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
     held = spans.groupBy(entity_of(F.col("kind"), F.col("value")).alias("entity")).agg(
         F.count_distinct("id", "th").alias("n_entity")
     )
