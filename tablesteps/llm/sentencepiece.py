@@ -50,7 +50,7 @@ _SPACE = SPACE.encode()
 #: the elder, and the elder's words that are not met again are forgotten (bounds its memory).
 KNOWN_WORDS = 150_000
 #: Characters of new words advanced in one batch.
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 19
 #: Longer parts, and fewer parts of one length, are walked one by one: a batch gains nothing there.
 LONG_PART = 256
 FEW_PARTS = 32
@@ -310,9 +310,19 @@ class Encoder:
 
     def _learn_batch(self, words: list[bytes]) -> None:
         m = self.model
-        text = [self._whole(w) for w in words]
-        ends = np.cumsum([len(t) for t in text])
-        code = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if m.merges:  # no part holds a space: all of them are decoded at once, and each space begins one
+            words = [w for w in words if w]
+            self.known[b""] = b""
+            text = (b" " + b" ".join(words)).decode("utf-8", "surrogateescape") if words else ""
+            text = (text.replace(" \n", "\n") if m.lines else text).replace(" ", SPACE)
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            ends = np.append(np.flatnonzero((code == ord(SPACE)) | m.lines & (code == 10))[1:], len(code))
+        else:
+            text = [self._whole(w) for w in words]
+            ends = np.cumsum([len(t) for t in text])
+            code = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if not words:
+            return
         char = m.char[code]
         first = np.zeros(len(code) + 1, dtype=bool)  # where a part begins
         first[ends] = True
