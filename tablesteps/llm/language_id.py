@@ -97,23 +97,24 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30, seed: int = 1) -> np.ndarray:
     """A linear support vector machine (squared hinge, dual coordinate descent); the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     y = y.astype(np.float64)
-    own = (x * x).sum(axis=1) + 1 / (2 * cost)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+    own = np.einsum("ij,ij->i", x, x) + 1 + 1 / (2 * cost)  # 1 for the bias
+    alpha, w, bias = np.zeros(len(x)), np.zeros(x.shape[1]), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(x)):
-            slope = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost)
+            slope = y[i] * (x[i] @ w + bias) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - slope / own[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * x[i]
+                bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
         if most < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def fit_slope(margin: np.ndarray, y: np.ndarray) -> float:
