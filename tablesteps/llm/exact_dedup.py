@@ -12,10 +12,11 @@
 4. Owner tasks take key ranges: entries of equal key are chained, with the
    row that stays and the size.  Partial aggregates are taken before
    the shuffle, so a group of copies moves as one row per task.
-5. Chains of two or more entries are compared by bytes: the normalised
-   texts of those keys only are reduced to the different byte strings.
-   Different texts of one key are different groups; a chain whose bytes
-   differ under one key and tag stops the job instead of merging them.
+5. Bytes are compared: normalised texts are reduced to the different byte
+   strings of each key (copies fall together before they move, so a group
+   of any size is one string per task).  Different strings of one key are
+   different groups; a chain whose bytes differ under one key and tag stops
+   the job instead of merging them.
 
 Defined results: null counts as empty; all texts without other characters
 than white space are equal.  Rows that repeat an id are rows of a group like
@@ -112,9 +113,9 @@ def exact_groups(
         .select("bucket", "key", "tag", F.col("best.id").alias("keep_id"), "size"),
         "exact-chains",
     )
-    # Bytes of chained texts: different byte strings of a key, then how many stand under one tag.
-    linked = chains.groupBy("key").agg(F.sum("size").alias("n")).filter("n > 1").select("key")
-    strings = bare.select(key.alias("key"), "bare").join(linked, "key", "left_semi").distinct()
+    # Bytes: the different byte strings (copies fall together in each task, before they move), and how many of them
+    # stand under one key and tag.
+    strings = bare.select(key.alias("key"), "bare").distinct()
     compared = strings.groupBy("key", F.sha2(F.col("bare").cast("binary"), 256).alias("tag")).agg(
         F.count(F.lit(1)).alias("strings")
     )
@@ -126,6 +127,8 @@ def exact_groups(
         .otherwise(F.raise_error(F.lit("different texts share key and tag")).cast("long"))
         .alias("group_size"),
     )
+    # Written, so that both sides of the last join are dealt anew and Spark can split a key with very many rows.
+    groups = saved(spark, groups, "exact-groups")
     return (
         index.join(groups, ["key", "tag"])
         .select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")), "tag")
