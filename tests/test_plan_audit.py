@@ -14,6 +14,7 @@ SINGLE_PARTITION_OK = {
     "batch_ids": "row index",
     "order_by_chain": "row index",
     "order_by_desc": "row index",
+    "row_helpers": "row index",
     "skip_rows": "row index",
     "skip_take_page": "row index",
     "doc_find": "row index (skip and limit)",
