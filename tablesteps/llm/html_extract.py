@@ -10,10 +10,10 @@
    ordered by a suffix array.  Substrings of ``LONG`` or more words that stand on
    ``MIN_PAGES`` or more distinct pages are boilerplate; pages of equal
    streams count once.
-3. The text of a page is its ``MAIN`` blocks if it has any; else its ``OPEN``
-   blocks without the words that boilerplate covers: the unique runs.
-   Words of an article are never removed, as the same article may stand on
-   several pages.
+3. The text of a page is its ``MAIN`` blocks and its ``OPEN`` blocks, in
+   order, the latter without the words that boilerplate covers: the unique
+   runs stay.  Words of an article are never removed, as the same article
+   may stand on several pages.
 
 Defined results: a null or empty page has the empty text.  A null or odd URL
 belongs to the host of empty name.  Repeated rows get equal results.
@@ -164,7 +164,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     close()
     best = max((kind for out, kind, _ in found if not out), default=0)
     return [
-        (OUT if out or best and kind < best else MAIN if kind and kind == best else OPEN, line) for out, kind, line in found
+        (OUT if out else MAIN if kind and kind == best else OPEN, line) for out, kind, line in found
     ]
 
 
@@ -225,7 +225,6 @@ def clean_group(names: list[str], long: int, min_pages: int) -> Callable[[pa.Tab
         ]
         texts, counts = [], []
         for (parts, blocks), mask in zip(rows, repeated(streams, long, min_pages)):
-            has_main = MAIN in parts
             kept, at = [], 0
             for part, block in zip(parts, blocks):
                 if part == MAIN:
@@ -233,7 +232,7 @@ def clean_group(names: list[str], long: int, min_pages: int) -> Callable[[pa.Tab
                     continue
                 words = block.split()
                 own, at = mask[at : at + len(words)], at + len(words)
-                if part == OPEN and not has_main:
+                if part == OPEN:
                     left = [w for w, lost in zip(words, lost_in(own, long).tolist()) if not lost]
                     if left:
                         kept.append(" ".join(left))

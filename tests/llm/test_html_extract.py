@@ -83,3 +83,10 @@ def test_empty_table_and_odd_columns(spark):
     df = spark.createDataFrame([(1, "http://a/b", "<p>x</p>", "h", 2)], "page_id long, url string, html string, host string, `shard` int")
     out = H.extract(df, df.columns)
     assert out.columns == [*df.columns, "text", "n_repeated"] and out.first().text == "x" and out.first().host == "h"
+
+
+def test_unique_runs_outside_an_article_stay(spark):
+    teaser = "<div>read what the others wrote about us here</div>"
+    rows = [(i, "http://h/x", f"{teaser}<article><p>story {i}</p></article><p>note n{i} by the editor e{i}</p><nav>go {i}</nav>") for i in range(5)]
+    out = {r.page_id: r.text for r in H.extract(pages_of(spark, rows), ["page_id"]).collect()}
+    assert out == {i: f"story {i} note n{i} by the editor e{i}" for i in range(5)}
