@@ -4,17 +4,22 @@
    ``OUT`` (menus, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles, comments), ``MAIN`` (inside an article, or else the main
    element) and ``OPEN`` (all else).
-2. Pages of one host are dealt to shards of about ``SHARD_BYTES`` of HTML (by
-   a hash of the page), so a host with a third of all pages is many
-   shards.  In a shard the token streams of the pages are concatenated and
-   ordered by a suffix array.  Substrings of ``LONG`` or more words that stand on
-   ``MIN_PAGES`` or more distinct pages are boilerplate; pages of equal
-   streams count once.
+2. The token stream of a page is its words outside ``MAIN``.  Different
+   streams of one host are dealt to shards of about ``SHARD_BYTES`` of HTML
+   (by a hash of the stream), so a host with a third of all pages is many
+   shards.  In a shard the streams are concatenated and ordered by a suffix
+   array, which gives the substrings of ``LONG`` words and how many different
+   streams hold each; hashes of the substrings are counted over all shards of
+   the host.  Those of ``MIN_PAGES`` or more different streams of the host
+   are boilerplate, however many shards it has.
 3. The text of a page is its ``MAIN`` blocks and its ``OPEN`` blocks, in
    order, the latter without the words that boilerplate covers: the unique
    runs stay.  Words of an article are never removed, as the same article
    may stand on several pages.
 
+Pages are dealt to shards of their host in the same way (by a hash of the
+page), each with the boilerplate of the whole host.
+
 Defined results: a null or empty page has the empty text.  A null or odd URL
 belongs to the host of empty name.  Repeated rows get equal results.
 """
@@ -24,6 +29,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import map_text, quoted, saved
 from .suffixes import suffix_array
 
-#: HTML in a shard: bounds what one task gathers of a host.
+#: HTML in a shard: bounds what one task gathers of a host, and decides nothing else.
 SHARD_BYTES = 2 << 20
 #: Shortest boilerplate in words, and the distinct pages it stands on.
 LONG = 6
@@ -168,33 +175,63 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     ]
 
 
+@lru_cache(1 << 16)
+def number_of(text: str) -> int:
+    """The number of a word, the same in every task (never 0)."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def numbers_of(words: list[str]) -> np.ndarray:
+    return np.array([number_of(w) for w in words], dtype=np.int64)
+
+
+def window_hashes(numbers: np.ndarray, long: int) -> np.ndarray:
+    """A hash of every ``long`` consecutive numbers."""
+    n = max(len(numbers) - long + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(long):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[j : j + n].view(np.uint64)
+    return out.view(np.int64)
+
+
+def covered_by(hit: np.ndarray, size: int, long: int) -> np.ndarray:
+    """Which of ``size`` tokens lie in the substrings of ``long`` tokens that begin at ``hit``."""
+    edges = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + long, -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
+def substrings(streams: list[np.ndarray], long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The substrings of ``long`` tokens in different streams of tokens (from 1): the places where they begin in
+    the streams, each followed by a gap, ordered by a suffix array; the substring at each place; how many streams
+    hold each substring; and where each stream starts (with the end as last)."""
+    gap = np.zeros(1, dtype=np.int64)
+    tokens = np.concatenate([x for s in streams for x in (s, gap)] + [np.zeros(long + 3, dtype=np.int64)])
+    sizes = np.array([len(s) + 1 for s in streams], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    page = np.repeat(np.arange(len(streams)), sizes)
+    room = np.repeat(starts[1:] - 1, sizes) - np.arange(len(page))  # tokens left in the page
+    at = np.flatnonzero(room >= long)
+    if not len(at):
+        return at, at, at, starts
+    order = suffix_array(tokens, at, long)
+    equal = np.ones(len(order) - 1, dtype=bool)
+    for j in range(long):
+        equal &= tokens[order[1:] + j] == tokens[order[:-1] + j]
+    group = np.concatenate([[0], np.cumsum(~equal)])
+    seen = np.unique(group * np.int64(len(streams)) + page[order]) // len(streams)
+    return order, group, np.bincount(seen, minlength=group[-1] + 1), starts
+
+
 def repeated(streams: list[np.ndarray], long: int = LONG, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
     """For each stream of token numbers (from 1) which tokens lie in substrings of ``long`` or more
     tokens that stand in ``min_pages`` or more different streams."""
     different: dict[bytes, int] = {}
     owner = [different.setdefault(s.tobytes(), len(different)) for s in streams]
     firsts = {o: i for i, o in reversed(list(enumerate(owner)))}
-    chosen = [streams[firsts[o]] for o in range(len(different))]
-    gap = np.zeros(1, dtype=np.int64)
-    tokens = np.concatenate([x for s in chosen for x in (s, gap)] + [np.zeros(long + 3, dtype=np.int64)])
-    sizes = np.array([len(s) + 1 for s in chosen], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    page = np.repeat(np.arange(len(chosen)), sizes)
-    room = np.repeat(starts[1:] - 1, sizes) - np.arange(len(page))  # tokens left in the page
-    at = np.flatnonzero(room >= long)
-    covered = np.zeros(len(page) + 1, dtype=np.int64)
-    if len(at):
-        order = suffix_array(tokens, at, long)
-        equal = np.ones(len(order) - 1, dtype=bool)
-        for j in range(long):
-            equal &= tokens[order[1:] + j] == tokens[order[:-1] + j]
-        group = np.concatenate([[0], np.cumsum(~equal)])
-        seen = np.unique(group * np.int64(len(chosen)) + page[order]) // len(chosen)
-        spread = np.bincount(seen, minlength=group[-1] + 1)
-        hit = order[spread[group] >= min_pages]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + long, -1)
-    mask = np.cumsum(covered)[:-1] > 0
+    order, group, spread, starts = substrings([streams[firsts[o]] for o in range(len(different))], long)
+    mask = covered_by(order[spread[group] >= min_pages], starts[-1], long)
     return [mask[starts[o] : starts[o + 1] - 1] for o in owner]
 
 
@@ -210,21 +247,62 @@ def lost_in(own: np.ndarray, long: int) -> np.ndarray:
     return out
 
 
-def clean_group(names: list[str], long: int, min_pages: int) -> Callable[[pa.Table], pa.Table]:
-    """The function over one shard of a host."""
+def stream_of(parts: list[int], blocks: list[str]) -> np.ndarray:
+    return numbers_of([w for part, b in zip(parts, blocks) if part != MAIN for w in b.split()])
+
+
+def evidence() -> Callable[[pa.Array], list[pa.Array]]:
+    """The function from texts ``host/html`` to the hash and the numbers of the stream; null where the task has met it."""
+    met: set[tuple[str, int]] = set()
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        digests, streams = [], []
+        for text in texts.to_pylist():
+            host, _, page = text.partition("/")
+            found = blocks_of(page)
+            stream = stream_of([p for p, _ in found], [b for _, b in found])
+            digest = int.from_bytes(blake2b(stream.tobytes(), digest_size=8).digest(), "little", signed=True)
+            new = (host, digest) not in met
+            if len(met) >= 1 << 20:
+                met.clear()  # bounded; the group of a shard drops copies anyway
+            met.add((host, digest))
+            digests.append(digest if new else None)
+            streams.append(stream if new else None)
+        return [pa.array(digests, pa.int64()), pa.array(streams, pa.list_(pa.int64()))]
+
+    return run
+
+
+def count_group(long: int, min_pages: int) -> Callable[[pa.Table], pa.Table]:
+    """The function over one shard of the streams of a host: substrings (as hashes) and how many streams hold each.
+    A host of one shard needs only those of ``min_pages`` streams."""
 
     def run(table: pa.Table) -> pa.Table:
-        numbers: dict[str, int] = {}
-        rows = list(zip(table.column("parts").to_pylist(), table.column("blocks").to_pylist()))
-        streams = [
-            np.array(
-                [numbers.setdefault(w, len(numbers) + 1) for part, b in zip(parts, blocks) if part != MAIN for w in b.split()],
-                dtype=np.int64,
-            )
-            for parts, blocks in rows
-        ]
+        copies = table.column("stream").combine_chunks().to_pylist()
+        streams = [np.array(s, dtype=np.int64) for s in set(map(tuple, copies))]
+        order, group, spread, starts = substrings(streams, long)
+        hashes = np.zeros(starts[-1] + long, dtype=np.int64)
+        for s, at in zip(streams, starts.tolist()):
+            own = window_hashes(s, long)
+            hashes[at : at + len(own)] = own
+        heads = order[np.flatnonzero(np.diff(group, prepend=-1))]
+        wanted = spread >= (min_pages if table.column("shards")[0].as_py() == 1 else 1)
+        found = hashes[heads[wanted]]
+        host = pa.array([table.column("host")[0].as_py()] * len(found), pa.string())
+        return pa.table([host, pa.array(found), pa.array(spread[wanted].astype(np.int64))], names=["host", "hash", "n"])
+
+    return run
+
+
+def clean_group(names: list[str], long: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The function over one shard of the pages of a host and the hashes of the host's boilerplate."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        hashes = np.array([h for row in known.column("hashes").to_pylist() for h in row], dtype=np.int64)
         texts, counts = [], []
-        for (parts, blocks), mask in zip(rows, repeated(streams, long, min_pages)):
+        for parts, blocks in zip(table.column("parts").to_pylist(), table.column("blocks").to_pylist()):
+            stream = stream_of(parts, blocks)
+            mask = covered_by(np.flatnonzero(np.isin(window_hashes(stream, long), hashes)), len(stream), long)
             kept, at = [], 0
             for part, block in zip(parts, blocks):
                 if part == MAIN:
@@ -251,6 +329,18 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
+def boilerplate(source: DataFrame, dealt: Callable[[DataFrame, str], DataFrame], long: int, min_pages: int) -> DataFrame:
+    """``host``, ``hashes``: the substrings of ``long`` words on ``min_pages`` different streams of the host (all its shards)."""
+    fields = [StructField("digest", LongType()), StructField("stream", ArrayType(LongType()))]
+    paths = source.select("host", F.concat("host", F.lit("/"), F.coalesce("html", F.lit(""))).alias("path"))
+    streams = dealt(map_text(paths, "path", ["host"], fields, evidence).filter("digest IS NOT NULL"), "digest")
+    schema = StructType([StructField("host", StringType()), StructField("hash", LongType()), StructField("n", LongType())])
+    columns = ["host", "shard", "shards", "stream"]
+    counts = streams.select(*columns).repartition("host", "shard").groupBy("host", "shard").applyInArrow(count_group(long, min_pages), schema)
+    often = counts.groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+
+
 def extract(
     pages: DataFrame,
     keep: list[str],
@@ -284,11 +374,16 @@ def extract(
     # Spark knows their size and need not shuffle the pages to look them up.
     shards = F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard_bytes).cast("int")
     large = saved(pages.sparkSession, source.groupBy("host").agg(shards.alias("shards")).filter("shards > 1"), "html-hosts")
-    dealt = cut.join(large, "host", "left").withColumn(
-        "shard", F.pmod("deal", F.coalesce("shards", F.lit(1))).cast("int")
-    )
+    n_shards = F.coalesce("shards", F.lit(1)).cast("int")
+
+    def dealt(rows: DataFrame, deal: str) -> DataFrame:
+        return rows.join(large, "host", "left").withColumn("shards", n_shards).withColumn("shard", F.pmod(deal, "shards").cast("int"))
+
+    known = saved(pages.sparkSession, boilerplate(source, dealt, long, min_pages), "html-boilerplate")
+    copies = known.join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0), n_shards - 1)).alias("shard"), "hashes")
     kept = [f for f in cut.schema.fields if f.name in names]
     schema = StructType([*kept, StructField("text", StringType()), StructField("n_repeated", LongType())])
     columns = ["host", "shard", *names, "parts", "blocks"]
-    out = dealt.select(*columns).repartition("host", "shard").groupBy("host", "shard").applyInArrow(clean_group(names, long, min_pages), schema)
+    left = dealt(cut, "deal").select(*columns).repartition("host", "shard").groupBy("host", "shard")
+    out = left.cogroup(copies.groupBy("host", "shard")).applyInArrow(clean_group(names, long), schema)
     return out.toDF(*keep, "text", "n_repeated")

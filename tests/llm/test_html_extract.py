@@ -90,3 +90,11 @@ def test_unique_runs_outside_an_article_stay(spark):
     rows = [(i, "http://h/x", f"{teaser}<article><p>story {i}</p></article><p>note n{i} by the editor e{i}</p><nav>go {i}</nav>") for i in range(5)]
     out = {r.page_id: r.text for r in H.extract(pages_of(spark, rows), ["page_id"]).collect()}
     assert out == {i: f"story {i} note n{i} by the editor e{i}" for i in range(5)}
+
+
+def test_shards_do_not_change_the_result(spark):
+    notice = "<div>these words stand on many pages of one very large host</div>"
+    rows = [(i, "http://big/x", (notice if i % 3 == 0 else "") + f"<p>a{i} b{i} c{i} d{i} e{i} f{i} g{i}</p>") for i in range(40)]
+    df = pages_of(spark, rows)
+    few, many = ({tuple(r) for r in H.extract(df, ["page_id"], shard_bytes=b).collect()} for b in (1 << 20, 100))
+    assert few == many and {r[2] for r in many if r[0] % 3 == 0} == {11} and not any("words" in r[1] for r in many)
