@@ -10,12 +10,15 @@
    shards.  In a shard the streams are concatenated and ordered by a suffix
    array, which gives the substrings of ``LONG`` words and how many different
    streams hold each; hashes of the substrings are counted over all shards of
-   the host.  Those of ``MIN_PAGES`` or more different streams of the host
-   are boilerplate, however many shards it has.
+   the host.  Those on ``MIN_PAGES`` different streams and on ``SHARE`` of all
+   different streams of the host are boilerplate, however many shards it has.
 3. The text of a page is its ``MAIN`` blocks and its ``OPEN`` blocks, in
-   order, the latter without the words that boilerplate covers: the unique
-   runs stay.  Words of an article are never removed, as the same article
-   may stand on several pages.
+   order.  An ``OPEN`` block goes if boilerplate covers all of it; else it
+   loses covered runs of ``LONG_RUN`` words: what few pages share stays.
+4. An article loses whole blocks of ``LONG`` or more words that ``MIN_PAGES``
+   different articles and ``ARTICLE_SHARE`` of all different articles of the
+   host have, if they are less than half of its words: more of them mean that
+   the same article stands on several pages.
 
 Pages are dealt to shards of their host in the same way (by a hash of the
 page), each with the boilerplate of the whole host.
@@ -27,6 +30,7 @@ belongs to the host of empty name.  Repeated rows get equal results.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -43,11 +47,17 @@ from .suffixes import suffix_array
 
 #: HTML in a shard: bounds what one task gathers of a host, and decides nothing else.
 SHARD_BYTES = 2 << 20
-#: Shortest boilerplate in words, and the distinct pages it stands on.
+#: Words of the substrings that are counted, and of the shortest run cut out of a block that is not all boilerplate.
 LONG = 6
+LONG_RUN = 12
+#: Boilerplate stands on so many different pages of its host, and on so large a share of them.
 MIN_PAGES = 3
+SHARE = 0.25
+#: A block of an article is boilerplate if this share of the host's different articles have it.
+ARTICLE_SHARE = 0.5
 
 OUT, OPEN, MAIN = 0, 1, 2
+STREAM, ARTICLE = 0, 1
 
 # Elements by their part in a page.
 _RAW = "script style noscript template iframe svg math canvas object textarea select xmp"
@@ -175,16 +185,25 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     ]
 
 
+def hash_of(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 @lru_cache(1 << 16)
-def number_of(text: str) -> int:
+def number_of(word: str) -> int:
     """The number of a word, the same in every task (never 0)."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+    return hash_of(word.encode("utf-8", "replace")) or 1
 
 
 def numbers_of(words: list[str]) -> np.ndarray:
     return np.array([number_of(w) for w in words], dtype=np.int64)
 
 
+def needed(total: int, share: float, min_pages: int) -> int:
+    """How many of ``total`` different pages make boilerplate."""
+    return max(min_pages, math.ceil(share * total))
+
+
 def window_hashes(numbers: np.ndarray, long: int) -> np.ndarray:
     """A hash of every ``long`` consecutive numbers."""
     n = max(len(numbers) - long + 1, 0)
@@ -235,15 +254,15 @@ def repeated(streams: list[np.ndarray], long: int = LONG, min_pages: int = MIN_P
     return [mask[starts[o] : starts[o + 1] - 1] for o in owner]
 
 
-def lost_in(own: np.ndarray, long: int) -> np.ndarray:
-    """What a block loses: all of it, or covered runs of ``long`` words or more.  (The words with which
+def lost_in(own: np.ndarray, run: int) -> np.ndarray:
+    """What a block loses: all of it, or covered runs of ``run`` words or more.  (The words with which
     several pages happen to go on after the same notice stay.)"""
     if own.all():
         return own
     edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
     out = own.copy()
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        out[a:b] = b - a >= long
+        out[a:b] = b - a >= run
     return out
 
 
@@ -251,71 +270,102 @@ def stream_of(parts: list[int], blocks: list[str]) -> np.ndarray:
     return numbers_of([w for part, b in zip(parts, blocks) if part != MAIN for w in b.split()])
 
 
-def evidence() -> Callable[[pa.Array], list[pa.Array]]:
-    """The function from texts ``host/html`` to the hash and the numbers of the stream; null where the task has met it."""
-    met: set[tuple[str, int]] = set()
+def main_hashes(parts: list[int], blocks: list[str], long: int) -> list[int | None]:
+    """For each block its hash, if it is a ``MAIN`` block of ``long`` or more words."""
+    return [
+        hash_of(b.encode("utf-8", "replace")) if part == MAIN and b.count(" ") >= long - 1 else None for part, b in zip(parts, blocks)
+    ]
+
+
+def evidence(long: int) -> Callable[[pa.Array], list[pa.Array]]:
+    """The function from texts ``host/html`` to what the task has not met yet of the host: streams (numbers of the
+    words) and articles (hashes of the blocks), each with a hash of the whole."""
+    met: set[tuple[str, int, int]] = set()
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        digests, streams = [], []
+        rows = []
         for text in texts.to_pylist():
             host, _, page = text.partition("/")
             found = blocks_of(page)
-            stream = stream_of([p for p, _ in found], [b for _, b in found])
-            digest = int.from_bytes(blake2b(stream.tobytes(), digest_size=8).digest(), "little", signed=True)
-            new = (host, digest) not in met
+            parts, blocks = [p for p, _ in found], [b for _, b in found]
+            stream = stream_of(parts, blocks)
+            items = [(STREAM, hash_of(stream.tobytes()), stream)]
+            if MAIN in parts:
+                article = "\n".join(b for p, b in found if p == MAIN).encode("utf-8", "replace")
+                items.append((ARTICLE, hash_of(article), sorted({h for h in main_hashes(parts, blocks, long) if h is not None})))
             if len(met) >= 1 << 20:
                 met.clear()  # bounded; the group of a shard drops copies anyway
-            met.add((host, digest))
-            digests.append(digest if new else None)
-            streams.append(stream if new else None)
-        return [pa.array(digests, pa.int64()), pa.array(streams, pa.list_(pa.int64()))]
+            new = [i for i in items if (host, *i[:2]) not in met]
+            met.update((host, *i[:2]) for i in new)
+            rows.append([dict(zip(("kind", "digest", "numbers"), i)) for i in new])
+        return [pa.array(rows, pa.list_(pa.struct([("kind", pa.int32()), ("digest", pa.int64()), ("numbers", pa.list_(pa.int64()))])))]
 
     return run
 
 
-def count_group(long: int, min_pages: int) -> Callable[[pa.Table], pa.Table]:
-    """The function over one shard of the streams of a host: substrings (as hashes) and how many streams hold each.
-    A host of one shard needs only those of ``min_pages`` streams."""
+def count_group(long: int, min_pages: int, shares: tuple[float, float]) -> Callable[[pa.Table], pa.Table]:
+    """The function over one shard of the streams and articles of a host: substrings and blocks (as hashes) and how
+    many streams or articles hold each.  A host of one shard is judged here; of others all rows count, and those
+    without a hash say how many streams and articles there are."""
 
     def run(table: pa.Table) -> pa.Table:
-        copies = table.column("stream").combine_chunks().to_pylist()
-        streams = [np.array(s, dtype=np.int64) for s in set(map(tuple, copies))]
-        order, group, spread, starts = substrings(streams, long)
-        hashes = np.zeros(starts[-1] + long, dtype=np.int64)
-        for s, at in zip(streams, starts.tolist()):
-            own = window_hashes(s, long)
-            hashes[at : at + len(own)] = own
-        heads = order[np.flatnonzero(np.diff(group, prepend=-1))]
-        wanted = spread >= (min_pages if table.column("shards")[0].as_py() == 1 else 1)
-        found = hashes[heads[wanted]]
-        host = pa.array([table.column("host")[0].as_py()] * len(found), pa.string())
-        return pa.table([host, pa.array(found), pa.array(spread[wanted].astype(np.int64))], names=["host", "hash", "n"])
+        host, alone = table.column("host")[0].as_py(), table.column("shards")[0].as_py() == 1
+        kept: dict[tuple[int, int], list[int]] = {}
+        for kind, digest, numbers in zip(*(table.column(c).to_pylist() for c in ("kind", "digest", "numbers"))):
+            kept.setdefault((kind, digest), numbers)
+        out = []
+        for kind in (STREAM, ARTICLE):
+            items = [np.array(x, dtype=np.int64) for (k, _), x in kept.items() if k == kind]
+            if not items:
+                continue
+            if kind == STREAM:
+                order, group, n, starts = substrings(items, long)
+                hashes = np.zeros(starts[-1] + long, dtype=np.int64)
+                for s, at in zip(items, starts.tolist()):
+                    own = window_hashes(s, long)
+                    hashes[at : at + len(own)] = own
+                found = hashes[order[np.flatnonzero(np.diff(group, prepend=-1))]]
+            else:
+                found, n = np.unique(np.concatenate(items), return_counts=True)
+            wanted = n >= (needed(len(items), shares[kind], min_pages) if alone else 1)
+            out += [(kind, h, c) for h, c in zip(found[wanted].tolist(), n[wanted].tolist())]
+            if not alone:
+                out.append((kind, None, len(items)))
+        kinds, found, n = zip(*out) if out else ((), (), ())
+        columns = [[host] * len(out), kinds, found, n]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "kind", "hash", "n"])
 
     return run
 
 
-def clean_group(names: list[str], long: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def clean_group(names: list[str], long: int, long_run: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The function over one shard of the pages of a host and the hashes of the host's boilerplate."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         hashes = np.array([h for row in known.column("hashes").to_pylist() for h in row], dtype=np.int64)
+        common = {h for row in known.column("common").to_pylist() for h in row}
         texts, counts = [], []
         for parts, blocks in zip(table.column("parts").to_pylist(), table.column("blocks").to_pylist()):
             stream = stream_of(parts, blocks)
             mask = covered_by(np.flatnonzero(np.isin(window_hashes(stream, long), hashes)), len(stream), long)
             kept, at = [], 0
-            for part, block in zip(parts, blocks):
+            again = [h in common for h in main_hashes(parts, blocks, long)] if common else [False] * len(parts)
+            n_again = sum(len(b.split()) for b, lost in zip(blocks, again) if lost)
+            if n_again and 2 * n_again >= sum(len(b.split()) for part, b in zip(parts, blocks) if part == MAIN):
+                again, n_again = [False] * len(parts), 0
+            for part, block, lost in zip(parts, blocks, again):
                 if part == MAIN:
-                    kept.append(block)
+                    if not lost:
+                        kept.append(block)
                     continue
                 words = block.split()
                 own, at = mask[at : at + len(words)], at + len(words)
                 if part == OPEN:
-                    left = [w for w, lost in zip(words, lost_in(own, long).tolist()) if not lost]
+                    left = [w for w, cut in zip(words, lost_in(own, long_run).tolist()) if not cut]
                     if left:
                         kept.append(" ".join(left))
             texts.append(" ".join(kept))
-            counts.append(int(mask.sum()))
+            counts.append(int(mask.sum()) + n_again)
         return pa.table(
             [*[table.column(n) for n in names], pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
             names=[*names, "text", "n_repeated"],
@@ -329,16 +379,27 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def boilerplate(source: DataFrame, dealt: Callable[[DataFrame, str], DataFrame], long: int, min_pages: int) -> DataFrame:
-    """``host``, ``hashes``: the substrings of ``long`` words on ``min_pages`` different streams of the host (all its shards)."""
-    fields = [StructField("digest", LongType()), StructField("stream", ArrayType(LongType()))]
+def boilerplate(
+    source: DataFrame, dealt: Callable[[DataFrame, str], DataFrame], long: int, min_pages: int, shares: tuple[float, float]
+) -> DataFrame:
+    """``host``, ``hashes`` (substrings of ``long`` words) and ``common`` (blocks of articles): what stands on enough
+    different streams, or articles, of the whole host."""
+    item = StructType([StructField("kind", IntegerType()), StructField("digest", LongType()), StructField("numbers", ArrayType(LongType()))])
     paths = source.select("host", F.concat("host", F.lit("/"), F.coalesce("html", F.lit(""))).alias("path"))
-    streams = dealt(map_text(paths, "path", ["host"], fields, evidence).filter("digest IS NOT NULL"), "digest")
-    schema = StructType([StructField("host", StringType()), StructField("hash", LongType()), StructField("n", LongType())])
-    columns = ["host", "shard", "shards", "stream"]
-    counts = streams.select(*columns).repartition("host", "shard").groupBy("host", "shard").applyInArrow(count_group(long, min_pages), schema)
-    often = counts.groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    found = map_text(paths, "path", ["host"], [StructField("items", ArrayType(item))], lambda: evidence(long))
+    items = dealt(found.select("host", F.inline("items")), "digest")
+    types = [StringType(), IntegerType(), LongType(), LongType()]
+    schema = StructType([StructField(n, t) for n, t in zip(["host", "kind", "hash", "n"], types)])
+    columns = ["host", "shard", "shards", "kind", "digest", "numbers"]
+    groups = items.select(*columns).repartition("host", "shard").groupBy("host", "shard")
+    counts = saved(source.sparkSession, groups.applyInArrow(count_group(long, min_pages, shares), schema), "html-counts")
+    # At most two rows for each host of more than one shard.
+    totals = counts.filter("hash IS NULL").groupBy("host", "kind").agg(F.sum("n").alias("total"))
+    sums = counts.filter("hash IS NOT NULL").groupBy("host", "kind", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    share = F.when(F.col("kind") == STREAM, shares[STREAM]).otherwise(shares[ARTICLE])
+    often = sums.join(F.broadcast(totals), ["host", "kind"], "left").filter(F.col("n") >= F.ceil(share * F.coalesce("total", F.lit(0))))
+    one = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("hash")))
+    return often.groupBy("host").agg(one(STREAM).alias("hashes"), one(ARTICLE).alias("common"))
 
 
 def extract(
@@ -349,8 +410,12 @@ def extract(
     shard_bytes: int = SHARD_BYTES,
     long: int = LONG,
     min_pages: int = MIN_PAGES,
+    long_run: int = LONG_RUN,
+    share: float = SHARE,
+    article_share: float = ARTICLE_SHARE,
 ) -> DataFrame:
-    """``keep`` columns, ``text`` (the main text) and ``n_repeated`` (words outside the article that boilerplate covers)."""
+    """``keep`` columns, ``text`` (the main text) and ``n_repeated`` (words outside the article that boilerplate covers,
+    and words of the blocks that the article loses)."""
     names = [f"k{i}" for i in range(len(keep))]
     source = pages.select(
         F.col(quoted(html_col)).cast("string").alias("html"),
@@ -379,11 +444,11 @@ def extract(
     def dealt(rows: DataFrame, deal: str) -> DataFrame:
         return rows.join(large, "host", "left").withColumn("shards", n_shards).withColumn("shard", F.pmod(deal, "shards").cast("int"))
 
-    known = saved(pages.sparkSession, boilerplate(source, dealt, long, min_pages), "html-boilerplate")
-    copies = known.join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0), n_shards - 1)).alias("shard"), "hashes")
+    known = saved(pages.sparkSession, boilerplate(source, dealt, long, min_pages, (share, article_share)), "html-boilerplate")
+    copies = known.join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0), n_shards - 1)).alias("shard"), "hashes", "common")
     kept = [f for f in cut.schema.fields if f.name in names]
     schema = StructType([*kept, StructField("text", StringType()), StructField("n_repeated", LongType())])
     columns = ["host", "shard", *names, "parts", "blocks"]
     left = dealt(cut, "deal").select(*columns).repartition("host", "shard").groupBy("host", "shard")
-    out = left.cogroup(copies.groupBy("host", "shard")).applyInArrow(clean_group(names, long), schema)
+    out = left.cogroup(copies.groupBy("host", "shard")).applyInArrow(clean_group(names, long, long_run), schema)
     return out.toDF(*keep, "text", "n_repeated")

@@ -98,3 +98,28 @@ def test_shards_do_not_change_the_result(spark):
     df = pages_of(spark, rows)
     few, many = ({tuple(r) for r in H.extract(df, ["page_id"], shard_bytes=b).collect()} for b in (1 << 20, 100))
     assert few == many and {r[2] for r in many if r[0] % 3 == 0} == {11} and not any("words" in r[1] for r in many)
+
+
+def test_shared_prose_stays(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    phrase, passage, saying = words(6), words(15), words(8)
+    rows, own = [], {}
+    for i in range(30):
+        shared = {phrase: i < 5, passage: 5 <= i < 9, saying: i % 2}  # passages of few pages, a saying of half of them
+        own[i] = " ".join([words(8), *[f"{x} {words(4)}" for x, has in shared.items() if has]])
+        rows.append((i, "http://prose/x", f"<p>{own[i]}</p><div>all rights to these pages are with their many writers</div>"))
+    rows += [(100 + i, "http://prose/x", f"<p>{passage}</p><p>{words(20)}</p>") for i in range(4)]
+    out = {r.page_id: r.text for r in H.extract(pages_of(spark, rows), ["page_id"]).collect()}
+    assert {i: out[i] for i in own} == own and all(out[100 + i].startswith(passage) for i in range(4))
+
+
+def test_repeated_blocks_of_articles(spark):
+    plea = "<p>please send this story to all your friends</p>"
+    rows = [(i, "http://h/x", f"<article><p>story {i} of a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i}</p>{plea if i else ''}</article>") for i in range(8)]
+    rows += [(20 + i, "http://g/x", f"<article><p>one and the same article with a counter</p><p>read {i} times</p></article>") for i in range(5)]
+    df = pages_of(spark, rows)
+    for size in (1 << 20, 100):
+        out = {r.page_id: (r.text, r.n_repeated) for r in H.extract(df, ["page_id"], shard_bytes=size).collect()}
+        assert all(out[i] == (f"story {i} of a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i}", 8 if i else 0) for i in range(8))
+        assert all(out[20 + i] == (f"one and the same article with a counter read {i} times", 0) for i in range(5))
