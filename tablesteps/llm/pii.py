@@ -3,12 +3,13 @@
 1. Base spans: e-mail, IP, card and phone patterns.  Splitting a text at a
    pattern gives the gaps between its matches; a running sum over gaps and
    matches gives their places.
-2. Protected entities are the values found.  Terms within ``NEAR_WORDS`` words
-   of an entity are its candidates, kept if they stand near it in
-   ``MIN_CONTEXTS`` or more different contexts (copies of a text count once).
+2. Protected entities are the values found.  Every word of a document that
+   holds an entity is a candidate, wherever it stands.
 3. The corpus says how strongly a term reveals an entity: pointwise mutual
    information over documents, divided by the information of the
    entity itself.  1 means that the term stands nowhere without the entity.
+   That estimate is as good as its support: with n different texts that
+   hold both it counts 1 - 2^-n, so copies of one text prove little.
 4. In documents that hold the entity, terms of ``REMOVE`` or more are removed,
    terms of ``GENERALISE`` or more are replaced by their class.
 
@@ -29,9 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import quoted, saved
 
-#: Words on either side of an entity that are candidates, and contexts that support a pair.
-NEAR_WORDS = 10
-MIN_CONTEXTS = 3
 #: Share of an entity's information from which a term is generalised or removed.
 GENERALISE = 0.6
 REMOVE = 0.9
@@ -48,8 +46,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ANY = "|".join(PATTERNS[k] for k in ("email", "phone", "card", "ip"))
-WORD = r"[\p{L}\p{N}]{3,}"
-_MARK = "\x01"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def digits_of(value: Column) -> Column:
@@ -115,68 +112,49 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return placed(rows).filter(passes(F.col("kind"), F.col("value")))
 
 
-def candidates(texts: DataFrame, near_words: int, min_contexts: int) -> DataFrame:
-    """``entity``, ``term``, ``n_both`` (documents in which the term stands near the entity), with enough contexts."""
-    marked = F.regexp_replace(F.translate("t", _MARK, " "), ANY, f"{_MARK}$0{_MARK}")
-    tokens = F.regexp_extract_all(marked, F.lit(f"{_MARK}[^{_MARK}]*{_MARK}|{WORD}"), F.lit(0))
-    toks = F.col("tokens")
-    mentions = (
-        texts.filter(F.col("t").rlike(ANY))
-        .select("id", "th", tokens.alias("tokens"))
-        .select(
-            "id",
-            "th",
-            F.explode(
-                F.transform(
-                    F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: F.element_at(toks, i).startswith(_MARK)),
-                    lambda i: F.struct(
-                        F.element_at(toks, i).alias("value"),
-                        F.slice(toks, F.greatest(i - near_words, F.lit(1)), near_words + F.least(i, F.lit(near_words + 1))).alias(
-                            "near"
-                        ),
-                    ),
-                )
-            ).alias("m"),
-        )
-        .select("id", "th", F.regexp_replace("m.value", _MARK, "").alias("value"), "m.near")
-    )
-    value = F.col("value")
-    kind = (
-        F.when(value.contains("@"), "email")
-        .when(value.startswith("+"), "phone")
-        .when(value.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "ip")
-        .otherwise("card")
-    )
-    words = F.array_distinct(F.transform(F.filter("near", lambda w: ~w.startswith(_MARK)), F.lower))
-    pairs = mentions.withColumn("kind", kind).filter(passes(F.col("kind"), value)).select(
-        "id", "th", entity_of(F.col("kind"), value).alias("entity"), F.xxhash64("near").alias("context"), F.explode(words).alias("term")
-    )
-    once = pairs.groupBy("entity", "term", "context").agg(F.count_distinct("id", "th").alias("n"))
-    return (
-        once.groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
-        .filter(F.col("contexts") >= min_contexts)
-        .drop("contexts")
-    )
+def least_support(generalise: float) -> int:
+    """How many different texts a pair needs to reach ``generalise`` at all."""
+    return next((n for n in range(1, 50) if 1 - 0.5**n >= generalise), 50)
+
 
+def holders_of(texts: DataFrame, spans: DataFrame, support: int) -> DataFrame:
+    """Different texts (``t``, ``copies``) and their ``entities`` that stand in ``support`` or more different texts:
+    no term can reveal the others."""
+    held = spans.select("th", entity_of(F.col("kind"), F.col("value")).alias("entity")).distinct()
+    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("entity")
+    entities = held.join(often, "entity").groupBy("th").agg(F.collect_list("entity").alias("entities"))
+    different = texts.filter(F.col("t").rlike(ANY)).groupBy("th").agg(F.count(F.lit(1)).alias("copies"), F.first("t").alias("t"))
+    return different.join(entities, "th").select("t", "copies", "entities")
 
-def disclosures(texts: DataFrame, spans: DataFrame, near_words: int, min_contexts: int, generalise: float) -> DataFrame:
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def candidates(holders: DataFrame, support: int) -> DataFrame:
+    """``entity``, ``term``, ``n_both`` (documents that hold both), ``support`` (different texts among them)."""
+    pairs = holders.select("copies", F.explode("entities").alias("entity"), words_of(F.col("t")).alias("words"))
+    counts = pairs.select("copies", "entity", F.explode("words").alias("term")).groupBy("entity", "term")
+    return counts.agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= support)
+
+
+def disclosures(texts: DataFrame, spans: DataFrame, generalise: float) -> DataFrame:
     """``entity``, ``term``, ``disclosure``: terms that reveal an entity by ``generalise`` or more of its information."""
     spark = texts.sparkSession
-    pairs = saved(spark, candidates(texts, near_words, min_contexts), "pii-pairs")
+    support = least_support(generalise)
+    holders = saved(spark, holders_of(texts, spans, support), "pii-holders")
+    pairs = saved(spark, candidates(holders, support), "pii-pairs")
     total = texts.count()
     wanted = pairs.select("term").distinct()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(words_of(F.col("t"))).alias("term"))
     # Counted before the join: a task sends one row for each of its words, however many are wanted.
     spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
-    held = spans.groupBy(entity_of(F.col("kind"), F.col("value")).alias("entity")).agg(
-        F.count_distinct("id", "th").alias("n_entity")
-    )
+    held = holders.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     both = pairs.join(spread, "term").join(held, "entity")
-    n_both = F.least("n_both", "n_term", "n_entity")
     own = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    shared = F.log(n_both * F.lit(float(max(total, 2))) / (F.col("n_entity") * F.col("n_term")))
-    told = both.withColumn("disclosure", F.when(own > 0, shared / own).otherwise(0.0))
+    shared = F.log(F.col("n_both") * F.lit(float(max(total, 2))) / (F.col("n_entity") * F.col("n_term")))
+    sure = 1 - F.pow(F.lit(0.5), F.col("support"))
+    told = both.withColumn("disclosure", F.when(own > 0, sure * shared / own).otherwise(0.0))
     return told.filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
@@ -208,8 +186,6 @@ def find_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    near_words: int = NEAR_WORDS,
-    min_contexts: int = MIN_CONTEXTS,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
 ) -> DataFrame:
@@ -217,7 +193,7 @@ def find_spans(
     spark = docs.sparkSession
     texts = hashed(docs, id_col, text_col)
     spans = saved(spark, base_spans(texts), "pii-base")
-    told = saved(spark, disclosures(texts, spans, near_words, min_contexts, generalise), "pii-disclosures")
+    told = saved(spark, disclosures(texts, spans, generalise), "pii-disclosures")
     terms = term_spans(texts, spans, told, remove)
     labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     base = spans.withColumn("instead", labels[F.col("kind")]).drop("value")

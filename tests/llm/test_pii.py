@@ -94,3 +94,14 @@ def test_empty_table_repeats_and_odd_columns(spark):
         (0, 1, "to [EMAIL]"), (1, 1, "to [EMAIL]"), (2, 1, "to [EMAIL]"), (3, 0, ""),
     ]
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_far_from_an_entity(spark):
+    far = " ".join(f"on day q{i} of the weather" for i in range(8))
+    rows = filler(300) + [(400 + i, f"Bo Zebulon h{i} {far} f{i} to zeb@corp.example") for i in range(5)]
+    rows += [(500 + i, f"林木 p{i} {far} r{i} to lin@corp.example") for i in range(2)] + [(600, f"Quill {far} to q@corp.example")]
+    out = {r.doc_id: r.clean for r in run(docs(spark, rows)).collect()}
+    for i in range(5):
+        assert out[400 + i].split()[0] == f"h{i}" and "[EMAIL]" in out[400 + i]
+    assert out[500].startswith("[word] p0 ") and out[501].startswith("[word] p1 ")  # two texts: less sure
+    assert out[600].startswith("Quill ")  # one text tells a name from no other rare word
