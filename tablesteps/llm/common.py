@@ -44,7 +44,18 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     and the rows survive the loss of any executor."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``saved`` table once everything that reads it is written itself."""
+    path = getattr(df, "saved_at", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def prepare_workers(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -47,7 +47,8 @@ def component_ids(edges: DataFrame) -> DataFrame:
         if tuple(state) == before and state[0] == state[2] or state[0] == 0:
             break
         before = tuple(state)
-        edges = saved(spark, star(star(edges, True), False), "components-round")
+        last, edges = edges, saved(spark, star(star(edges, True), False), "components-round")
+        forget(last)
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash
+from . import decontaminate, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,26 @@ def op10(spark, d):
     out = quality.score(docs, quality.train(docs, table(spark, d, "labels")), ["doc_id"])
     good = (F.col("score") >= quality.GOOD).cast("int")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", good.alias("predicted"))
+
+
+@query(
+    "op11_embedding_near_dedup",
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings
+          UNION SELECT l.w, reach.r FROM reach JOIN links l ON reach.vec_id = l.u),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.u = c.vec_id
+""",
+)
+def op11(spark, d):
+    return embedding_dedup.near_vectors(table(spark, d, "embeddings"))
