@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash
+from . import decontaminate, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash, spelling
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,41 @@ FROM c LEFT JOIN n ON n.u = c.vec_id
 )
 def op11(spark, d):
     return embedding_dedup.near_vectors(table(spark, d, "embeddings"))
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+WITH RECURSIVE bits AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT),
+      [CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT) FOR j IN range(length(x) // 2)]),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM counted), crc),
+v AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w
+        FROM hashed) WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+first AS (SELECT p.word, min(p.near) AS form FROM pairs p JOIN best b ON p.word = b.word AND p.near_n = b.top GROUP BY p.word),
+forms AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 10 * v.n THEN first.form END AS form,
+                 CASE WHEN b.top >= 10 * v.n THEN b.top END AS form_n
+          FROM v LEFT JOIN best b ON v.word = b.word LEFT JOIN first ON v.word = first.word),
+chain AS (SELECT word, word AS far FROM forms
+          UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.far = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.far AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.far AND e.form IS NULL
+""",
+)
+def op12(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents"))
