@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash, spelling
+from . import collocations, decontaminate, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, line_dedup, pii, quality, sentencepiece, simhash, spelling
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,33 @@ FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.far AND
 )
 def op12(spark, d):
     return spelling.spelling_variants(table(spark, d, "documents"))
+
+
+@query(
+    "op13_phrase_collocations",
+    r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS ph
+      FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) t(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, ph, array_to_string(ph, ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+inside AS (SELECT lang, array_to_string(ph[i:i + m - 1], ' ') AS phrase, max(a) AS most
+           FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) t(m) WHERE m < k) GROUP BY ALL),
+cuts AS (SELECT c.lang, c.phrase, c.a, x.j, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c) x JOIN c ON x.lang = c.lang AND x.phrase = c.phrase
+         JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ph[1:x.j], ' ')
+         JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ph[x.j + 1:], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT low.* FROM low LEFT JOIN inside i ON low.lang = i.lang AND low.phrase = i.phrase
+         WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n,
+       CAST(score AS BIGINT) AS score
+FROM kept JOIN n ON kept.lang = n.lang QUALIFY rank <= 2000
+""",
+)
+def op13(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
