@@ -9,15 +9,20 @@ Stripes of prefixes of 0, 1, 2 and 3 words are built in that order, one scan of
 the texts each:
 
 1. Tasks number the words they meet and count (prefix, next word) in numpy, a
-   bounded number of words and entries at a time.
+   bounded number of words and entries at a time.  Beside it they count phrases
+   one word longer than these by hash bucket (2^``FILTER_BITS`` buckets).
 2. Partial stripes are merged elementwise by (language, prefix, page); a page holds
    the words of one hash share, so the long stripe of a common prefix is spread.
-   Sorted partitions stream past the merge, which holds one page.
+   Sorted partitions stream past the merge, which holds one page.  Bucket counts
+   travel along, as rows of the language ``BUCKETS``, and become a bitmap of the
+   buckets of ``min_count`` or more.
 3. Entries of fewer than ``min_count`` are left out after the merge (the total keeps
    them).  A longer phrase of ``min_count`` occurrences has only parts of as
-   many, so the next scan counts a place only if prefix and next word pass a bitmap
-   of the hashes of the phrases kept (2^``FILTER_BITS`` bits, whatever the corpus).
-   What the bitmap lets through in vain costs a row and is dropped by its count.
+   many, and its bucket has as many.  So the next scan counts a place only if its
+   prefix is one of the phrases kept (a second bitmap, of their hashes), and its
+   next word only if the longer phrase passes the first.  Both bitmaps have a fixed
+   size; what they let through in vain costs a row and is dropped by its count, so
+   a corpus that fills them is counted as exactly, with more rows.
 
 Candidates are the entries; the part before a cut and the part behind it are
 looked up among the phrases kept.  A word more never raises a frequency, so
@@ -53,15 +58,19 @@ SUBSUMED_PERCENT = 80
 TOP = 2000
 NO_LANG = "und"
 
-#: Words a task knows, and entries it holds, before it sends its stripes on.
-TASK_WORDS = 1 << 18
+#: Words a task knows, and entries and buckets it holds, before it sends them on.
+TASK_WORDS = 1 << 19
 TASK_ENTRIES = 1 << 20
+TASK_BUCKETS = 1 << 22
 #: Words counted at a time.
 CHUNK_WORDS = 1 << 18
-#: Bits (as a power of two) of the bitmap of phrases kept: 8 MB.
-FILTER_BITS = 26
+#: Bits (as a power of two) of each bitmap: 16 MB.
+FILTER_BITS = 27
 #: Pages of a stripe by words of its prefix.
-PAGES = (512, 32, 4, 4)
+PAGES = (512, 8, 4, 4)
+#: Stands for a language in the rows of bucket counts (no UTF-8); buckets in such a row.
+BUCKETS = b"\xff"
+ROW_BUCKETS = 1 << 15
 
 _BREAK = b"\xff"  # no byte of UTF-8: stands between pieces
 _TABLE = bytes(_BREAK[0] if c in PIECE_ENDS else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -83,11 +92,12 @@ class Words(dict):
         return n
 
 
-def phrase_bits(hashes: list[np.ndarray]) -> np.ndarray:
-    """The bit of each phrase, given the hashes of its first words, its second words and so on."""
-    h = np.zeros(len(hashes[0]), dtype=np.uint64)
-    for x in hashes:
-        h = (h ^ x) * _MULTIPLY
+def phrase_bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of the phrase of ``size`` words at each place, given the hashes of the words."""
+    n = len(hashes) - size + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(size):
+        h = (h ^ hashes[i : i + n]) * _MULTIPLY
         h ^= h >> np.uint64(29)
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -97,10 +107,16 @@ def in_bitmap(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 class Counter:
-    """Counts (prefix, next word) of the texts given; ``bitmap`` holds phrases as long as the prefix."""
+    """Counts (prefix, next word) of the texts given, and buckets of phrases that are one word longer.
 
-    def __init__(self, size: int, bitmap: np.ndarray | None):
-        self.size, self.bitmap = size, bitmap
+    ``known`` is the bitmap of phrases as long as the prefix, ``buckets`` of those with the next word.
+    """
+
+    def __init__(self, size: int, known: np.ndarray | None, buckets: np.ndarray | None, longer: bool, min_count: int):
+        self.size, self.known, self.buckets, self.longer = size, known, buckets, longer
+        self.most = min(min_count, 255)  # a bucket's count is of no interest beyond
+        self.seen: list[np.ndarray] = []
+        self.held_buckets = 0
         self.clear()
 
     def clear(self) -> None:
@@ -121,31 +137,60 @@ class Counter:
             self.count()
             if self.held >= TASK_ENTRIES:
                 self.merge()
-            if self.held >= TASK_ENTRIES // 2 or len(self.names) >= TASK_WORDS:
+            if self.held >= TASK_ENTRIES * 3 // 4 or len(self.names) >= TASK_WORDS:
                 yield from self.stripes()
+            if self.held_buckets >= TASK_BUCKETS:
+                yield from self.bucket_rows()
 
     def count(self) -> None:
-        at = np.array(self.numbers, dtype=np.int64)
-        self.numbers = [0]
         k = self.size
+        at = np.array(self.numbers + [0] * (k + 2), dtype=np.int64)
+        self.numbers = [0]
+        hashes = np.array(self.hashes, dtype=np.uint64)[at]
+        words = [at > 0]  # places with a phrase of 1, 2, ... words
+        for i in range(1, k + 2):
+            words.append(words[-1][:-1] & words[0][i:])
         if not k:
-            rows = at[at > 0][:, None]
+            rows, longer = at[words[0]][:, None], words[1]
         else:
-            # Windows of k words and what comes next; a window over a break holds a 0.
-            windows = np.lib.stride_tricks.sliding_window_view(np.append(at, 0), k + 1)
-            windows = windows[(windows[:, :k] > 0).all(axis=1)]
-            hashes = np.array(self.hashes, dtype=np.uint64)
-            windows = windows[self.kept(windows[:, :k], hashes)]
-            rows = windows.copy()
-            tail = rows[:, 1:]
-            rows[(tail[:, -1] > 0) & ~self.kept(tail, hashes), k] = 0
+            known = words[k - 1] & in_bitmap(self.known, phrase_bits(hashes, k))
+            follows = words[k] & known[:-1] & known[1:] & in_bitmap(self.buckets, phrase_bits(hashes, k + 1))
+            place = np.flatnonzero(known)
+            rows = at[place[:, None] + np.arange(k + 1)]
+            rows[~np.append(follows, False)[place], k] = 0
+            longer = words[k + 1] & follows[:-1] & follows[1:]
+        if self.longer:
+            self.seen.append(phrase_bits(hashes, k + 2)[longer])
+            self.held_buckets += len(self.seen[-1])
         rows, counts = distinct(rows, np.ones(len(rows), dtype=np.int64))
         self.rows.append(rows)
         self.counts.append(counts)
         self.held += len(rows)
 
-    def kept(self, phrases: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        return in_bitmap(self.bitmap, phrase_bits([hashes[phrases[:, i]] for i in range(phrases.shape[1])]))
+    def bucket_rows(self) -> Iterator[pa.RecordBatch]:
+        """The buckets counted, ``ROW_BUCKETS`` of them a row: places (two bytes each), then counts (one)."""
+        if not self.held_buckets:
+            return
+        buckets, counts = np.unique(np.concatenate(self.seen), return_counts=True)
+        self.seen, self.held_buckets = [], 0
+        times = np.minimum(counts, self.most).astype(np.uint8)
+        place, piece = (buckets % ROW_BUCKETS).astype("<u2"), buckets // ROW_BUCKETS
+        first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        ends = np.append(first[1:], len(piece))
+        made = [place[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+        for s in range(0, len(first), 1024):
+            m = len(first[s : s + 1024])
+            one = pa.array(np.arange(m + 1, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([BUCKETS] * m, pa.binary()),
+                    pa.array([b""] * m, pa.binary()),
+                    pa.array(piece[first[s : s + m]].astype(np.int32)),
+                    pa.ListArray.from_arrays(one, pa.array(made[s : s + m], pa.binary())),
+                    pa.ListArray.from_arrays(one, pa.array(ends[s : s + m] - first[s : s + m])),
+                ],
+                names=["lang", "prefix", "page", "next", "n"],
+            )
 
     def merge(self) -> None:
         rows, counts = distinct(np.concatenate(self.rows), np.concatenate(self.counts))
@@ -202,29 +247,69 @@ def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[first], np.bincount(at.reshape(-1), counts, len(first)).astype(np.int64)
 
 
-def partial_stripes(texts: DataFrame, size: int, bitmap) -> DataFrame:
-    """``lang``, ``prefix``, ``page``, ``next`` (words), ``n`` (their counts): one row per task, prefix and page, or a few."""
+def partial_stripes(texts: DataFrame, size: int, known, buckets, longer: bool, min_count: int) -> DataFrame:
+    """``lang``, ``prefix``, ``page``, ``next`` (words), ``n`` (their counts): one row per task, prefix and page, or a few;
+    and rows of bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(size, np.frombuffer(bitmap.value, dtype=np.uint8) if bitmap is not None else None)
+        bitmaps = [None if x is None else np.frombuffer(x.value, dtype=np.uint8) for x in (known, buckets)]
+        counter = Counter(size, *bitmaps, longer, min_count)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from counter.add(lang, text.as_py())
         yield from counter.stripes()
+        yield from counter.bucket_rows()
 
     return texts.mapInArrow(run, "lang binary, prefix binary, page int, next array<binary>, n array<bigint>")
 
 
+class BucketSums:
+    """Bucket counts of sorted rows; a finished piece becomes a row with its bitmap."""
+
+    def __init__(self, min_count: int):
+        self.least, self.piece = min(min_count, 255), None
+
+    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        blobs, sizes = (pc.list_flatten(table.column(c).combine_chunks()) for c in ("next", "n"))
+        for piece, blob, m in zip(table.column("page").to_pylist(), blobs, sizes.to_pylist()):
+            if piece != self.piece:
+                yield from self.closed()
+                self.piece, self.sums = piece, np.zeros(ROW_BUCKETS, dtype=np.int64)
+            data = blob.as_py()
+            # A row has a place once.
+            self.sums[np.frombuffer(data, dtype="<u2", count=m)] += np.frombuffer(data, dtype=np.uint8, offset=2 * m)
+
+    def closed(self) -> Iterator[pa.RecordBatch]:
+        if self.piece is not None:
+            bits = np.packbits(self.sums >= self.least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([BUCKETS], pa.binary()),
+                    pa.array([b""], pa.binary()),
+                    pa.array([self.piece], pa.int32()),
+                    pa.array([0], pa.int64()),
+                    pa.array([[bits]], pa.list_(pa.binary())),
+                    pa.array([[0]], pa.list_(pa.int64())),
+                ],
+                names=["lang", "prefix", "page", "total", "next", "n"],
+            )
+
+
 def merged(partial: DataFrame, min_count: int) -> DataFrame:
-    """Stripes merged elementwise: ``lang``, ``prefix``, ``page``, ``total``, and the entries of ``min_count`` or more."""
+    """Stripes merged elementwise: ``lang``, ``prefix``, ``page``, ``total``, and the entries of ``min_count`` or more;
+    and the bitmap of the buckets (``lang`` ``BUCKETS``)."""
     keys = ["lang", "prefix", "page"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # entries of the stripe page at hand
+        sums = BucketSums(min_count)
         for batch in batches:
-            if not batch.num_rows:
-                continue
             table = pa.Table.from_batches([batch])
+            of_buckets = pc.equal(table.column("lang"), BUCKETS)
+            yield from sums.add(table.filter(of_buckets))
+            table = table.filter(pc.invert(of_buckets))
+            if not table.num_rows:
+                continue
             cuts = changes(table, keys)
             last = int(cuts[-1]) if len(cuts) else 0
             if held is not None and not same_key(held, table, keys):
@@ -239,6 +324,7 @@ def merged(partial: DataFrame, min_count: int) -> DataFrame:
             held = summed(pa.concat_tables([held, rest]) if held is not None else rest)
         if held is not None:
             yield from closed(held, min_count)
+        yield from sums.closed()
 
     def entries(table: pa.Table) -> pa.Table:
         follow, n = table.column("next").combine_chunks(), table.column("n").combine_chunks()
@@ -272,7 +358,7 @@ def closed(table: pa.Table, min_count: int) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap_of(phrases: DataFrame) -> bytes:
-    """The bitmap of the phrases' hashes (2^FILTER_BITS bits, gathered from the tasks in pieces of 4 kB)."""
+    """The bitmap of the phrases' hashes, gathered from the tasks in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,22 +366,23 @@ def bitmap_of(phrases: DataFrame) -> bytes:
                 continue
             langs, split = batch.column(0).to_pylist(), [p.split(b" ") for p in batch.column(1).to_pylist()]
             seeds = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
-            hashes = [
-                np.array([xxhash.xxh64_intdigest(p[i], seeds[x]) for x, p in zip(langs, split)], dtype=np.uint64)
-                for i in range(len(split[0]))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(phrase_bits(hashes)))], names=["bit"])
+            size = len(split[0])
+            hashes = np.array([xxhash.xxh64_intdigest(w, seeds[x]) for x, p in zip(langs, split) for w in p], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(phrase_bits(hashes, size)[::size]))], names=["bit"])
 
     bits = phrases.select("lang", "phrase").mapInArrow(run, "bit bigint")
-    span = 8 * 4096
-    pieces = (
-        bits.groupBy(F.floor(F.col("bit") / span).alias("piece"))
-        .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(span)).cast("bigint")).alias("bits"))
-        .collect()
+    pieces = bits.groupBy(F.floor(F.col("bit") / ROW_BUCKETS).alias("piece")).agg(
+        F.bitmap_construct_agg(F.pmod("bit", F.lit(ROW_BUCKETS)).cast("bigint")).alias("bits")
     )
+    return whole_bitmap(pieces)
+
+
+def whole_bitmap(pieces: DataFrame) -> bytes:
+    """The pieces put together (2^FILTER_BITS bits, whatever the corpus)."""
+    size = ROW_BUCKETS // 8
     whole = bytearray(1 << (FILTER_BITS - 3))
-    for piece, data in pieces:
-        whole[piece * 4096 : piece * 4096 + len(data)] = data
+    for piece, data in pieces.collect():
+        whole[piece * size : piece * size + size] = data[:size]
     return bytes(whole)
 
 
@@ -309,16 +396,21 @@ def stripe_tables(docs: DataFrame, text_col: str, lang_col: str, max_words: int,
     )
     tables: list[DataFrame] = []
     for size in range(max_words):
-        bitmap = spark.sparkContext.broadcast(bitmap_of(phrases_of(tables[-1]))) if size else None
-        tables.append(saved(spark, merged(partial_stripes(texts, size, bitmap), min_count), f"stripes-{size}"))
-        if bitmap is not None:
-            bitmap.destroy()
+        sent = []
+        if size:
+            buckets = tables[-1].filter(F.col("lang") == BUCKETS).select("page", F.col("next")[0])
+            sent = [spark.sparkContext.broadcast(x) for x in (bitmap_of(phrases_of(tables[-1])), whole_bitmap(buckets))]
+        known, buckets = sent or (None, None)
+        partial = partial_stripes(texts, size, known, buckets, size + 1 < max_words, min_count)
+        tables.append(saved(spark, merged(partial, min_count), f"stripes-{size}"))
+        for x in sent:
+            x.destroy()
     return tables
 
 
 def phrases_of(stripes: DataFrame) -> DataFrame:
     """``lang``, ``prefix``, ``last`` (the word that follows), ``phrase``, ``f`` of the entries."""
-    each = stripes.filter(F.size("next") > 0).select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("x"))
+    each = stripes.filter((F.col("lang") != BUCKETS) & (F.size("next") > 0)).select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("x"))
     space = F.when(F.length("prefix") > 0, F.lit(b" ")).otherwise(F.lit(b""))
     return each.select(
         "lang", "prefix", F.col("x.next").alias("last"), F.concat("prefix", space, "x.next").alias("phrase"), F.col("x.n").alias("f")
@@ -340,7 +432,7 @@ def collocations(
         raise ValueError("min_count and top must be at least 1")
     spark = docs.sparkSession
     tables = stripe_tables(docs, text_col, lang_col, max_words, min_count)
-    n = tables[0].groupBy("lang").agg(F.sum("total").alias("n"))
+    n = tables[0].filter(F.col("lang") != BUCKETS).groupBy("lang").agg(F.sum("total").alias("n"))
     found = [phrases_of(t) for t in tables]
     known = saved(spark, _union([p.select("lang", "phrase", "f") for p in found]), "phrases-kept")
     longer = _union([p.withColumn("words", F.lit(i + 1)) for i, p in enumerate(found) if i])
