@@ -11,9 +11,10 @@ the texts each:
 1. Tasks number the words they meet and count (prefix, next word) in numpy, a
    bounded number of words and entries at a time.  Beside it they count phrases
    one word longer than these by hash bucket (2^``FILTER_BITS`` buckets).
-2. Partial stripes are merged elementwise by (language, prefix, page); a page holds
-   the words of one hash share, so the long stripe of a common prefix is spread.
-   Sorted partitions stream past the merge, which holds one page.  Bucket counts
+2. Partial stripes travel in bundles: a row holds a task's stripes of one hash share
+   of (prefix, page of the next word), ``BUNDLES`` shares for each language.  The pages
+   spread the long stripe of a common prefix over the bundles.  Sorted partitions stream
+   past the merge, which adds stripes elementwise and holds one bundle.  Bucket counts
    travel along, as rows of the language ``BUCKETS``, and become a bitmap of the
    buckets of ``min_count`` or more.
 3. Entries of fewer than ``min_count`` are left out after the merge (the total keeps
@@ -24,8 +25,8 @@ the texts each:
    size; what they let through in vain costs a row and is dropped by its count, so
    a corpus that fills them is counted as exactly, with more rows.
 
-Candidates are the entries; the part before a cut and the part behind it are
-looked up among the phrases kept.  A word more never raises a frequency, so
+Candidates are the entries; the part before a cut is a prefix with its total, the
+part behind it is looked up among the entries.  A word more never raises a frequency, so
 the phrases that are one word longer decide what is subsumed.  Numbers that
 multiply are decimals.
 
@@ -66,8 +67,9 @@ TASK_BUCKETS = 1 << 22
 CHUNK_WORDS = 1 << 18
 #: Bits (as a power of two) of each bitmap: 16 MB.
 FILTER_BITS = 27
-#: Pages of a stripe by words of its prefix.
-PAGES = (512, 8, 4, 4)
+#: Bundles of a language, and pages of a stripe by words of its prefix.
+BUNDLES = 1024
+PAGES = (1024, 8, 2, 1)
 #: Stands for a language in the rows of bucket counts (no UTF-8); buckets in such a row.
 BUCKETS = b"\xff"
 ROW_BUCKETS = 1 << 15
@@ -184,12 +186,13 @@ class Counter:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([BUCKETS] * m, pa.binary()),
-                    pa.array([b""] * m, pa.binary()),
                     pa.array(piece[first[s : s + m]].astype(np.int32)),
+                    pa.array([None] * m, pa.list_(pa.binary())),
+                    pa.array([None] * m, pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(one, pa.array(made[s : s + m], pa.binary())),
                     pa.ListArray.from_arrays(one, pa.array(ends[s : s + m] - first[s : s + m])),
                 ],
-                names=["lang", "prefix", "page", "next", "n"],
+                names=["lang", "bundle", "prefix", "size", "next", "n"],
             )
 
     def merge(self) -> None:
@@ -204,33 +207,42 @@ class Counter:
             self.merge()
             rows, counts, k = self.rows[0], self.counts[0], self.size
             hashes = np.array(self.hashes, dtype=np.uint64)
-            page = (hashes[rows[:, k]] >> np.uint64(40)).astype(np.int64) % PAGES[k]  # the last slot: page 0
+            share = (hashes[rows[:, k]] >> np.uint64(40)) % np.uint64(PAGES[k])
+            for i in range(k):
+                share = (share ^ hashes[rows[:, i]]) * _MULTIPLY
+                share ^= share >> np.uint64(29)
+            bundle = (share % np.uint64(BUNDLES)).astype(np.int64)
             lang_of = {lang: i for i, lang in enumerate(self.langs)}
+            # The first word tells the language: the empty prefix has the word itself.
             lang = np.array([lang_of.get(x, 0) for x, _ in self.names])[rows[:, 0]]
-            order = np.lexsort([page, *(rows[:, i] for i in range(k - 1, -1, -1)), lang])
-            rows, counts, page, lang = rows[order], counts[order], page[order], lang[order]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = (page[1:] != page[:-1]) | (lang[1:] != lang[:-1]) | (rows[1:, :k] != rows[:-1, :k]).any(axis=1)
-            first = np.flatnonzero(new)
-            ends = np.append(first, len(rows))
+            order = np.lexsort([*(rows[:, i] for i in range(k - 1, -1, -1)), bundle, lang])
+            rows, counts, where = rows[order], counts[order], lang[order] * BUNDLES + bundle[order]
+            first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            stripe = np.append(True, (where[1:] != where[:-1]) | (rows[1:, :k] != rows[:-1, :k]).any(axis=1))
+            begins = np.flatnonzero(stripe)
             words = [w for _, w in self.names]
-            names = list(self.langs)
-            follow = pa.array([words[i] for i in rows[:, k].tolist()], pa.binary())
-            counts = pa.array(counts)
-            for s in range(0, len(first), 8192):
-                part = first[s : s + 8192]
-                cuts = ends[s : s + len(part) + 1]
-                lists = pa.array((cuts - cuts[0]).astype(np.int32))
-                span = slice(int(cuts[0]), int(cuts[-1]))
+            follow = pa.array(words, pa.binary()).take(pa.array(rows[:, k]))
+            prefixes = pa.array([b" ".join([words[i] for i in r]) for r in rows[begins, :k].tolist()], pa.binary())
+            sizes = pa.array(np.diff(np.append(begins, len(rows))).astype(np.int32))
+            counts, names = pa.array(counts), list(self.langs)
+            ends = np.append(first, len(rows))
+            stripe_ends = np.searchsorted(begins, ends)
+            for s in range(0, len(first), 256):
+                at = ends[s : s + 257]
+                by_stripe = stripe_ends[s : s + 257]
+                entry, head = slice(int(at[0]), int(at[-1])), slice(int(by_stripe[0]), int(by_stripe[-1]))
+                entry_lists, head_lists = (pa.array((x - x[0]).astype(np.int32)) for x in (at, by_stripe))
+                here = where[at[:-1]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([names[i] for i in lang[part].tolist()], pa.binary()),
-                        pa.array([b" ".join([words[i] for i in r]) for r in rows[part, :k].tolist()], pa.binary()),
-                        pa.array(page[part].astype(np.int32)),
-                        pa.ListArray.from_arrays(lists, follow[span]),
-                        pa.ListArray.from_arrays(lists, counts[span]),
+                        pa.array([names[i] for i in (here // BUNDLES).tolist()], pa.binary()),
+                        pa.array((here % BUNDLES).astype(np.int32)),
+                        pa.ListArray.from_arrays(head_lists, prefixes[head]),
+                        pa.ListArray.from_arrays(head_lists, sizes[head]),
+                        pa.ListArray.from_arrays(entry_lists, follow[entry]),
+                        pa.ListArray.from_arrays(entry_lists, counts[entry]),
                     ],
-                    names=["lang", "prefix", "page", "next", "n"],
+                    names=["lang", "bundle", "prefix", "size", "next", "n"],
                 )
         self.clear()
 
@@ -242,14 +254,16 @@ def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     code = rows[:, 0]
     for i in range(1, rows.shape[1]):
         # Dense numbers of the part so far leave room for the next word: exact, no hash.
-        code = np.unique(code, return_inverse=True)[1].reshape(-1).astype(np.int64) << 32 | rows[:, i]
-    _, first, at = np.unique(code, return_index=True, return_inverse=True)
-    return rows[first], np.bincount(at.reshape(-1), counts, len(first)).astype(np.int64)
+        code = (code if i == 1 else np.unique(code, return_inverse=True)[1].reshape(-1).astype(np.int64)) << 32 | rows[:, i]
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return rows[order[first]], np.add.reduceat(counts[order], first)
 
 
 def partial_stripes(texts: DataFrame, size: int, known, buckets, longer: bool, min_count: int) -> DataFrame:
-    """``lang``, ``prefix``, ``page``, ``next`` (words), ``n`` (their counts): one row per task, prefix and page, or a few;
-    and rows of bucket counts."""
+    """One row per task, ``lang`` and ``bundle`` (or a few): each ``prefix``, the ``size`` of its stripe, and the entries of
+    all of them one after another, ``next`` (words) and ``n`` (their counts); and rows of bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = [None if x is None else np.frombuffer(x.value, dtype=np.uint8) for x in (known, buckets)]
@@ -260,7 +274,8 @@ def partial_stripes(texts: DataFrame, size: int, known, buckets, longer: bool, m
         yield from counter.stripes()
         yield from counter.bucket_rows()
 
-    return texts.mapInArrow(run, "lang binary, prefix binary, page int, next array<binary>, n array<bigint>")
+    schema = "lang binary, bundle int, prefix array<binary>, size array<int>, next array<binary>, n array<bigint>"
+    return texts.mapInArrow(run, schema)
 
 
 class BucketSums:
@@ -271,7 +286,7 @@ class BucketSums:
 
     def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         blobs, sizes = (pc.list_flatten(table.column(c).combine_chunks()) for c in ("next", "n"))
-        for piece, blob, m in zip(table.column("page").to_pylist(), blobs, sizes.to_pylist()):
+        for piece, blob, m in zip(table.column("bundle").to_pylist(), blobs, sizes.to_pylist()):
             if piece != self.piece:
                 yield from self.closed()
                 self.piece, self.sums = piece, np.zeros(ROW_BUCKETS, dtype=np.int64)
@@ -286,22 +301,21 @@ class BucketSums:
                 [
                     pa.array([BUCKETS], pa.binary()),
                     pa.array([b""], pa.binary()),
-                    pa.array([self.piece], pa.int32()),
-                    pa.array([0], pa.int64()),
+                    pa.array([self.piece], pa.int64()),
                     pa.array([[bits]], pa.list_(pa.binary())),
                     pa.array([[0]], pa.list_(pa.int64())),
                 ],
-                names=["lang", "prefix", "page", "total", "next", "n"],
+                names=["lang", "prefix", "total", "next", "n"],
             )
 
 
 def merged(partial: DataFrame, min_count: int) -> DataFrame:
-    """Stripes merged elementwise: ``lang``, ``prefix``, ``page``, ``total``, and the entries of ``min_count`` or more;
-    and the bitmap of the buckets (``lang`` ``BUCKETS``)."""
-    keys = ["lang", "prefix", "page"]
+    """Stripes merged elementwise: ``lang``, ``prefix``, ``total`` and the entries of ``min_count`` or more, one row for
+    each page of a prefix; and the bitmap of the buckets (``lang`` ``BUCKETS``, the piece as ``total``)."""
+    keys = ["lang", "bundle"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # entries of the stripe page at hand
+        held: pa.Table | None = None  # entries of the bundle at hand
         sums = BucketSums(min_count)
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -310,42 +324,55 @@ def merged(partial: DataFrame, min_count: int) -> DataFrame:
             table = table.filter(pc.invert(of_buckets))
             if not table.num_rows:
                 continue
-            cuts = changes(table, keys)
-            last = int(cuts[-1]) if len(cuts) else 0
+            cuts = [0, *changes(table, keys).tolist(), table.num_rows]
             if held is not None and not same_key(held, table, keys):
-                yield from closed(held, min_count)
+                yield from closed(summed(held), min_count)
                 held = None
-            if last:
-                done = entries(table.slice(0, last))
-                done = pa.concat_tables([held, done]) if held is not None else done
-                yield from closed(summed(done), min_count)
-                held = None
-            rest = entries(table.slice(last))
-            held = summed(pa.concat_tables([held, rest]) if held is not None else rest)
+            for a, b in zip(cuts, cuts[1:]):
+                if held is not None and a:
+                    yield from closed(summed(held), min_count)
+                    held = None
+                more = entries(table.slice(a, b - a))
+                held = more if held is None else pa.concat_tables([held, more])
+                if held.num_rows > TASK_ENTRIES:
+                    held = summed(held)
         if held is not None:
-            yield from closed(held, min_count)
+            yield from closed(summed(held), min_count)
         yield from sums.closed()
 
-    def entries(table: pa.Table) -> pa.Table:
-        follow, n = table.column("next").combine_chunks(), table.column("n").combine_chunks()
-        at = pc.list_parent_indices(follow)
-        flat = {k: table.column(k).combine_chunks().take(at) for k in keys}
-        return pa.table({**flat, "next": pc.list_flatten(follow), "n": pc.list_flatten(n)})
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        run, "lang binary, prefix binary, total bigint, next array<binary>, n array<bigint>"
+    )
 
-    def summed(table: pa.Table) -> pa.Table:
-        out = table.group_by([*keys, "next"], use_threads=False).aggregate([("n", "sum")])
-        return out.rename_columns([*keys, "next", "n"] if out.column_names[-1] == "n_sum" else ["n", *keys, "next"])
 
-    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        run, "lang binary, prefix binary, page int, total bigint, next array<binary>, n array<bigint>"
+def entries(table: pa.Table) -> pa.Table:
+    """Bundles as one row for each entry."""
+    prefix, size, follow, n = (table.column(c).combine_chunks() for c in ("prefix", "size", "next", "n"))
+    sizes = pc.list_flatten(size).to_numpy()
+    stripe = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+    at = pc.list_parent_indices(follow)
+    return pa.table(
+        {
+            "lang": table.column("lang").combine_chunks().take(at),
+            "bundle": table.column("bundle").combine_chunks().take(at),
+            "prefix": pc.list_flatten(prefix).take(stripe),
+            "next": pc.list_flatten(follow),
+            "n": pc.list_flatten(n),
+        }
     )
 
 
+def summed(table: pa.Table) -> pa.Table:
+    """Entries of one bundle, added up elementwise."""
+    keys = ["lang", "bundle", "prefix", "next"]
+    return table.group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select([*keys, "n"])
+
+
 def closed(table: pa.Table, min_count: int) -> Iterator[pa.RecordBatch]:
-    """Finished stripe pages as rows, entries of rare extensions only in the total."""
+    """Finished stripes as rows, entries of rare extensions only in the total."""
     often = pc.and_(pc.greater_equal(table.column("n"), min_count), pc.greater(pc.binary_length(table.column("next")), 0))
-    order = [(k, "ascending") for k in ("lang", "prefix", "page")]
-    keys = [k for k, _ in order]
+    order = [("lang", "ascending"), ("prefix", "ascending")]
+    keys = ["lang", "prefix"]
     table = table.append_column("often", pc.cast(often, pa.int32()))
     totals = table.group_by(keys, use_threads=False).aggregate([("n", "sum"), ("often", "sum")]).sort_by(order)
     kept = table.filter(often).sort_by(order)
@@ -398,7 +425,7 @@ def stripe_tables(docs: DataFrame, text_col: str, lang_col: str, max_words: int,
     for size in range(max_words):
         sent = []
         if size:
-            buckets = tables[-1].filter(F.col("lang") == BUCKETS).select("page", F.col("next")[0])
+            buckets = tables[-1].filter(F.col("lang") == BUCKETS).select("total", F.col("next")[0])
             sent = [spark.sparkContext.broadcast(x) for x in (bitmap_of(phrases_of(tables[-1])), whole_bitmap(buckets))]
         known, buckets = sent or (None, None)
         partial = partial_stripes(texts, size, known, buckets, size + 1 < max_words, min_count)
@@ -434,6 +461,9 @@ def collocations(
     tables = stripe_tables(docs, text_col, lang_col, max_words, min_count)
     n = tables[0].filter(F.col("lang") != BUCKETS).groupBy("lang").agg(F.sum("total").alias("n"))
     found = [phrases_of(t) for t in tables]
+    totals = _union([t.filter(F.col("lang") != BUCKETS).select("lang", "prefix", "total") for t in tables[1:]])
+    totals = totals.groupBy("lang", F.col("prefix").alias("left")).agg(F.sum("total").alias("l")).filter(F.col("l") >= min_count)
+    lefts = saved(spark, totals, "phrases-totals")
     known = saved(spark, _union([p.select("lang", "phrase", "f") for p in found]), "phrases-kept")
     longer = _union([p.withColumn("words", F.lit(i + 1)) for i, p in enumerate(found) if i])
     longer = saved(spark, longer.withColumn("w", F.split(F.col("phrase").cast("string"), " ")).drop("phrase"), "phrases-long")
@@ -458,7 +488,6 @@ def collocations(
         F.array_join(F.slice(words, F.lit(1), F.col("k")), " ").cast("binary").alias("left"),
         F.array_join(F.slice(words, F.col("k") + 1, F.col("words") - F.col("k")), " ").cast("binary").alias("right"),
     )
-    lefts = known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     rights = known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
     score = F.expr(f"({SCORE_TIMES} * cast(a as decimal(28,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     cuts = cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"]).withColumn("score", score.cast("long"))

@@ -95,10 +95,11 @@ def test_flushes_in_the_middle_change_nothing(monkeypatch):
                 if r["lang"] == C.BUCKETS:
                     m, data = r["n"][0], r["next"][0]
                     for place, n in zip(np.frombuffer(data, "<u2", m).tolist(), data[2 * m :]):
-                        out[r["page"], place] += n
+                            out[r["bundle"], place] += n
                     continue
-                for word, n in zip(r["next"], r["n"]):
-                    out[r["lang"], r["prefix"], r["page"], word] += n
+                prefixes = [p for p, size in zip(r["prefix"], r["size"]) for _ in range(size)]
+                for prefix, word, n in zip(prefixes, r["next"], r["n"], strict=True):
+                    out[r["lang"], prefix, r["bundle"], word] += n
         return out, len(batches)
 
     every = np.full(1 << (C.FILTER_BITS - 3), 255, dtype=np.uint8)
@@ -130,12 +131,12 @@ def test_buckets_of_all_rows_are_summed():
             place = np.unique(rng.integers(0, C.ROW_BUCKETS, 20_000)).astype("<u2")
             times = rng.integers(1, 4, len(place)).astype(np.uint8)
             want[piece, place] += times
-            rows.append({"page": piece, "next": [place.tobytes() + times.tobytes()], "n": [len(place)]})
-    table = pa.Table.from_pylist(rows, pa.schema({"page": pa.int32(), "next": pa.list_(pa.binary()), "n": pa.list_(pa.int64())}))
+            rows.append({"bundle": piece, "next": [place.tobytes() + times.tobytes()], "n": [len(place)]})
+    table = pa.Table.from_pylist(rows, pa.schema({"bundle": pa.int32(), "next": pa.list_(pa.binary()), "n": pa.list_(pa.int64())}))
     out = [*sums.add(table.slice(0, 33)), *sums.add(table.slice(33)), *sums.closed()]
     for piece, row in enumerate(r for b in out for r in b.to_pylist()):
         bits = np.unpackbits(np.frombuffer(row["next"][0], dtype=np.uint8), bitorder="little")
-        assert row["page"] == piece and (bits == (want[piece] >= 30)).all() and 0 < bits.sum() < len(bits)
+        assert row["total"] == piece and (bits == (want[piece] >= 30)).all() and 0 < bits.sum() < len(bits)
 
 
 def test_bad_parameters_are_refused(spark):
