@@ -680,8 +680,8 @@ def skew_join_step(spark, d):
 
 @query(
     "skew_upsert_predicate",
-    f"""WITH t AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice FROM orders WHERE o_orderkey % 2 = 0),
-    s AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice FROM orders),
+    f"""WITH t AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT'),
+    s AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'),
     one AS (SELECT min(o_orderkey) AS o_orderkey, k FROM t GROUP BY k),
     last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1)
     SELECT t.o_orderkey, t.k, CASE WHEN l.k IS NOT NULL THEN l.o_totalprice ELSE t.o_totalprice END AS o_totalprice
@@ -690,9 +690,9 @@ def skew_join_step(spark, d):
     SELECT NULL, k, o_totalprice FROM last WHERE k NOT IN (SELECT k FROM t)""",
 )
 def skew_upsert_predicate(spark, d):
-    """A third of the rows of both sides share one key: one target row is updated, no pairs are made."""
-    o = _hot_orders(spark, d).withColumnRenamed("o_custkey", "k").select("o_orderkey", "k", "o_totalprice")
-    source = o.withColumnRenamed("o_orderkey", "src_key")
-    return U.upsert_predicate(
-        o.filter(F.col("o_orderkey") % 2 == 0), source, [("k", "k")], [asc("o_orderkey")], [asc("src_key")]
-    )
+    """A third of the rows of both sides share one key: one target row is updated, no pairs are made.  All orders but
+    the urgent ones are the target, all but the low ones the source; every order is in one of them."""
+    o = _hot_orders(spark, d).withColumnRenamed("o_custkey", "k")
+    target = o.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "k", "o_totalprice")
+    source = o.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("src_key"), "k", "o_totalprice")
+    return U.upsert_predicate(target, source, [("k", "k")], [asc("o_orderkey")], [asc("src_key")])

@@ -55,15 +55,25 @@ def csv_append(spark, d):
     return as_types_of(read_csv(spark, out), src)
 
 
-@query("csv_quoted_newlines", "SELECT doc_id, text FROM documents")
+@query("csv_quoted_newlines", "SELECT * FROM documents")
 def csv_quoted_newlines(spark, d):
+    """Whole texts with line breaks inside quotes, read by default: files are split, wherever a cell goes on."""
+    src = table(spark, d, "documents")
+    out = shared_dir(spark, "quoted")
+    write_csv(src, out)
+    schema = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    return as_types_of(read_csv(spark, out, trim=False, schema=schema), src)
+
+
+@query("csv_stream_newlines", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_stream_newlines(spark, d):
     """Texts with line breaks inside quotes, dropped as files and picked up as a stream."""
     from tablesteps.sources.csv import read_csv_stream
     from tablesteps.streaming.guard import run_stream
 
-    src = table(spark, d, "documents").select("doc_id", "text")
+    src = table(spark, d, "documents")
     inbox, sink = shared_dir(spark, "quoted-inbox"), shared_dir(spark, "quoted-out")
-    write_csv(src, inbox, files=4)
+    write_csv(src, inbox)  # as many files as the table has parts
     stream = read_csv_stream(spark, inbox, src.schema)
     run_stream(stream, lambda batch, _: batch.write.mode("append").parquet(sink), "quoted").awaitTermination()
     return spark.read.schema(src.schema).parquet(sink)
@@ -236,7 +246,7 @@ def stream_roundtrip(spark, d):
 
     src = table(spark, d, "orders")
     inbox = shared_dir(spark, "inbox")
-    write_csv(src, inbox, files=4)
+    write_csv(src, inbox)  # as many files as the table has parts
     sink = shared_dir(spark, "stream-out")
     stream = read_csv_stream(spark, inbox, src.schema).filter(F.col("o_orderstatus") != "P")
 

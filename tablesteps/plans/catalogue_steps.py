@@ -193,10 +193,25 @@ def row_helpers(spark, d):
 
 
 # ---------------------------------------------------------------- V13
-@query("validate_throw", "SELECT * FROM orders WHERE o_totalprice >= 1000")
+@query(
+    "validate_throw",
+    """SELECT *, CAST(0 AS BIGINT) AS refused FROM orders
+       UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM orders HAVING min(o_totalprice) < 100000""",
+)
 def validate_throw(spark, d):
-    """Rows that keep the rules pass; one that does not would fail the job."""
+    """Rows that keep the rules pass, all of them; a rule that some row breaks fails the job, which is caught and told
+    with the number of rows it refused to hand on."""
     from tablesteps.operators.validate import Validator, validate
 
-    rules = Validator().column("o_orderkey").required().column("o_totalprice").range(1000, 1e9).validator
-    return validate(table(spark, d, "orders").filter("o_totalprice >= 1000"), rules, "throw")
+    o = table(spark, d, "orders")
+    sound = Validator().column("o_orderkey").required().column("o_totalprice").range(0, 1e9).validator
+    strict = Validator().column("o_orderkey").required().column("o_totalprice").range(100_000, 1e9).validator
+    out = validate(o, sound, "throw").withColumn("refused", F.lit(0).cast("long"))
+    try:
+        validate(o, strict, "throw").write.format("noop").mode("overwrite").save()
+        return out
+    except Exception as e:  # noqa: BLE001 - the engine wraps the error of the rule
+        if "Value must be between" not in str(e):
+            raise
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in o.schema.fields]
+    return out.unionAll(o.agg(F.count(F.lit(1)).alias("refused")).select(*nothing, "refused"))

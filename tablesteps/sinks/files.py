@@ -28,8 +28,7 @@ def write_csv(
     """RFC quoting when needed, ``yyyy-MM-dd HH:mm:ss``, lower-case
     booleans, null as empty.  Append writes new part files, each with its
     own header, without touching the existing ones.  ``files`` deals the rows
-    over that many files, so that they can later be read in parallel (a read
-    with quoted newlines is one task per file).
+    over that many files.
     """
     if files:
         # hash of the whole row: deterministic on task retry without the

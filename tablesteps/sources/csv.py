@@ -15,9 +15,12 @@ automatic type conversion.  The parse itself is Spark's CSV reader:
 * conversion runs the inference pass of ``functions.typed`` over all
   rows (one aggregate job), unless a schema is given.
 
-By default Spark splits large files across tasks, which needs records
-without newlines inside quotes; ``multi_line=True`` reads those as well, one
-task per file.
+Large files are split across tasks, also where cells hold newlines: see
+``sources.quoted_records``.  One scan counts quotes; files in which every line
+has an even number of them go to Spark's reader as they are.
+``multi_line=True`` leaves it all to Spark's reader, one task per file (for
+records that end in a lone carriage return, and encodings other than UTF-8);
+``multi_line=False`` skips the scan, for files known to hold no such cell.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 
 from tablesteps.functions.typed import apply_types, infer_types
 from tablesteps.sources.files import first_file
+from tablesteps.sources.quoted_records import quoted_records
 
 # Reference defaults and delimiter detection.
 DEFAULT_DELIMITER = ","
@@ -85,7 +89,7 @@ def read_csv(
     auto_convert: bool = True,
     quote: str = '"',
     schema: Mapping[str, str] | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     buffer_size: int = DEFAULT_BUFFER_SIZE,
 ) -> DataFrame:
     """S1/S2 (see the module docstring).  ``buffer_size`` is accepted for
@@ -109,7 +113,12 @@ def read_csv(
     plain = header and len({n.lower() for n in names}) == width and all(n.strip() for n in names)
     fields = names if plain else [f"_c{i}" for i in range(width)]
     positional = T.StructType([T.StructField(n, T.StringType()) for n in fields])
-    raw = (
+    records = None
+    if multi_line is None and quote and encoding.lower().replace("-", "") == "utf8":
+        records = quoted_records(spark, path, quote)
+    elif multi_line is None:
+        multi_line = True
+    raw = _parsed(records, names if header else None, width, delimiter, quote) if records is not None else (
         spark.read.schema(positional)
         .options(sep=delimiter, quote=quote, escape=quote, encoding=encoding)
         .option("header", "true" if header else "false")
@@ -149,6 +158,20 @@ def read_csv(
     return apply_types(df, types)
 
 
+def _parsed(records: DataFrame, names: list[str] | None, width: int, delimiter: str, quote: str) -> DataFrame:
+    """Records as text columns ``_c0`` ...; the first of each file must be the header ``names``, if there is one."""
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "multiLine": "true", "mode": "PERMISSIVE"}
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    parsed = records.select("first", "file", F.from_csv("record", schema, options).alias("r"))
+    if names is not None:
+        same = F.lit(True)
+        for i, n in enumerate(names):
+            same = same & (F.coalesce(F.col(f"r._c{i}"), F.lit("")) == n)
+        told = F.concat(F.lit("header differs from that of the first file: "), F.col("file"))
+        parsed = parsed.filter(~F.when(F.col("first") & ~same, F.raise_error(told).cast("boolean")).otherwise(F.col("first")))
+    return parsed.select("r.*")
+
+
 def read_csv_stream(
     spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = DEFAULT_DELIMITER, multi_line: bool = True
 ):

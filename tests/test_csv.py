@@ -139,3 +139,76 @@ def test_other_header_order_is_refused(spark, tmpdir_shared):
     put(tmpdir_shared, "order/b.csv", "y,x\n1,2\n")
     with pytest.raises(Exception):
         read_csv(spark, os.path.join(tmpdir_shared, "order")).collect()
+
+
+# ------------------------------------------------- quoted newlines in splits
+def _cells(text):
+    import csv
+    import io
+
+    rows = list(csv.reader(io.StringIO(text, newline="")))
+    return rows[0], rows[1:]
+
+
+def _random_csv(seed, n=150, end="\n"):
+    import random
+
+    rng = random.Random(seed)
+    bits = ["a", "b,c", 'say ""hi""', "line\nbreak", "two\r\nkinds", "\n\n", "é語", "", "x" * 40, '""', "\n,\n"]
+    rows = ["id,text,more"]
+    for i in range(n):
+        cells = ['"' + "".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) + '"' for _ in range(2)]
+        if rng.random() < 0.3:
+            cells[rng.randrange(2)] = "plain"
+        if rng.random() < 0.02:
+            cells[0] = '"' + "long\n" * 700 + '"'  # longer than a split
+        rows.append(f"{i}," + ",".join(cells))
+    return end.join(rows) + rng.choice(["", end])
+
+
+@pytest.mark.parametrize("seed, split, end", [(1, 1500, "\n"), (2, 3000, "\r\n"), (3, 1 << 20, "\n")])
+def test_quoted_newlines_in_splits_of_any_size(spark, tmpdir_shared, seed, split, end):
+    wanted = []
+    for k in range(2):
+        text = _random_csv(10 * seed + k, end=end)
+        with open(f"{tmpdir_shared}/f{k}.csv", "w", newline="", encoding="utf-8") as f:
+            f.write("\ufeff" * k + text)
+        wanted += _cells(text)[1]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        df = read_csv(spark, tmpdir_shared, trim=False, auto_convert=False)
+        got = sorted([r.id, r.text, r.more] for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert df.columns == ["id", "text", "more"]
+    assert got == sorted(wanted)
+
+
+def test_quoted_newlines_by_default_equal_the_whole_file_reader(spark, tmpdir_shared):
+    path = f"{tmpdir_shared}/one.csv"
+    with open(path, "w", newline="") as f:
+        f.write('a,a,\n1,"x\ny",2\n\n  \n3,"p ""q""\n",4,extra\n5\n6,"open\nto the end')
+    default, whole = read_csv(spark, path), read_csv(spark, path, multi_line=True)
+    assert default.schema == whole.schema
+    assert sorted(map(repr, default.collect())) == sorted(map(repr, whole.collect()))
+    assert ("p \"q\"") in {r[0] for r in default.collect()}
+
+
+def test_quoted_newlines_with_another_header_fail(spark, tmpdir_shared):
+    for name, head in (("a", "x,y"), ("b", "y,x")):
+        with open(f"{tmpdir_shared}/{name}.csv", "w") as f:
+            f.write(f'{head}\n1,"l1\nl2"\n')
+    with pytest.raises(Exception, match="header differs"):
+        read_csv(spark, tmpdir_shared).collect()
+    rows = read_csv(spark, tmpdir_shared, header=False, auto_convert=False).collect()
+    assert sorted(map(tuple, rows)) == [("1", "l1\nl2"), ("1", "l1\nl2"), ("x", "y"), ("y", "x")]
+
+
+def test_files_without_quoted_newlines_stay_with_the_native_reader(spark, tmpdir_shared):
+    path = f"{tmpdir_shared}/plain.csv"
+    with open(path, "w") as f:
+        f.write('a,b\n1,"x, ""y"""\n2,z\n')
+    df = read_csv(spark, path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" in plan and sorted(map(tuple, df.collect())) == [(1, 'x, "y"'), (2, "z")]
