@@ -491,6 +491,7 @@ def upsert_predicate(spark, d):
 
 
 _EXTRA_MODULES = (
+    "tablesteps.plans.catalogue_ranges",
     "tablesteps.plans.catalogue_validate",
     "tablesteps.plans.catalogue_steps",
     "tablesteps.plans.catalogue_io",
