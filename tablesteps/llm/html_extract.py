@@ -3,7 +3,10 @@
 1. Tasks cut each page into blocks of text and sort them by its markup:
    ``OUT`` (menus, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles, comments), ``MAIN`` (inside an article, or else the main
-   element) and ``OPEN`` (all else).
+   element) and ``OPEN`` (all else).  Names of classes and ids, and forms, only
+   hint: they put an element out if it holds no article or main element and,
+   where no such element stands beside it, less than half of the words.
+   Elements named for reader comments are out whatever their size.
 2. The token stream of a page is its words outside ``MAIN``.  Different
    streams of one host are dealt to shards of about ``SHARD_BYTES`` of HTML
    (by a hash of the stream), so a host with a third of all pages is many
@@ -15,10 +18,7 @@
 3. The text of a page is its ``MAIN`` blocks and its ``OPEN`` blocks, in
    order.  An ``OPEN`` block goes if boilerplate covers all of it; else it
    loses covered runs of ``LONG_RUN`` words: what few pages share stays.
-4. An article loses whole blocks of ``LONG`` or more words that ``MIN_PAGES``
-   different articles and ``ARTICLE_SHARE`` of all different articles of the
-   host have, if they are less than half of its words: more of them mean that
-   the same article stands on several pages.
+   ``MAIN`` blocks all stay, also where other pages have them.
 
 Pages are dealt to shards of their host in the same way (by a hash of the
 page), each with the boilerplate of the whole host.
@@ -53,15 +53,12 @@ LONG_RUN = 12
 #: Boilerplate stands on so many different pages of its host, and on so large a share of them.
 MIN_PAGES = 3
 SHARE = 0.25
-#: A block of an article is boilerplate if this share of the host's different articles have it.
-ARTICLE_SHARE = 0.5
 
 OUT, OPEN, MAIN = 0, 1, 2
-STREAM, ARTICLE = 0, 1
 
 # Elements by their part in a page.
 _RAW = "script style noscript template iframe svg math canvas object textarea select xmp"
-_OUT_TAGS = set("head title nav footer aside form button dialog menu option datalist".split())
+_OUT_TAGS = set("head title nav footer aside button dialog menu option datalist".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
@@ -76,8 +73,16 @@ _OUT_WORDS = set(
     "recommended comment comments reply replies respond disqus login search widget toolbar pagination pager "
     "copyright disclaimer".split()
 )
+_COMMENT_WORDS = set("comment comments reply replies respond disqus".split())
+# Words at the end of a name that say nothing of what it names: ``share-bar`` names share, ``share-price`` doesn't.
+_SHELL_WORDS = set(
+    "area bar block body bottom box bundle button buttons card cards cell center column col container content desktop footer grid group "
+    "header holder icon icons inner inline item items layout left link links list main mobile module nav outer panel placeholder post "
+    "posts region right row section slot space strip tab tabs text title top unit view widget widgets wrap wrapper zone".split()
+)
 _SPARING = set("no has with without".split())
 _OWN_HEADER = set("article post entry content story page".split())
+KEEP, HINT, COMMENTS, HARD = 0, 1, 2, 3
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW.split()) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -88,24 +93,39 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def marked_out(tag: str, attributes: str) -> bool:
-    """Whether attributes say that an element is no part of an article."""
+def named_for(name: str) -> int:
+    """What a class or id name says: ``HINT`` that it is no part of an article, reader ``COMMENTS``, or nothing (``KEEP``)."""
+    words = [w.lower() for w in _NAME_WORD.findall(name)]
+    words = [w for w in words if not w.isdigit()]
+    if _SPARING & set(words):
+        return KEEP
+    while words:
+        head = words.pop()
+        if head in _COMMENT_WORDS:
+            return COMMENTS
+        if head in _OUT_WORDS and not (head == "header" and _OWN_HEADER & set(words)):
+            return HINT
+        if head not in _SHELL_WORDS:
+            return KEEP
+    return KEEP
+
+
+def marked(tag: str, attributes: str) -> int:
+    """Whether attributes say that an element is no part of an article: ``HARD`` (hidden, or by its role), ``HINT``,
+    ``COMMENTS`` or ``KEEP``."""
+    found = KEEP
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return HARD
         if name == "role" and value.lower() in _OUT_ROLES:
-            return True
+            return HARD
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            for own in value.split():
-                words = {w.lower() for w in _NAME_WORD.findall(own)}
-                hits = words & _OUT_WORDS
-                if hits and not words & _SPARING and not (hits == {"header"} and words & _OWN_HEADER):
-                    return True
-    return False
+            found = max([found, *map(named_for, value.split())])
+    return found
 
 
 def main_kind(tag: str, attributes: str) -> int:
@@ -120,15 +140,18 @@ def main_kind(tag: str, attributes: str) -> int:
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """Blocks of a page in order: part and text (references decoded, white space made one space)."""
-    found: list[tuple[bool, int, str]] = []
+    found: list[tuple[bool, int, tuple[int, ...], str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, out, best main element around
+    # Elements that hints mark: reader comments, inside a main element, holding one, words.
+    hints: list[list] = []
+    # Tag, out, best main element around, hinted elements around.
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = [("", False, 0, ())]
 
     def close() -> None:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                found.append((stack[-1][1], stack[-1][2], line))
+                found.append((*stack[-1][1:], line))
             text.clear()
 
     def pop_to(at: int) -> None:
@@ -152,11 +175,11 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if m[2]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if at:
-                if inline and stack[at][1] != stack[-1][1]:
+                if inline and differ(stack[at], stack[-1]):
                     close()
                 if inline and any(s[0] not in _INLINE for s in stack[at + 1 :]):
                     continue  # an inline end tag does not close blocks
-                if inline and stack[at][1] != stack[at - 1][1]:
+                if inline and differ(stack[at], stack[at - 1]):
                     close()
                 pop_to(at)
             continue
@@ -168,21 +191,50 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                     at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in _INLINE), 0)
                     if at and stack[at][0] == ends:
                         pop_to(at)
-        _, out, kind = stack[-1]
-        own = marked_out(tag, attributes) if attributes else False
-        if not out and (own or tag in _OUT_TAGS or tag == "header" and kind < 2):
+        _, out, kind, around = stack[-1]
+        own = marked(tag, attributes) if attributes else KEEP
+        of_main = main_kind(tag, attributes)
+        if of_main == 2 and own == HINT:
+            own = KEEP  # an article is no notice, whatever its classes
+        if not out and (own == HARD or tag in _OUT_TAGS or tag == "header" and kind < 2):
             if inline:
                 close()
             out = True
-        stack.append((tag, out, max(kind, main_kind(tag, attributes))))
+        elif not out and (own or tag == "form"):
+            if inline:
+                close()
+            around = (*around, len(hints))
+            hints.append([own == COMMENTS, kind > 0, False, 0])
+        if of_main and not out:
+            for i in around:
+                hints[i][2] = True
+        stack.append((tag, out, max(kind, of_main), around))
     if place < len(page):
         part = page[place:]
         text.append(html.unescape(part) if "&" in part else part)
     close()
-    best = max((kind for out, kind, _ in found if not out), default=0)
-    return [
-        (OUT if out else MAIN if kind and kind == best else OPEN, line) for out, kind, line in found
-    ]
+    # Comments first: what they hold counts for nothing else.
+    found = [(out or any(hints[i][0] for i in around), kind, around, line) for out, kind, around, line in found]
+    total, in_main = 0, 0
+    for out, kind, around, line in found:
+        if not out:
+            n = line.count(" ") + 1
+            total, in_main = total + n, in_main + n * (kind > 0)
+            for i in around:
+                hints[i][3] += n
+    gone = {
+        i
+        for i, (_, inside, holds, n) in enumerate(hints)
+        if not holds and (2 * n < (in_main if inside else total) or not inside and in_main)
+    }
+    found = [(out or any(i in gone for i in around), kind, around, line) for out, kind, around, line in found]
+    best = max((kind for out, kind, _, _ in found if not out), default=0)
+    return [(OUT if out else MAIN if kind and kind == best else OPEN, line) for out, kind, _, line in found]
+
+
+def differ(a: tuple, b: tuple) -> bool:
+    """Whether text in two elements can be of different parts."""
+    return a[1] != b[1] or a[3] != b[3]
 
 
 def hash_of(data: bytes) -> int:
@@ -270,70 +322,51 @@ def stream_of(parts: list[int], blocks: list[str]) -> np.ndarray:
     return numbers_of([w for part, b in zip(parts, blocks) if part != MAIN for w in b.split()])
 
 
-def main_hashes(parts: list[int], blocks: list[str], long: int) -> list[int | None]:
-    """For each block its hash, if it is a ``MAIN`` block of ``long`` or more words."""
-    return [
-        hash_of(b.encode("utf-8", "replace")) if part == MAIN and b.count(" ") >= long - 1 else None for part, b in zip(parts, blocks)
-    ]
-
-
-def evidence(long: int) -> Callable[[pa.Array], list[pa.Array]]:
-    """The function from texts ``host/html`` to what the task has not met yet of the host: streams (numbers of the
-    words) and articles (hashes of the blocks), each with a hash of the whole."""
-    met: set[tuple[str, int, int]] = set()
+def evidence() -> Callable[[pa.Array], list[pa.Array]]:
+    """The function from texts ``host/html`` to the stream of the page (numbers of the words) and its hash, null where
+    the task has met it of the host."""
+    met: set[tuple[str, int]] = set()
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        rows = []
+        digests, streams = [], []
         for text in texts.to_pylist():
             host, _, page = text.partition("/")
             found = blocks_of(page)
-            parts, blocks = [p for p, _ in found], [b for _, b in found]
-            stream = stream_of(parts, blocks)
-            items = [(STREAM, hash_of(stream.tobytes()), stream)]
-            if MAIN in parts:
-                article = "\n".join(b for p, b in found if p == MAIN).encode("utf-8", "replace")
-                items.append((ARTICLE, hash_of(article), sorted({h for h in main_hashes(parts, blocks, long) if h is not None})))
+            stream = stream_of([p for p, _ in found], [b for _, b in found])
+            digest = hash_of(stream.tobytes())
             if len(met) >= 1 << 20:
                 met.clear()  # bounded; the group of a shard drops copies anyway
-            new = [i for i in items if (host, *i[:2]) not in met]
-            met.update((host, *i[:2]) for i in new)
-            rows.append([dict(zip(("kind", "digest", "numbers"), i)) for i in new])
-        return [pa.array(rows, pa.list_(pa.struct([("kind", pa.int32()), ("digest", pa.int64()), ("numbers", pa.list_(pa.int64()))])))]
+            new = (host, digest) not in met
+            met.add((host, digest))
+            digests.append(digest if new else None)
+            streams.append(stream if new else None)
+        return [pa.array(digests, pa.int64()), pa.array(streams, pa.list_(pa.int64()))]
 
     return run
 
 
-def count_group(long: int, min_pages: int, shares: tuple[float, float]) -> Callable[[pa.Table], pa.Table]:
-    """The function over one shard of the streams and articles of a host: substrings and blocks (as hashes) and how
-    many streams or articles hold each.  A host of one shard is judged here; of others all rows count, and those
-    without a hash say how many streams and articles there are."""
+def count_group(long: int, min_pages: int, share: float) -> Callable[[pa.Table], pa.Table]:
+    """The function over one shard of the streams of a host: substrings (as hashes) and how many streams hold each.
+    A host of one shard is judged here; of others all rows count, and the one without a hash says how many streams
+    there are."""
 
     def run(table: pa.Table) -> pa.Table:
         host, alone = table.column("host")[0].as_py(), table.column("shards")[0].as_py() == 1
-        kept: dict[tuple[int, int], list[int]] = {}
-        for kind, digest, numbers in zip(*(table.column(c).to_pylist() for c in ("kind", "digest", "numbers"))):
-            kept.setdefault((kind, digest), numbers)
-        out = []
-        for kind in (STREAM, ARTICLE):
-            items = [np.array(x, dtype=np.int64) for (k, _), x in kept.items() if k == kind]
-            if not items:
-                continue
-            if kind == STREAM:
-                order, group, n, starts = substrings(items, long)
-                hashes = np.zeros(starts[-1] + long, dtype=np.int64)
-                for s, at in zip(items, starts.tolist()):
-                    own = window_hashes(s, long)
-                    hashes[at : at + len(own)] = own
-                found = hashes[order[np.flatnonzero(np.diff(group, prepend=-1))]]
-            else:
-                found, n = np.unique(np.concatenate(items), return_counts=True)
-            wanted = n >= (needed(len(items), shares[kind], min_pages) if alone else 1)
-            out += [(kind, h, c) for h, c in zip(found[wanted].tolist(), n[wanted].tolist())]
-            if not alone:
-                out.append((kind, None, len(items)))
-        kinds, found, n = zip(*out) if out else ((), (), ())
-        columns = [[host] * len(out), kinds, found, n]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "kind", "hash", "n"])
+        kept: dict[int, list[int]] = {}
+        for digest, numbers in zip(*(table.column(c).to_pylist() for c in ("digest", "numbers"))):
+            kept.setdefault(digest, numbers)
+        streams = [np.array(x, dtype=np.int64) for x in kept.values()]
+        order, group, n, starts = substrings(streams, long)
+        hashes = np.zeros(starts[-1] + long, dtype=np.int64)
+        for s, at in zip(streams, starts.tolist()):
+            own = window_hashes(s, long)
+            hashes[at : at + len(own)] = own
+        found = hashes[order[np.flatnonzero(np.diff(group, prepend=-1))]]
+        wanted = n >= (needed(len(streams), share, min_pages) if alone else 1)
+        found, n = found[wanted].tolist(), n[wanted].tolist()
+        if not alone:
+            found, n = [*found, None], [*n, len(streams)]
+        return pa.table([pa.array([host] * len(n), pa.string()), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["host", "hash", "n"])
 
     return run
 
@@ -342,21 +375,19 @@ def clean_group(names: list[str], long: int, long_run: int) -> Callable[[pa.Tabl
     """The function over one shard of the pages of a host and the hashes of the host's boilerplate."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
-        hashes = np.array([h for row in known.column("hashes").to_pylist() for h in row], dtype=np.int64)
-        common = {h for row in known.column("common").to_pylist() for h in row}
+        hashes = np.unique(np.array([h for row in known.column("hashes").to_pylist() for h in row], dtype=np.int64))
         texts, counts = [], []
         for parts, blocks in zip(table.column("parts").to_pylist(), table.column("blocks").to_pylist()):
             stream = stream_of(parts, blocks)
-            mask = covered_by(np.flatnonzero(np.isin(window_hashes(stream, long), hashes)), len(stream), long)
+            own = window_hashes(stream, long)
+            hit = np.zeros(len(own), dtype=bool)
+            if len(hashes):  # sorted once for the shard
+                hit = hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own
+            mask = covered_by(np.flatnonzero(hit), len(stream), long)
             kept, at = [], 0
-            again = [h in common for h in main_hashes(parts, blocks, long)] if common else [False] * len(parts)
-            n_again = sum(len(b.split()) for b, lost in zip(blocks, again) if lost)
-            if n_again and 2 * n_again >= sum(len(b.split()) for part, b in zip(parts, blocks) if part == MAIN):
-                again, n_again = [False] * len(parts), 0
-            for part, block, lost in zip(parts, blocks, again):
+            for part, block in zip(parts, blocks):
                 if part == MAIN:
-                    if not lost:
-                        kept.append(block)
+                    kept.append(block)
                     continue
                 words = block.split()
                 own, at = mask[at : at + len(words)], at + len(words)
@@ -365,7 +396,7 @@ def clean_group(names: list[str], long: int, long_run: int) -> Callable[[pa.Tabl
                     if left:
                         kept.append(" ".join(left))
             texts.append(" ".join(kept))
-            counts.append(int(mask.sum()) + n_again)
+            counts.append(int(mask.sum()))
         return pa.table(
             [*[table.column(n) for n in names], pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
             names=[*names, "text", "n_repeated"],
@@ -379,27 +410,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def boilerplate(
-    source: DataFrame, dealt: Callable[[DataFrame, str], DataFrame], long: int, min_pages: int, shares: tuple[float, float]
-) -> DataFrame:
-    """``host``, ``hashes`` (substrings of ``long`` words) and ``common`` (blocks of articles): what stands on enough
-    different streams, or articles, of the whole host."""
-    item = StructType([StructField("kind", IntegerType()), StructField("digest", LongType()), StructField("numbers", ArrayType(LongType()))])
+def boilerplate(source: DataFrame, dealt: Callable[[DataFrame, str], DataFrame], long: int, min_pages: int, share: float) -> DataFrame:
+    """``host``, ``hashes``: substrings of ``long`` words that stand on enough different streams of the whole host."""
     paths = source.select("host", F.concat("host", F.lit("/"), F.coalesce("html", F.lit(""))).alias("path"))
-    found = map_text(paths, "path", ["host"], [StructField("items", ArrayType(item))], lambda: evidence(long))
-    items = dealt(found.select("host", F.inline("items")), "digest")
-    types = [StringType(), IntegerType(), LongType(), LongType()]
-    schema = StructType([StructField(n, t) for n, t in zip(["host", "kind", "hash", "n"], types)])
-    columns = ["host", "shard", "shards", "kind", "digest", "numbers"]
-    groups = items.select(*columns).repartition("host", "shard").groupBy("host", "shard")
-    counts = saved(source.sparkSession, groups.applyInArrow(count_group(long, min_pages, shares), schema), "html-counts")
-    # At most two rows for each host of more than one shard.
-    totals = counts.filter("hash IS NULL").groupBy("host", "kind").agg(F.sum("n").alias("total"))
-    sums = counts.filter("hash IS NOT NULL").groupBy("host", "kind", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
-    share = F.when(F.col("kind") == STREAM, shares[STREAM]).otherwise(shares[ARTICLE])
-    often = sums.join(F.broadcast(totals), ["host", "kind"], "left").filter(F.col("n") >= F.ceil(share * F.coalesce("total", F.lit(0))))
-    one = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("hash")))
-    return often.groupBy("host").agg(one(STREAM).alias("hashes"), one(ARTICLE).alias("common"))
+    fields = [StructField("digest", LongType()), StructField("numbers", ArrayType(LongType()))]
+    found = map_text(paths, "path", ["host"], fields, evidence).filter("digest IS NOT NULL")
+    items = dealt(found, "digest")
+    schema = StructType([StructField("host", StringType()), StructField("hash", LongType()), StructField("n", LongType())])
+    groups = items.select("host", "shard", "shards", "digest", "numbers").repartition("host", "shard").groupBy("host", "shard")
+    counts = saved(source.sparkSession, groups.applyInArrow(count_group(long, min_pages, share), schema), "html-counts")
+    # One row for each host of more than one shard.
+    totals = counts.filter("hash IS NULL").groupBy("host").agg(F.sum("n").alias("total"))
+    sums = counts.filter("hash IS NOT NULL").groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    often = sums.join(F.broadcast(totals), "host", "left").filter(F.col("n") >= F.ceil(share * F.coalesce("total", F.lit(0))))
+    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(
@@ -412,10 +436,8 @@ def extract(
     min_pages: int = MIN_PAGES,
     long_run: int = LONG_RUN,
     share: float = SHARE,
-    article_share: float = ARTICLE_SHARE,
 ) -> DataFrame:
-    """``keep`` columns, ``text`` (the main text) and ``n_repeated`` (words outside the article that boilerplate covers,
-    and words of the blocks that the article loses)."""
+    """``keep`` columns, ``text`` (the main text) and ``n_repeated`` (words outside the article that boilerplate covers)."""
     names = [f"k{i}" for i in range(len(keep))]
     source = pages.select(
         F.col(quoted(html_col)).cast("string").alias("html"),
@@ -444,8 +466,8 @@ def extract(
     def dealt(rows: DataFrame, deal: str) -> DataFrame:
         return rows.join(large, "host", "left").withColumn("shards", n_shards).withColumn("shard", F.pmod(deal, "shards").cast("int"))
 
-    known = saved(pages.sparkSession, boilerplate(source, dealt, long, min_pages, (share, article_share)), "html-boilerplate")
-    copies = known.join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0), n_shards - 1)).alias("shard"), "hashes", "common")
+    known = saved(pages.sparkSession, boilerplate(source, dealt, long, min_pages, share), "html-boilerplate")
+    copies = known.join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0), n_shards - 1)).alias("shard"), "hashes")
     kept = [f for f in cut.schema.fields if f.name in names]
     schema = StructType([*kept, StructField("text", StringType()), StructField("n_repeated", LongType())])
     columns = ["host", "shard", *names, "parts", "blocks"]
