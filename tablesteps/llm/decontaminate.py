@@ -310,5 +310,6 @@ def n_hit() -> Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without any window of the test set; all columns as they were."""
     found = find_matches(docs, benchmark, docs.columns, text_col, **options)
-    clean = found.toDF(*docs.columns, *[f"__{i}" for i in range(len(FIELDS))]).filter(F.size(f"__{_ITEMS}") == 0)
-    return clean.select(*[F.col(quoted(c)) for c in docs.columns])
+    mine = [f"c{i}" for i in range(len(docs.columns))]
+    clean = found.toDF(*mine, *[f"f{i}" for i in range(len(FIELDS))]).filter(F.size(f"f{_ITEMS}") == 0)
+    return clean.select(*[F.col(m).alias(c) for m, c in zip(mine, docs.columns)])

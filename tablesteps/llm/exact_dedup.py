@@ -138,6 +138,8 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay; all columns as they were."""
-    kept = exact_groups(docs, id_col, text_col, **options).toDF("__id", "__keep", "__size", "__kept", "__sha")
-    stay = kept.filter("__kept").select("__id").distinct()
-    return docs.join(stay, F.col(quoted(id_col)).eqNullSafe(F.col("__id")), "left_semi")
+    kept = exact_groups(docs, id_col, text_col, **options).toDF("i", "keep", "size", "kept", "sha")
+    stay = kept.filter("kept").select("i").distinct()
+    inner = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])
+    own = F.col(f"c{docs.columns.index(id_col)}")
+    return inner.join(stay, own.eqNullSafe(F.col("i")), "left_semi").toDF(*docs.columns)

@@ -152,6 +152,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that repeat the kept id all stay: they are the same document.
     """
-    groups = near_groups(docs, id_col, text_col, **options).toDF("__id", "__print", "__root")
-    kept = groups.filter(F.col("__id").eqNullSafe(F.col("__root"))).select("__id").distinct()
-    return docs.join(kept, F.col(quoted(id_col)).eqNullSafe(F.col("__id")), "left_semi")
+    groups = near_groups(docs, id_col, text_col, **options).toDF("i", "print", "root")
+    kept = groups.filter(F.col("i").eqNullSafe(F.col("root"))).select("i").distinct()
+    inner = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])
+    own = F.col(f"c{docs.columns.index(id_col)}")
+    return inner.join(kept, own.eqNullSafe(F.col("i")), "left_semi").toDF(*docs.columns)

@@ -101,3 +101,11 @@ def test_empty_tables_and_odd_columns(spark):
     clean = D.remove_contaminated(df, items_of(spark, [(1, "Secret, words")]))
     assert clean.columns == df.columns
     assert sorted((r.doc_id, r["a.b"]) for r in clean.collect()) == [(2, 1), (3, 2), (3, 3)]
+
+
+def test_columns_named_like_inner_ones_pass_through(spark):
+    words = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, f"x {words} y"), (2, "clean")], "doc_id long, text string")
+    df = df.selectExpr("*", "7 AS __3", "8 AS f0", "9 AS c0", "10 AS items", "11 AS `a.b`")
+    kept = D.remove_contaminated(df, spark.createDataFrame([(1, words)], "item_id long, text string"))
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 7, 8, 9, 10, 11)]

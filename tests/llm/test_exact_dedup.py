@@ -58,3 +58,10 @@ def test_empty_table_and_odd_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = X.exact_groups(docs(spark, corpus(1, 20)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_like_inner_ones_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
+    df = df.selectExpr("*", "7 AS __id", "8 AS i", "9 AS c0", "10 AS kept", "11 AS `a.b`")
+    kept = X.drop_copies(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(2, "a  b", 7, 8, 9, 10, 11), (3, "c", 7, 8, 9, 10, 11)]

@@ -73,3 +73,10 @@ def test_empty_table_null_id_and_odd_columns(spark):
     kept = S.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r["a.b"]) for r in kept.collect()) == [(2, 2), (4, 0), (4, 4)]
+
+
+def test_columns_named_like_inner_ones_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x y z")], "doc_id long, text string")
+    df = df.selectExpr("*", "7 AS __id", "8 AS i", "9 AS c0", "10 AS root", "11 AS `a.b`")
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", 7, 8, 9, 10, 11), (3, "x y z", 7, 8, 9, 10, 11)]
