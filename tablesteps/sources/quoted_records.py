@@ -57,6 +57,11 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFram
     pieces = written_copy(
         marked.mapInArrow(records_in, "file string, block bigint, kind int, first boolean, record string"), "csv-records"
     )
+    return stitched(pieces, "\n")
+
+
+def stitched(pieces: DataFrame, between: str) -> DataFrame:
+    """``file``, ``first``, ``record``: whole records, and those put together from the pieces of several splits."""
     whole = pieces.filter(F.col("kind") == WHOLE).select("file", "first", "record")
     # Of a split, the head or inside comes before the tail; every tail begins a record.
     order = [F.col("block"), F.col("kind") == TAIL]
@@ -64,7 +69,7 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFram
     parts = pieces.filter(F.col("kind") != WHOLE).withColumn("number", number)
     held = F.array_sort(F.collect_list(F.struct("block", (F.col("kind") == TAIL).alias("last"), "record")))
     joined = parts.groupBy("file", "number").agg(held.alias("held"), F.max("first").alias("first"))
-    return whole.unionAll(joined.select("file", "first", F.array_join("held.record", "\n").alias("record")))
+    return whole.unionAll(joined.select("file", "first", F.array_join("held.record", between).alias("record")))
 
 
 def records_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
