@@ -196,11 +196,12 @@ def row_helpers(spark, d):
 @query(
     "validate_throw",
     """SELECT *, CAST(0 AS BIGINT) AS refused FROM orders
-       UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM orders HAVING min(o_totalprice) < 100000""",
+       UNION ALL SELECT NULL, NULL, o_orderstatus, NULL, NULL, NULL, count(*) FROM orders
+       WHERE (SELECT min(o_totalprice) FROM orders) < 100000 GROUP BY o_orderstatus""",
 )
 def validate_throw(spark, d):
     """Rows that keep the rules pass, all of them; a rule that some row breaks fails the job, which is caught and told
-    with the number of rows it refused to hand on."""
+    with the number of rows of each status that it refused to hand on."""
     from tablesteps.operators.validate import Validator, validate
 
     o = table(spark, d, "orders")
@@ -213,5 +214,5 @@ def validate_throw(spark, d):
     except Exception as e:  # noqa: BLE001 - the engine wraps the error of the rule
         if "Value must be between" not in str(e):
             raise
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in o.schema.fields]
-    return out.unionAll(o.agg(F.count(F.lit(1)).alias("refused")).select(*nothing, "refused"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "o_orderstatus" else F.col(f.name) for f in o.schema.fields]
+    return out.unionAll(o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("refused")).select(*nothing, "refused"))
