@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tablesteps.plans.catalogue import query, table
+from tablesteps.plans.catalogue import _HOT_KEY_SQL, _hot_orders, query, table
 from tablesteps.session import local_path, shared_dir
 from tablesteps.sinks.files import write_csv, write_json_lines
 from tablesteps.sinks.jdbc import write_jdbc
@@ -180,6 +180,24 @@ def jdbc_partitioned(spark, d):
     return as_types_of(back, src)
 
 
+@query(
+    "jdbc_balanced",
+    f"SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_orderdate, o_totalprice FROM orders",
+)
+def jdbc_balanced(spark, d):
+    """A third of all rows share one key; it is cut by the date and the order, the other keys by themselves."""
+    from tablesteps.sources.jdbc_ranges import read_jdbc_balanced
+
+    src = _hot_orders(spark, d).select("o_orderkey", F.col("o_custkey").alias("k"), "o_orderdate", "o_totalprice")
+    url = _derby_url(spark, "derby-balanced")
+    write_jdbc(src, url, "HOT_ORDERS", mode="overwrite", dialect="derby")
+    back = read_jdbc_balanced(
+        spark, url, ['"k"', '"o_orderdate"', '"o_orderkey"'], table="HOT_ORDERS", num_partitions=16,
+        properties={"preferTimestampNTZ": "true"},
+    )
+    return as_types_of(back, src)
+
+
 # ---------------------------------------------------------------- REST
 def write_pages(df: DataFrame, folder: str, page_size: int, order) -> None:
     """Lay a table out as API pages ``page=N`` (an envelope ``{"data": [...]}`` each)."""
