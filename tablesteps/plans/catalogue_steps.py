@@ -216,3 +216,24 @@ def validate_throw(spark, d):
             raise
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "o_orderstatus" else F.col(f.name) for f in o.schema.fields]
     return out.unionAll(o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("refused")).select(*nothing, "refused"))
+
+
+@query(
+    "table_changes",
+    """WITH b AS (SELECT * REPLACE (CASE WHEN l_quantity = 50 AND l_linenumber = 7 THEN l_tax + 1 ELSE l_tax END AS l_tax) FROM lineitem
+                  WHERE NOT (l_quantity = 1 AND l_linenumber = 7)
+                  UNION ALL SELECT * FROM lineitem WHERE l_quantity = 2 AND l_linenumber = 7)
+       SELECT 'left' AS side, count(*) AS surplus, * FROM (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM b) GROUP BY ALL
+       UNION ALL
+       SELECT 'right' AS side, count(*) AS surplus, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM lineitem) GROUP BY ALL""",
+)
+def table_changes(spark, d):
+    """Changed, missing and doubled rows between two copies of a whole table are named; equal parts never move."""
+    from tablesteps.operators.digests import differing_rows
+
+    a = table(spark, d, "lineitem")
+    last = F.col("l_linenumber") == 7
+    changed = F.when(last & (F.col("l_quantity") == 50), F.col("l_tax") + 1).otherwise(F.col("l_tax"))
+    b = a.filter(~(last & (F.col("l_quantity") == 1))).withColumn("l_tax", changed)
+    b = b.unionAll(a.filter(last & (F.col("l_quantity") == 2)))
+    return differing_rows(a, b, ["l_orderkey"])
