@@ -154,12 +154,50 @@ def _vectorized_aggregate(df, keys, partial, partial_schema, combine, merge, sch
         yield from _combined((with_integers(b, key_ints) for b in batches), partial, combine)
 
     def merge_partition(batches):
-        parts = [with_integers(pdf, key_ints) for pdf in batches if len(pdf)]
-        if parts:
-            yield merge(pd.concat(parts, ignore_index=True))
+        yield from _merged_by_key((with_integers(pdf, key_ints) for pdf in batches), keys, combine, merge)
 
     partials = as_text(df, key_ints).mapInPandas(per_partition, partial_schema)
-    return as_text(partials.repartition(*[named(k) for k in keys]), key_ints).mapInPandas(merge_partition, schema)
+    key_columns = [named(k) for k in keys]
+    dealt = partials.repartition(*key_columns).sortWithinPartitions(*key_columns)
+    return as_text(dealt, key_ints).mapInPandas(merge_partition, schema)
+
+
+def _merged_by_key(batches, keys: list[str], combine: Callable | None, merge: Callable):
+    """Merge partial results that come sorted by key, a batch at a time.
+
+    The last key of a batch may go on in the next one: its rows wait, all
+    others are merged.  A key with very many rows is combined whenever
+    ``COMBINE_ROWS`` of it have piled up, so a task holds a batch and one
+    key's combined rows, never its whole partition.
+    """
+    held, limit = [], COMBINE_ROWS
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = pdf.iloc[-1]
+        is_last = pd.Series(True, index=pdf.index)
+        for k in keys:
+            # Null is a key like others (pandas would call it unequal to itself).
+            same = pdf[k].isna() if pd.isna(last[k]) else (pdf[k] == last[k]).fillna(False)
+            is_last &= same.astype(bool)
+        if held and not is_last.all() or held and not _same_key(held[0], pdf, keys):
+            ready = pd.concat([*held, pdf[~is_last]], ignore_index=True)
+            held, limit = [], COMBINE_ROWS
+            yield merge(ready)
+        elif not is_last.all():
+            yield merge(pdf[~is_last].reset_index(drop=True))
+        held.append(pdf[is_last])
+        if combine is not None and sum(map(len, held)) >= limit:
+            held = [combine(pd.concat(held, ignore_index=True))]
+            limit = max(COMBINE_ROWS, 2 * len(held[0]))  # a key whose rows do not shrink is not combined each time
+    if held:
+        yield merge(pd.concat(held, ignore_index=True))
+
+
+def _same_key(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
+    """Whether the first rows of both have one key."""
+    pairs = [(a[k].iloc[0], b[k].iloc[0]) for k in keys]
+    return all(pd.isna(y) if pd.isna(x) else not pd.isna(y) and x == y for x, y in pairs)
 
 
 def group_rows(df: DataFrame, key: str | Column, order: OrderSpec, name: str = "group_key") -> DataFrame:

@@ -357,3 +357,28 @@ def test_stream_guard_refuses_hidden_state(spark, tmp_path):
     for bad in (stream.distinct(), stream.groupBy("id").count()):
         with pytest.raises(NotStreamable):
             check_stateless(bad)
+
+
+def test_partials_sorted_by_key_merge_a_batch_at_a_time(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from tablesteps.operators import grouping
+
+    monkeypatch.setattr(grouping, "COMBINE_ROWS", 20)
+    rng = random.Random(5)
+    keys = sorted((rng.choice([None, 1, 2, 3, 4, 40, 41]) for _ in range(400)), key=lambda k: (k is not None, k or 0))
+    frame = pd.DataFrame({"k": pd.array(keys, "Int64"), "j": ["x"] * 400, "s": range(400)})
+    held = []
+
+    def combine(pdf):
+        held.append(len(pdf))
+        return pdf.groupby(["k", "j"], dropna=False, as_index=False)["s"].sum()
+
+    cuts = [0, 1, 1, 30, 31, 90, 97, 180, 260, 399, 400]
+    batches = (frame.iloc[a:b] for a, b in zip(cuts, cuts[1:]))
+    out = pd.concat(grouping._merged_by_key(batches, ["k", "j"], combine, lambda p: p.groupby(["k", "j"], dropna=False, as_index=False)["s"].sum()))
+    expected = frame.groupby(["k", "j"], dropna=False)["s"].sum()
+    assert len(out) == 7 and sorted(out["s"]) == sorted(expected)
+    assert held and max(held) <= 150  # a key's waiting rows, never the whole partition
