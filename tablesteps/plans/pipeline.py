@@ -241,8 +241,9 @@ class Pipeline:
         in the same job.  Counting the source means reading all of its
         rows, so the first filter is then not pushed into the scan;
         ``counts=False`` runs the plain plan (full pushdown) and the step
-        log has no row counts.  A failed run is a report with the counts,
-        step errors and times known until then.
+        log has no row counts.  A failed run is a report with the step
+        errors and times known until then, and the rows that finished tasks
+        had counted where the job began (none where it did not).
         """
         start = time.time()
         report = RunReport(False, [], [], list(self.steps), 0.0)
@@ -258,11 +259,32 @@ class Pipeline:
             report.extra["exported"] = sink is not None
         except Exception as e:  # noqa: BLE001 - a failed run is a report, as in the reference
             report.error = _first_line(e)
-        report.counts = [None if o is None or not report.success else int(o.get.get("rows", 0)) for o in obs]
+        # All observations of a failed run belong to one job: the first tells whether it reported.
+        known = report.success or any(o is not None for o in obs) and _reported(obs[0])
+        report.counts = [_rows_seen(o, report.success) if known else None for o in obs]
         report.seconds = time.time() - start
         return report
 
 
+def _rows_seen(o: Observation | None, finished: bool) -> int | None:
+    """The rows an observation counted; of a failed run only if its job has reported (``get`` would wait for ever)."""
+    if o is None or not finished and not _reported(o, 0.0):
+        return None
+    rows = o.get.get("rows")
+    return int(rows or 0) if finished or rows is not None else None
+
+
+def _reported(o: Observation, seconds: float = 2.0) -> bool:
+    """Whether the counts of a failed job came in; Spark's listeners bring them shortly after the error."""
+    made = getattr(o, "_jo", None)
+    until = time.time() + seconds
+    while made is not None and not made.future().isCompleted():
+        if time.time() > until:
+            return False
+        time.sleep(0.02)
+    return made is not None
+
+
 @dataclass
 class RunReport:
     success: bool

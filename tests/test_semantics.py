@@ -382,3 +382,22 @@ def test_partials_sorted_by_key_merge_a_batch_at_a_time(monkeypatch):
     expected = frame.groupby(["k", "j"], dropna=False)["s"].sum()
     assert len(out) == 7 and sorted(out["s"]) == sorted(expected)
     assert held and max(held) <= 150  # a key's waiting rows, never the whole partition
+
+
+def test_a_failed_run_reports_what_finished_tasks_counted(spark):
+    from tablesteps.plans.pipeline import Pipeline
+
+    late = F.when(F.col("id") > 900, F.raise_error(F.lit("late"))).otherwise(F.col("id"))
+    p = Pipeline(spark.range(0, 1000, 1, 4)).filter("id % 2 = 0").code(lambda df: df.withColumn("v", late))
+    report = p.run()
+    assert not report.success and "late" in report.error
+    # Three of four tasks finished, or fewer when the failing one ended the job before them.
+    assert report.counts[0] in (None, 0, 250, 500, 750)
+    assert report.counts[0] is None or report.counts[1] == report.counts[0] / 2
+
+    def no_job(df):
+        raise OSError("no such sink")
+
+    never = Pipeline(spark.range(10)).filter("id > 3").run(sink=no_job)
+    assert not never.success and never.counts == [None, None] and never.failed == 1
+    assert never.step_log(spark).count() == 2
