@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tablesteps.plans.catalogue import _HOT_KEY_SQL, _hot_orders, query, table
-from tablesteps.session import local_path, shared_dir
+from tablesteps.session import local_path, shared_dir, written_copy
 from tablesteps.sinks.files import write_csv, write_json_lines
 from tablesteps.sinks.jdbc import write_jdbc
 from tablesteps.sources.csv import read_csv
@@ -40,6 +40,11 @@ def csv_roundtrip(spark, d):
     return as_types_of(back, src)
 
 
+def as_uri(folder: str) -> str:
+    """A folder as a URI: one that names its file system stays as it is."""
+    return "file://" + folder if folder.startswith("/") else folder
+
+
 def _family(kind) -> str:
     return "number" if isinstance(kind, NumericType) else "time" if "timestamp" in kind.typeName() else kind.typeName()
 
@@ -217,7 +222,7 @@ def rest_paged_read(spark, d):
     src = table(spark, d, "supplier")
     folder = shared_dir(spark, "rest-pages")
     write_pages(src, folder, 10, [asc("s_suppkey")])
-    back = read_rest(spark, folder if folder.startswith("file:") else "file://" + folder, pageSize=10, stripes=4, transport="file", retryDelay=0)
+    back = read_rest(spark, as_uri(folder), pageSize=10, stripes=4, transport="file", retryDelay=0)
     return as_types_of(back, src).select(*src.columns)
 
 
@@ -249,8 +254,7 @@ def rest_typed_read(spark, d):
     src = table(spark, d, "supplier")
     folder = shared_dir(spark, "rest-typed")
     write_pages(src, folder, 25, [asc("s_suppkey")])
-    url = folder if folder.startswith("file:") else "file://" + folder
-    return read_typed(spark, url, src.schema, pageSize=25, stripes=3, transport="file", retryDelay=0)
+    return read_typed(spark, as_uri(folder), src.schema, pageSize=25, stripes=3, transport="file", retryDelay=0)
 
 
 # ---------------------------------------------------------------- documents
@@ -285,6 +289,44 @@ def stream_roundtrip(spark, d):
     return spark.read.schema(src.schema).parquet(sink)
 
 
+@query("stream_first_per_key", "SELECT DISTINCT o_custkey FROM orders")
+def stream_first_per_key(spark, d):
+    """Customers with orders, each once, from files that arrive in several micro-batches and repeat customers."""
+    from tablesteps.sources.csv import read_csv_stream
+    from tablesteps.streaming.guard import first_per_key_stream, run_stream
+
+    src = table(spark, d, "orders")
+    inbox = shared_dir(spark, "repeats-inbox")
+    # As many files as the cluster has cores, two micro-batches of them.
+    files = max(2, spark.sparkContext.defaultParallelism)
+    write_csv(src.repartition(files), inbox)
+    sink = shared_dir(spark, "repeats-out")
+    stream = read_csv_stream(spark, inbox, src.schema, files_per_batch=-(-files // 2))
+    # The tables' orders span seven years: no row is late.
+    firsts = first_per_key_stream(stream, ["o_custkey"], "o_orderdate", "4000 days").select("o_custkey")
+    run_stream(firsts, lambda batch, _: batch.write.mode("append").parquet(sink), "repeats").awaitTermination()
+    return spark.read.schema(firsts.schema).parquet(sink)
+
+
+@query(
+    "api_send_restart",
+    """SELECT batch_id, count(*) AS n_rows, CAST(200 AS INTEGER) AS status
+       FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch_id FROM orders) GROUP BY batch_id""",
+)
+def api_send_restart(spark, d):
+    """A load whose ledger holds every third batch as acknowledged sends the rest; the report is whole."""
+    from tablesteps.operators.order import asc
+    from tablesteps.sinks.rest import api_payloads, send_remaining
+
+    payloads = written_copy(api_payloads(table(spark, d, "orders"), [asc("o_orderkey")], 500), "payloads")
+    ledger = shared_dir(spark, "ledger")
+    acked = payloads.filter("batch_id % 3 = 0").select(
+        "batch_id", "n_rows", F.lit(200).alias("status"), F.sha2("payload", 256).alias("digest")
+    )
+    acked.write.parquet(ledger)
+    return send_remaining(payloads, as_uri(shared_dir(spark, "sent")), ledger, "orders-load", transport="file")
+
+
 @query("csv_detect_read", "SELECT * FROM supplier")
 def csv_detect_read(spark, d):
     """S4 + S29: a ';'-separated export in a ``.csv`` folder, read through

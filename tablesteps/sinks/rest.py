@@ -13,7 +13,7 @@ import os
 import urllib.parse
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesteps.functions.names import named
@@ -100,4 +100,73 @@ def send_payloads(
     return written_copy(payloads.mapInPandas(send, "batch_id long, n_rows long, status int"), "rest-report")
 
 
-__all__ = ["api_payloads", "send_payloads"]
+LEDGER_SCHEMA = "batch_id long, n_rows long, status int, digest string"
+
+
+def acknowledged(spark: SparkSession, ledger: str) -> DataFrame:
+    """Batches that any attempt of a load had acknowledged (batch_id, n_rows, status, digest), each once."""
+    rows = spark.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", "true").parquet(ledger)
+    return rows.filter("status >= 200 AND status < 300").dropDuplicates(["batch_id", "digest"])
+
+
+def send_remaining(
+    payloads: DataFrame,
+    url: str,
+    ledger: str,
+    run_id: str,
+    transport: str = "http",
+    method: str = "POST",
+    headers: dict | None = None,
+    token: str | None = None,
+) -> DataFrame:
+    """Send the batches of a load that its ``ledger`` (a folder all executors share) does not hold as acknowledged.
+
+    Returns the report of the whole load (batch_id, n_rows, status).  A
+    batch that is refused ends its task's sending, but not the job: what was
+    acknowledged by then is written to the ledger, and only then the call
+    raises.  Called again with the same ledger and ``run_id``, it sends the
+    rest.  A batch counts as acknowledged while its payload is the same; a
+    changed one is sent again under its key.  Sends of a task that is lost with its
+    executor repeat their keys.
+    """
+    spark = payloads.sparkSession
+    hdrs = dict(headers or {})
+    if token:
+        hdrs["Authorization"] = f"Bearer {token}"
+
+    def send(batches):
+        import pandas as pd
+
+        refused = False
+        for pdf in batches:
+            statuses = []
+            for bid, body in zip(pdf["batch_id"], pdf["payload"]):
+                status = None
+                if not refused:
+                    key = f"{run_id}-batch-{int(bid):09d}"
+                    try:
+                        status = _post_file(url, body, key) if transport == "file" else _post_http(url, body, key, method, hdrs)
+                    except OSError:  # no answer at all
+                        status = 0
+                    refused = not 200 <= status < 300
+                statuses.append(status)
+            yield pd.DataFrame(
+                {"batch_id": pdf["batch_id"], "n_rows": pdf["n_rows"], "status": pd.array(statuses, "Int32"), "digest": pdf["digest"]}
+            )
+
+    ship_package(spark)
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger)  # so that a first attempt finds a table
+    keyed = payloads.select("batch_id", "n_rows", "payload", F.sha2("payload", 256).alias("digest"))
+    left = keyed.join(acknowledged(spark, ledger).select("batch_id", "digest"), ["batch_id", "digest"], "left_anti")
+    attempt = f"{ledger.rstrip('/')}/attempt-{uuid.uuid4().hex[:12]}"
+    left.mapInPandas(send, LEDGER_SCHEMA).write.parquet(attempt)
+    tried = spark.read.schema(LEDGER_SCHEMA).parquet(attempt)
+    open_ = tried.filter("status IS NULL OR status < 200 OR status >= 300")
+    n, bad, first = open_.agg(F.count(F.lit(1)), F.count("status"), F.min(F.when(F.col("status").isNotNull(), F.struct("batch_id", "status")))).first()
+    if n:
+        raise RuntimeError(f"{n} batches are not acknowledged, {bad} of them refused (first: batch {first[0]}, HTTP {first[1]})")
+    whole = keyed.select("batch_id", "digest").join(acknowledged(spark, ledger), ["batch_id", "digest"])
+    return written_copy(whole.select("batch_id", "n_rows", "status"), "rest-report")
+
+
+__all__ = ["acknowledged", "api_payloads", "send_payloads", "send_remaining"]

@@ -173,14 +173,19 @@ def _parsed(records: DataFrame, names: list[str] | None, width: int, delimiter:
 
 
 def read_csv_stream(
-    spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = DEFAULT_DELIMITER, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = DEFAULT_DELIMITER, multi_line: bool = True,
+    files_per_batch: int | None = None,
 ):
     """S3 async read as a file-drop stream: new files in ``path`` become
     micro-batches.  A stream needs its schema up front.  Dropped files are
     read whole, so newlines inside quotes are part of a cell;
-    ``multi_line=False`` splits large files instead."""
+    ``multi_line=False`` splits large files instead.  ``files_per_batch``
+    bounds the files of a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     return (
-        spark.readStream.schema(schema)
+        reader
         .options(sep=delimiter, header="true", quote='"', escape='"')
         .option("multiLine", "true" if multi_line else "false")
         .option("ignoreLeadingWhiteSpace", "true")

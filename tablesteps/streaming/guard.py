@@ -12,10 +12,11 @@ stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
+from tablesteps.functions.names import named
 from tablesteps.session import shared_dir
 
 REFUSED_KINDS = ("Sort", "GroupBy", "Join", "Aggregate")
@@ -51,6 +52,24 @@ def check_stateless(df: DataFrame) -> None:
             raise NotStreamable(f"{word} needs state for the whole stream; add a watermark or run it per batch")
 
 
+def first_per_key_stream(df: DataFrame, keys: Sequence[str], time_col: str, within: str) -> DataFrame:
+    """S3 with T9: the first row seen of each key, across micro-batches.
+
+    A key is remembered for ``within`` (an interval such as ``"2 days"``) of
+    event time after its first row, so state is bounded by the keys of
+    that span; a repeat within it is dropped, in whatever file it comes.
+    Rows of one micro-batch have no order: which of two repeats in one file
+    stays is not defined.  Null is a key like others.  Rows more than
+    ``within`` behind the newest event time seen by an earlier micro-batch are
+    late and dropped, as Spark's watermark rule says.
+    """
+    if not df.isStreaming:
+        raise ValueError("first_per_key_stream needs a streaming DataFrame; use remove_duplicates on a table")
+    # Dates and times without a zone count as times of the session's zone; the column itself stays as it is.
+    timed = df.withColumn("_first_at", named(time_col).cast("timestamp"))
+    return timed.withWatermark("_first_at", within).dropDuplicatesWithinWatermark(list(keys)).drop("_first_at")
+
+
 def run_stream(
     df: DataFrame,
     sink: Callable[[DataFrame, int], None],

@@ -238,3 +238,27 @@ def test_null_sub_documents_stay_null(spark, tmpdir_shared):
     got = {r.i: r for r in read_documents(spark, p).collect()}
     assert got[1].a is None and got[1].l[1] is None and got[1].l[0].x == 1
     assert got[2].a.b is not None and got[2].l is None
+
+
+def test_a_load_that_fails_sends_only_the_rest_the_second_time(spark, tmpdir_shared, monkeypatch):
+    from tablesteps.operators.order import asc
+    from tablesteps.sinks.rest import acknowledged, send_remaining
+
+    folder, ledger = os.path.join(tmpdir_shared, "restart"), os.path.join(tmpdir_shared, "ledger")
+    payloads = api_payloads(spark.range(0, 1000), [asc("id")], 10).repartition(4, "batch_id")
+    # A batch whose file cannot be made stands for a refusal.
+    os.makedirs(os.path.join(folder, "load-batch-000000050.json"))
+    with pytest.raises(RuntimeError, match="batch 50"):
+        send_remaining(payloads, "file://" + folder, ledger, "load", transport="file")
+    first = {f for f in os.listdir(folder) if os.path.isfile(os.path.join(folder, f)) and f.endswith(".json")}
+    acked = {r.batch_id for r in acknowledged(spark, ledger).collect()}
+    assert first == {f"load-batch-{b:09d}.json" for b in acked} and 50 not in acked and 50 <= len(acked) < 100
+    os.rmdir(os.path.join(folder, "load-batch-000000050.json"))
+    for f in first:
+        os.remove(os.path.join(folder, f))
+    report = send_remaining(payloads, "file://" + folder, ledger, "load", transport="file")
+    assert sorted(r.batch_id for r in report.collect()) == list(range(100))
+    again = {f for f in os.listdir(folder) if f.endswith(".json")}
+    assert again == {f"load-batch-{b:09d}.json" for b in range(100) if b not in acked}
+    assert send_remaining(payloads, "file://" + folder, ledger, "load", transport="file").count() == 100
+    assert {f for f in os.listdir(folder) if f.endswith(".json")} == again

@@ -147,3 +147,29 @@ def test_bound_parameters(spark):
     )
     with pytest.raises(ValueError):
         bind("SELECT :nothing", {})
+
+
+def test_first_per_key_across_micro_batches_with_a_time_limit(spark, tmpdir_shared):
+    from tablesteps.streaming.guard import first_per_key_stream
+
+    inbox = os.path.join(tmpdir_shared, "repeats")
+    os.makedirs(inbox)
+    state = shared_dir(spark, "repeats-state")
+    seen = []
+
+    def drop(name, *lines):
+        with open(os.path.join(inbox, name), "w") as fh:
+            fh.write("\n".join(["id,k,t", *lines]) + "\n")
+        stream = read_csv_stream(spark, inbox, "id int, k string, t timestamp")
+        q = run_stream(first_per_key_stream(stream, ["k"], "t", "1 hour"), lambda b, i: seen.extend(r.id for r in b.collect()), checkpoint=state)
+        q.awaitTermination(120)
+
+    drop("1.csv", "1,a,2024-01-01T00:00:00", "2,b,2024-01-01T00:10:00", "3,,2024-01-01T00:10:00")
+    assert sorted(seen) == [1, 2, 3]
+    drop("2.csv", "4,a,2024-01-01T00:20:00", "5,c,2024-01-01T00:20:00", "6,,2024-01-01T00:30:00")
+    assert sorted(seen) == [1, 2, 3, 5]  # repeats in a later file, after a restart, go
+    drop("3.csv", "7,d,2024-01-01T06:00:00")
+    drop("4.csv", "8,a,2024-01-01T06:10:00")
+    assert sorted(seen) == [1, 2, 3, 5, 7, 8]  # the limit is over: the key is new again
+    with pytest.raises(ValueError):
+        first_per_key_stream(spark.range(3), ["id"], "id", "1 hour")
