@@ -3,7 +3,12 @@
 1. Base spans: e-mail, IP, card and phone patterns.  Splitting a text at a
    pattern gives the gaps between its matches; a running sum over gaps and
    matches gives their places.
-2. Protected entities are the values found.  Every word of a document that
+   Secrets (kind ``secret``) are spans of the method: a value that its text
+   assigns to the name of a credential, if it carries ``SECRET_BITS`` of
+   information by the spread of its own characters, so that words and
+   repeated signs are none.  They are replaced, but stand for no person: no
+   terms are weighed against them.
+2. Protected entities are the values found by the base patterns.  Every word of a document that
    holds an entity is a candidate, wherever it stands.
 3. The corpus says how strongly a term reveals an entity: pointwise mutual
    information over documents, divided by the information of the
@@ -34,8 +39,11 @@ from .common import quoted, saved
 GENERALISE = 0.6
 REMOVE = 0.9
 
-KINDS = ["email", "ip", "card", "phone", "term"]
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: Information of a secret: its length times the entropy of its characters, in bits (16 random hex digits: about 48).
+SECRET_BITS = 40.0
+
+KINDS = ["email", "ip", "card", "phone", "secret", "term"]
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 # Patterns fixed by the contract; possessive, and only begun where a run begins, so that they take linear time:
 # a run that fails from its begin fails from everywhere in it.  Cards shorter than 14 digits would be dropped anyway.
@@ -47,6 +55,9 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS[k] for k in ("email", "phone", "card", "ip"))
 WORD = r"[\p{L}\p{N}]+"
+# Names that credentials are assigned to, and what stands between name and value.
+NAMED = r"(?i:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+SECRET = rf"(?<![A-Za-z0-9_+/.-])(?<={NAMED})[A-Za-z0-9_+/.-]{{12,}}+=*+"
 
 
 def digits_of(value: Column) -> Column:
@@ -63,6 +74,13 @@ def luhn(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) % 10 == 0
 
 
+def bits_of(value: Column) -> Column:
+    """Length times the Shannon entropy of the characters."""
+    signs, n = F.split(value, ""), F.length(value)
+    times = F.transform(F.array_distinct(signs), lambda c: F.size(F.filter(signs, lambda x: x == c)))
+    return F.aggregate(times, F.lit(0.0), lambda total, k: total + k * F.log2(n / k))
+
+
 def passes(kind: Column, value: Column) -> Column:
     """Whether a match of a kind's pattern counts."""
     n = F.length(digits_of(value))
@@ -72,6 +90,7 @@ def passes(kind: Column, value: Column) -> Column:
         F.when(kind == "ip", small)
         .when(kind == "card", F.when(n.between(14, 19), luhn(value)).otherwise(False))
         .when(kind == "phone", n.between(10, 15))
+        .when(kind == "secret", bits_of(value) >= SECRET_BITS)
         .otherwise(True)
     )
 
@@ -105,9 +124,12 @@ def entity_of(kind: Column, value: Column) -> Column:
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
-    """The base spans of (``id``, ``th``, ``t``): ``kind``, ``start``, ``end``, ``value``."""
-    likely = texts.filter(F.col("t").rlike("[0-9@]"))
-    found = F.concat(*[matches(k, F.col("t"), p) for k, p in PATTERNS.items()])
+    """The base spans and secrets of (``id``, ``th``, ``t``): ``kind``, ``start``, ``end``, ``value``."""
+    named = F.col("t").rlike(NAMED)
+    likely = texts.filter(F.col("t").rlike("[0-9@]") | named)
+    none = F.array().cast("array<struct<kind:string,i:int,gap:int,value:string>>")
+    secrets = F.coalesce(F.when(named, matches("secret", F.col("t"), SECRET)), none)
+    found = F.concat(*[matches(k, F.col("t"), p) for k, p in PATTERNS.items()], secrets)
     rows = likely.select("id", "th", F.explode(found).alias("m")).select("id", "th", "m.*")
     return placed(rows).filter(passes(F.col("kind"), F.col("value")))
 
@@ -193,8 +215,9 @@ def find_spans(
     spark = docs.sparkSession
     texts = hashed(docs, id_col, text_col)
     spans = saved(spark, base_spans(texts), "pii-base")
-    told = saved(spark, disclosures(texts, spans, generalise), "pii-disclosures")
-    terms = term_spans(texts, spans, told, remove)
+    people = spans.filter(F.col("kind") != "secret")
+    told = saved(spark, disclosures(texts, people, generalise), "pii-disclosures")
+    terms = term_spans(texts, people, told, remove)
     labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     base = spans.withColumn("instead", labels[F.col("kind")]).drop("value")
     # A term inside a base span is covered already.
@@ -260,7 +283,7 @@ def sanitise(docs: DataFrame, spans: DataFrame, keep: list[str], id_col: str = "
     out = joined.select(
         *names,
         *[F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long") for k in KINDS],
-        F.coalesce(shown(F.filter("spans", lambda s: s["kind"] != "term")), none),
+        F.coalesce(shown(F.filter("spans", lambda s: s["kind"].isin(*PATTERNS))), none),
         F.coalesce(shown(F.col("spans")), none),
         clean,
     )

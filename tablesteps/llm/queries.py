@@ -99,6 +99,7 @@ def op4(spark, d):
         "n_card",
         "n_phone",
         "n_term",
+        "n_secret",
         sha256_of(F.col("base_spans")).alias("base_sha256"),
         "spans",
         sha256_of(F.col("clean")).alias("clean_sha256"),

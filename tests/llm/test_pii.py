@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -105,3 +106,30 @@ def test_terms_far_from_an_entity(spark):
         assert out[400 + i].split()[0] == f"h{i}" and "[EMAIL]" in out[400 + i]
     assert out[500].startswith("[word] p0 ") and out[501].startswith("[word] p1 ")  # two texts: less sure
     assert out[600].startswith("Quill ")  # one text tells a name from no other rare word
+
+
+def bits(value):
+    return sum(value.count(c) * math.log2(len(value) / value.count(c)) for c in set(value))
+
+
+def test_secrets_by_name_and_information(spark):
+    rng = random.Random(8)
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    kept = [
+        f"signed with {key} today", "token = aaaaaaaaaaaaaaaaaaaaaaaa", "the token: something about it", "api_key=short1", "secret = ",
+        "tokens = words that go on", f"nottoken{key}", "password: ........................",
+    ]
+    rows = [(i, t) for i, t in enumerate(kept)]
+    gone = [f'a token = "{key}" b', f"API-KEY: {key}, mail x@y.com", f"passwd='{key}=='", f"my secret:{key}.", f"token = {key}\naccess_key = {key[::-1]}"]
+    rows += [(100 + i, t) for i, t in enumerate(gone)]
+    out = {r.doc_id: r for r in run(docs(spark, rows)).collect()}
+    assert all(out[i].clean == t and out[i].n_secret == 0 for i, t in enumerate(kept))
+    assert [out[100 + i].clean for i in range(5)] == [
+        'a token = "[SECRET]" b', "API-KEY: [SECRET], mail [EMAIL]", "passwd='[SECRET]'", "my secret:[SECRET]", "token = [SECRET]\naccess_key = [SECRET]",
+    ]
+    assert out[100].spans == "secret:11:51" and out[100].base_spans == "" and out[101].base_spans == "email:56:63"
+    # The bound against a brute force over values of many kinds.
+    values = ["".join(rng.choice("0123456789abcdef"[: rng.choice([1, 2, 4, 16])]) for _ in range(rng.randint(8, 40))) for _ in range(200)]
+    out = {r.doc_id: r.n_secret for r in run(docs(spark, [(i, f"token={v} is it") for i, v in enumerate(values)])).collect()}
+    assert out == {i: int(len(v) >= 12 and bits(v) >= P.SECRET_BITS) for i, v in enumerate(values)}
+    assert 0 < sum(out.values()) < 200
