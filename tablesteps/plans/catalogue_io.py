@@ -226,6 +226,21 @@ def rest_paged_read(spark, d):
     return as_types_of(back, src).select(*src.columns)
 
 
+@query(
+    "rest_page_requests",
+    """WITH p AS (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages, count(*) AS n_items FROM customer)
+       SELECT pages AS pages_held, pages AS pages_read, CAST(2 * (floor(log2(pages)) + 1) AS BIGINT) AS pages_probed, n_items FROM p""",
+)
+def rest_page_requests(spark, d):
+    """Pages asked for a table of unknown length: every page once, and about 2 log2 of their number to find the last."""
+    from tablesteps.operators.order import asc
+    from tablesteps.sources.rest import page_requests, read_pages
+
+    folder = shared_dir(spark, "rest-requests")
+    write_pages(table(spark, d, "customer"), folder, 50, [asc("c_custkey")])
+    return page_requests(read_pages(spark, as_uri(folder), pageSize=50, transport="file", retryDelay=0))
+
+
 @query(
     "api_payload_batches",
     """SELECT batch_id, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key

@@ -2,10 +2,13 @@
 
 Division of work:
 
-* a small Python data source does the I/O only: partition ``p`` of
-  ``k`` stripes requests pages ``p+1, p+1+k, ...`` until an empty page,
-  retries each request (linear back-off) and raises when a page keeps
-  failing (defect D16 not copied); it emits (page, item index, item JSON);
+* a small Python data source does the I/O only.  An unknown number of
+  pages is found by a galloping search when the scan is planned (pages 1,
+  2, 4, ... until an empty one, then by halves); the pages are then
+  dealt as contiguous ranges of equal length, and no task asks past the
+  end.  Each request is retried (linear back-off), a page that keeps
+  failing raises (defect D16 not copied); tasks emit (page, item index,
+  item JSON) and a mark for each page asked;
 * Spark does the rest JVM-side: column names in first-seen order
   (``json_object_keys``), one type per column (``schema_of_variant_agg``:
   whole numbers -> long, other numbers -> double, nested values -> JSON
@@ -40,6 +43,8 @@ DEFAULT_SIZE_PARAM = "pageSize"
 ENVELOPE_KEYS = ("data", "results", "items")
 
 PAGE_SCHEMA = "page long, item_index long, item string"
+# Item indexes of rows that only say what was asked: a page held, a page found empty, a page probed by planning.
+READ, EMPTY, PROBED = -1, -2, -3
 
 
 def page_url(url: str, page: int | None, size: int | None, page_param: str, size_param: str) -> str:
@@ -123,42 +128,82 @@ def request_with_retry(fetch, url: str, headers: dict, retries: int, delay: floa
     raise HttpError(f"request failed after {retries} attempts: {last}")
 
 
-class Stripe(InputPartition):
-    def __init__(self, index: int, count: int):
-        self.index, self.count = index, count
+class PageRange(InputPartition):
+    """Pages ``first`` to ``last``; ``probes`` are pages that planning has asked already."""
+
+    def __init__(self, first: int | None, last: int | None, probes: tuple[int, ...] = ()):
+        self.first, self.last, self.probes = first, last, probes
+
+
+def last_page(is_empty) -> tuple[int, list[int]]:
+    """The last page before the first empty one (0: none) and the pages asked for it, about 2 log2 of them.
+
+    ``is_empty(page)`` asks for one page.  Pages are taken to be filled from
+    the first one on, as they are when a client reads until an empty page.
+    """
+    asked: list[int] = []
+
+    def empty(page: int) -> bool:
+        asked.append(page)
+        return is_empty(page)
+
+    held, past = 0, 1
+    while not empty(past):
+        held, past = past, past * 2
+    while past - held > 1:
+        middle = (held + past) // 2
+        if empty(middle):
+            past = middle
+        else:
+            held = middle
+    return held, asked
+
+
+def page_ranges(last: int, count: int) -> list[tuple[int, int]]:
+    """Pages 1 to ``last`` in ``count`` contiguous ranges at most, whose lengths differ by one page at most."""
+    count = max(1, min(count, last))
+    cuts = [last * i // count for i in range(count + 1)]
+    return [(a + 1, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 class RestReader(DataSourceReader):
     def __init__(self, options: dict):
         # option keys arrive lower-cased
-        self.o = {k.lower(): v for k, v in options.items()}
-
-    def partitions(self):
-        if "pagesize" not in self.o:
-            return [Stripe(0, 1)]
-        k = int(self.o["stripes"])
-        return [Stripe(i, k) for i in range(k)]
+        self.o = o = {k.lower(): v for k, v in options.items()}
+        self.retries = int(o.get("retries", DEFAULT_RETRIES))
+        self.delay = float(o.get("retrydelay", DEFAULT_RETRY_DELAY))
+        if self.retries <= 0 or self.delay < 0:
+            raise ValueError("retries must be positive and delay non-negative")
+        self.size = int(o["pagesize"]) if "pagesize" in o else None
 
-    def read(self, part: Stripe):
+    def items(self, page: int | None) -> list:
         o = self.o
-        fetch = TRANSPORTS[o.get("transport", "http")]
         headers = json.loads(o.get("headers", "{}"))
         if o.get("token"):
             headers["Authorization"] = f"Bearer {o['token']}"
-        retries = int(o.get("retries", DEFAULT_RETRIES))
-        delay = float(o.get("retrydelay", DEFAULT_RETRY_DELAY))
-        if retries <= 0 or delay < 0:
-            raise ValueError("retries must be positive and delay non-negative")
-        size = int(o["pagesize"]) if "pagesize" in o else None
-        page = part.index + 1 if size is not None else None
-        while True:
-            url = page_url(o["url"], page, size, o.get("pageparam", DEFAULT_PAGE_PARAM), o.get("sizeparam", DEFAULT_SIZE_PARAM))
-            items = envelope_items(request_with_retry(fetch, url, headers, retries, delay))
+        names = o.get("pageparam", DEFAULT_PAGE_PARAM), o.get("sizeparam", DEFAULT_SIZE_PARAM)
+        fetch = TRANSPORTS[o.get("transport", "http")]
+        url = page_url(o["url"], page, self.size, *names)
+        return envelope_items(request_with_retry(fetch, url, headers, self.retries, self.delay))
+
+    def partitions(self):
+        if self.size is None:
+            return [PageRange(None, None)]
+        if "pages" in self.o:
+            last, asked = int(self.o["pages"]), []
+        else:
+            last, asked = last_page(lambda page: not self.items(page))
+        ranges = page_ranges(last, int(self.o["stripes"]))
+        return [PageRange(1, 0, tuple(asked)), *[PageRange(a, b) for a, b in ranges]]
+
+    def read(self, part: PageRange):
+        for page in part.probes:
+            yield (page, PROBED, None)
+        for page in [None] if part.first is None else range(part.first, part.last + 1):
+            items = self.items(page)
+            yield (page or 1, READ if items else EMPTY, None)
             for i, item in enumerate(items):
                 yield (page or 1, i, json.dumps(item) if isinstance(item, dict) else json.dumps({}))
-            if size is None or not items:
-                return
-            page += part.count
 
 
 class RestDataSource(DataSource):
@@ -178,8 +223,12 @@ MAX_COLUMNS = 10_000
 
 
 def read_pages(spark: SparkSession, url: str, **options) -> DataFrame:
-    """Raw items: (page, item_index, item JSON text); pages are dealt over the session's
-    parallelism unless ``stripes`` says otherwise."""
+    """Raw items: (page, item_index, item JSON text), and rows of a negative index for what was asked.
+
+    Pages are dealt over the session's parallelism unless ``stripes`` names
+    the number of ranges; ``pages`` names a known number of pages, which
+    saves the search for it.
+    """
     ship_package(spark)
     options.setdefault("stripes", spark.sparkContext.defaultParallelism)
     spark.dataSource.register(RestDataSource)
@@ -189,6 +238,29 @@ def read_pages(spark: SparkSession, url: str, **options) -> DataFrame:
     return r.load()
 
 
+def held_items(raw: DataFrame) -> DataFrame:
+    """The items of a written copy before its first empty page (a page that emptied after planning ends the table,
+    as for a client that reads page by page)."""
+    end = raw.agg(F.min(F.when(F.col("item_index") == EMPTY, F.col("page")))).first()[0]
+    rows = raw.filter(F.col("item_index") >= 0)
+    return rows if end is None else rows.filter(F.col("page") < end)
+
+
+def page_requests(raw: DataFrame) -> DataFrame:
+    """One row: ``pages_held``, ``pages_read`` (pages that tasks asked for), ``pages_probed`` (asked by
+    planning), ``n_items``."""
+
+    def number(index: int):
+        return F.count(F.when(F.col("item_index") == index, 1))
+
+    return raw.agg(
+        number(READ).alias("pages_held"),
+        (number(READ) + number(EMPTY)).alias("pages_read"),
+        number(PROBED).alias("pages_probed"),
+        F.count(F.when(F.col("item_index") >= 0, 1)).alias("n_items"),
+    )
+
+
 def _kind(schema_text: str) -> str:
     s = (schema_text or "").upper()
     if s.startswith(("BIGINT", "INT", "SMALLINT", "TINYINT")):
@@ -249,10 +321,10 @@ def read_rest(spark: SparkSession, url: str, **options) -> DataFrame:
     The fetched items are written to the shared folder once, so the API is
     called once even though the column discovery and the result are two jobs.
     """
-    return items_to_table(written_copy(read_pages(spark, url, **options), "rest-items"))
+    return items_to_table(held_items(written_copy(read_pages(spark, url, **options), "rest-items")))
 
 
 def read_typed(spark: SparkSession, url: str, schema: T.StructType | str, **options) -> DataFrame:
     """S21 Api<T>: each whole body deserialised to one typed value."""
-    raw = read_pages(spark, url, **options)
-    return raw.select(F.from_json("item", schema).alias("value")).select("value.*")
+    raw = written_copy(read_pages(spark, url, **options), "rest-items")
+    return held_items(raw).select(F.from_json("item", schema).alias("value")).select("value.*")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tablesteps.sources.documents import find, read_documents
 from tablesteps.sources.json import read_json, read_json_lines
-from tablesteps.sources.rest import HttpError, envelope_items, read_rest
+from tablesteps.sources.rest import HttpError, envelope_items, last_page, page_ranges, page_requests, read_pages, read_rest
 from tablesteps.sinks.rest import api_payloads, send_payloads
 from tablesteps.operators.order import asc
 
@@ -71,6 +71,35 @@ def test_rest_pages_and_failing_page(spark, tmpdir_shared):
         read_rest(spark, "file://" + base, pageSize=2, stripes=1, transport="file", retryDelay=0, retries=2).collect()
 
 
+def test_last_page_by_galloping():
+    for n in range(0, 200):
+        held, asked = last_page(lambda page, n=n: page > n)
+        assert held == n and len(asked) == len(set(asked)) == (2 * n.bit_length() if n else 1)
+        for count in (1, 3, 8, 500):
+            ranges = page_ranges(n, count)
+            assert [p for a, b in ranges for p in range(a, b + 1)] == list(range(1, n + 1))
+            sizes = [b - a + 1 for a, b in ranges]
+            assert len(ranges) <= count and (not sizes or max(sizes) - min(sizes) <= 1)
+
+
+def test_rest_pages_asked(spark, tmpdir_shared):
+    base = os.path.join(tmpdir_shared, "asked")
+    uri, options = "file://" + base, {"pageSize": 1, "stripes": 3, "transport": "file", "retryDelay": 0}
+    os.makedirs(base, exist_ok=True)
+    assert read_rest(spark, uri, **options).count() == 0
+    for i in range(1, 12):
+        put(tmpdir_shared, f"asked/page={i}/b.json", json.dumps([{"id": i}]))
+    raw = read_pages(spark, uri, **options)
+    assert tuple(page_requests(raw).first()) == (11, 11, 8, 11)
+    assert raw.filter("item_index >= 0").rdd.getNumPartitions() == 4  # what was probed, and three ranges
+    known = read_pages(spark, uri, pages=11, **options)
+    assert tuple(page_requests(known).first()) == (11, 11, 0, 11)
+    # A page that is empty by the time it is read ends the table, whichever task reads it.
+    put(tmpdir_shared, "asked/page=6/b.json", "[]")
+    assert sorted(r.id for r in read_rest(spark, uri, pages=11, **options).collect()) == [1, 2, 3, 4, 5]
+    assert tuple(page_requests(read_pages(spark, uri, pages=11, **options)).first()) == (10, 11, 0, 10)
+
+
 def test_rest_sink_batches(spark, tmpdir_shared):
     df = spark.range(0, 250).withColumnRenamed("id", "k")
     payloads = api_payloads(df, [asc("k")], 100)

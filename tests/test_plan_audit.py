@@ -23,6 +23,7 @@ SINGLE_PARTITION_OK = {
     "tables_equivalent_ordered": "row index (both sides) + global count",
     # final step of a global aggregate: one partial row per task
     "row_count": "global count",
+    "rest_page_requests": "global count",
     "conform_report": "global count",
     "tables_equivalent": "global count",
 }
