@@ -18,9 +18,13 @@
 4. In documents that hold the entity, terms of ``REMOVE`` or more are removed,
    terms of ``GENERALISE`` or more are replaced by their class.
 
-Corpus counts cover every document.  Groups never gather on one key: pairs are
-counted with partial aggregates, and a very frequent word is only a
-counter.
+Corpus counts cover every document.  Groups never gather on one key: words and
+pairs are counted with partial aggregates, and a very frequent word is only a
+counter.  Words of a document are counted once, however many entities it
+holds.  Entities that stand in the same texts form one class, and so do
+terms, as only those texts decide a pair; terms that stand in one text, or in
+too many documents to reach the threshold, are out before any pair is made.
+The pairs of classes of one text are dealt in cells of ``CELL`` at most.
 
 Defined results: null counts as empty (no spans).  Rows of equal id and text
 have equal results; a null id is an id like others.  Overlapping spans are
@@ -42,6 +46,9 @@ REMOVE = 0.9
 #: Information of a secret: its length times the entropy of its characters, in bits (16 random hex digits: about 48).
 SECRET_BITS = 40.0
 
+#: Pairs of an entity class and a term class of one text that one task compares at most (about).
+CELL = 1 << 20
+
 KINDS = ["email", "ip", "card", "phone", "secret", "term"]
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
@@ -146,45 +153,98 @@ def holders_of(texts: DataFrame, spans: DataFrame, support: int) -> DataFrame:
     often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("entity")
     entities = held.join(often, "entity").groupBy("th").agg(F.collect_list("entity").alias("entities"))
     different = texts.filter(F.col("t").rlike(ANY)).groupBy("th").agg(F.count(F.lit(1)).alias("copies"), F.first("t").alias("t"))
-    return different.join(entities, "th").select("t", "copies", "entities")
+    return different.join(entities, "th").select("th", "t", "copies", "entities")
 
 
 def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def candidates(holders: DataFrame, support: int) -> DataFrame:
-    """``entity``, ``term``, ``n_both`` (documents that hold both), ``support`` (different texts among them)."""
-    pairs = holders.select("copies", F.explode("entities").alias("entity"), words_of(F.col("t")).alias("words"))
-    counts = pairs.select("copies", "entity", F.explode("words").alias("term")).groupBy("entity", "term")
-    return counts.agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= support)
+def same_texts() -> Column:
+    """One value for all that stand in the same set of texts (different ``th`` in the group): 128 bits of their hashes."""
+    return F.struct(F.bit_xor(F.xxhash64("th")).alias("a"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("b"))
+
+
+def entity_classes(holders: DataFrame) -> DataFrame:
+    """``entity``, ``eclass``, ``n_entity`` (documents that hold it), ``in_texts`` (different ones)."""
+    held = holders.select("th", "copies", F.explode("entities").alias("entity"))
+    return held.groupBy("entity").agg(
+        same_texts().alias("eclass"), F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("in_texts")
+    )
+
+
+def most_documents(total: int, n_entity: Column, generalise: float) -> Column:
+    """In how many documents a term may stand and still reveal an entity of ``n_entity`` documents by ``generalise``
+    (if it stands in all of those); a little more, as the disclosure itself is compared later."""
+    n = float(max(total, 2))
+    return F.lit(1.001) * F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow(n_entity.cast("double"), F.lit(generalise))
 
 
-def disclosures(texts: DataFrame, spans: DataFrame, generalise: float) -> DataFrame:
-    """``entity``, ``term``, ``disclosure``: terms that reveal an entity by ``generalise`` or more of its information."""
+def term_classes(texts: DataFrame, words: DataFrame, most: float, support: int) -> DataFrame:
+    """``term``, ``tclass``, ``n_term`` (documents of the corpus) for terms of ``support`` different texts of holders
+    that stand in ``most`` documents of the corpus at most."""
+    inside = words.groupBy("term").agg(same_texts().alias("tclass"), F.count(F.lit(1)).alias("in_texts"))
+    wanted = inside.filter(F.col("in_texts") >= support).select("term", "tclass")
+    # Counted before the join: a task sends one row for each of its words, however many are wanted.
+    everywhere = texts.select(F.explode(words_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    return everywhere.filter(F.col("n_term") <= most).join(wanted, "term")
+
+
+def class_pairs(entities: DataFrame, terms: DataFrame, cell: int) -> DataFrame:
+    """``eclass``, ``tclass``, ``n_both`` (documents that hold both), ``support`` (different texts among them).
+
+    ``entities`` holds ``th``, ``copies``, ``eclass``, ``most``; ``terms`` holds
+    ``th``, ``tclass``, ``n_term``.  A text of many classes on both sides is
+    dealt in as many cells as keep each below ``cell`` pairs: its terms by
+    hash, its entities to every cell.
+    """
+    sizes = entities.groupBy("th").agg(F.count(F.lit(1)).alias("n")).join(terms.groupBy("th").agg(F.count(F.lit(1)).alias("m")), "th")
+    cells = sizes.select("th", F.ceil(F.col("n") * F.col("m") / float(cell)).cast("int").alias("cells"))
+    left = entities.join(cells, "th").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    right = terms.join(cells, "th").withColumn("at", F.pmod(F.xxhash64("tclass.a"), F.col("cells")).cast("int"))
+    met = left.alias("l").join(
+        right.alias("r"),
+        (F.col("l.th") == F.col("r.th")) & (F.col("l.at") == F.col("r.at")) & (F.col("r.n_term") <= F.col("l.most")),
+    )
+    pairs = met.select("l.eclass", "r.tclass", "l.copies").groupBy("eclass", "tclass")
+    return pairs.agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("support"))
+
+
+def disclosures(texts: DataFrame, spans: DataFrame, generalise: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Terms that reveal entities by ``generalise`` or more of their information: ``eclass``, ``term``,
+    ``disclosure``; and the class of each entity: ``entity``, ``eclass``."""
     spark = texts.sparkSession
     support = least_support(generalise)
     holders = saved(spark, holders_of(texts, spans, support), "pii-holders")
-    pairs = saved(spark, candidates(holders, support), "pii-pairs")
     total = texts.count()
-    wanted = pairs.select("term").distinct()
-    words = texts.select(F.explode(words_of(F.col("t"))).alias("term"))
-    # Counted before the join: a task sends one row for each of its words, however many are wanted.
-    spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
-    held = holders.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    both = pairs.join(spread, "term").join(held, "entity")
+    entities = saved(spark, entity_classes(holders), "pii-entities")
+    classes = entities.groupBy("eclass").agg(F.first("n_entity").alias("n_entity"))
+    classes = classes.withColumn("most", most_documents(total, F.col("n_entity"), generalise))
+    most = classes.agg(F.max("most")).first()[0]  # one number
+    words = saved(spark, holders.select("th", F.explode(words_of(F.col("t"))).alias("term")), "pii-words")
+    terms = saved(spark, term_classes(texts, words, most or 0.0, support), "pii-terms")
+    held = holders.select("th", "copies", F.explode("entities").alias("entity")).join(entities.select("entity", "eclass"), "entity")
+    held = held.select("th", "copies", "eclass").distinct().join(classes.select("eclass", "most"), "eclass")
+    # Terms of one class stand in the same texts, but may differ in the corpus: the rarest of them stands for the bound.
+    rarest = words.join(terms, "term").groupBy("th", "tclass").agg(F.min("n_term").alias("n_term"))
+    pairs = class_pairs(saved(spark, held, "pii-held"), saved(spark, rarest, "pii-rarest"), cell)
+    both = pairs.filter(F.col("support") >= support).join(classes, "eclass").join(terms, "tclass")
     own = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
     shared = F.log(F.col("n_both") * F.lit(float(max(total, 2))) / (F.col("n_entity") * F.col("n_term")))
     sure = 1 - F.pow(F.lit(0.5), F.col("support"))
     told = both.withColumn("disclosure", F.when(own > 0, sure * shared / own).otherwise(0.0))
-    return told.filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    told = told.filter(F.col("disclosure") >= generalise).select("eclass", "term", "disclosure")
+    return told, entities.select("entity", "eclass")
 
 
-def term_spans(texts: DataFrame, spans: DataFrame, told: DataFrame, remove: float) -> DataFrame:
+def term_spans(texts: DataFrame, spans: DataFrame, told: DataFrame, entities: DataFrame, remove: float) -> DataFrame:
     """Spans of revealing terms in the documents that hold the entity; ``value`` is what replaces them."""
     wanted = (
-        spans.withColumn("entity", entity_of(F.col("kind"), F.col("value")))
-        .join(told, "entity")
+        spans.select("id", "th", entity_of(F.col("kind"), F.col("value")).alias("entity"))
+        .join(entities, "entity")
+        .select("id", "th", "eclass")
+        .distinct()
+        .join(told, "eclass")
         .groupBy("id", "th", "term")
         .agg(F.max("disclosure").alias("disclosure"))
     )
@@ -216,8 +276,8 @@ def find_spans(
     texts = hashed(docs, id_col, text_col)
     spans = saved(spark, base_spans(texts), "pii-base")
     people = spans.filter(F.col("kind") != "secret")
-    told = saved(spark, disclosures(texts, people, generalise), "pii-disclosures")
-    terms = term_spans(texts, people, told, remove)
+    told, entities = disclosures(texts, people, generalise)
+    terms = term_spans(texts, people, saved(spark, told, "pii-disclosures"), entities, remove)
     labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     base = spans.withColumn("instead", labels[F.col("kind")]).drop("value")
     # A term inside a base span is covered already.

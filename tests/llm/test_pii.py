@@ -133,3 +133,87 @@ def test_secrets_by_name_and_information(spark):
     out = {r.doc_id: r.n_secret for r in run(docs(spark, [(i, f"token={v} is it") for i, v in enumerate(values)])).collect()}
     assert out == {i: int(len(v) >= 12 and bits(v) >= P.SECRET_BITS) for i, v in enumerate(values)}
     assert 0 < sum(out.values()) < 200
+
+
+def told_by_brute_force(rows, generalise):
+    """Every entity and term, weighed by its definition."""
+    texts = [(t or "", set(re.findall(r"[^\W_]+", (t or "").lower())), set(re.findall(r"[a-z0-9]+@[a-z.]+", t or ""))) for _, t in rows]
+    out = {}
+    for e in set().union(*(es for _, _, es in texts)):
+        holders = [(t, ws) for t, ws, es in texts if e in es]
+        if len({t for t, _ in holders}) < P.least_support(generalise):
+            continue
+        for w in set().union(*(ws for _, ws in holders)):
+            both = [t for t, ws in holders if w in ws]
+            n_term = sum(w in ws for _, ws, _ in texts)
+            own = math.log(len(texts) / len(holders))
+            shared = math.log(len(both) * len(texts) / (len(holders) * n_term))
+            disclosure = (1 - 0.5 ** len(set(both))) * shared / own if own > 0 else 0.0
+            if disclosure >= generalise:
+                out["email:" + e, w] = round(disclosure, 9)
+    return out
+
+
+def random_mail(seed, n=160):
+    rng = random.Random(seed)
+    people = [f"p{i}@x.org" for i in range(9)]
+    rows = []
+    for i in range(n):
+        words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(0, 25))]
+        for p in rng.sample(people, rng.choice([0, 0, 0, 1, 2, 5])):
+            words.insert(rng.randint(0, len(words)), p)
+            if rng.random() < 0.7:
+                words.append(f"n{p[1]}")
+        rows.append((i, " ".join(words)))
+    return rows + [(n, rows[3][1]), (n + 1, None), (n + 2, rows[5][1]), (n + 3, " ".join(people) + " together with n1 n2 n3")]
+
+
+def test_disclosures_against_brute_force(spark):
+    for seed in (1, 2):
+        rows = random_mail(seed)
+        texts = P.hashed(docs(spark, rows), "doc_id", "text")
+        want = told_by_brute_force(rows, P.GENERALISE)
+        assert len(want) > 5
+        for cell in (P.CELL, 2):  # in one cell, and dealt in many
+            told, entities = P.disclosures(texts, P.base_spans(texts), P.GENERALISE, cell)
+            assert {(r.entity, r.term): round(r.disclosure, 9) for r in told.join(entities, "eclass").collect()} == want
+
+
+def test_many_entities_and_words_of_one_text_are_one_pair_of_classes(spark):
+    """An archive of 300 addresses and 3,000 words in two texts: 900,000 pairs, but one of classes."""
+    body = " ".join(f"user{i}@corp.example" for i in range(300)) + " " + " ".join(f"word{i}x" for i in range(3000))
+    rows = filler(200) + [(500, body), (501, body + " again")]
+    texts = P.hashed(docs(spark, rows), "doc_id", "text")
+    told, entities = P.disclosures(texts, P.base_spans(texts), P.GENERALISE)
+    assert entities.count() == 300 and entities.select("eclass").distinct().count() == 1
+    terms = {r.term for r in told.collect()}
+    assert terms >= {f"word{i}x" for i in range(3000)} and "again" not in terms and told.count() == len(terms)
+
+
+def test_recall_of_planted_names(spark):
+    """40 people, each named in two to five letters of random words: at least 0.9 of the names go, hardly another word."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(60))) for i in range(1500)]
+    named = {}
+    for p in range(40):
+        for _ in range(rng.randint(2, 5)):
+            words = [rng.choice(common) for _ in range(60)]
+            words.insert(rng.randint(0, 60), f"Name{p}")
+            words.insert(rng.randint(0, 60), f"mail{p}@corp.example")
+            named[len(rows)] = f"Name{p}"
+            rows.append((len(rows), " ".join(words)))
+    out = {r.doc_id: r for r in run(docs(spark, rows)).collect()}
+    caught = sum(name not in out[d].clean for d, name in named.items())
+    assert caught >= 0.9 * len(named)
+    assert sum(r.n_term for r in out.values()) <= 1.1 * caught
+
+
+def test_plans_hold_no_python(spark):
+    df = docs(spark, random_mail(3))
+    texts = P.hashed(df, "doc_id", "text")
+    spans = P.base_spans(texts)
+    told, entities = P.disclosures(texts, spans, P.GENERALISE)
+    for made in (spans, told, entities, P.term_spans(texts, spans, told, entities, P.REMOVE), run(df)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
