@@ -15,7 +15,7 @@ Each is one join of the target with the source reduced per key
 match (SQL unique semantics): such source rows always insert.  They travel
 through the same join, spread by a hash of the row, so that many null keys
 do not meet in one task.  Catalyst and AQE choose the join by measured
-sizes; building a plan runs no job.
+sizes; building a plan runs no job (but with a residual condition).
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesteps.functions.names import named
-from tablesteps.operators.order import Key, OrderSpec, first_per_key, require_order
+from tablesteps.operators.order import Key, OrderSpec, first_per_key, require_order, with_row_index
+from tablesteps.session import written_copy
+
+#: Rows of a key in one block where a residual condition has to be tried: a cell compares the square of this at most.
+BLOCK = 4096
 
 
 def _spelled(df: DataFrame, name: str) -> str:
@@ -128,6 +132,85 @@ def upsert_replace(target: DataFrame, source: DataFrame, key: str | Sequence[str
     return kept.unionByName(last, allowMissingColumns=True)
 
 
+def _placed(df: DataFrame, keys: Sequence[str], order: OrderSpec, place: str) -> DataFrame:
+    """Rows without a null key, with their place (from 0) among the rows of their key: by one sort by range, so a hot
+    key spreads over tasks, less the place at which its key begins."""
+    by_key = [Key(named(k), True) for k in keys]
+    placed = with_row_index(df.filter(~_null_in(keys)), [*by_key, *order], place)
+    begins = placed.groupBy(*[named(k).alias(f"_b_{i}") for i, k in enumerate(keys)]).agg(F.min(place).alias("_b_at"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (named(k) == F.col(f"_b_{i}"))
+    names = [f"_b_{i}" for i in range(len(keys))]
+    return placed.join(begins, same).withColumn(place, F.col(place) - F.col("_b_at")).drop("_b_at", *names)
+
+
+def first_matches(
+    t: DataFrame,
+    s: DataFrame,
+    on_t: Sequence[str],
+    on_s: Sequence[str],
+    t_order: OrderSpec,
+    s_order: OrderSpec,
+    condition: Column,
+    block: int,
+) -> DataFrame:
+    """``s`` with ``_t_id`` of the first row of ``t`` (which holds it) of equal keys that meets ``condition``, else null.
+
+    Both sides are cut into blocks of ``block`` rows of a key.  A round probes
+    the next target blocks of each key, twice as many as the round before,
+    with the source rows that have found nothing; so there are log2(blocks)
+    rounds, and a row that matches early is compared with few targets.
+    A cell of one source and one target block is a join key of its own: a hot
+    key is spread over tasks, no cell exceeds ``block`` squared comparisons,
+    and matches become one smallest place per source row before they move.
+    Rows found and rows left are written tables between the rounds.
+    """
+    targets = written_copy(_placed(t, on_t, t_order, "_t_at"), "first-match-targets")
+    last = targets.agg(F.max("_t_at")).first()[0]  # one number
+    left = _placed(s, on_s, s_order, "_s_at").withColumn("_s_cell", F.floor(F.col("_s_at") / block)).drop("_s_at")
+    left = written_copy(left, "first-match-left")
+    ids = targets.select(*[named(k).alias(f"_i_{i}") for i, k in enumerate(on_t)], F.col("_t_at").alias("_i_at"), F.col("_t_id"))
+    found: DataFrame | None = None
+    first, blocks = 0, 0 if last is None else last // block + 1
+    while first < blocks:
+        end = 2 * first + 1  # blocks first to end - 1 in this round
+        window = targets.filter((F.col("_t_at") >= first * block) & (F.col("_t_at") < end * block))
+        window = window.withColumn("_t_cell", F.floor(F.col("_t_at") / block))
+        keys = [f"_k_{i}" for i in range(len(on_t))]
+        # How many source blocks a key has: so often its targets are sent; and how many target blocks: so often its sources.
+        sent = left.groupBy(*[named(k).alias(n) for k, n in zip(on_s, keys)]).agg(F.max("_s_cell").alias("_s_most"))
+        met = window.groupBy(*[named(k).alias(n) for k, n in zip(on_t, keys)]).agg(F.max("_t_cell").alias("_t_most"))
+        shapes = sent.join(met, keys)
+        same_t, same_s = F.lit(True), F.lit(True)
+        for k_t, k_s, n in zip(on_t, on_s, keys):
+            same_t, same_s = same_t & (named(k_t) == F.col(n)), same_s & (named(k_s) == F.col(n))
+        right = window.join(shapes, same_t).withColumn("_t_for", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s_most"))))
+        right = right.drop(*keys, "_s_most", "_t_most", "_t_id")
+        probes = left.join(shapes, same_s).withColumn("_s_for", F.explode(F.sequence(F.lit(first).cast("long"), F.col("_t_most"))))
+        probes = probes.drop("_s_most", "_t_most")
+        cell = (F.col("_s_cell") == F.col("_t_for")) & (F.col("_s_for") == F.col("_t_cell"))
+        for k_t, n in zip(on_t, keys):
+            cell = cell & (named(k_t) == F.col(n))
+        hits = probes.join(right, cell & condition).groupBy("_s_id", *keys).agg(F.min("_t_at").alias("_i_at"))
+        named_hits = hits.withColumnRenamed("_s_id", "_h_id")
+        for i, n in enumerate(keys):
+            named_hits = named_hits.withColumnRenamed(n, f"_h_{i}")
+        at = F.col("_h_at") == F.col("_i_at")
+        for i in range(len(keys)):
+            at = at & (F.col(f"_h_{i}") == F.col(f"_i_{i}"))
+        matched = named_hits.withColumnRenamed("_i_at", "_h_at").join(ids, at).select("_h_id", "_t_id")
+        tried = left.join(written_copy(matched, "first-match-hits"), F.col("_s_id").eqNullSafe(F.col("_h_id")), "left")
+        tried = written_copy(tried, "first-match-round")
+        hit = tried.filter(F.col("_h_id").isNotNull()).select("_t_id", *s.columns)
+        found = hit if found is None else found.unionAll(hit)
+        left = tried.filter(F.col("_h_id").isNull()).drop("_h_id", "_t_id")
+        first = end
+    none = F.lit(None).cast(t.schema["_t_id"].dataType).alias("_t_id")
+    rest = left.select(none, *s.columns).unionAll(s.filter(_null_in(on_s)).select(none, *s.columns))
+    return rest if found is None else found.unionAll(rest)
+
+
 def upsert_predicate(
     target: DataFrame,
     source: DataFrame,
@@ -135,6 +218,7 @@ def upsert_predicate(
     target_order: OrderSpec,
     source_order: OrderSpec,
     condition=None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """W20 insert-or-update by a match condition.
 
@@ -146,9 +230,11 @@ def upsert_predicate(
 
     With equality only, the first target row and the last source row of each
     key are taken before the join, so a key with many rows on both sides
-    costs no pairs.  ``condition(t, s)`` may add a residual predicate; it has
-    to see the pairs of a key, and rows that match nothing are then all
-    inserted.
+    costs no pairs.  ``condition(t, s)`` may add a residual predicate
+    (deterministic; null counts as no match); each key's targets are then
+    probed in blocks, first ones first (``first_matches``: building the plan
+    runs those jobs), and rows that match nothing are all inserted.  Both
+    orders must be total then.
     """
     t_keys = require_order(target_order, "upsert_predicate")
     s_keys = require_order(source_order, "upsert_predicate")
@@ -170,15 +256,15 @@ def upsert_predicate(
         firsts = first_per_key(t.filter(held).select("_t_id", *[named(c) for c in on_t]), on_t, t_first)
         winners = s.join(firsts, cond, "left")
     else:
-        cond = cond & condition(lambda c: named(f"_t_{c}"), lambda c: named(f"_s_{c}"))
         s = source.select(*[named(c).alias(f"_s_{c}") for c in source.columns])
         s = s.withColumn("_s_id", F.struct(*[_prefixed(k, "_s_") for k in s_keys]))
-        pairs = s.join(t, cond, "left").select("_t_id", *s.columns)
-        firsts = first_per_key(pairs, ["_s_id"], t_first)
-        # Rows that match nothing are groups of their own.
+        on_s = [f"_s_{c}" for c in on_s]
+        s_order = [Key(F.col("_s_id").getField(k.expr), k.ascending, k.collation) for k in s_keys]
+        seen = condition(lambda c: named(f"_t_{c}"), lambda c: named(f"_s_{c}"))
+        firsts = first_matches(t, s, on_t, on_s, t_first, s_order, seen, block)
+        # The last source row of each target row; rows that match nothing are groups of their own.
         spread = firsts.withColumn("_s_own", F.when(F.col("_t_id").isNull(), F.col("_s_id")))
-        s_last = [Key(F.col("_s_id").getField(k.expr), k.ascending, k.collation) for k in s_keys]
-        winners = first_per_key(spread, ["_t_id", "_s_own"], s_last, last=True)
+        winners = first_per_key(spread, ["_t_id", "_s_own"], s_order, last=True)
     w = winners.select(
         F.col("_t_id").alias("_w_id"), *[named(f"_s_{c}") for c in source.columns], F.lit(True).alias("_w_hit")
     )

@@ -697,3 +697,30 @@ def skew_upsert_predicate(spark, d):
     target = o.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "k", "o_totalprice")
     source = o.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("src_key"), "k", "o_totalprice")
     return U.upsert_predicate(target, source, [("k", "k")], [asc("o_orderkey")], [asc("src_key")])
+
+
+@query(
+    "skew_upsert_condition",
+    f"""WITH t AS (SELECT o_orderkey, {_HOT_KEY_SQL} AS k, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority <> '1-URGENT'),
+    s AS (SELECT o_orderkey AS src_key, {_HOT_KEY_SQL} AS k, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority <> '5-LOW'),
+    m AS (SELECT s.src_key, min(t.o_orderkey) AS o_orderkey FROM s JOIN t
+          ON s.k = t.k AND t.o_orderdate > s.o_orderdate AND t.o_totalprice >= s.o_totalprice GROUP BY s.src_key),
+    w AS (SELECT o_orderkey, max(src_key) AS src_key FROM m GROUP BY o_orderkey)
+    SELECT t.o_orderkey, t.k, CASE WHEN w.src_key IS NULL THEN t.o_totalprice ELSE s.o_totalprice END AS o_totalprice,
+           CASE WHEN w.src_key IS NULL THEN t.o_orderdate ELSE s.o_orderdate END AS o_orderdate
+    FROM t LEFT JOIN w ON t.o_orderkey = w.o_orderkey LEFT JOIN s ON s.src_key = w.src_key
+    UNION ALL
+    SELECT NULL, k, o_totalprice, o_orderdate FROM s WHERE src_key NOT IN (SELECT src_key FROM m)""",
+)
+def skew_upsert_condition(spark, d):
+    """The sides of ``skew_upsert_predicate``; a row updates the first order of its key that is later and not cheaper."""
+    o = _hot_orders(spark, d).withColumnRenamed("o_custkey", "k")
+    target = o.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "k", "o_totalprice", "o_orderdate")
+    source = o.filter("o_orderpriority <> '5-LOW'").select(
+        F.col("o_orderkey").alias("src_key"), "k", "o_totalprice", "o_orderdate"
+    )
+
+    def later(t, s):
+        return (t("o_orderdate") > s("o_orderdate")) & (t("o_totalprice") >= s("o_totalprice"))
+
+    return U.upsert_predicate(target, source, [("k", "k")], [asc("o_orderkey")], [asc("src_key")], later)

@@ -220,3 +220,40 @@ def test_predicate_upsert_matches_model(spark, target, source):
     out = U.upsert_predicate(t, s, [("k", "k")], [asc("k")], [asc("seq")])
     got = sorted((tuple(r) for r in out.select("k", "a").collect()), key=repr)
     assert got == _predicate_model(target, src)
+
+
+def _conditional_model(target, source):
+    """Each source row updates the first target row (by ``o``) of its key with a smaller ``v``; the last one by ``q`` wins;
+    rows without such a target are inserted."""
+    rows = [[k, v, "old", o] for k, v, o in target]
+    hits, inserted = {}, []
+    for k, v, a, q in sorted(source, key=lambda r: r[3]):
+        at = [i for i, r in enumerate(rows) if k is not None and r[0] == k and None not in (r[1], v) and r[1] < v]
+        if at:
+            hits[min(at, key=lambda i: rows[i][3])] = (v, a)
+        else:
+            inserted.append((k, v, a, None))
+    for i, (v, a) in hits.items():
+        rows[i][1], rows[i][2] = v, a
+    return sorted([*map(tuple, rows), *inserted], key=repr)
+
+
+_KEY = st.one_of(st.none(), st.sampled_from([0, 0, 0, 1, 2]))
+_VALUE = st.one_of(st.none(), st.integers(0, 9))
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.lists(st.tuples(_KEY, _VALUE), max_size=25),
+    st.lists(st.tuples(_KEY, _VALUE), max_size=25),
+    st.sampled_from([1, 3, 4096]),
+)
+def test_conditional_upsert_matches_model(spark, target, source, block):
+    t_rows = [(k, v, i) for i, (k, v) in enumerate(target)]
+    s_rows = [(k, v, f"a{i}", i) for i, (k, v) in enumerate(source)]
+    t = spark.createDataFrame([(k, v, "old", o) for k, v, o in t_rows], "k int, v int, a string, o int")
+    s = spark.createDataFrame(s_rows, "k int, v int, a string, q int")
+    smaller = lambda t, s: t("v") < s("v")
+    out = U.upsert_predicate(t, s, [("k", "k")], [asc("o")], [asc("q")], smaller, block=block)
+    got = sorted((tuple(r) for r in out.select("k", "v", "a", "o").collect()), key=repr)
+    assert got == _conditional_model(t_rows, s_rows)
