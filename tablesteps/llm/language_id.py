@@ -5,15 +5,18 @@ languages is predicted first (one linear support vector machine per
 family); inside the family one-versus-one machines separate the closely
 related languages and vote.
 
-Training takes at most ``per_label`` documents of each label (those with
+Training takes at most ``per_label`` documents of each label and about
+``sample`` of all (those with
 the smallest hash of the id, so the choice does not depend on order or
 partitioning; a few less if their hashes lie thin).  Their features are made in tasks; the driver fits the
-machines on that bounded matrix.  Every document is then predicted from
+machines on those rows, which keep only the n-grams that occur.  Every document is then predicted from
 its whole text.
 
 Defined results: a null text or one without any letter is ``und`` with
 score 0, as is every text when no label was learned.  With a single
 label, that label.  Rows that repeat an id or a text get equal results.
+Equal chances of families and equal votes of languages go to the first
+one in alphabetical order.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField
 
 from .common import held_out, joined, map_text, quoted, saved, texts_of
 
 #: Documents of each label in the training sample (bound of what the driver fits on).
 PER_LABEL = 800
+#: Documents of the training sample in all; shared among the labels, one of each at least.
+SAMPLE = 16_000
 #: Hashed features of each n-gram length.
 BINS = 1 << 12
 GRAMS = (2, 3)
@@ -78,6 +83,9 @@ def features(texts: list[bytes]) -> np.ndarray:
     out = np.empty((n, BINS * len(GRAMS)), dtype=np.float32)
     wide = data.astype(np.uint32)
     blank = data == 32
+    # No n-gram begins at the blank before the next text: it would count the neighbour's letters for this row.
+    last = np.zeros(len(data), dtype=bool)
+    last[starts[1:] - 1] = True
     for g, size in enumerate(GRAMS):
         count = len(wide) - size + 1
         if count <= 0:
@@ -87,7 +95,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         for j in range(1, size):
             code = code * np.uint32(256) + wide[j : count + j]
         slot = (code * np.uint32(2654435761)) >> np.uint32(32 - 12)
-        use = ~(blank[:count] & blank[1 : count + 1])
+        use = ~(blank[:count] & blank[1 : count + 1]) & ~last[:count]
         hits = np.bincount((row[:count] + slot)[use], minlength=n * BINS)
         out[:, g * BINS : (g + 1) * BINS] = hits[: n * BINS].reshape(n, BINS)
     np.sqrt(out, out=out)
@@ -95,24 +103,42 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out / np.maximum(norm, 1e-12)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30, seed: int = 1) -> np.ndarray:
-    """A linear support vector machine (squared hinge, dual coordinate descent); the last weight is the bias."""
+class Rows:
+    """Sparse rows: ``at`` (columns) and ``value`` of row i lie from ``starts[i]`` to ``starts[i + 1]``."""
+
+    def __init__(self, starts: np.ndarray, at: np.ndarray, value: np.ndarray, width: int):
+        self.starts, self.at, self.value, self.width = starts, at, value, width
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.at[self.starts[i] : self.starts[i + 1]], self.value[self.starts[i] : self.starts[i + 1]]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.array([v @ w[at] for at, v in map(self.row, range(len(self)))])
+
+
+def fit_svm(x: Rows, chosen: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30, stop: float = 1e-3, seed: int = 1) -> np.ndarray:
+    """A linear support vector machine (squared hinge, dual coordinate descent) on the ``chosen`` rows, ``y`` being
+    theirs; the last weight is the bias.  A round that changes no dual variable by ``stop`` is the last."""
     y = y.astype(np.float64)
-    own = np.einsum("ij,ij->i", x, x) + 1 + 1 / (2 * cost)  # 1 for the bias
-    alpha, w, bias = np.zeros(len(x)), np.zeros(x.shape[1]), 0.0
+    own = np.array([v @ v for _, v in map(x.row, chosen)], dtype=np.float64) + 1 + 1 / (2 * cost)  # 1 for the bias
+    alpha, w, bias = np.zeros(len(chosen)), np.zeros(x.width), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
-        for i in rng.permutation(len(x)):
-            slope = y[i] * (x[i] @ w + bias) - 1 + alpha[i] / (2 * cost)
+        for i in rng.permutation(len(chosen)):
+            at, value = x.row(chosen[i])
+            slope = y[i] * (value @ w[at] + bias) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - slope / own[i], 0.0)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += step * x[i]
+                w[at] += step * value
                 bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
-        if most < 1e-3:
+        if most < stop:
             break
     return np.append(w, bias)
 
@@ -126,23 +152,24 @@ def fit_slope(margin: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """Family machines and the one-versus-one machines inside each family."""
 
-    def __init__(self, x: np.ndarray, labels: list[str]):
+    def __init__(self, x: Rows, labels: list[str]):
         labels = np.array(labels, dtype=object)
         own = np.array([family_of(v) for v in labels], dtype=object)
         self.families = sorted(set(own.tolist()))
         self.labels = {f: sorted(set(labels[own == f].tolist())) for f in self.families}
-        self.outer = [self._machine(x, own == f) for f in self.families] if len(self.families) > 1 else []
+        whole = np.arange(len(x))
+        self.outer = [self._machine(x, whole, own == f) for f in self.families] if len(self.families) > 1 else []
         self.inner = {}
         for f in self.families:
             for a, b in combinations(self.labels[f], 2):
-                rows = (labels == a) | (labels == b)
-                self.inner[a, b] = self._machine(x[rows], labels[rows] == a)
+                rows = np.flatnonzero((labels == a) | (labels == b))
+                self.inner[a, b] = self._machine(x, rows, labels[rows] == a)
 
     @staticmethod
-    def _machine(x: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, float]:
+    def _machine(x: Rows, rows: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, float]:
         y = np.where(is_first, 1.0, -1.0)
-        w = fit_svm(x, y)
-        return w.astype(np.float32), fit_slope(x @ w[:-1] + w[-1], y)
+        w = fit_svm(x, rows, y)
+        return w.astype(np.float32), fit_slope(x.times(w[:-1])[rows] + w[-1], y)
 
     @staticmethod
     def _chance(machine: tuple[np.ndarray, float], x: np.ndarray) -> np.ndarray:
@@ -175,8 +202,16 @@ class Model:
         return label, np.clip(score, 0.0, 1.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> Model | None:
-    """Fit on at most ``per_label`` labelled documents of each label; None if there is none."""
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "lang",
+    per_label: int = PER_LABEL,
+    sample: int = SAMPLE,
+) -> Model | None:
+    """Fit on at most ``per_label`` labelled documents of each label and ``sample`` of all (but one of each label at
+    least); None if there is none."""
     spark = docs.sparkSession
     named = docs.select(
         F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t"), F.col(quoted(label_col)).cast("string").alias("label")
@@ -184,7 +219,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     # Ids first (no text is read for that), then the texts of those few.  A share of the hash range cuts each
     # label to about the sample before it is ranked, so a label of very many documents does not meet in one task.
     ids = named.select("id", "label").distinct()
-    share = ids.groupBy("label").agg((F.lit(1.3 * per_label) / F.count(F.lit(1))).alias("share"))
+    counts = saved(spark, ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "language-labels")
+    per_label = max(1, min(per_label, sample // max(1, counts.count())))
+    # So small a share of a sample of few would often hold none: at least 20 are expected.
+    share = counts.select("label", (F.lit(float(max(1.3 * per_label, 20))) / F.col("n")).alias("share"))
     near = ids.join(F.broadcast(share), "label").filter(  # one row of two values for each label
         F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.col("share") * float(1 << 63)
     )
@@ -197,17 +235,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         at = [np.flatnonzero(r).astype(np.int32) for r in x]
         return [
             pa.array(at, pa.list_(pa.int32())),
-            pa.array([r[i].astype(np.float64) for r, i in zip(x, at)], pa.list_(pa.float64())),
+            pa.array([r[i] for r, i in zip(x, at)], pa.list_(pa.float32())),
         ]
 
-    fields = [StructField("at", ArrayType(IntegerType())), StructField("value", ArrayType(DoubleType()))]
+    fields = [StructField("at", ArrayType(IntegerType())), StructField("value", ArrayType(FloatType()))]
     rows = map_text(picked.filter(F.col("t").isNotNull()), "t", ["id", "label"], fields, lambda: run).toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("label", "ascending"), ("id", "ascending")])
-    x = np.zeros((rows.num_rows, BINS * len(GRAMS)), dtype=np.float32)
     at, value = rows.column("at").combine_chunks(), rows.column("value").combine_chunks()
-    x[np.repeat(np.arange(rows.num_rows), np.diff(at.offsets.to_numpy())), at.values.to_numpy()] = value.values.to_numpy()
+    x = Rows(at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy(), BINS * len(GRAMS))
     return Model(x, rows.column("label").to_pylist())
 
 
