@@ -180,15 +180,25 @@ def read_csv_stream(
     micro-batches.  A stream needs its schema up front.  Dropped files are
     read whole, so newlines inside quotes are part of a cell;
     ``multi_line=False`` splits large files instead.  ``files_per_batch``
-    bounds the files of a micro-batch."""
-    reader = spark.readStream.schema(schema)
+    bounds the files of a micro-batch.
+
+    Cells are trimmed, blank lines dropped and texts converted as by
+    ``read_csv`` (a cell that does not convert is null), and a file whose
+    header names other columns than the schema, or in another order, fails
+    the stream."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    reader = spark.readStream.schema(T.StructType([T.StructField(n, T.StringType()) for n in wanted.names]))
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return (
+    raw = (
         reader
-        .options(sep=delimiter, header="true", quote='"', escape='"')
+        .options(sep=delimiter, header="true", quote='"', escape='"', enforceSchema="false")
         .option("multiLine", "true" if multi_line else "false")
-        .option("ignoreLeadingWhiteSpace", "true")
-        .option("ignoreTrailingWhiteSpace", "true")
         .csv(path)
     )
+    cells = [F.btrim(F.col(f"`{n}`"), F.lit(WHITESPACE)) for n in wanted.names]
+    blank = F.coalesce(cells[0], F.lit("")) == ""
+    for c in cells[1:]:
+        blank = blank & c.isNull()
+    texts = raw.filter(~blank).select(*[F.when(c != "", c).alias(n) for c, n in zip(cells, wanted.names)])
+    return apply_types(texts, {f.name: f.dataType.simpleString() for f in wanted.fields})

@@ -173,3 +173,25 @@ def test_first_per_key_across_micro_batches_with_a_time_limit(spark, tmpdir_shar
     assert sorted(seen) == [1, 2, 3, 5, 7, 8]  # the limit is over: the key is new again
     with pytest.raises(ValueError):
         first_per_key_stream(spark.range(3), ["id"], "id", "1 hour")
+
+
+def test_stream_and_batch_read_the_same_rows(spark, tmpdir_shared):
+    """Trimming, blank lines, empty cells and conversion are those of ``read_csv``; a file of another header fails."""
+    from tablesteps.sources.csv import read_csv
+
+    inbox, out = os.path.join(tmpdir_shared, "same-in"), os.path.join(tmpdir_shared, "same-out")
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "a.csv"), "w", encoding="utf-8") as fh:
+        fh.write('id,name,flag,price\n 1 ,"  quoted \t",TRUE,1.5\n\n   \n2,,false, 2.25 \n3,"two\nlines",True,\n')
+    schema = "id long, name string, flag boolean, price double"
+    stream = read_csv_stream(spark, inbox, schema)
+    run_stream(stream, lambda df, _i: df.write.mode("append").parquet(out), "same-rows").awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    batch = read_csv(spark, inbox, schema={"id": "bigint", "name": "string", "flag": "boolean", "price": "double"})
+    assert got == sorted(map(tuple, batch.collect()))
+    assert got == [(1, "quoted", True, 1.5), (2, None, False, 2.25), (3, "two\nlines", True, None)]
+    with open(os.path.join(inbox, "b.csv"), "w", encoding="utf-8") as fh:
+        fh.write("name,id,flag,price\nx,4,true,1\n")
+    again = run_stream(read_csv_stream(spark, inbox, schema), lambda df, _i: df.collect(), "same-rows-again")
+    with pytest.raises(Exception, match="(?i)header"):
+        again.awaitTermination()
