@@ -10,7 +10,8 @@ consecutively; their labels always stay beside the method's.
 
 Defined results: null and empty texts have no words, no labels and score 0.
 ``score`` is the strongest detection's priority over 100 (a base phrase
-counts as 50).
+counts as 50).  Repeated rows have equal results, and extra columns of any
+name pass through.
 """
 
 from __future__ import annotations

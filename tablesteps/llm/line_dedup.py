@@ -16,6 +16,7 @@
 Defined results: null and empty texts have one empty line.  Rows that
 share an id are one document.  A null id counts as one document that sorts
 after all others.  A key's lines all stay in its owner, repeats included.
+Ids are whole numbers; text that is no number fails the job.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ parameter.  Only its tables (bounded by the vocabulary) go to the tasks.
 
 Defined results: null and empty texts give an empty list of pieces and
 decode to the empty text.  Decoding returns the encoded text exactly, but
-for U+2581, which the format uses for a space and decodes as one.
+for U+2581, which the format uses for a space and decodes as one.  Repeated
+rows have equal results, and extra columns of any name pass through.
 """
 
 from __future__ import annotations

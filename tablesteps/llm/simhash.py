@@ -13,7 +13,11 @@ Defined results: null and empty texts (and texts of white space) have the
 fingerprint 0, which links like any other; texts of fewer words than a
 shingle are one shingle; rows with equal text share a fingerprint.  A null
 id is never a group's id unless the group has no other: it sorts last and
-then reads null.
+then reads null.  Ids are whole numbers; text that is no number fails the job.
+
+Bound: each fingerprint probes with 66 keys, and a probe meets about N / 2^32
+others by chance: fine to some 10^9 documents, about 150 candidates a
+fingerprint at 10^10.
 """
 
 from __future__ import annotations
