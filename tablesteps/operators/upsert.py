@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesteps.functions.names import named
+from tablesteps.operators.compared import COMPARISONS, first_compared
 from tablesteps.operators.order import Key, OrderSpec, first_per_key, require_order, with_row_index
 from tablesteps.session import written_copy
 
@@ -211,6 +212,44 @@ def first_matches(
     return rest if found is None else found.unionAll(rest)
 
 
+def first_compared_matches(
+    t: DataFrame,
+    s: DataFrame,
+    on_t: Sequence[str],
+    on_s: Sequence[str],
+    t_order: OrderSpec,
+    compared: Sequence[tuple[str, str, str]],
+) -> DataFrame:
+    """``first_matches`` for a condition that is one or two comparisons (target column, sign, source column): sorted
+    and swept instead of probed (``operators.compared``), so rows that match late or never cost no more than others."""
+    targets = with_row_index(t.filter(~_null_in(on_t)), t_order, "_t_at")
+    rows = written_copy(s.withColumn("_s_row", F.monotonically_increasing_id()), "first-match-rows")
+    at = first_compared(
+        targets.select(
+            *[named(k).alias(f"k{i}") for i, k in enumerate(on_t)],
+            *[named(c).alias(f"v{i}") for i, (c, _, _) in enumerate(compared)],
+            F.col("_t_at").alias("at"),
+        ),
+        rows.select(
+            *[named(k).alias(f"k{i}") for i, k in enumerate(on_s)],
+            *[named(c).alias(f"v{i}") for i, (_, _, c) in enumerate(compared)],
+            F.col("_s_row").alias("row"),
+        ),
+        len(on_t),
+        [sign for _, sign, _ in compared],
+    )
+    hits = at.join(targets.select("_t_at", "_t_id"), F.col("at") == F.col("_t_at")).select("row", "_t_id")
+    return rows.join(hits, F.col("_s_row") == F.col("row"), "left").select("_t_id", *[named(c) for c in s.columns])
+
+
+def _comparisons(target: DataFrame, source: DataFrame, condition) -> list[tuple[str, str, str]]:
+    """Comparisons with the prefixed column names of both sides."""
+    found = [(f"_t_{_spelled(target, a)}", sign, f"_s_{_spelled(source, b)}") for a, sign, b in condition]
+    if not 1 <= len(found) <= 2 or not all(sign in COMPARISONS for _, sign, _ in found):
+        raise ValueError(f"upsert_predicate takes one or two comparisons, each by one of {', '.join(COMPARISONS)}")
+    return found
+
+
 def upsert_predicate(
     target: DataFrame,
     source: DataFrame,
@@ -230,11 +269,15 @@ def upsert_predicate(
 
     With equality only, the first target row and the last source row of each
     key are taken before the join, so a key with many rows on both sides
-    costs no pairs.  ``condition(t, s)`` may add a residual predicate
-    (deterministic; null counts as no match); each key's targets are then
-    probed in blocks, first ones first (``first_matches``: building the plan
-    runs those jobs), and rows that match nothing are all inserted.  Both
-    orders must be total then.
+    costs no pairs.  ``condition`` may add a residual predicate (null counts
+    as no match); rows that match nothing are then all inserted, both orders
+    must be total, and building the plan runs jobs.  It is either one or two
+    comparisons that must hold, ``(target column, sign, source column)`` with
+    ``>``, ``>=``, ``<`` or ``<=``: they cost sorts, no pairs
+    (``first_compared_matches``).  Or any deterministic ``condition(t, s)``:
+    each key's targets are then probed in blocks, first ones first
+    (``first_matches``), which compares a row that matches nothing with all
+    targets of its key.
     """
     t_keys = require_order(target_order, "upsert_predicate")
     s_keys = require_order(source_order, "upsert_predicate")
@@ -260,8 +303,11 @@ def upsert_predicate(
         s = s.withColumn("_s_id", F.struct(*[_prefixed(k, "_s_") for k in s_keys]))
         on_s = [f"_s_{c}" for c in on_s]
         s_order = [Key(F.col("_s_id").getField(k.expr), k.ascending, k.collation) for k in s_keys]
-        seen = condition(lambda c: named(f"_t_{c}"), lambda c: named(f"_s_{c}"))
-        firsts = first_matches(t, s, on_t, on_s, t_first, s_order, seen, block)
+        if callable(condition):
+            seen = condition(lambda c: named(f"_t_{c}"), lambda c: named(f"_s_{c}"))
+            firsts = first_matches(t, s, on_t, on_s, t_first, s_order, seen, block)
+        else:
+            firsts = first_compared_matches(t, s, on_t, on_s, t_first, _comparisons(target, source, condition))
         # The last source row of each target row; rows that match nothing are groups of their own.
         spread = firsts.withColumn("_s_own", F.when(F.col("_t_id").isNull(), F.col("_s_id")))
         winners = first_per_key(spread, ["_t_id", "_s_own"], s_order, last=True)
