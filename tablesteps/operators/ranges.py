@@ -17,6 +17,8 @@ from tablesteps.session import written_copy
 
 #: Bins of one pass over the values of a group.
 BINS = 1024
+#: Points, and intervals, in a tile of a bucket with more pairs than the square of this; pairs in a task of a range join.
+TILE, TASK_PAIRS = 2048, 1 << 24
 #: Intervals from this length on (also without an end) share one bucket.
 UNBOUNDED, UNBOUNDED_LEVEL = 1e300, 5000
 
@@ -39,9 +41,12 @@ def range_join(
 
     An interval of length up to ``2^k`` lies in at most two buckets of that width, so it gives one or two rows with
     ``k`` and the bucket; a point gives one row for each ``k`` that occurs (few: they are powers of two).  Bucket
-    equality is an ordinary equi-join, which Spark broadcasts or sorts by measured sizes and splits where a bucket is
-    hot, and the bounds are tested on the columns as they are.  Nulls, and intervals that end before they begin,
-    hold nothing.
+    equality is an ordinary equi-join, and the bounds are tested on the columns as they are.  Nulls, and intervals that
+    end before they begin, hold nothing.
+
+    Rows are small and pairs many, so tasks are cut by pairs, not by bytes: the pairs of each bucket are counted
+    first.  A bucket of more than ``TILE`` squared is cut into tiles of ``TILE`` points and ``TILE`` intervals, and
+    the join gets a partition for every ``TASK_PAIRS`` pairs.  With fewer pairs in all, Spark deals them by measured sizes.
     """
     if how not in ("inner", "left"):
         raise ValueError("range_join is inner or left")
@@ -57,16 +62,14 @@ def range_join(
     sound = sound.withColumn("level", level.cast("int"))
     levels = [r[0] for r in sound.select("level").distinct().collect()]  # at most one for each power of two
     bucket = lambda v: F.when(F.col("level") == UNBOUNDED_LEVEL, 0).otherwise(F.floor(v / F.pow(F.lit(2.0), F.col("level"))))
+    # Rows are numbered in written copies: tiles are dealt by the number, and matched points come back to theirs.
+    p = written_copy(p.withColumn("row", F.monotonically_increasing_id()), "range-points")
+    sound = written_copy(sound.withColumn("nth", F.monotonically_increasing_id()), "range-intervals")
     held = sound.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(lo), bucket(hi)))))
-    if how == "left":  # rows are numbered in a written copy: matched ones come back to it
-        p = written_copy(p.withColumn("row", F.monotonically_increasing_id()), "range-points")
     seen = p.filter(F.col(at_p).isNotNull())
     seen = seen.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("bucket", bucket(x))
-    cond = (F.col("l.level") == F.col("r.level")) & (F.col("l.bucket") == F.col("r.bucket"))
-    for a, b in on:
-        cond = cond & (F.col(f"l.p{points.columns.index(a)}") == F.col(f"r.i{intervals.columns.index(b)}"))
-    cond = cond & (F.col(f"l.{at_p}") >= F.col(f"r.{at_lo}")) & (F.col(f"l.{at_p}") <= F.col(f"r.{at_hi}"))
-    found = seen.alias("l").join(held.alias("r"), cond)
+    pairs_on = [(f"p{points.columns.index(a)}", f"i{intervals.columns.index(b)}") for a, b in on]
+    found = _in_tiles(seen, held, pairs_on, (F.col(f"l.{at_p}") >= F.col(f"r.{at_lo}")) & (F.col(f"l.{at_p}") <= F.col(f"r.{at_hi}")))
     mine, theirs = [c for c in p.columns if c != "row"], i.columns
     if how == "inner":
         return found.select(*mine, *theirs).toDF(*points.columns, *intervals.columns)
@@ -74,6 +77,53 @@ def range_join(
     return p.join(found, "row", "left").select(*mine, *theirs).toDF(*points.columns, *intervals.columns)
 
 
+def _in_tiles(seen: DataFrame, held: DataFrame, on: Sequence[tuple[str, str]], within: Column) -> DataFrame:
+    """Points ``seen`` (numbered ``row``) with intervals ``held`` (``nth``) of the same level, bucket and ``on`` columns, where ``within`` holds."""
+    own = [f"c{n}" for n in range(len(on))]
+
+    def same(left: str, right: str, names: Sequence[tuple[str, str]]) -> Column:
+        cond = (F.col(f"{left}.level") == F.col(f"{right}.level")) & (F.col(f"{left}.bucket") == F.col(f"{right}.bucket"))
+        for a, b in names:
+            cond = cond & (F.col(f"{left}.{a}") == F.col(f"{right}.{b}"))
+        return cond
+
+    of_seen, of_held = [(a, c) for (a, _), c in zip(on, own)], [(b, c) for (_, b), c in zip(on, own)]
+    cells = held.groupBy("level", "bucket", *[F.col(b).alias(c) for b, c in of_held]).agg(F.count(F.lit(1)).alias("n_held"))
+    met = seen.alias("l").join(cells.alias("c"), same("l", "c", of_seen)).select(*[F.col(f"c.{c}") for c in cells.columns])
+    met = met.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n_seen"))
+    met = written_copy(met.withColumn("pairs", F.col("n_held").cast("double") * F.col("n_seen")), "range-cells")
+    # Two numbers: all pairs, and those of the largest cell.
+    pairs, most = met.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.max("pairs"), F.lit(0.0))).first()
+    if most > TILE * TILE:
+        hot = met.filter(F.col("pairs") > TILE * TILE).withColumns(
+            {"of_seen": F.ceil(F.col("n_seen") / TILE), "of_held": F.ceil(F.col("n_held") / TILE)}
+        )
+        seen = _tiled(seen, hot, same("l", "c", of_seen), "row", "seen", "held")
+        held = _tiled(held, hot, same("l", "c", of_held), "nth", "held", "seen")
+    cond = same("l", "r", on)
+    if most > TILE * TILE:
+        cond = cond & (F.col("l.tile_seen") == F.col("r.tile_seen")) & (F.col("l.tile_held") == F.col("r.tile_held"))
+    if pairs > TASK_PAIRS:
+        spark = seen.sparkSession
+        parts = max(int(pairs // TASK_PAIRS) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tiles = ["level", "bucket", *(["tile_seen", "tile_held"] if most > TILE * TILE else [])]
+        alike = [(a, b) for a, b in on if seen.schema[a].dataType == held.schema[b].dataType]
+        seen = seen.repartition(parts, *tiles, *[a for a, _ in alike])
+        held = held.repartition(parts, *tiles, *[b for _, b in alike]).hint("merge")
+    return seen.alias("l").join(held.alias("r"), cond & within)
+
+
+def _tiled(rows: DataFrame, hot: DataFrame, same: Column, number: str, mine: str, other: str) -> DataFrame:
+    """Rows with ``tile_<mine>``, one of their cell's tiles by their number, once for each ``tile_<other>``; 0 and 0 in cells that are not hot."""
+    out = rows.alias("l").join(hot.alias("c"), same, "left")
+    tiles = lambda side: F.coalesce(F.col(f"c.of_{side}"), F.lit(1).cast("long"))
+    return out.select(
+        "l.*",
+        F.pmod(F.xxhash64(f"l.{number}"), tiles(mine)).alias(f"tile_{mine}"),
+        F.explode(F.sequence(F.lit(0).cast("long"), tiles(other) - 1)).alias(f"tile_{other}"),
+    )
+
+
 def latest_before(
     left: DataFrame,
     right: DataFrame,

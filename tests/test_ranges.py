@@ -92,3 +92,20 @@ def test_quantiles_of_groups(spark):
     assert R.group_quantiles(df.limit(0), ["k.x"], "n", [0.5]).collect() == []
     with pytest.raises(ValueError):
         R.group_quantiles(df, ["k.x"], "n", [1.5])
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_hot_bucket_is_cut_into_tiles(spark, monkeypatch, how):
+    """Equal points in equal intervals, all in one bucket: no task has most of the pairs."""
+    monkeypatch.setattr(R, "TILE", 16)
+    monkeypatch.setattr(R, "TASK_PAIRS", 1000)
+    p = spark.sql("SELECT id AS a, IF(id < 300, 5.0D, id * 10.0D) AS x, cast(id % 2 AS int) AS k FROM range(320)").repartition(1)
+    b = spark.sql("SELECT id AS b, 4.5D AS lo, 5.5D AS hi, id % 2 AS j FROM range(200) UNION ALL SELECT 999, 3000.0D, 3000.0D, 0").repartition(1)
+    for on in ([], [("k", "j")]):
+        out = R.range_join(p, b, "x", "lo", "hi", on=on, how=how)
+        want = [(a, c) for a in range(300) for c in range(200) if not on or a % 2 == c % 2] + [(300, 999)]
+        want += [(a, None) for a in range(301, 320)] if how == "left" else []
+        assert sorted(((r.a, r.b) for r in out.select("a", "b").collect()), key=repr) == sorted(want, key=repr)
+        if how == "inner":
+            sizes = [r["count"] for r in out.groupBy(R.F.spark_partition_id()).count().collect()]
+            assert len(sizes) > 4 and max(sizes) < sum(sizes) / 3
