@@ -156,19 +156,18 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, st
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return {}
-    trimmed = df.select(*[F.trim(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)])
+    # One row per cell, so that the checks are compiled once, however wide the table is.
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in cols])).alias("i", "v")).filter("v is not null")
+    trimmed = cells.select("i", F.trim("v").alias("v"))
     # residues in their own projection: computed once, read by every check
-    shaped = trimmed.select(
-        *[F.col(f"v{i}") for i in range(len(cols))],
-        *[F.translate(F.col(f"v{i}"), DIGITS, "").alias(f"r{i}") for i in range(len(cols))],
-    )
-    kinds = shaped.select(*[cell_kind(F.col(f"v{i}"), F.col(f"r{i}")).alias(f"k{i}") for i in range(len(cols))])
+    shaped = trimmed.select("i", "v", F.translate("v", DIGITS, "").alias("r"))
+    kinds = shaped.select("i", cell_kind(F.col("v"), F.col("r")).alias("k"))
     # one bit per kind seen in the column; nulls add nothing
-    masks = kinds.agg(*[F.bit_or(F.expr(f"shiftleft(1, k{i})")).alias(f"m{i}") for i in range(len(cols))])
-    row = masks.first()  # one row: size bounded by the column count
+    masks = kinds.groupBy("i").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("m"))
+    row = dict(masks.collect())  # one number per column
     out = {}
     for i, c in enumerate(cols):
-        out[c] = _type_of_mask(row[f"m{i}"])
+        out[c] = _type_of_mask(row.get(i))
     return out
 
 

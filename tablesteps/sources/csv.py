@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,12 @@ NO_HEADER_PREFIX = "Column"
 WHITESPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def trimmed(cell: Column) -> Column:
+    """The cell without white space at its ends; one that begins and ends with a visible ASCII sign is not searched."""
+    plain = (cell >= "!") & (cell < "\x7f") & F.substring(cell, -1, 1).between("!", "~")
+    return F.when(plain, cell).otherwise(F.btrim(cell, F.lit(WHITESPACE)))
+
+
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
     """The candidate seen most often in the first 5 lines; ties keep
     the order ``, ; \\t |``; nothing readable -> ``,``."""
@@ -130,7 +136,7 @@ def read_csv(
     )
     cells = [F.col(f"_c{i}") for i in range(width)]
     if trim:
-        cells = [F.btrim(c, F.lit(WHITESPACE)) for c in cells]
+        cells = [trimmed(c) for c in cells]
     # blank / white-space-only line: first cell blank, the rest missing
     blank = F.coalesce(cells[0], F.lit("")) == ""
     for c in cells[1:]:
@@ -196,7 +202,7 @@ def read_csv_stream(
         .option("multiLine", "true" if multi_line else "false")
         .csv(path)
     )
-    cells = [F.btrim(F.col(f"`{n}`"), F.lit(WHITESPACE)) for n in wanted.names]
+    cells = [trimmed(F.col(f"`{n}`")) for n in wanted.names]
     blank = F.coalesce(cells[0], F.lit("")) == ""
     for c in cells[1:]:
         blank = blank & c.isNull()

@@ -31,7 +31,8 @@ WHOLE, HEAD, TAIL, INSIDE = 0, 1, 2, 3
 
 def lines_of(spark: SparkSession, path: str, quote: str) -> DataFrame:
     """``line``, ``file``, ``block`` (start of the split), ``quotes`` in it."""
-    count = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
+    text = F.col("value")
+    count = F.when(text.contains(quote), F.length(text) - F.length(F.replace(text, F.lit(quote), F.lit("")))).otherwise(0)
     return spark.read.option("lineSep", "\n").text(path).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),

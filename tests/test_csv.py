@@ -212,3 +212,34 @@ def test_files_without_quoted_newlines_stay_with_the_native_reader(spark, tmpdir
     df = read_csv(spark, path)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FileScan csv" in plan and sorted(map(tuple, df.collect())) == [(1, 'x, "y"'), (2, "z")]
+
+
+def test_cells_with_and_without_white_space_at_their_ends(spark):
+    """Cells that begin and end visibly are taken as they are; every other end is searched."""
+    from pyspark.sql import functions as F
+
+    from tablesteps.sources.csv import WHITESPACE, trimmed
+
+    ends = ["", "a", "~", "!", "\x7f", "\x00", "\x1c", "é", "\U0001f600", *WHITESPACE]
+    cells = [x + m + y for x in ends for y in ends for m in ("", "b c", "　")]
+    df = spark.createDataFrame([(c,) for c in [*cells, None]], "c string")
+    got = df.select("c", trimmed(F.col("c")).alias("t"), F.btrim("c", F.lit(WHITESPACE)).alias("w")).collect()
+    assert all(r.t == r.w == (r.c and r.c.strip(WHITESPACE)) for r in got)
+
+
+def test_types_of_a_wide_table_are_found_cell_by_cell(spark):
+    """The checks stand once in the plan, however many columns there are."""
+    from tablesteps.functions import typed
+
+    cells = {"int": ["1", "-20", None], "double": ["1", "2.5", None], "boolean": ["true", "False", None], "string": [None, None, None],
+             "timestamp_ntz": ["2024-01-02", "1/2/2024", None]}
+    names = [f"{k}.{i}" for i in range(40) for k in cells]
+    df = spark.createDataFrame([[cells[n.split(".")[0]][r] for n in names] for r in range(3)], ", ".join(f"`{n}` string" for n in names))
+    seen, kept = [], typed.cell_kind
+    typed.cell_kind = lambda *a: seen.append(a) or kept(*a)
+    try:
+        assert typed.infer_types(df) == {n: n.split(".")[0] for n in names}
+    finally:
+        typed.cell_kind = kept
+    assert len(seen) == 1
+    assert typed.infer_types(df.limit(0)) == dict.fromkeys(names, "string")
