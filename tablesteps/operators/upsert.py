@@ -222,7 +222,9 @@ def first_compared_matches(
 ) -> DataFrame:
     """``first_matches`` for a condition that is one or two comparisons (target column, sign, source column): sorted
     and swept instead of probed (``operators.compared``), so rows that match late or never cost no more than others."""
-    targets = with_row_index(t.filter(~_null_in(on_t)), t_order, "_t_at")
+    used = dict.fromkeys([*on_t, *[c for c, _, _ in compared], "_t_id"])
+    targets = with_row_index(t.filter(~_null_in(on_t)).select(*[named(c) for c in used]), t_order, "_t_at")
+    targets = written_copy(targets, "first-match-targets")
     rows = written_copy(s.withColumn("_s_row", F.monotonically_increasing_id()), "first-match-rows")
     at = first_compared(
         targets.select(
